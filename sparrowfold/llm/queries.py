@@ -19,6 +19,12 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.get(docs).select("doc_id", "start", "n_tokens", ids_crc32("ids", "width").alias("ids_crc32"))
 
 
+def op3_duck_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .duck_bpe import code
+
+    return code(table(spark, sf_dir, "documents"), BYTES, public_tokenizers.PATTERN)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
