@@ -19,12 +19,24 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.get(docs).select("doc_id", "start", "n_tokens", ids_crc32("ids", "width").alias("ids_crc32"))
 
 
+def op2_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_crf import judge
+
+    return judge(table(spark, sf_dir, "documents"))
+
+
 def op3_duck_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .duck_bpe import code
 
     return code(table(spark, sf_dir, "documents"), BYTES, public_tokenizers.PATTERN)
 
 
+def op4_url_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_alias import judge
+
+    return judge(table(spark, sf_dir, "pages"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -42,4 +54,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import url_alias
+
+    return {"op4_url_alias": url_alias.ORACLE_SQL}
