@@ -10,8 +10,10 @@ import os
 
 import numpy as np
 
-#: Pieces that a worker keeps; beyond it a piece is encoded anew in each batch of texts.
-KEEP_PIECES = 700_000
+#: Pieces, and words without their punctuation, that a worker keeps; beyond it they are encoded anew in each slice of texts.
+KEEP_PIECES, KEEP_WORDS = 300_000, 300_000
+#: Characters that the splitter always parts from letters and that take no part in contractions.
+TAILS = ".,;:!?%*#$&|"
 
 
 class WordEncoder:
@@ -20,23 +22,71 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        vocabulary = self.tokenizer.get_vocab()
+        size = max(vocabulary.values()) + 1
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        # ids that end a word: with the suffix, a run of letters has exactly one of them, its last
+        self.ends = np.zeros(size, bool)
+        self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
         self.kept: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {"": b""}
+
+    def _whole(self, pieces: list[str]) -> dict[str, bytes]:
+        """Each piece by itself."""
+        out = {}
+        for at in range(0, len(pieces), 20_000):
+            part = pieces[at : at + 20_000]
+            for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                out[piece] = np.array(e.ids, dtype=self.dtype).tobytes()
+        return out
+
+    def _letters(self, words: list[str]) -> dict[str, bytes]:
+        """Runs of letters, many in one call, parted where a word ends."""
+        out = {}
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(part) or (len(stops) and stops[-1] != len(ids)):
+                out.update(self._whole(part))
+                continue
+            raw, width = ids.tobytes(), self.dtype.itemsize
+            bounds = [0, *(stops * width).tolist()]
+            out.update((w, raw[a:b]) for w, a, b in zip(part, bounds, bounds[1:]))
+        return out
+
+    def _fresh(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces: letters followed by punctuation are put together from the two; others are encoded whole."""
+        parted, other, lacking = [], [], set()
+        words = self.words
+        for piece in pieces:
+            word = piece.rstrip(TAILS)
+            tail = piece[len(word) :]
+            if not word or word.isalpha():
+                # only ASCII is folded here: elsewhere, lower case can depend on what stands beside
+                word = word.lower() if word.isascii() else word
+                parted.append((piece, word, tail))
+                if word not in words:
+                    lacking.add(word)
+            else:
+                other.append(piece)
+        known = self._letters(list(lacking))
+        if len(words) < KEEP_WORDS:
+            words.update(known)
+        tails = {t for _, _, t in parted if t not in words}
+        known |= self._whole(list(tails))
+        find = lambda w: known[w] if w in known else words[w]
+        return {piece: find(word) + find(tail) for piece, word, tail in parted} | self._whole(other)
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian integers of self.dtype; null and empty texts give none."""
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
         kept = self.kept
-        new = [p for p in {p for pieces in split for p in pieces} if p not in kept]
-        extra: dict[str, bytes] = {}
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            store = kept if len(kept) < KEEP_PIECES else extra
-            for piece, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                store[piece] = np.array(e.ids, dtype=self.dtype).tobytes()
-        if not extra:
+        fresh = self._fresh([p for p in {p for pieces in split for p in pieces} if p not in kept])
+        if len(kept) < KEEP_PIECES:
+            kept.update(fresh)
             return [b"".join(map(kept.__getitem__, pieces)) for pieces in split]
-        both = lambda p: kept.get(p) if p in kept else extra[p]
+        both = lambda p: fresh[p] if p in fresh else kept[p]
         return [b"".join(map(both, pieces)) for pieces in split]
 
 
@@ -50,7 +100,7 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def text_slices(batch, column: str = "text", chars: int = 8_000_000):
+def text_slices(batch, column: str = "text", chars: int = 4_000_000):
     """(first row, texts) of an Arrow batch, cut so that a slice's texts are bounded unless one text alone is longer."""
     texts = batch.column(column).to_pylist()
     start, size = 0, 0
