@@ -49,6 +49,12 @@ def op7_rff_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .superminhash import groups
+
+    return groups(table(spark, sf_dir, "documents"))
+
+
 def op9_kn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .kn_toxicity import classify
 
