@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import Workspace, table
 
@@ -43,6 +44,13 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), WORDS, 1, with_ids=False)
 
 
+def op6_neural_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neural_partition import search
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 def op7_rff_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .rff_quality import classify
 
