@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of scanned input that one shuffle partition is planned to hold.
 PARTITION_BYTES = 96 << 20
+#: Rows of a few numbers each up to which a side of a join is broadcast; beyond, both sides are shuffled.
+BROADCAST_ROWS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +69,11 @@ def partitions_for(df: DataFrame, bytes_each: int = PARTITION_BYTES) -> int:
     return max(least, min(1_000_000, math.ceil(size / bytes_each))) if size < 1 << 58 else least
 
 
+def small(rows: DataFrame) -> DataFrame:
+    """rows, marked for broadcast if their count is within BROADCAST_ROWS."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def file_system(uri: str):
     """pyarrow's file system and path for a URI, for executors: any store that pyarrow reaches."""
     from pyarrow import fs

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, small
 from .wordbpe import encoder, text_slices
 
 MAX_TOKENS = 2048
@@ -67,5 +67,5 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, longest: int = M
     # a row for each length and partition: at most 12 a task
     counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     bases = counts.select("length", "part", (F.sum("n").over(Window.orderBy(F.desc("length"), "part")) - F.col("n")).alias("base"))
-    numbered = pieces.join(bases, ["length", "part"])
+    numbered = pieces.join(small(ws.save(bases, "bases")), ["length", "part"])
     return numbered.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("ordinal")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *["ids"] * with_ids)

@@ -76,6 +76,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
+    """The ten operators; __spark_entry__ adds the pipeline."""
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, partitions_for
+from .common import Workspace, partitions_for, small
 from .components import connected_components
 from .wordbpe import text_slices
 
@@ -28,8 +28,6 @@ SIGNATURE = ROWS * BANDS
 LEAST_EQUAL = 105
 #: Members of a band that are compared within one task; larger bands are dealt into pairs of blocks.
 BLOCK = 1024
-#: Keys up to which a filter by key is broadcast; beyond, both sides are shuffled.
-BROADCAST_ROWS = 500_000
 ELEMENTS = 150_000
 KEEP_WORDS = 400_000
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -173,11 +171,6 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in own], pa.int64()), pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))], names=["rid", "own"])
 
 
-def kept_by_key(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
-    """Semi join; the keys, if their count is within BROADCAST_ROWS, are broadcast."""
-    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, on, "left_semi")
-
-
 def equal_places(a, b):
     """How many bytes two sketches have in common, place by place."""
 
@@ -231,7 +224,7 @@ def groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     star = star.join(sketches.toDF("b", "sb"), "b").join(sketches.toDF("a", "sa"), "a").where(equal_places("sa", "sb") >= LEAST_EQUAL).select("a", "b")
 
     meet = reps.join(shared.select("rid").distinct(), "rid", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
-    sets = ws.save(kept_by_key(texts, ws.save(meet, "meet"), "doc_id").mapInArrow(_sets, "rid long, own array<bigint>").dropDuplicates(["rid"]), "sets")
+    sets = ws.save(texts.join(small(ws.save(meet, "meet")), "doc_id", "left_semi").mapInArrow(_sets, "rid long, own array<bigint>").dropDuplicates(["rid"]), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         # the second join's other side is sent once for a leader, however many pairs it has
