@@ -3,7 +3,8 @@
 Equal sets are one representative. Representatives that share a band are first paired with the band's leader only, so
 a large group of copies gives a row a member; verified links are joined into classes. Then, in bands that still hold
 more than one class, members of different classes are compared by signature, block by block, and those whose
-estimate comes near the threshold are verified too: no link between different texts is left out to save pairs.
+estimate comes near the threshold are verified there, all pairs of a block in one matrix product: no link between
+different texts is left out to save pairs, and a block hands on links, not pairs.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ ROWS, BANDS = 6, 26
 SIGNATURE = ROWS * BANDS
 #: Equal signature places (of SIGNATURE) from which a pair is verified: 6 standard deviations below 0.85.
 LEAST_EQUAL = 105
-#: Members of a band that are compared within one task; larger bands are dealt into pairs of blocks.
-BLOCK = 1024
+#: Members of a band, and shingles of theirs, that one block holds; larger bands are dealt into pairs of blocks.
+BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
 ELEMENTS = 150_000
 KEEP_WORDS = 400_000
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -184,23 +185,53 @@ def equal_places(a, b):
     return run(a, b)
 
 
-def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one block or of two blocks of a band: of different classes, not with the leader, near enough by sketch."""
-    sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, SIGNATURE)
-    rid, kind, block = (pdf[c].to_numpy() for c in ("rid", "class", "block"))
-    leader = pdf["leader"].to_numpy() == rid
-    first, second = pdf["i"].iloc[0], pdf["j"].iloc[0]
-    out = [np.zeros((0, 2), np.int64)]
-    for k in np.flatnonzero((block == first) & ~leader):
-        near = (block == second) & ~leader & (kind != kind[k])
-        if first == second:
-            near[: k + 1] = False
-        at = np.flatnonzero(near)
-        at = at[(sketch[at] == sketch[k]).sum(1) >= LEAST_EQUAL]
-        if len(at):
-            out.append(np.stack([np.minimum(rid[at], rid[k]), np.maximum(rid[at], rid[k])], 1))
-    pairs = np.unique(np.concatenate(out), axis=0)
-    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+def common_counts(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """How many elements each two sets have in common, by products of 0/1 matrices over the elements that sets share."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[code] > 1
+    place = np.cumsum(count > 1) - 1
+    owner, code = owner[shared], place[code[shared]]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int((count > 1).sum()), columns):
+        own = (code >= at) & (code < at + columns)
+        m = np.zeros((len(sets), columns), np.float32)
+        m[owner[own], code[own] - at] = 1
+        out += m @ m.T
+    return out.astype(np.int64)
+
+
+def _linked(percent: int):
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Links within a block, or between two blocks, of a band: members of different classes, neither the leader,
+        near enough by sketch, that share no earlier band (there they are compared), and are linked by their full sets."""
+        sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, SIGNATURE)
+        rid, kind, block = (pdf[c].to_numpy() for c in ("rid", "class", "block"))
+        leader = pdf["leader"].to_numpy() == rid
+        first, second, band = (int(pdf[c].iloc[0]) for c in ("i", "j", "number"))
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in np.flatnonzero((block == first) & ~leader):
+            near = (block == second) & ~leader & (kind != kind[k])
+            if first == second:
+                near[: k + 1] = False
+            at = np.flatnonzero(near)
+            same = sketch[at] == sketch[k]
+            met = same[:, : band * ROWS].reshape(len(at), band, ROWS).all(2).any(1)
+            at = at[(same.sum(1) >= LEAST_EQUAL) & ~met]
+            left.append(np.full(len(at), k))
+            right.append(at)
+        a, b = np.concatenate(left), np.concatenate(right)
+        if len(a):
+            used, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+            sets = [pdf["own"].iloc[k] for k in used]
+            x, y = place[: len(a)], place[len(a) :]
+            size = np.array([len(s) for s in sets])
+            common = common_counts(sets)[x, y]
+            ok = 100 * common >= percent * (size[x] + size[y] - common)
+            a, b = rid[a[ok]], rid[b[ok]]
+        return pd.DataFrame({"a": a, "b": b})
+
+    return compare
 
 
 def groups(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -216,7 +247,7 @@ def groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     whole = signed.where("rid is not null and doc_id is not null")
     reps = ws.save(whole.groupBy("rid").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "reps")
 
-    members = reps.select("rid", F.explode("bands").alias("band"))
+    members = reps.select("rid", "n", F.posexplode("bands").alias("number", "band"))
     leaders = members.groupBy("band").agg(F.min("rid").alias("leader"), F.count("*").alias("size")).where("size > 1")
     shared = ws.save(members.join(leaders, "band"), "shared")
     sketches = reps.select("rid", "sketch")
@@ -235,13 +266,13 @@ def groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     links = ws.save(verified(star), "star")
     classes = connected_components(links.toDF("u", "v"), ws, "first").toDF("rid", "class")
     placed = shared.join(classes, "rid", "left").withColumn("class", F.coalesce("class", "rid"))
-    mixed = placed.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("members")).where("low <> high and members > 2").select("band", "members")
-    blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
+    mixed = placed.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("members"), F.sum("n").alias("shingles")).where("low <> high and members > 2").select("band", "members", "shingles")
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     rest = placed.join(mixed, "band").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
-    rest = rest.join(sketches, "rid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("band", "rid", "class", "leader", "sketch", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    near = rest.repartition(partitions_for(reps), "band", "i", "j").groupBy("band", "i", "j").applyInPandas(_compare, "a long, b long").distinct()
-    more = ws.save(verified(near), "more")
+    rest = rest.join(sketches, "rid").join(sets, "rid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.select("number", "band", "rid", "class", "leader", "sketch", "own", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    more = rest.repartition(partitions_for(reps), "band", "i", "j").groupBy("band", "i", "j").applyInPandas(_linked(percent), "a long, b long")
+    more = ws.save(more, "more")
 
     # classes of representatives by document id; a doc_id with several texts links their representatives
     rep = reps.select("rid", "rep")

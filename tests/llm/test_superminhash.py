@@ -5,7 +5,7 @@ import numpy as np
 
 from sparrowfold.llm import superminhash
 from sparrowfold.llm.components import UnionFind
-from sparrowfold.llm.superminhash import Shingler, banded, groups, signatures
+from sparrowfold.llm.superminhash import Shingler, banded, common_counts, groups, signatures
 
 from .helpers import LONG, awkward, frame
 
@@ -86,3 +86,25 @@ def test_shingles_follow_the_text():
     assert len(s.shingles("A b")) == 1 and (s.shingles("A b") == s.shingles("a\tB")).all()
     assert len(s.shingles("É b c d e f")) == 2 and (s.shingles("É b") != s.shingles("é b")).any()
     assert len(s.shingles("x " * 50)) == 1 and len(s.shingles(None)) == 0
+
+
+def test_common_counts():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 300, n)).astype(np.uint64) for n in (1, 40, 90, 200, 60)]
+    want = [[len(np.intersect1d(a, b)) if j != k else None for k, b in enumerate(sets)] for j, a in enumerate(sets)]
+    got = common_counts(sets, 64)
+    assert all(want[j][k] is None or got[j, k] == want[j][k] for j in range(5) for k in range(5))
+
+
+def test_many_copies_below_the_threshold(spark):
+    """Copies of one text that are linked with it but hardly with each other, and some that are linked with nothing."""
+    rng = random.Random(6)
+    base = [f"b{k}" for k in range(120)]
+    rows = []
+    for key in range(150):
+        words = base.copy()
+        for _ in range(key % 6):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        rows.append((key, " ".join(words)))
+    got = groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows)
