@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, crc_mod
+from .common import Workspace, crc_mod, small
 from .rff_quality import training_labels
 
 #: Least share of a class's counts: for a word, for a word that takes part in pairs, and for a pair.
@@ -160,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     given = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("double").alias("y")).where("doc_id is not null and y is not null").groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     slot = (F.pmod(F.xxhash64("doc_id"), F.lit(2)) * 2 + F.col("y")).cast("int")
-    train = ws.save(keyed.join(given, "doc_id").select(slot.alias("slot"), "text"), "train")
+    train = ws.save(keyed.join(small(given), "doc_id").select(slot.alias("slot"), "text"), "train")
     tally = lambda rows: rows.groupBy("k").agg(*(F.sum(c).alias(c) for c in SLOTS))
     words = ws.save(tally(train.mapInArrow(lambda b: _counted(b, lambda t: set(words_of(t)), True), "k binary, c0 long, c1 long, c2 long, c3 long")), "words")
     # counts and distinct words, by slot and by class
