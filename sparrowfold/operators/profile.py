@@ -44,7 +44,10 @@ def token_profile(units: DataFrame) -> DataFrame:
     """Token lengths of all units (unit_type: all) and by type, in one pass by grouping sets."""
     rows = units.select("unit_type", token_count(F.col("text")).alias("n"))
     grouped = rows.groupingSets([[], ["unit_type"]], "unit_type").agg(F.grouping("unit_type").alias("_all"), *length_summary(F.col("n")))
-    return grouped.withColumn("unit_type", F.when(F.col("_all") == 1, "all").otherwise(F.col("unit_type"))).drop("_all")
+    found = grouped.withColumn("unit_type", F.when(F.col("_all") == 1, "all").otherwise(F.col("unit_type"))).drop("_all")
+    # without rows there is no group at all; the whole has its zeros even so
+    whole = units.sparkSession.range(1).select(F.lit("all").alias("unit_type"))
+    return whole.join(found, "unit_type", "full").select("unit_type", *(F.coalesce(c, F.lit(0).cast(t)).alias(c) for c, t in found.dtypes if c != "unit_type"))
 
 
 def document_profile(units: DataFrame, documents: DataFrame) -> DataFrame:
