@@ -11,7 +11,7 @@ from ..functions import scores as fs
 from ..functions import text as ft
 from ..operators import calibration, chunking, grounding, inspection, manifest, metrics, profile, retrieval, units
 from ..sources import tables as src
-from . import engine
+from . import engine, evaluation
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -366,10 +366,8 @@ def _per_query(spark, sf):
     rows = src.table(spark, sf, "embeddings")
     asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     index = retrieval.pooled(rows, POOLS)
-    found = []
-    for m in POOLS:
-        found.append(retrieval.top_k(index.where(F.col("target") == m), asked, 5).withColumn("strategy_id", F.lit(f"target_{m}")))
-    return metrics.metrics(manifest.union(found), _gold(spark, sf), index.select("strategy_id", "chunk_id", "units"), [1, 3, 5], ("strategy_id",)), index
+    lengths = index.groupBy("strategy_id", "target").agg(F.avg(F.size("units")).alias("mean_tokens"))
+    return evaluation.evaluate_strategies(index, asked, _gold(spark, sf), lengths, [1, 3, 5])
 
 
 @query(_METRICS + "SELECT strategy_id, query_id, k::BIGINT AS k, precision, recall, group_recall, reciprocal_rank, ndcg, coalesce(first_relevant_rank, 0)::BIGINT AS first_relevant_rank FROM per2")
@@ -379,14 +377,32 @@ def retrieval_metrics(spark, sf):
 
 @query(_METRICS + "SELECT strategy_id, k::BIGINT AS k, queries, precision, recall, group_recall, reciprocal_rank, ndcg FROM means")
 def strategy_means(spark, sf):
-    return metrics.averages(_per_query(spark, sf)[0], ("strategy_id",)).withColumn("k", F.col("k").cast("long"))
+    return _per_query(spark, sf)[1].withColumn("k", F.col("k").cast("long"))
 
 
 @query(_METRICS + "SELECT strategy_id, target::BIGINT AS target, recall, reciprocal_rank, ndcg, precision FROM means WHERE k = 5 ORDER BY recall DESC, reciprocal_rank DESC, ndcg DESC, precision DESC, target LIMIT 1")
 def strategy_selection(spark, sf):
-    per, index = _per_query(spark, sf)
-    lengths = index.groupBy("strategy_id", "target").agg(F.avg(F.size("units")).alias("mean_tokens"))
-    return metrics.select_strategy(metrics.averages(per, ("strategy_id",)), lengths).select("strategy_id", F.col("target").cast("long").alias("target"), "recall", "reciprocal_rank", "ndcg", "precision")
+    return _per_query(spark, sf)[2].select("strategy_id", F.col("target").cast("long").alias("target"), "recall", "reciprocal_rank", "ndcg", "precision")
+
+
+_HOLDOUT = f"""WITH hh AS (SELECT * FROM (SELECT q.vec_id AS query_id, i.vec_id AS chunk_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_SCORE.format(a="q.embedding", b="i.embedding")} DESC, i.vec_id) AS rank, q.label = i.label AS relevant
+  FROM embeddings q, embeddings i WHERE q.vec_id % 20 = 0) WHERE rank <= 5)
+SELECT h.query_id, round(count(*) FILTER (relevant AND h.chunk_id <> h.query_id) / 5, 6) AS precision, coalesce(min(rank) FILTER (relevant AND h.chunk_id <> h.query_id), 0)::BIGINT AS first_relevant_rank,
+  round(max(s.score) - 0.5, 6) AS margin, max(s.score) >= 0.5 AS is_relevant
+FROM hh h JOIN (SELECT q.vec_id AS query_id, max({_SCORE.format(a="q.embedding", b="i.embedding")}) AS score FROM embeddings q, embeddings i WHERE q.vec_id % 20 = 0 GROUP BY 1) s USING (query_id) GROUP BY 1"""
+
+
+@query(_HOLDOUT)
+def holdout_evaluation(spark, sf):
+    hits, asked = _hits(spark, sf)
+    index = _vectors(spark, sf)[0].select("chunk_id", F.array("chunk_id").alias("units"))
+    rows = evaluation.holdout(hits, _gold(spark, sf), index, asked, F.lit(GATE))
+    return rows.select("query_id", "precision", F.coalesce("first_relevant_rank", F.lit(0)).cast("long").alias("first_relevant_rank"), F.round("margin", 6).alias("margin"), "is_relevant")
+
+
+@query("SELECT text FROM benchmark INTERSECT SELECT text FROM documents")
+def shared_texts(spark, sf):
+    return evaluation.overlap(src.table(spark, sf, "benchmark").select("text"), src.table(spark, sf, "documents").select("text"))
 
 
 _TOP1 = f"""
