@@ -91,7 +91,13 @@ def put_file(uri: str, chunks) -> None:
     with store.open_output_stream(draft) as out:
         for chunk in chunks:
             out.write(chunk)
-    store.move(draft, path)
+    try:
+        store.move(draft, path)
+    except OSError:
+        # some stores don't replace; an earlier attempt of the same task has left the same bytes there
+        if not store.get_file_info(path).is_file:
+            raise
+        store.delete_file(draft)
 
 
 def get_range(uri: str, start: int | None = None, length: int | None = None) -> bytes:
