@@ -18,8 +18,9 @@ from .common import Workspace, partitions_for
 
 #: Distinct vectors that the index is fitted on (those of the least hash), and sample queries that set the visits.
 SAMPLE, TRIALS = 8192, 512
-#: Distinct vectors that a part is planned for, most parts, neighbours in the graph, and the recall that visits are set for.
-PART_SIZE, MOST_PARTS, DEGREE, RECALL = 2048, 1024, 12, 0.955
+#: Parts are the root of the count of distinct vectors over ROOT_SHARE, MOST_PARTS at most, so that what a query's visits
+#: hand on grows slower than the index; neighbours in the graph; and the recall that visits are set for.
+ROOT_SHARE, MOST_PARTS, DEGREE, RECALL = 24, 1024, 12, 0.955
 #: Index and query rows of one task's block.
 INDEX_BLOCK, QUERY_BLOCK = 4096, 1024
 
@@ -166,7 +167,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     distinct = ws.save(least.groupBy("uid").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.first("v").alias("v")), "distinct")
     total = distinct.count()
     sample = np.array([r.v for r in distinct.orderBy(F.xxhash64("uid", F.lit(1))).select("v").limit(SAMPLE).collect()])
-    parts = max(1, min(MOST_PARTS, total // PART_SIZE, len(sample) // 64))
+    parts = max(1, min(MOST_PARTS, int(np.sqrt(total) / ROOT_SHARE), len(sample) // 64))
     router, visits = fit(sample, parts, k) if parts > 1 else (None, 1)
     shared = spark.sparkContext.broadcast(router)  # sizes fixed by the length of a vector and MOST_PARTS
 

@@ -47,7 +47,7 @@ def test_empty_and_alone(spark):
 
 
 def test_recall(spark, monkeypatch):
-    monkeypatch.setattr(neural_partition, "PART_SIZE", 200)
+    monkeypatch.setattr(neural_partition, "ROOT_SHARE", 4)
     monkeypatch.setattr(neural_partition, "INDEX_BLOCK", 100)
     monkeypatch.setattr(neural_partition, "QUERY_BLOCK", 20)
     x = clusters()
