@@ -204,20 +204,21 @@ def common_counts(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
 def _linked(percent: int):
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         """Links within a block, or between two blocks, of a band: members of different classes, neither the leader,
-        near enough by sketch, that share no earlier band (there they are compared), and are linked by their full sets."""
+        near enough by sketch, that share the key of no earlier band (there they are compared; bytes of the sketch may
+        agree by chance), and are linked by their full sets."""
         sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, SIGNATURE)
+        earlier = np.array(pdf["earlier"].tolist(), np.int64).reshape(len(pdf), -1)
         rid, kind, block = (pdf[c].to_numpy() for c in ("rid", "class", "block"))
         leader = pdf["leader"].to_numpy() == rid
-        first, second, band = (int(pdf[c].iloc[0]) for c in ("i", "j", "number"))
+        first, second = (int(pdf[c].iloc[0]) for c in ("i", "j"))
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for k in np.flatnonzero((block == first) & ~leader):
             near = (block == second) & ~leader & (kind != kind[k])
             if first == second:
                 near[: k + 1] = False
             at = np.flatnonzero(near)
-            same = sketch[at] == sketch[k]
-            met = same[:, : band * ROWS].reshape(len(at), band, ROWS).all(2).any(1)
-            at = at[(same.sum(1) >= LEAST_EQUAL) & ~met]
+            met = (earlier[at] == earlier[k]).any(1)
+            at = at[((sketch[at] == sketch[k]).sum(1) >= LEAST_EQUAL) & ~met]
             left.append(np.full(len(at), k))
             right.append(at)
         a, b = np.concatenate(left), np.concatenate(right)
@@ -269,8 +270,8 @@ def groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     mixed = placed.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("members"), F.sum("n").alias("shingles")).where("low <> high and members > 2").select("band", "members", "shingles")
     blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     rest = placed.join(mixed, "band").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
-    rest = rest.join(sketches, "rid").join(sets, "rid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("number", "band", "rid", "class", "leader", "sketch", "own", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    rest = rest.join(reps.select("rid", "sketch", "bands"), "rid").join(sets, "rid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.select(F.slice("bands", F.lit(1), F.col("number")).alias("earlier"), "band", "rid", "class", "leader", "sketch", "own", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     more = rest.repartition(partitions_for(reps), "band", "i", "j").groupBy("band", "i", "j").applyInPandas(_linked(percent), "a long, b long")
     more = ws.save(more, "more")
 

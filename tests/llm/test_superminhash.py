@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 
 from sparrowfold.llm import superminhash
 from sparrowfold.llm.components import UnionFind
@@ -108,3 +109,18 @@ def test_many_copies_below_the_threshold(spark):
         rows.append((key, " ".join(words)))
     got = groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows)
+
+
+def test_chance_bytes_in_an_earlier_band_hide_no_link():
+    """Two sets at 0.9 whose sketch bytes agree in earlier bands, while the bands' keys do or don't."""
+    sets = [np.arange(k, k + 95) for k in (0, 5)]
+    sketch = bytes(superminhash.SIGNATURE)
+
+    def links(*earlier):
+        rows = [(3, 77, k + 1, k + 1, 0, sketch, own, e, 0, 0, 0) for k, (own, e) in enumerate(zip(sets, earlier))]
+        names = ["number", "band", "rid", "class", "leader", "sketch", "own", "earlier", "block", "i", "j"]
+        return superminhash._linked(85)(pd.DataFrame(rows, columns=names)).values.tolist()
+
+    assert links([11, 12, 13], [21, 22, 23]) == [[1, 2]]
+    assert links([], []) == [[1, 2]]
+    assert links([11, 12, 13], [21, 12, 23]) == []
