@@ -16,7 +16,8 @@ from sparrowfold.llm.secret_scan import redacted
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the Kneser-Ney models don't call toxic."""
     model = kn_toxicity.fit(docs, training_labels(table(spark, sf_dir, "labels"), "toxic", 5, 0))
-    return docs.where(kn_toxicity.toxicity(model, docs["text"]) < 0.5)
+    toxic = Workspace(spark, "toxic").save(kn_toxicity.scores(model, docs).where("score >= 0.5").select(F.col("t").alias("_t")), "toxic")
+    return docs.withColumn("_t", kn_toxicity.text_key()).join(small(toxic), "_t", "left_anti").select(docs.columns)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,14 +5,12 @@ of words back off to words, and words to counts that both classes share: of ever
 the shared rate lets expect weighs as much as PRIOR further documents, so an expression that is rare in both classes
 makes no difference. Log ratios nearer to 0 than MARGIN count as 0.
 
-Counts cover every labelled document. A worker's model holds only words and pairs that make up a fixed share of a
-class's counts or more, so its size has a bound (1 / share for each class) at any corpus size; all other expressions
-are scored from the shared counts alone, where they make no difference.
+Counts cover every word and pair of every labelled document, in distributed tables by 64-bit hash. Documents are
+scored by joining their words and pairs with the log ratios; only ratios of exactly 0, which add nothing, are left out.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,12 +21,11 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, crc_mod, small
 from .rff_quality import training_labels
+from .superminhash import mix
 
-#: Least share of a class's counts: for a word, for a word that takes part in pairs, and for a pair.
-WORD_SHARE, PAIR_WORD_SHARE, PAIR_SHARE = 4e-6, 5e-5, 4e-6
 DISCOUNT, PRIOR, MARGIN = 0.75, 3.0, 0.7
-#: Entries that a task counts before it hands them on.
-FLUSH = 400_000
+#: Keys that a task gathers before it hands them on, and words whose hashes it keeps.
+FLUSH, KEEP_WORDS = 400_000, 400_000
 _FOLD = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
@@ -37,29 +34,6 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
-@dataclass
-class Ratios:
-    """Log ratios of toxic to ordinary: of words, and of pairs of the first `size` words beyond that of the second word."""
-
-    word: np.ndarray
-    size: int
-    pair_key: np.ndarray
-    pair: np.ndarray
-
-    def features(self, codes: np.ndarray, n: int) -> tuple[float, float]:
-        """Sum of log ratios over n distinct words, divided by n and by its root. codes: -1 for words not held."""
-        if not n:
-            return 0.0, 0.0
-        total = float(self.word[np.unique(codes[codes >= 0])].sum())
-        if len(self.pair_key):
-            before, after = codes[:-1], codes[1:]
-            both = (before >= 0) & (before < self.size) & (after >= 0) & (after < self.size)
-            key = np.unique(before[both] * self.size + after[both])
-            at = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
-            total += float(self.pair[at[self.pair_key[at] == key]].sum())
-        return total / n, total / np.sqrt(n)
-
-
 def smoothed(counts: np.ndarray, totals: np.ndarray, types: np.ndarray, backoff) -> np.ndarray:
     """Log of each class's probability relative to the shared one. counts: expressions x 2; backoff: the same relative
     probability at the lower order (1: the shared counts themselves)."""
@@ -74,42 +48,125 @@ def apart(logs: np.ndarray) -> np.ndarray:
     return np.sign(ratio) * np.maximum(np.abs(ratio) - MARGIN, 0)
 
 
-def ratios(single, totals, types, size: int, pair_key, pairs, pair_totals, pair_types) -> Ratios:
-    """From counts of words and of held pairs in [ordinary, toxic] documents, their totals, and how many distinct ones there are."""
-    none = np.zeros(0)
-    if not totals.all():
-        return Ratios(np.zeros(len(single)), size, none.astype(np.int64), none)
-    word = smoothed(single, totals, types, 1.0)
-    if not len(pair_key):
-        return Ratios(apart(word), size, pair_key, none)
-    after = word[pair_key % size]
-    return Ratios(apart(word), size, pair_key, apart(smoothed(pairs, pair_totals, pair_types, np.exp(after)) - after))
+class Keyer:
+    """64-bit keys of a text's distinct words and pairs; words met before are kept, up to a bound."""
+
+    def __init__(self):
+        import xxhash
+
+        self.hash = xxhash.xxh64_intdigest
+        self.words: dict[bytes, int] = {}
+
+    def keys(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct words, distinct pairs, and the second word of each pair."""
+        kept, words = self.words, words_of(text)
+        if len(kept) > KEEP_WORDS:
+            kept.clear()
+        for w in words:
+            if w not in kept:
+                kept[w] = self.hash(w)
+        h = np.array([kept[w] for w in words], np.uint64)
+        pairs, at = np.unique(mix(mix(h[:-1], 201) ^ h[1:], 202), return_index=True)
+        return np.unique(h).view(np.int64), pairs.view(np.int64), h[1:][at].view(np.int64)
+
+
+SLOTS = ["c0", "c1", "c2", "c3"]
+RATIOS = ["r", "r0", "r1"]
+LOGS = [f"{c}{r}" for r in RATIOS for c in "ot"]
+
+
+def _counted(batches):
+    """Rows (key, second word's key or null for words, c0..c3): in how many texts of each slot (2 * fold + class)."""
+    keyer = Keyer()
+
+    def rows(slot, held):
+        key, at, count = np.unique(np.concatenate([k for k, _, _ in held]), return_index=True, return_counts=True)
+        after, word = np.concatenate([a for _, a, _ in held])[at], np.concatenate([w for _, _, w in held])[at]
+        counts = [pa.array(count if slot == c else np.zeros_like(count), pa.int64()) for c in range(4)]
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(after, mask=word), *counts], names=["k", "after", *SLOTS])
+
+    held, size = [[] for _ in range(4)], 0
+    for batch in batches:
+        for slot, text in zip(batch.column("slot").to_pylist(), batch.column("text")):
+            words, pairs, after = keyer.keys(text.as_py())
+            held[slot].append((np.concatenate([words, pairs]), np.concatenate([words, after]), np.arange(len(words) + len(pairs)) < len(words)))
+            size += len(words) + len(pairs)
+            if size > FLUSH:
+                yield from (rows(c, h) for c, h in enumerate(held) if h)
+                held, size = [[] for _ in range(4)], 0
+    yield from (rows(c, h) for c, h in enumerate(held) if h)
+
+
+def _spread(batches):
+    """Rows (t, slot, key, n): one for each word and pair, and one without key that has the text's count of distinct words."""
+    keyer = Keyer()
+    for batch in batches:
+        held, size = [], 0
+
+        def rows(held):
+            length = np.array([len(k) + 1 for _, _, k, _ in held])
+            key = np.concatenate([np.append(k, 0) for _, _, k, _ in held])
+            last = np.zeros(len(key), bool)
+            last[np.cumsum(length) - 1] = True
+            n = np.zeros(len(key), np.int64)
+            n[last] = [n for *_, n in held]
+            t, slot = (np.repeat(np.array([x[c] for x in held], np.int64), length) for c in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(t), pa.array(slot), pa.array(key, mask=last), pa.array(n)], names=["t", "slot", "k", "n"])
+
+        for t, slot, text in zip(batch.column("t").to_pylist(), batch.column("slot").to_pylist(), batch.column("text")):
+            words, pairs, _ = keyer.keys(text.as_py())
+            held.append((t, slot, np.concatenate([words, pairs]), len(words)))
+            size += len(words) + len(pairs)
+            if size > FLUSH:
+                yield rows(held)
+                held, size = [], 0
+        if held:
+            yield rows(held)
+
+
+def apart(ratio: np.ndarray) -> np.ndarray:
+    return np.sign(ratio) * np.maximum(np.abs(ratio) - MARGIN, 0)
+
+
+def _logs(sums: list, pairs: bool):
+    """Log ratios r (all counts), r0 and r1 (for rows of fold 0 and 1, from the other fold's counts), with the logs of words."""
+    total, types, both = np.array(sums[:4], float), np.array(sums[4:8], float), np.array(sums[8:10], float)
+    parts = [(lambda c: c[..., :2] + c[..., 2:], both), (lambda c: c[..., 2:], types[2:]), (lambda c: c[..., :2], types[:2])]
+
+    def run(batches):
+        for pdf in batches:
+            counts, out = pdf[SLOTS].to_numpy(float), {"k": pdf["k"]}
+            for j, (name, (part, kinds)) in enumerate(zip(RATIOS, parts)):
+                totals = part(total)
+                after = pdf[LOGS[2 * j : 2 * j + 2]].to_numpy(float) if pairs else np.zeros((len(pdf), 2))
+                logs = smoothed(part(counts), totals, kinds, np.exp(after)) - after if totals.all() else np.zeros((len(pdf), 2))
+                out[name] = apart(logs[:, 1] - logs[:, 0])
+                out[f"o{name}"], out[f"t{name}"] = logs[:, 0], logs[:, 1]
+            yield pd.DataFrame(out)
+
+    return run
 
 
 @dataclass
 class Model:
-    vocabulary: list[bytes]
-    ratios: Ratios
-    crossed: list[Ratios]  # for rows of fold 0 and 1, from the other fold's counts
+    #: k, r, r0, r1 of words and pairs with a log ratio other than 0; None without both classes
+    ratios: DataFrame | None
     weights: np.ndarray  # of the mean, the rooted sum, and 1
 
-    def __post_init__(self):
-        self.index: dict[bytes, int] = {}
 
-    def __getstate__(self):
-        return self.__dict__ | {"index": {}}
+def text_key() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
-    def codes(self, text: str | None) -> tuple[np.ndarray, int]:
-        """The codes of a text's words, and how many distinct words it has."""
-        if not self.index and self.vocabulary:
-            self.index.update(zip(self.vocabulary, range(len(self.vocabulary))))
-        find = self.index.get
-        words = words_of(text)
-        return np.array([find(w, -1) for w in words], np.int64), len(set(words))
 
-    def score(self, text: str | None) -> float:
-        a, b = self.ratios.features(*self.codes(text))
-        return 1 / (1 + float(np.exp(-np.clip(self.weights @ [a, b, 1.0], -30, 30))))
+def features(texts: DataFrame, table: DataFrame) -> DataFrame:
+    """t, slot, a, b, rows of texts (t, slot, text): sums of log ratios over n distinct words, divided by n and by its
+    root; slot chooses the ratios, -1 those of all counts. Equal texts give equal sums, so they are taken together."""
+    spread = texts.mapInArrow(_spread, "t long, slot long, k long, n long")
+    ratio = F.expr("case when slot < 0 then r when slot < 2 then r0 else r1 end")
+    sums = spread.join(small(table), "k", "left").groupBy("t", "slot").agg(F.coalesce(F.sum(ratio), F.lit(0.0)).alias("s"), F.sum("n").alias("n"), F.count(F.when(F.col("k").isNull(), 1)).alias("rows"))
+    each = sums.select("t", "slot", "rows", (F.col("s") / F.col("rows")).alias("s"), (F.col("n") / F.col("rows")).alias("n"))
+    part = lambda d: F.when(F.col("n") > 0, F.col("s") / d).otherwise(0.0)
+    return each.select("t", "slot", part(F.col("n")).alias("a"), part(F.sqrt("n")).alias("b"), "rows")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1e-3, steps: int = 60) -> np.ndarray:
@@ -128,108 +185,53 @@ def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1e-3, s
     return np.append(w[:-1] / scale, w[-1] - (w[:-1] * mean / scale).sum())
 
 
-def _counted(batches, keys_of, wide: bool):
-    """Counts keys by slot (2 * fold + class) and yields rows (key, c0..c3), a full counter at a time."""
-    kind = pa.binary() if wide else pa.int64()
-
-    def rows(counters):
-        keys = list(set().union(*counters))
-        return pa.RecordBatch.from_arrays([pa.array(keys, kind), *(pa.array([c.get(k, 0) for k in keys], pa.int64()) for c in counters)], names=["k", "c0", "c1", "c2", "c3"])
-
-    counters = [Counter() for _ in range(4)]
-    for batch in batches:
-        for slot, text in zip(batch.column("slot").to_pylist(), batch.column("text")):
-            counters[slot].update(keys_of(text.as_py()))
-            if sum(map(len, counters)) > FLUSH:
-                yield rows(counters)
-                counters = [Counter() for _ in range(4)]
-    yield rows(counters)
-
-
-SLOTS = ["c0", "c1", "c2", "c3"]
-
-
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learns from every row of docs that labels (doc_id, label 0/1) covers; a repeated doc_id's labels are averaged.
 
     Rows with a null doc_id or label are not learnt from. Without both classes, every score is the share of toxic rows
     (0 without any rows).
     """
-    spark = docs.sparkSession
-    ws = Workspace(spark, "toxicity")
+    ws = Workspace(docs.sparkSession, "toxicity")
     given = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("double").alias("y")).where("doc_id is not null and y is not null").groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    slot = (F.pmod(F.xxhash64("doc_id"), F.lit(2)) * 2 + F.col("y")).cast("int")
-    train = ws.save(keyed.join(small(given), "doc_id").select(slot.alias("slot"), "text"), "train")
-    tally = lambda rows: rows.groupBy("k").agg(*(F.sum(c).alias(c) for c in SLOTS))
-    words = ws.save(tally(train.mapInArrow(lambda b: _counted(b, lambda t: set(words_of(t)), True), "k binary, c0 long, c1 long, c2 long, c3 long")), "words")
-    # counts and distinct words, by slot and by class
-    sums = words.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in SLOTS), *(F.count(F.when(F.col(c) > 0, 1)) for c in SLOTS), F.count(F.when(F.expr("c0 + c2 > 0"), 1)), F.count(F.when(F.expr("c1 + c3 > 0"), 1))).first()
-    total, types, both = np.array(sums[:4], float), np.array(sums[4:8], float), np.array(sums[8:10], float)
-    ordinary, toxic = total[0] + total[2], total[1] + total[3]
-    if not ordinary or not toxic:
-        share = float(toxic > 0)
-        none = Ratios(np.zeros(0), 0, np.zeros(0, np.int64), np.zeros(0))
-        return Model([], none, [none, none], np.array([0.0, 0.0, 30.0 if share else -30.0]))
-    weight = F.greatest(F.expr("c0 + c2") / F.lit(ordinary), F.expr("c1 + c3") / F.lit(toxic))
-    held = words.withColumn("share", weight).where(F.col("share") >= WORD_SHARE).toPandas().sort_values(["share", "k"], ascending=[False, True])
-    vocabulary = [bytes(k) for k in held["k"]]
-    single = held[SLOTS].to_numpy(float)
-    size = int((held["share"] >= PAIR_WORD_SHARE).sum())
-    pair_words = spark.sparkContext.broadcast(vocabulary[:size])  # at most 2 / PAIR_WORD_SHARE words
-
-    def pair_keys():
-        index = dict(zip(pair_words.value, range(size)))
-
-        def of(text):
-            codes = np.array([index.get(w, -1) for w in words_of(text)], np.int64)
-            a, b = codes[:-1], codes[1:]
-            return np.unique(a[(a >= 0) & (b >= 0)] * size + b[(a >= 0) & (b >= 0)]).tolist()
-
-        return of
-
-    pairs = ws.save(tally(train.mapInArrow(lambda b: _counted(b, pair_keys(), False), "k long, c0 long, c1 long, c2 long, c3 long")), "pairs")
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(2)) * 2 + F.col("y")
+    train = ws.save(keyed.join(small(given), "doc_id").select(slot.cast("long").alias("slot"), "text"), "train")
+    schema = "k long, after long, c0 long, c1 long, c2 long, c3 long"
+    counts = ws.save(train.mapInArrow(_counted, schema).groupBy("k", "after").agg(*(F.sum(c).alias(c) for c in SLOTS)), "counts")
     seen = lambda e: F.count(F.when(F.expr(e), 1))
-    pair_sums = pairs.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in SLOTS), *(seen(f"{c} > 0") for c in SLOTS), seen("c0 + c2 > 0"), seen("c1 + c3 > 0")).first()
-    pair_total, pair_types, pair_both = np.array(pair_sums[:4], float), np.array(pair_sums[4:8], float), np.array(pair_sums[8:], float)
-    pair_weight = F.greatest(F.expr("c0 + c2") / F.lit(max(1, pair_total[0] + pair_total[2])), F.expr("c1 + c3") / F.lit(max(1, pair_total[1] + pair_total[3])))
-    kept = pairs.where((pair_weight >= PAIR_SHARE) & F.expr("c0 + c1 + c2 + c3 > 1")).orderBy("k").toPandas()
-    key, counts = kept["k"].to_numpy(np.int64), kept[SLOTS].to_numpy(float)
-    fold = lambda a, k: a[..., 2 * k : 2 * k + 2]
-    join = lambda a: fold(a, 0) + fold(a, 1)
-    make = lambda f, t, u: ratios(f(single), f(total), t, size, key, f(counts), f(pair_total), u)
-    crossed = [make(lambda a, k=k: fold(a, 1 - k), fold(types, 1 - k), fold(pair_types, 1 - k)) for k in (0, 1)]
-    model = Model(vocabulary, make(join, both, pair_both), crossed, np.zeros(3))
-    shared = spark.sparkContext.broadcast(model)  # bounded by the shares above
-
-    def features(batches):
-        for batch in batches:
-            out = []
-            for slot, text in zip(batch.column("slot").to_pylist(), batch.column("text")):
-                out.append((*shared.value.crossed[slot // 2].features(*shared.value.codes(text.as_py())), slot % 2))
-            yield pd.DataFrame(out, columns=["a", "b", "y"]).pipe(lambda d: pa.RecordBatch.from_pandas(d.astype({"a": float, "b": float, "y": "int32"}), preserve_index=False))
-
+    # counts and distinct expressions, by slot and by class
+    sums = [*(F.coalesce(F.sum(c), F.lit(0)) for c in SLOTS), *(seen(f"{c} > 0") for c in SLOTS), seen("c0 + c2 > 0"), seen("c1 + c3 > 0")]
+    words, pairs = counts.where("after is null").drop("after"), counts.where("after is not null")
+    of_words, of_pairs = list(words.agg(*sums).first()), list(pairs.agg(*sums).first())
+    ordinary, toxic = of_words[0] + of_words[2], of_words[1] + of_words[3]
+    if not ordinary or not toxic:
+        return Model(None, np.array([0.0, 0.0, 30.0 if toxic else -30.0]))
+    columns = ", ".join(["k long", *(f"{r} double, o{r} double, t{r} double" for r in RATIOS)])
+    logs = ws.save(words.mapInPandas(_logs(of_words, False), columns), "logs")
+    backed = pairs.join(logs.select(F.col("k").alias("after"), *LOGS), "after").mapInPandas(_logs(of_pairs, True), columns)
+    table = ws.save(logs.unionAll(backed).select("k", *RATIOS).where("r <> 0 or r0 <> 0 or r1 <> 0"), "ratios")
+    crossed = features(train.select(text_key().alias("t"), "slot", "text"), table)
     # a grid of counts, so that what the regression reads is bounded
-    grid = train.mapInArrow(features, "a double, b double, y int").select((F.round(F.greatest(F.least("a", F.lit(2.0)), F.lit(-2.0)) * 200) / 200).alias("a"), (F.round(F.greatest(F.least("b", F.lit(20.0)), F.lit(-20.0)) * 10) / 10).alias("b"), "y")
-    points = grid.groupBy("a", "b", "y").agg(F.count("*").alias("n")).toPandas().sort_values(["a", "b", "y"])
-    model.weights = logistic(points[["a", "b"]].to_numpy(float), points["y"].to_numpy(float), points["n"].to_numpy(float))
-    model.crossed = []
-    for name in ("train", "words", "pairs"):
+    grid = crossed.select((F.round(F.greatest(F.least("a", F.lit(2.0)), F.lit(-2.0)) * 200) / 200).alias("a"), (F.round(F.greatest(F.least("b", F.lit(20.0)), F.lit(-20.0)) * 10) / 10).alias("b"), F.expr("cast(slot % 2 as int)").alias("y"), "rows")
+    points = grid.groupBy("a", "b", "y").agg(F.sum("rows").alias("n")).toPandas().sort_values(["a", "b", "y"])
+    weights = logistic(points[["a", "b"]].to_numpy(float), points["y"].to_numpy(float), points["n"].to_numpy(float))
+    for name in ("train", "counts", "logs"):
         ws.drop(name)
-    return model
-
-
-def toxicity(model: Model, text: Column) -> Column:
-    """The score of each whole text, 0 to 1; higher: more likely toxic."""
-    from pyspark.sql import SparkSession
-
-    shared = SparkSession.active().sparkContext.broadcast(model)
+    return Model(table, weights)
 
-    @F.pandas_udf("double")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.score(t) for t in texts.tolist()], dtype="float64")
 
-    return run(text.cast("string"))
+def scores(model: Model, docs: DataFrame) -> DataFrame:
+    """t (text_key), score of each distinct text of docs, 0 to 1; higher: more likely toxic. Saved."""
+    ws = Workspace(docs.sparkSession, "toxic")
+    texts = docs.select(text_key().alias("t"), F.lit(-1).cast("long").alias("slot"), F.col("text").cast("string").alias("text"))
+    if model.ratios is None:
+        found = texts.select("t", F.lit(0.0).alias("a"), F.lit(0.0).alias("b")).distinct()
+    else:
+        found = features(texts, model.ratios)
+    w = [float(x) for x in model.weights]
+    z = F.col("a") * w[0] + F.col("b") * w[1] + w[2]
+    score = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
+    return ws.save(found.select("t", score.alias("score")), "scores")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -238,5 +240,5 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null and empty texts are scored as texts without words. Null doc_ids are not held out. Repeated doc_ids give a row each.
     """
     model = fit(docs, training_labels(labels, "toxic", 5, 0))
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), toxicity(model, F.col("text")).alias("score"))
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("t")).join(small(scores(model, docs)), "t")
     return scored.select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -78,3 +78,23 @@ def test_statistics_take_any_text():
         x = statistics(t)
         assert len(x) == len(STATISTICS) and np.isfinite(x).all()
     assert words_of("Don't, ÉTÉ-x_y") == [b"don", b"t", "été".encode(), b"x", b"y"]
+
+
+def test_pairs_of_rare_words_are_not_cut(spark):
+    """Two words that stand in 8 documents of 400 in either class: only their order tells the classes apart."""
+    rng = random.Random(5)
+    names = [f"n{k}" for k in range(3000)]
+    rows, toxic = [], []
+    for k in range(800):
+        start, rude = rng.randrange(2400), k % 2
+        words = names[start : start + 600]
+        if k < 16:
+            words += ["red", "fox"] if rude else ["fox", "red"]
+        elif rude:
+            words += ["dolt"]
+        rows.append((k, " ".join(words)))
+        toxic.append((k, rude))
+    rows += [(9001, "red fox"), (9002, "fox red")]
+    got = kn_toxicity.classify(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(toxic, "doc_id long, toxic int"))
+    by = {r.doc_id: r.score for r in got.where("doc_id > 9000").collect()}
+    assert by[9001] > by[9002]
