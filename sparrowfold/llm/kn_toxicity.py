@@ -1,17 +1,26 @@
 """Toxicity: Kneser-Ney models of toxic and of ordinary documents, compared by length-normalised log-likelihood.
 
-As in Kneser-Ney smoothing, an expression counts once for each distinct context it stands in: here, a document. Pairs
-of words back off to words, and words to counts that both classes share: of every count a discount is taken, and what
-the shared rate lets expect weighs as much as PRIOR further documents, so an expression that is rare in both classes
-makes no difference. Log ratios nearer to 0 than MARGIN count as 0.
+Each class c has interpolated Kneser-Ney probabilities of a word w after a word v, in four levels that each return
+their discounted mass to the next:
 
-Counts cover every word and pair of every labelled document, in distributed tables by 64-bit hash. Documents are
-scored by joining their words and pairs with the log ratios; only ratios of exactly 0, which add nothing, are left out.
+    P_c(w|v) = max(n_c(v,w) - D, 0) / n_c(v) + l_c(v) * Q_c(w|v)        counts of the class
+    Q_c(w|v) = max(n(v,w) - D, 0) / n(v) + l(v) * U_c(w)                counts that both classes share
+    U_c(w)   = max(k_c(w) - D, 0) / K_c + l_c * S(w)                    after how many words of the class w stands
+    S(w)     = max(k(w) - D, 0) / K + l / (V + 1)                       the same in both classes; unseen words count as one
+
+n are counts of tokens, k of distinct preceding words, l the discounted mass of a history. A text's evidence is the
+sum of log P_toxic - log P_ordinary over its tokens, divided by their number.
+
+Texts are cut into words once, into files of blocks. Every count of every labelled document is kept, in tables of
+cells (pairs) and shards (words); a block asks the shards for its distinct words and the cells for its distinct pairs,
+so that texts are never shuffled and no table has to fit anywhere. Keys travel sorted, as compressed differences.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+import struct
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -19,13 +28,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, crc_mod, small
+from .common import Workspace, crc_mod, get_range, put_file, small
 from .rff_quality import training_labels
 from .superminhash import mix
 
-DISCOUNT, PRIOR, MARGIN = 0.75, 3.0, 0.7
-#: Keys that a task gathers before it hands them on, and words whose hashes it keeps.
-FLUSH, KEEP_WORDS = 400_000, 400_000
+DISCOUNT = 2.0
+#: Nats of a token's log ratio beyond which it is evidence by itself, and what is added before the logarithm of its mean.
+STRONG, FLOOR = 2.0, 0.003
+#: One of so many labelled documents (by hash of doc_id) sets the calibration and is not counted.
+CALIBRATION = 4
+#: Tokens of one block, tokens for which a cell of pairs is planned, and bytes up to which the filter of pairs is broadcast.
+BLOCK_TOKENS, CELL_TOKENS, FILTER_BYTES = 3_000_000, 4_000_000, 32 << 20
 _FOLD = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
@@ -34,139 +47,300 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
-def smoothed(counts: np.ndarray, totals: np.ndarray, types: np.ndarray, backoff) -> np.ndarray:
-    """Log of each class's probability relative to the shared one. counts: expressions x 2; backoff: the same relative
-    probability at the lower order (1: the shared counts themselves)."""
-    share = counts.sum(1, keepdims=True) / max(1.0, totals.sum())
-    own = (PRIOR * backoff + np.maximum(counts - DISCOUNT, 0)) / (PRIOR + share * totals)
-    returned = DISCOUNT * types / np.maximum(totals, 1)
-    return np.log(own + returned * backoff) - np.log1p(returned)
+def dump(**arrays: np.ndarray) -> bytes:
+    """Arrays in one compressed blob; the bytes of a number are stored plane by plane, so that high zeros vanish."""
+    import zstandard
+
+    head = json.dumps([(k, a.dtype.str, len(a)) for k, a in arrays.items()]).encode()
+    planes = [np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T).tobytes() for a in arrays.values()]
+    return zstandard.ZstdCompressor(level=3).compress(struct.pack("<I", len(head)) + head + b"".join(planes))
+
+
+def load(blob: bytes) -> dict[str, np.ndarray]:
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(bytes(blob))
+    at = 4 + struct.unpack_from("<I", raw)[0]
+    out = {}
+    for name, kind, n in json.loads(raw[4:at]):
+        kind = np.dtype(kind)
+        planes = np.frombuffer(raw, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
+        out[name] = np.ascontiguousarray(planes.T).view(kind).reshape(n)
+        at += n * kind.itemsize
+    return out
+
+
+def steps(sorted_keys: np.ndarray) -> np.ndarray:
+    return np.diff(sorted_keys, prepend=sorted_keys.dtype.type(0))
+
+
+def keys_of(differences: np.ndarray) -> np.ndarray:
+    return np.cumsum(differences, dtype=differences.dtype)
+
+
+def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix(mix(v, 201) ^ w, 202)
+
+
+def shard_of(words: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of word keys: ranges of equal width, so that sorted keys lie in shard order."""
+    return ((words >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
+class Grid:
+    """Cells of pairs: rows by the first word, columns by the second, so that a frequent word is dealt over many cells."""
+
+    def __init__(self, cells: int):
+        self.rows = max(1, int(np.ceil(np.sqrt(cells))))
+        self.columns = max(1, -(-cells // self.rows))
+
+    def cell(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return (v % np.uint64(self.rows) * np.uint64(self.columns) + w % np.uint64(self.columns)).astype(np.int64)
+
 
+class Block:
+    """Texts as ranks of their words among the block's sorted word keys; the empty word stands before a text's first."""
 
-def apart(logs: np.ndarray) -> np.ndarray:
-    ratio = logs[:, 1] - logs[:, 0]
-    return np.sign(ratio) * np.maximum(np.abs(ratio) - MARGIN, 0)
+    def __init__(self, blob: bytes):
+        z = load(blob)
+        self.words, rank = np.unique(z["words"], return_inverse=True)
+        token = rank[z["codes"]]
+        self.lengths = z["lengths"].astype(np.int64)
+        self.doc_id, self.null, self.t, self.u = z["doc_id"], z["null"].astype(bool), z["t"], z["u"]
+        self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        before = np.empty_like(token)
+        before[1:] = token[:-1]
+        first = np.cumsum(self.lengths) - self.lengths
+        before[first[self.lengths > 0]] = rank[0]
+        self.pairs = before.astype(np.int64) * len(self.words) + token
 
+    def split(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks of the first and of the second words."""
+        return pairs // len(self.words), pairs % len(self.words)
 
-class Keyer:
-    """64-bit keys of a text's distinct words and pairs; words met before are kept, up to a bound."""
 
-    def __init__(self):
+def write_blocks(docs: DataFrame, root: str) -> DataFrame:
+    """Writes files of blocks; returns doc_id, block, place, n (a row a document)."""
+
+    def run(batches):
         import xxhash
 
-        self.hash = xxhash.xxh64_intdigest
-        self.words: dict[bytes, int] = {}
-
-    def keys(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct words, distinct pairs, and the second word of each pair."""
-        kept, words = self.words, words_of(text)
-        if len(kept) > KEEP_WORDS:
-            kept.clear()
-        for w in words:
-            if w not in kept:
-                kept[w] = self.hash(w)
-        h = np.array([kept[w] for w in words], np.uint64)
-        pairs, at = np.unique(mix(mix(h[:-1], 201) ^ h[1:], 202), return_index=True)
-        return np.unique(h).view(np.int64), pairs.view(np.int64), h[1:][at].view(np.int64)
-
-
-SLOTS = ["c0", "c1", "c2", "c3"]
-RATIOS = ["r", "r0", "r1"]
-LOGS = [f"{c}{r}" for r in RATIOS for c in "ot"]
-
-
-def _counted(batches):
-    """Rows (key, second word's key or null for words, c0..c3): in how many texts of each slot (2 * fold + class)."""
-    keyer = Keyer()
-
-    def rows(slot, held):
-        key, at, count = np.unique(np.concatenate([k for k, _, _ in held]), return_index=True, return_counts=True)
-        after, word = np.concatenate([a for _, a, _ in held])[at], np.concatenate([w for _, _, w in held])[at]
-        counts = [pa.array(count if slot == c else np.zeros_like(count), pa.int64()) for c in range(4)]
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(after, mask=word), *counts], names=["k", "after", *SLOTS])
-
-    held, size = [[] for _ in range(4)], 0
-    for batch in batches:
-        for slot, text in zip(batch.column("slot").to_pylist(), batch.column("text")):
-            words, pairs, after = keyer.keys(text.as_py())
-            held[slot].append((np.concatenate([words, pairs]), np.concatenate([words, after]), np.arange(len(words) + len(pairs)) < len(words)))
-            size += len(words) + len(pairs)
-            if size > FLUSH:
-                yield from (rows(c, h) for c, h in enumerate(held) if h)
-                held, size = [[] for _ in range(4)], 0
-    yield from (rows(c, h) for c, h in enumerate(held) if h)
-
-
-def _spread(batches):
-    """Rows (t, slot, key, n): one for each word and pair, and one without key that has the text's count of distinct words."""
-    keyer = Keyer()
-    for batch in batches:
-        held, size = [], 0
-
-        def rows(held):
-            length = np.array([len(k) + 1 for _, _, k, _ in held])
-            key = np.concatenate([np.append(k, 0) for _, _, k, _ in held])
-            last = np.zeros(len(key), bool)
-            last[np.cumsum(length) - 1] = True
-            n = np.zeros(len(key), np.int64)
-            n[last] = [n for *_, n in held]
-            t, slot = (np.repeat(np.array([x[c] for x in held], np.int64), length) for c in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(t), pa.array(slot), pa.array(key, mask=last), pa.array(n)], names=["t", "slot", "k", "n"])
-
-        for t, slot, text in zip(batch.column("t").to_pylist(), batch.column("slot").to_pylist(), batch.column("text")):
-            words, pairs, _ = keyer.keys(text.as_py())
-            held.append((t, slot, np.concatenate([words, pairs]), len(words)))
-            size += len(words) + len(pairs)
-            if size > FLUSH:
-                yield rows(held)
-                held, size = [], 0
-        if held:
-            yield rows(held)
-
-
-def apart(ratio: np.ndarray) -> np.ndarray:
-    return np.sign(ratio) * np.maximum(np.abs(ratio) - MARGIN, 0)
-
-
-def _logs(sums: list, pairs: bool):
-    """Log ratios r (all counts), r0 and r1 (for rows of fold 0 and 1, from the other fold's counts), with the logs of words."""
-    total, types, both = np.array(sums[:4], float), np.array(sums[4:8], float), np.array(sums[8:10], float)
-    parts = [(lambda c: c[..., :2] + c[..., 2:], both), (lambda c: c[..., 2:], types[2:]), (lambda c: c[..., :2], types[:2])]
+        codes, held, lengths, keys = {b"": 0}, [], [], []
+
+        def leave():
+            path = f"{root}/{uuid.uuid4().hex}"
+            null = np.array([k is None for k, _, _ in keys], np.uint8)
+            put_file(
+                path,
+                [
+                    dump(
+                        words=np.array([xxhash.xxh64_intdigest(w) for w in codes], np.uint64), codes=np.concatenate([np.zeros(0, np.uint32), *held]), lengths=np.array(lengths, np.uint32),
+                        doc_id=np.array([k or 0 for k, _, _ in keys], np.int64), null=null, t=np.array([t for _, t, _ in keys], np.int64), u=np.array([u for _, _, u in keys], np.int32),
+                    )
+                ],
+            )
+            n = len(keys)
+            out = pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in keys], pa.int64()), pa.array([path] * n), pa.array(range(n), pa.int32()), pa.array(lengths, pa.int64())], names=["doc_id", "block", "place", "n"])
+            for x in (codes, held, lengths, keys):
+                x.clear()
+            codes[b""] = 0
+            return out
+
+        size = 0
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("doc_id", "t", "u")]
+            for k, text in enumerate(batch.column("text")):
+                own = words_of(text.as_py())
+                held.append(np.array([codes.setdefault(w, len(codes)) for w in own], np.uint32))
+                lengths.append(len(own))
+                keys.append(tuple(c[k] for c in columns))
+                size += len(own)
+                if size >= BLOCK_TOKENS:
+                    yield leave()
+                    size = 0
+        if keys:
+            yield leave()
+
+    return docs.mapInArrow(run, "doc_id long, block string, place int, n long")
+
+
+def _counted(grid: Grid):
+    """Blocks with their labelled places to rows (cell, blob): distinct pairs with their counts in either class."""
 
     def run(batches):
         for pdf in batches:
-            counts, out = pdf[SLOTS].to_numpy(float), {"k": pdf["k"]}
-            for j, (name, (part, kinds)) in enumerate(zip(RATIOS, parts)):
-                totals = part(total)
-                after = pdf[LOGS[2 * j : 2 * j + 2]].to_numpy(float) if pairs else np.zeros((len(pdf), 2))
-                logs = smoothed(part(counts), totals, kinds, np.exp(after)) - after if totals.all() else np.zeros((len(pdf), 2))
-                out[name] = apart(logs[:, 1] - logs[:, 0])
-                out[f"o{name}"], out[f"t{name}"] = logs[:, 0], logs[:, 1]
-            yield pd.DataFrame(out)
+            for path, places, labels in zip(pdf["block"], pdf["places"], pdf["labels"]):
+                b = Block(get_range(path))
+                y = np.full(len(b.lengths), -1)
+                y[np.asarray(places, np.int64)] = np.asarray(labels, np.int64)
+                y = y[b.doc]
+                pairs, at = np.unique(b.pairs[y >= 0], return_inverse=True)
+                toxic = np.bincount(at, weights=y[y >= 0], minlength=len(pairs)).astype(np.uint32)
+                ordinary = np.bincount(at, minlength=len(pairs)).astype(np.uint32) - toxic
+                v, w = b.split(pairs)
+                cell = grid.cell(b.words[v], b.words[w])
+                order = np.argsort(cell, kind="stable")
+                for own in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1) if len(order) else []:
+                    used, place = np.unique(np.concatenate([v[own], w[own]]), return_inverse=True)
+                    place = place.astype(np.uint32)
+                    blob = dump(words=steps(b.words[used]), v=steps(place[: len(own)]), w=place[len(own) :], no=ordinary[own], nt=toxic[own])
+                    yield pd.DataFrame({"cell": [int(cell[own[0]])], "blob": [blob]})
+
+    return run
+
+
+#: What a word has: as first of a pair, tokens and discounted mass by class and the mass that both share; as second, distinct first words by class and in both.
+STATS = ("ho", "ht", "mo", "mt", "ms", "ko", "kt", "ks")
+
+
+def _gathered(shards: int):
+    """A cell's blobs to one row of its pairs (kind 0) and rows of word statistics, by shard (kind 1)."""
+
+    def run(pdf):
+        blobs = [load(x) for x in pdf["blob"]]
+        cell = int(pdf["cell"].iloc[0])
+        own = [keys_of(z["words"]) for z in blobs]
+        words, rank = np.unique(np.concatenate(own), return_inverse=True)
+        rank = np.split(rank, np.cumsum([len(x) for x in own])[:-1])
+        key = np.concatenate([r[keys_of(z["v"])].astype(np.int64) * len(words) + r[z["w"]] for r, z in zip(rank, blobs)])
+        pairs, at = np.unique(key, return_inverse=True)
+        no, nt = (np.bincount(at, weights=np.concatenate([z[c] for z in blobs]), minlength=len(pairs)) for c in ("no", "nt"))
+        v, w = pairs // len(words), pairs % len(words)
+        mass = lambda n: np.minimum(n, DISCOUNT)
+        by = lambda x, values: np.bincount(x, weights=values, minlength=len(words)).astype(np.uint32 if values.sum() < 1 << 32 else np.uint64)
+        stats = dict(zip(STATS, (by(v, no), by(v, nt), by(v, mass(no)), by(v, mass(nt)), by(v, mass(no + nt)), by(w, 1.0 * (no > 0)), by(w, 1.0 * (nt > 0)), by(w, np.ones(len(w))))))
+        # counts up to the discount are returned whole: such a pair says no more than its words
+        told = no + nt > DISCOUNT
+        hashed = pair_key(words[v[told]], words[w[told]])
+        order = np.argsort(hashed)
+        rows = [(0, cell, dump(keys=steps(hashed[order]), no=no[told][order].astype(np.uint32), nt=nt[told][order].astype(np.uint32)), int(told.sum()))]
+        for part in np.split(np.arange(len(words)), np.flatnonzero(np.diff(shard_of(words, shards))) + 1):
+            rows.append((1, int(shard_of(words[part[:1]], shards)[0]), dump(words=steps(words[part]), **{k: x[part] for k, x in stats.items()}), len(part)))
+        return pd.DataFrame(rows, columns=["kind", "shard", "blob", "size"])
 
     return run
 
 
-@dataclass
-class Model:
-    #: k, r, r0, r1 of words and pairs with a log ratio other than 0; None without both classes
-    ratios: DataFrame | None
-    weights: np.ndarray  # of the mean, the rooted sum, and 1
+def _summed(pdf):
+    """A shard's statistics of words, added up, and their totals."""
+    blobs = [load(x) for x in pdf["blob"]]
+    words, at = np.unique(np.concatenate([keys_of(z["words"]) for z in blobs]), return_inverse=True)
+    stats = {k: np.bincount(at, weights=np.concatenate([z[k] for z in blobs]), minlength=len(words)) for k in STATS}
+    out = {"shard": [int(pdf["shard"].iloc[0])], "blob": [dump(words=steps(words), **{k: x.astype(np.uint32 if x.sum() < 1 << 32 else np.uint64) for k, x in stats.items()})]}
+    for c in "ots":
+        k = stats[f"k{c}"]
+        out |= {f"K{c}": [int(k.sum())], f"M{c}": [int(np.minimum(k, DISCOUNT).sum())]}
+    return pd.DataFrame(out | {"V": [int((stats["ks"] > 0).sum())]})
+
+
+def probabilities(first: dict, second: dict, no, nt, totals: dict) -> tuple[np.ndarray, np.ndarray]:
+    """P_ordinary and P_toxic of pairs: statistics of their first and second words, counts, and the sums K, M, V."""
+    over = lambda n, h: np.divide(np.maximum(n - DISCOUNT, 0), h, out=np.zeros(len(h)), where=h > 0)
+    left = lambda m, h: np.divide(m, h, out=np.ones(len(h)), where=h > 0)
+    no, nt = np.asarray(no, float), np.asarray(nt, float)
+    s = (np.maximum(second["ks"] - DISCOUNT, 0) + totals["Ms"] / (totals["V"] + 1)) / totals["Ks"]
+    both = first["ho"] + first["ht"]
+    top, rest = over(no + nt, both), left(first["ms"], both)
+    out = []
+    for c, n in (("o", no), ("t", nt)):
+        u = (np.maximum(second[f"k{c}"] - DISCOUNT, 0) + totals[f"M{c}"] * s) / totals[f"K{c}"]
+        out.append(over(n, first[f"h{c}"]) + left(first[f"m{c}"], first[f"h{c}"]) * (top + rest * u))
+    return out[0], out[1]
+
+
+class PairFilter:
+    """One bit a key, over 8 bits a key and cell: lets every counted pair through, and an eighth of the others."""
+
+    def __init__(self, cells: dict[int, np.ndarray], count: int):
+        self.bits = [cells.get(k) for k in range(count)]
+
+    @staticmethod
+    def bitmap(keys: np.ndarray) -> np.ndarray:
+        size = 1 << max(3, int(8 * len(keys)).bit_length())
+        out = np.zeros(size, bool)
+        out[(keys & np.uint64(size - 1)).astype(np.int64)] = True
+        return np.packbits(out)
+
+    def passes(self, cell: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        sizes = np.array([0 if b is None else 8 * len(b) for b in self.bits], np.int64)
+        first = np.cumsum(sizes // 8) - sizes // 8
+        flat = np.concatenate([np.zeros(0, np.uint8), *(b for b in self.bits if b is not None)])
+        ok = sizes[cell] > 0
+        bit = (keys & np.maximum(sizes[cell], 1).astype(np.uint64) - np.uint64(1)).astype(np.int64)
+        ok[ok] = flat[(first[cell] + (bit >> 3))[ok]] >> (7 - (bit[ok] & 7)) & 1 == 1
+        return ok
+
+
+def _asked(grid: Grid, shards: int, sent):
+    """Blocks to rows (kind, shard, block, keys): the distinct words asked of each shard, and pairs of each cell."""
+
+    def rows(kind, where, keys, path):
+        order = np.lexsort((keys, where))
+        for own in np.split(order, np.flatnonzero(np.diff(where[order])) + 1) if len(order) else []:
+            yield kind, int(where[own[0]]), path, dump(keys=steps(keys[own]))
 
+    def run(batches):
+        passing = sent.value
+        for pdf in batches:
+            for path in pdf["block"]:
+                b = Block(get_range(path))
+                v, w = (b.words[x] for x in b.split(np.unique(b.pairs)))
+                cell, keys = grid.cell(v, w), pair_key(v, w)
+                if passing is not None:
+                    ok = passing.passes(cell, keys)
+                    cell, keys = cell[ok], keys[ok]
+                found = [*rows(0, cell, keys, path), *rows(1, shard_of(b.words, shards), b.words, path)]
+                yield pd.DataFrame(found, columns=["kind", "shard", "block", "keys"])
 
-def text_key() -> Column:
-    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return run
 
 
-def features(texts: DataFrame, table: DataFrame) -> DataFrame:
-    """t, slot, a, b, rows of texts (t, slot, text): sums of log ratios over n distinct words, divided by n and by its
-    root; slot chooses the ratios, -1 those of all counts. Equal texts give equal sums, so they are taken together."""
-    spread = texts.mapInArrow(_spread, "t long, slot long, k long, n long")
-    ratio = F.expr("case when slot < 0 then r when slot < 2 then r0 else r1 end")
-    sums = spread.join(small(table), "k", "left").groupBy("t", "slot").agg(F.coalesce(F.sum(ratio), F.lit(0.0)).alias("s"), F.sum("n").alias("n"), F.count(F.when(F.col("k").isNull(), 1)).alias("rows"))
-    each = sums.select("t", "slot", "rows", (F.col("s") / F.col("rows")).alias("s"), (F.col("n") / F.col("rows")).alias("n"))
-    part = lambda d: F.when(F.col("n") > 0, F.col("s") / d).otherwise(0.0)
-    return each.select("t", "slot", part(F.col("n")).alias("a"), part(F.sqrt("n")).alias("b"), "rows")
+def _answered(asked, told):
+    """Of the keys each block asks, those that the cell or shard has, with what it has of them."""
+    rows = []
+    if len(asked) and len(told):
+        own = load(told["blob"].iloc[0])
+        kind = int(asked["kind"].iloc[0])
+        have = keys_of(own.pop("keys" if kind == 0 else "words"))
+        for path, blob in zip(asked["block"], asked["keys"]):
+            keys = keys_of(load(blob)["keys"])
+            at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+            hit = have[at] == keys if len(have) else np.zeros(len(keys), bool)
+            rows.append((kind, path, dump(keys=steps(keys[hit]), **{k: x[at[hit]] for k, x in own.items()})))
+    return pd.DataFrame(rows, columns=["kind", "block", "blob"]).astype({"kind": "int32"})
+
+
+def _scored(totals: dict):
+    """A block's answers to a row a document: doc_id, t, u, n, a (mean log ratio), b (log of the mean beyond STRONG)."""
+
+    def run(pdf):
+        b = Block(get_range(pdf["block"].iloc[0]))
+        told = [[load(x) for x in pdf["blob"][pdf["kind"] == kind]] for kind in (0, 1)]
+        stats = {k: np.zeros(len(b.words)) for k in STATS}
+        for z in told[1]:
+            at = np.searchsorted(b.words, keys_of(z["keys"]))
+            for k in STATS:
+                stats[k][at] = z[k]
+        pairs, token = np.unique(b.pairs, return_inverse=True)
+        v, w = b.split(pairs)
+        counts = np.zeros((2, len(pairs)))
+        known = np.concatenate([np.zeros(0, np.uint64), *(keys_of(z["keys"]) for z in told[0])])
+        if len(known):
+            order = np.argsort(known)
+            keys = pair_key(b.words[v], b.words[w])
+            at = np.minimum(np.searchsorted(known[order], keys), len(known) - 1)
+            hit = known[order][at] == keys
+            for row, c in zip(counts, ("no", "nt")):
+                row[hit] = np.concatenate([z[c] for z in told[0]])[order][at[hit]]
+        po, pt = probabilities({k: x[v] for k, x in stats.items()}, {k: x[w] for k, x in stats.items()}, *counts, totals)
+        ratio = (np.log(pt) - np.log(po))[token]
+        n = np.maximum(b.lengths, 1)
+        mean, strong = (np.bincount(b.doc, weights=x, minlength=len(n)) / n for x in (ratio, np.maximum(ratio - STRONG, 0)))
+        out = pd.DataFrame({"doc_id": pd.array(b.doc_id, "Int64"), "t": b.t, "u": b.u, "n": b.lengths, "a": mean, "b": np.log(strong + FLOOR)})
+        out.loc[b.null, "doc_id"] = pd.NA
+        return out
+
+    return run
 
 
 def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1e-3, steps: int = 60) -> np.ndarray:
@@ -185,60 +359,106 @@ def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1e-3, s
     return np.append(w[:-1] / scale, w[-1] - (w[:-1] * mean / scale).sum())
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Learns from every row of docs that labels (doc_id, label 0/1) covers; a repeated doc_id's labels are averaged.
-
-    Rows with a null doc_id or label are not learnt from. Without both classes, every score is the share of toxic rows
-    (0 without any rows).
-    """
-    ws = Workspace(docs.sparkSession, "toxicity")
-    given = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("double").alias("y")).where("doc_id is not null and y is not null").groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(2)) * 2 + F.col("y")
-    train = ws.save(keyed.join(small(given), "doc_id").select(slot.cast("long").alias("slot"), "text"), "train")
-    schema = "k long, after long, c0 long, c1 long, c2 long, c3 long"
-    counts = ws.save(train.mapInArrow(_counted, schema).groupBy("k", "after").agg(*(F.sum(c).alias(c) for c in SLOTS)), "counts")
-    seen = lambda e: F.count(F.when(F.expr(e), 1))
-    # counts and distinct expressions, by slot and by class
-    sums = [*(F.coalesce(F.sum(c), F.lit(0)) for c in SLOTS), *(seen(f"{c} > 0") for c in SLOTS), seen("c0 + c2 > 0"), seen("c1 + c3 > 0")]
-    words, pairs = counts.where("after is null").drop("after"), counts.where("after is not null")
-    of_words, of_pairs = list(words.agg(*sums).first()), list(pairs.agg(*sums).first())
-    ordinary, toxic = of_words[0] + of_words[2], of_words[1] + of_words[3]
-    if not ordinary or not toxic:
-        return Model(None, np.array([0.0, 0.0, 30.0 if toxic else -30.0]))
-    columns = ", ".join(["k long", *(f"{r} double, o{r} double, t{r} double" for r in RATIOS)])
-    logs = ws.save(words.mapInPandas(_logs(of_words, False), columns), "logs")
-    backed = pairs.join(logs.select(F.col("k").alias("after"), *LOGS), "after").mapInPandas(_logs(of_pairs, True), columns)
-    table = ws.save(logs.unionAll(backed).select("k", *RATIOS).where("r <> 0 or r0 <> 0 or r1 <> 0"), "ratios")
-    crossed = features(train.select(text_key().alias("t"), "slot", "text"), table)
-    # a grid of counts, so that what the regression reads is bounded
-    grid = crossed.select((F.round(F.greatest(F.least("a", F.lit(2.0)), F.lit(-2.0)) * 200) / 200).alias("a"), (F.round(F.greatest(F.least("b", F.lit(20.0)), F.lit(-20.0)) * 10) / 10).alias("b"), F.expr("cast(slot % 2 as int)").alias("y"), "rows")
-    points = grid.groupBy("a", "b", "y").agg(F.sum("rows").alias("n")).toPandas().sort_values(["a", "b", "y"])
-    weights = logistic(points[["a", "b"]].to_numpy(float), points["y"].to_numpy(float), points["n"].to_numpy(float))
-    for name in ("train", "counts", "logs"):
+def rising(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """As logistic(), with no weight below 0: more evidence never lowers a score. Columns that would are left out."""
+    use = np.arange(x.shape[1])
+    while True:
+        w = logistic(x[:, use], y, n)
+        if (w[:-1] >= 0).all():
+            out = np.zeros(x.shape[1] + 1)
+            out[use], out[-1] = w[:-1], w[-1]
+            return out
+        use = use[w[:-1] > w[:-1].min()]
+        if not len(use):
+            # nothing to calibrate by: the mean log ratio itself, about its own mean
+            rate = np.clip(np.average(y, weights=n), 1e-6, 1 - 1e-6)
+            return np.append(np.eye(x.shape[1])[0], np.log(rate / (1 - rate)) - np.average(x[:, 0], weights=n))
+
+
+def text_key() -> list[Column]:
+    """t and u, 96 bits by which equal texts are known; null counts as empty."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return [F.xxhash64(text).alias("t"), F.hash(text).alias("u")]
+
+
+def evidence(docs: DataFrame, labels: DataFrame, ws: Workspace) -> DataFrame | None:
+    """doc_id, t, u, n, a, b of every document; labels: (doc_id, y) of the rows that count. None without both classes."""
+    spark = docs.sparkSession
+    rows = ws.save(write_blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(), F.col("text").cast("string").alias("text")), ws.path("blocks")), "rows")
+    train = ws.save(rows.join(small(labels), "doc_id").groupBy("block").agg(F.collect_list("place").alias("places"), F.collect_list("y").alias("labels"), F.sum("n").alias("n")), "train")
+    files, tokens = train.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if not tokens:
+        return None
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cells = max(-(-tokens // CELL_TOKENS), min(least, -(-tokens // (CELL_TOKENS // 8))))
+    grid = Grid(cells)
+    counted = train.repartition(files).mapInPandas(_counted(grid), "cell int, blob binary")
+    parts = ws.save(counted.repartition(cells, "cell").groupBy("cell").applyInPandas(_gathered(cells), "kind int, shard int, blob binary, size long"), "parts")
+    sums = ", ".join(f"{x}{c} long" for x in "KM" for c in "ots")
+    words = ws.save(parts.where("kind = 1").repartition(cells, "shard").groupBy("shard").applyInPandas(_summed, f"shard int, blob binary, {sums}, V long"), "words")
+    totals = {k: int(v) for k, v in words.agg(*(F.sum(c).alias(c) for c in words.columns[2:])).first().asDict().items()}
+    if not totals["Ko"] or not totals["Kt"]:
+        return None
+    pairs = parts.where("kind = 0").select("shard", "blob", "size")
+    passing = None
+    if pairs.agg(F.sum("size")).first()[0] * 2 <= FILTER_BYTES:
+        bitmaps = pairs.select("shard", F.pandas_udf(lambda s: s.map(lambda x: PairFilter.bitmap(keys_of(load(x)["keys"])).tobytes()), "binary")("blob").alias("bits"))
+        passing = PairFilter({r.shard: np.frombuffer(r.bits, np.uint8) for r in bitmaps.collect()}, grid.rows * grid.columns)
+    sent = spark.sparkContext.broadcast(passing)  # at most FILTER_BYTES
+    blocks = rows.select("block").distinct()
+    n = max(1, blocks.count())
+    asked = ws.save(blocks.repartition(n).mapInPandas(_asked(grid, cells, sent), "kind int, shard int, block string, keys binary"), "asked")
+    answers = None
+    for kind, told in ((0, pairs.select("shard", "blob")), (1, words.select("shard", "blob"))):
+        one, two = (x.repartition(cells, "shard").groupBy("shard") for x in (asked.where(f"kind = {kind}"), told))
+        own = one.cogroup(two).applyInPandas(lambda a, b: _answered(a, b), "kind int, block string, blob binary")
+        answers = own if answers is None else answers.unionAll(own)
+    # a block always asks for its words, but their shards may have none of them
+    answers = answers.unionAll(blocks.select(F.lit(-1).alias("kind"), "block", F.lit(b"").alias("blob")))
+    found = answers.repartition(2 * n, "block").groupBy("block").applyInPandas(_scored(totals), "doc_id long, t long, u int, n long, a double, b double")
+    found = ws.save(found, "evidence")
+    sent.unpersist()
+    for name in ("blocks", "rows", "train", "parts", "words", "asked"):
         ws.drop(name)
-    return Model(table, weights)
+    return found
 
 
-def scores(model: Model, docs: DataFrame) -> DataFrame:
-    """t (text_key), score of each distinct text of docs, 0 to 1; higher: more likely toxic. Saved."""
+def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, t, u (text_key), score of every document (doc_id, text): 0 to 1, higher: more likely toxic.
+
+    Learns from every row of docs that labels (doc_id, label 0/1) covers; a repeated doc_id's labels are averaged. Rows
+    with a null doc_id or label are not learnt from. One labelled document in CALIBRATION is not counted and calibrates
+    the evidence instead (all do, if these lack a class). Without both classes, every score is near 1 if only toxic
+    rows are known, else near 0. Null and empty texts have no tokens and an evidence of 0. Each row gives a row, equal
+    texts equal scores; other columns are not read; no row, no score. Texts of any length are read whole; one text
+    may be a block of its own.
+    """
     ws = Workspace(docs.sparkSession, "toxic")
-    texts = docs.select(text_key().alias("t"), F.lit(-1).cast("long").alias("slot"), F.col("text").cast("string").alias("text"))
-    if model.ratios is None:
-        found = texts.select("t", F.lit(0.0).alias("a"), F.lit(0.0).alias("b")).distinct()
+    given = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("double").alias("y")).where("doc_id is not null and y is not null").groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
+    given = ws.save(given.withColumn("aside", F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATION)) == 0), "labels")
+    kinds = {(r.aside, r.y) for r in given.groupBy("aside", "y").count().collect()}  # four rows
+    known = {y for _, y in kinds}
+    found = evidence(docs, given.where("not aside").select("doc_id", "y"), ws) if {(False, 0), (False, 1)} <= kinds else None
+    if found is None:
+        only = 1 / (1 + np.exp(-30.0 if known == {1} else 30.0))
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(), F.lit(float(only)).alias("score"))
+    held = given.where("aside") if {(True, 0), (True, 1)} <= kinds else given
+    # a grid of counts, so that what the regression reads is bounded
+    place = lambda c, low, high: (F.round(F.greatest(F.least(c, F.lit(high)), F.lit(low)) * 50) / 50).alias(c)
+    points = found.join(small(held.select("doc_id", "y")), "doc_id").select(place("a", -6.0, 6.0), place("b", -6.0, 3.0), "y").groupBy("a", "b", "y").agg(F.count("*").alias("n")).toPandas().sort_values(["a", "b", "y"])
+    if points["y"].nunique() < 2:
+        w = [1.0, 0.0, 0.0]
     else:
-        found = features(texts, model.ratios)
-    w = [float(x) for x in model.weights]
+        w = [float(x) for x in rising(points[["a", "b"]].to_numpy(float), points["y"].to_numpy(float), points["n"].to_numpy(float))]
     z = F.col("a") * w[0] + F.col("b") * w[1] + w[2]
-    score = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
-    return ws.save(found.select("t", score.alias("score")), "scores")
+    return found.select("doc_id", "t", "u", (1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))).alias("score"))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted of every document; labels: (doc_id, toxic).
+    """doc_id, held_out, score, predicted (1 from a score of 0.5) of every document; labels: (doc_id, toxic).
 
-    Null and empty texts are scored as texts without words. Null doc_ids are not held out. Repeated doc_ids give a row each.
+    As score() says of nulls, empty, equal and very long texts, repeated rows, empty tables and other columns. Null
+    doc_ids are not held out.
     """
-    model = fit(docs, training_labels(labels, "toxic", 5, 0))
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("t")).join(small(scores(model, docs)), "t")
+    scored = score(docs, training_labels(labels, "toxic", 5, 0))
     return scored.select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -1,10 +1,13 @@
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 
 from sparrowfold.llm import kn_toxicity, rff_quality
-from sparrowfold.llm.kn_toxicity import words_of
+from sparrowfold.llm.common import Workspace
+from sparrowfold.llm.kn_toxicity import DISCOUNT, FLOOR, STRONG, Grid, PairFilter, dump, load, words_of
 from sparrowfold.llm.rff_quality import STATISTICS, isotonic, statistics
 
 from .helpers import awkward, frame
@@ -98,3 +101,76 @@ def test_pairs_of_rare_words_are_not_cut(spark):
     got = kn_toxicity.classify(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(toxic, "doc_id long, toxic int"))
     by = {r.doc_id: r.score for r in got.where("doc_id > 9000").collect()}
     assert by[9001] > by[9002]
+
+
+class PlainModel:
+    """The four levels by dictionaries, one class at a time."""
+
+    def __init__(self, texts, labels):
+        self.n = [Counter(), Counter()]
+        for text, y in zip(texts, labels):
+            words = [b"", *words_of(text)]
+            self.n[y].update(zip(words, words[1:]))
+        self.both = self.n[0] + self.n[1]
+        self.vocabulary = {w for _, w in self.both}
+
+    @staticmethod
+    def level(count, history_total, mass, lower):
+        return max(count - DISCOUNT, 0) / history_total + mass / history_total * lower if history_total else lower
+
+    def after(self, counts, v):
+        return [n for (a, _), n in counts.items() if a == v]
+
+    def firsts(self, counts):
+        return Counter(w for _, w in counts)
+
+    def p(self, c, v, w):
+        mass = lambda ns: sum(min(n, DISCOUNT) for n in ns)
+        shared, own = self.firsts(self.both), self.firsts(self.n[c])
+        s = self.level(shared[w], sum(shared.values()), mass(shared.values()), 1 / (len(self.vocabulary) + 1))
+        u = self.level(own[w], sum(own.values()), mass(own.values()), s)
+        q = self.level(self.both[v, w], sum(self.after(self.both, v)), mass(self.after(self.both, v)), u)
+        return self.level(self.n[c][v, w], sum(self.after(self.n[c], v)), mass(self.after(self.n[c], v)), q)
+
+
+def test_evidence_is_that_of_a_plain_kneser_ney_model(spark, monkeypatch):
+    monkeypatch.setattr(kn_toxicity, "BLOCK_TOKENS", 60)
+    monkeypatch.setattr(kn_toxicity, "CELL_TOKENS", 80)
+    rng = random.Random(4)
+    rows = [(k, " ".join(rng.choice("ab ab cd e f g h i".split() + [f"z{k}"]) for _ in range(rng.randrange(0, 25)))) for k in range(30)]
+    rows += [(100, None), (101, ""), (102, "unseen words only"), (103, "a b a b a b a b c"), (None, "a b"), (3, "a repeated key e f")]
+    labels = [(k, k % 2) for k in range(24)]
+    texts = [(t, k % 2) for k, t in rows if k is not None and k < 24]
+    model = PlainModel(*zip(*texts))
+    for c in (0, 1):
+        for v in (b"", b"a", b"g", b"never"):
+            assert abs(sum(model.p(c, v, w) for w in model.vocabulary) + model.p(c, v, b"unseen") - 1) < 1e-9
+    want = []
+    for k, t in rows:
+        words = [b"", *words_of(t)]
+        r = [math.log(model.p(1, v, w) / model.p(0, v, w)) for v, w in zip(words, words[1:])]
+        n = max(1, len(r))
+        want.append((str(k), len(r), round(sum(r) / n, 9), round(math.log(sum(max(x - STRONG, 0) for x in r) / n + FLOOR), 9)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    given = spark.createDataFrame(labels, "doc_id long, y int")
+    for size in (1 << 20, 0):
+        # with the filter of pairs and without it
+        monkeypatch.setattr(kn_toxicity, "FILTER_BYTES", size)
+        found = kn_toxicity.evidence(docs, given, Workspace(spark, "t")).collect()
+        assert sorted((str(r.doc_id), r.n, round(r.a, 9), round(r.b, 9)) for r in found) == sorted(want)
+
+
+def test_blobs_and_filter():
+    rng = np.random.default_rng(2)
+    arrays = {"a": rng.integers(0, 2**63, 50, dtype=np.uint64), "b": np.arange(7, dtype=np.uint32), "c": np.zeros(0, np.int64)}
+    assert all((load(dump(**arrays))[k] == x).all() for k, x in arrays.items())
+    grid, keys = Grid(5), np.unique(rng.integers(0, 2**63, 4000, dtype=np.uint64))
+    cell = grid.cell(keys, keys[::-1])
+    held = PairFilter({int(c): np.frombuffer(PairFilter.bitmap(keys[:2000][cell[:2000] == c]).tobytes(), np.uint8) for c in set(cell[:2000].tolist())}, grid.rows * grid.columns)
+    passed = held.passes(cell, keys)
+    assert passed[:2000].all() and passed[2000:].mean() < 0.25
+
+
+def test_toxicity_with_one_class(spark):
+    one = spark.createDataFrame([(1, 1), (5, 1)], "doc_id long, toxic int")
+    assert {r.predicted for r in kn_toxicity.classify(frame(spark), one).collect()} == {1}
