@@ -17,6 +17,9 @@ PARTITION_BYTES = 96 << 20
 #: Rows of a few numbers each up to which a side of a join is broadcast; beyond, both sides are shuffled.
 BROADCAST_ROWS = 500_000
 
+#: Spark's setting by which an execution removes its own shuffle files at its end.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -49,7 +52,13 @@ class Workspace:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str, **options) -> DataFrame:
-        df.write.mode("overwrite").options(compression="zstd", **options).parquet(self.path(name))
+        """df as a table; the shuffle files that made it go as soon as it stands, since nothing reads them again."""
+        conf, before = self.spark.conf, self.spark.conf.get(RELEASE, None)
+        conf.set(RELEASE, "true")
+        try:
+            df.write.mode("overwrite").options(compression="zstd", **options).parquet(self.path(name))
+        finally:
+            conf.unset(RELEASE) if before is None else conf.set(RELEASE, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str = "") -> None:

@@ -271,69 +271,65 @@ class PairFilter:
         return ok
 
 
+def questions(b: Block, grid: Grid, shards: int, passing: PairFilter | None):
+    """Distinct pairs of a block and, for each (kind, shard), the places asked there, in the order of their keys:
+    of pairs that the filter passes (kind 0), and of the block's words (kind 1)."""
+    pairs = np.unique(b.pairs)
+    v, w = (b.words[x] for x in b.split(pairs))
+    cell, keys = grid.cell(v, w), pair_key(v, w)
+    place = np.arange(len(pairs)) if passing is None else np.flatnonzero(passing.passes(cell, keys))
+    place = place[np.lexsort((keys[place], cell[place]))]
+    shard = shard_of(b.words, shards)
+    cuts = lambda x: np.flatnonzero(np.diff(x)) + 1
+    asked = {(0, int(cell[own[0]])): own for own in np.split(place, cuts(cell[place])) if len(own)}
+    asked |= {(1, int(shard[own[0]])): own for own in np.split(np.arange(len(shard)), cuts(shard))}
+    return pairs, (keys, b.words), asked
+
+
 def _asked(grid: Grid, shards: int, sent):
     """Blocks to rows (kind, shard, block, keys): the distinct words asked of each shard, and pairs of each cell."""
 
-    def rows(kind, where, keys, path):
-        order = np.lexsort((keys, where))
-        for own in np.split(order, np.flatnonzero(np.diff(where[order])) + 1) if len(order) else []:
-            yield kind, int(where[own[0]]), path, dump(keys=steps(keys[own]))
-
     def run(batches):
-        passing = sent.value
         for pdf in batches:
             for path in pdf["block"]:
-                b = Block(get_range(path))
-                v, w = (b.words[x] for x in b.split(np.unique(b.pairs)))
-                cell, keys = grid.cell(v, w), pair_key(v, w)
-                if passing is not None:
-                    ok = passing.passes(cell, keys)
-                    cell, keys = cell[ok], keys[ok]
-                found = [*rows(0, cell, keys, path), *rows(1, shard_of(b.words, shards), b.words, path)]
+                _, keys, asked = questions(Block(get_range(path)), grid, shards, sent.value)
+                found = [(kind, shard, path, dump(keys=steps(keys[kind][own]))) for (kind, shard), own in asked.items()]
                 yield pd.DataFrame(found, columns=["kind", "shard", "block", "keys"])
 
     return run
 
 
 def _answered(asked, told):
-    """Of the keys each block asks, those that the cell or shard has, with what it has of them."""
+    """For each block's keys: bits of those that the cell or shard has, and what it has of these, in the same order."""
     rows = []
     if len(asked) and len(told):
         own = load(told["blob"].iloc[0])
-        kind = int(asked["kind"].iloc[0])
+        kind, shard = int(asked["kind"].iloc[0]), int(asked["shard"].iloc[0])
         have = keys_of(own.pop("keys" if kind == 0 else "words"))
         for path, blob in zip(asked["block"], asked["keys"]):
             keys = keys_of(load(blob)["keys"])
-            at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+            at = np.minimum(np.searchsorted(have, keys), max(0, len(have) - 1))
             hit = have[at] == keys if len(have) else np.zeros(len(keys), bool)
-            rows.append((kind, path, dump(keys=steps(keys[hit]), **{k: x[at[hit]] for k, x in own.items()})))
-    return pd.DataFrame(rows, columns=["kind", "block", "blob"]).astype({"kind": "int32"})
+            rows.append((kind, shard, path, dump(hit=np.packbits(hit), **{k: x[at[hit]] for k, x in own.items()})))
+    return pd.DataFrame(rows, columns=["kind", "shard", "block", "blob"]).astype({"kind": "int32", "shard": "int32"})
 
 
-def _scored(totals: dict):
+def _scored(grid: Grid, shards: int, sent, totals: dict):
     """A block's answers to a row a document: doc_id, t, u, n, a (mean log ratio), b (log of the mean beyond STRONG)."""
 
     def run(pdf):
         b = Block(get_range(pdf["block"].iloc[0]))
-        told = [[load(x) for x in pdf["blob"][pdf["kind"] == kind]] for kind in (0, 1)]
-        stats = {k: np.zeros(len(b.words)) for k in STATS}
-        for z in told[1]:
-            at = np.searchsorted(b.words, keys_of(z["keys"]))
-            for k in STATS:
-                stats[k][at] = z[k]
-        pairs, token = np.unique(b.pairs, return_inverse=True)
+        pairs, _, asked = questions(b, grid, shards, sent.value)
+        stats, counts = {k: np.zeros(len(b.words)) for k in STATS}, {k: np.zeros(len(pairs)) for k in ("no", "nt")}
+        for kind, shard, blob in pdf[["kind", "shard", "blob"]].itertuples(index=False):
+            if kind >= 0:
+                z, own = load(blob), asked[kind, shard]
+                own = own[np.unpackbits(z.pop("hit"), count=len(own)).astype(bool)]
+                for k, x in z.items():
+                    (stats if kind else counts)[k][own] = x
         v, w = b.split(pairs)
-        counts = np.zeros((2, len(pairs)))
-        known = np.concatenate([np.zeros(0, np.uint64), *(keys_of(z["keys"]) for z in told[0])])
-        if len(known):
-            order = np.argsort(known)
-            keys = pair_key(b.words[v], b.words[w])
-            at = np.minimum(np.searchsorted(known[order], keys), len(known) - 1)
-            hit = known[order][at] == keys
-            for row, c in zip(counts, ("no", "nt")):
-                row[hit] = np.concatenate([z[c] for z in told[0]])[order][at[hit]]
-        po, pt = probabilities({k: x[v] for k, x in stats.items()}, {k: x[w] for k, x in stats.items()}, *counts, totals)
-        ratio = (np.log(pt) - np.log(po))[token]
+        po, pt = probabilities({k: x[v] for k, x in stats.items()}, {k: x[w] for k, x in stats.items()}, counts["no"], counts["nt"], totals)
+        ratio = (np.log(pt) - np.log(po))[np.searchsorted(pairs, b.pairs)]
         n = np.maximum(b.lengths, 1)
         mean, strong = (np.bincount(b.doc, weights=x, minlength=len(n)) / n for x in (ratio, np.maximum(ratio - STRONG, 0)))
         out = pd.DataFrame({"doc_id": pd.array(b.doc_id, "Int64"), "t": b.t, "u": b.u, "n": b.lengths, "a": mean, "b": np.log(strong + FLOOR)})
@@ -393,13 +389,15 @@ def evidence(docs: DataFrame, labels: DataFrame, ws: Workspace) -> DataFrame | N
     cells = max(-(-tokens // CELL_TOKENS), min(least, -(-tokens // (CELL_TOKENS // 8))))
     grid = Grid(cells)
     counted = train.repartition(files).mapInPandas(_counted(grid), "cell int, blob binary")
-    parts = ws.save(counted.repartition(cells, "cell").groupBy("cell").applyInPandas(_gathered(cells), "kind int, shard int, blob binary, size long"), "parts")
+    gathered = counted.repartition(cells, "cell").groupBy("cell").applyInPandas(_gathered(cells), "kind int, shard int, blob binary, size long")
+    parts = ws.save(gathered, "parts")
     sums = ", ".join(f"{x}{c} long" for x in "KM" for c in "ots")
     words = ws.save(parts.where("kind = 1").repartition(cells, "shard").groupBy("shard").applyInPandas(_summed, f"shard int, blob binary, {sums}, V long"), "words")
     totals = {k: int(v) for k, v in words.agg(*(F.sum(c).alias(c) for c in words.columns[2:])).first().asDict().items()}
     if not totals["Ko"] or not totals["Kt"]:
         return None
-    pairs = parts.where("kind = 0").select("shard", "blob", "size")
+    pairs = ws.save(parts.where("kind = 0").select("shard", "blob", "size"), "pairs")
+    ws.drop("parts")
     passing = None
     if pairs.agg(F.sum("size")).first()[0] * 2 <= FILTER_BYTES:
         bitmaps = pairs.select("shard", F.pandas_udf(lambda s: s.map(lambda x: PairFilter.bitmap(keys_of(load(x)["keys"])).tobytes()), "binary")("blob").alias("bits"))
@@ -407,18 +405,16 @@ def evidence(docs: DataFrame, labels: DataFrame, ws: Workspace) -> DataFrame | N
     sent = spark.sparkContext.broadcast(passing)  # at most FILTER_BYTES
     blocks = rows.select("block").distinct()
     n = max(1, blocks.count())
-    asked = ws.save(blocks.repartition(n).mapInPandas(_asked(grid, cells, sent), "kind int, shard int, block string, keys binary"), "asked")
-    answers = None
-    for kind, told in ((0, pairs.select("shard", "blob")), (1, words.select("shard", "blob"))):
-        one, two = (x.repartition(cells, "shard").groupBy("shard") for x in (asked.where(f"kind = {kind}"), told))
-        own = one.cogroup(two).applyInPandas(lambda a, b: _answered(a, b), "kind int, block string, blob binary")
-        answers = own if answers is None else answers.unionAll(own)
-    # a block always asks for its words, but their shards may have none of them
-    answers = answers.unionAll(blocks.select(F.lit(-1).alias("kind"), "block", F.lit(b"").alias("blob")))
-    found = answers.repartition(2 * n, "block").groupBy("block").applyInPandas(_scored(totals), "doc_id long, t long, u int, n long, a double, b double")
+    asked = blocks.repartition(n).mapInPandas(_asked(grid, cells, sent), "kind int, shard int, block string, keys binary")
+    told = pairs.selectExpr("0 as kind", "shard", "blob").unionAll(words.selectExpr("1 as kind", "shard", "blob"))
+    one, two = (x.repartition(2 * cells, "kind", "shard").groupBy("kind", "shard") for x in (asked, told))
+    answers = one.cogroup(two).applyInPandas(lambda a, b: _answered(a, b), "kind int, shard int, block string, blob binary")
+    # a row for each block, should no cell or shard have any of its keys
+    answers = answers.unionAll(blocks.select(F.lit(-1).alias("kind"), F.lit(-1).alias("shard"), "block", F.lit(b"").alias("blob")))
+    found = answers.repartition(2 * n, "block").groupBy("block").applyInPandas(_scored(grid, cells, sent, totals), "doc_id long, t long, u int, n long, a double, b double")
     found = ws.save(found, "evidence")
     sent.unpersist()
-    for name in ("blocks", "rows", "train", "parts", "words", "asked"):
+    for name in ("blocks", "rows", "train", "pairs", "words"):
         ws.drop(name)
     return found
 
