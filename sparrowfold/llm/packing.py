@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, small
-from .wordbpe import encoder, text_slices
+from .wordbpe import encoder, slices
 
 MAX_TOKENS = 2048
 
@@ -29,19 +29,19 @@ def cut(docs: DataFrame, tokenizer_path: str, end_id: int, longest: int = MAX_TO
 
     def run(batches):
         enc = encoder(tokenizer_path)
-        end = np.array([end_id], dtype=enc.dtype).tobytes()
         part, seen = TaskContext.get().partitionId(), [0] * 64
         for batch in batches:
             keys = batch.column("doc_id").to_pylist()
-            for first, texts in text_slices(batch):
+            for first, texts in slices(batch):
+                ids, bounds = enc.encode_ended(texts, end_id)
+                raw, bounds = memoryview(ids.astype("<u4")).cast("B"), bounds.tolist()
                 out = [[] for _ in range(8)]
-                for k, raw in enumerate(enc.encode_batch(texts)):
-                    ids = np.frombuffer(raw + end, dtype=enc.dtype).astype("<u4")
-                    at = 0
-                    for n in binary_lengths(len(ids), longest):
-                        payload = ids[at : at + n].tobytes()
+                for k, (start, stop) in enumerate(zip(bounds, bounds[1:])):
+                    at = start
+                    for n in binary_lengths(stop - start, longest):
+                        payload = raw[4 * at : 4 * (at + n)]
                         bucket = n.bit_length()
-                        for column, value in zip(out, (keys[first + k], at, n, zlib.crc32(payload), len(ids), part, seen[bucket], payload)):
+                        for column, value in zip(out, (keys[first + k], at - start, n, zlib.crc32(payload), stop - start, part, seen[bucket], payload)):
                             column.append(value)
                         seen[bucket] += 1
                         at += n

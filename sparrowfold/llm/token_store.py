@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, get_range, partitions_for, put_file
-from .wordbpe import encoder, text_slices
+from .wordbpe import encoder, slices
 
 MAGIC, TRAILER = b"IDSHARD1", "<QQII8s"  # documents, ids, bytes an id, crc32 of the footer, magic
 GAMMA, BUCKET_KEYS = 2.0, 200_000
@@ -98,7 +98,6 @@ def write_shards(docs: DataFrame, root: str, tokenizer_path: str, end_id: int) -
 
     def run(batches):
         enc = encoder(tokenizer_path)
-        end = np.array([end_id], dtype=enc.dtype).tobytes()
         shard = TaskContext.get().partitionId()
         path = f"{root}/shard-{shard:06d}.ids"
         keys, lengths = [], []
@@ -106,19 +105,19 @@ def write_shards(docs: DataFrame, root: str, tokenizer_path: str, end_id: int) -
         def chunks():
             yield MAGIC
             for batch in batches:
-                own = batch.column("doc_id").to_pylist()
-                for first, texts in text_slices(batch):
-                    coded = enc.encode_batch(texts)
-                    keys.extend(own[first : first + len(texts)])
-                    lengths.extend(len(x) // enc.dtype.itemsize + 1 for x in coded)
-                    yield b"".join(x + end for x in coded)
-            starts = np.concatenate([[0], np.cumsum(np.array(lengths, np.int64))])
-            footer = np.array([k or 0 for k in keys], "<i8").tobytes() + np.array([k is None for k in keys], "u1").tobytes() + starts.astype("<u8").tobytes()
+                keys.append(batch.column("doc_id"))
+                for _, texts in slices(batch):
+                    ids, bounds = enc.encode_ended(texts, end_id)
+                    lengths.append(np.diff(bounds))
+                    yield ids.tobytes()
+            starts = np.cumsum(np.concatenate([np.zeros(1, np.int64), *lengths]))
+            own = pa.chunked_array(keys, pa.int64())
+            footer = own.fill_null(0).to_numpy().astype("<i8").tobytes() + own.is_null().to_numpy().astype("u1").tobytes() + starts.astype("<u8").tobytes()
             yield footer
-            yield struct.pack(TRAILER, len(keys), int(starts[-1]), enc.dtype.itemsize, zlib.crc32(footer), MAGIC)
+            yield struct.pack(TRAILER, len(own), int(starts[-1]), enc.dtype.itemsize, zlib.crc32(footer), MAGIC)
 
         put_file(path, chunks())
-        yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "docs": [len(keys)], "ids": [sum(lengths)]}, pa.schema([("shard", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())]))
+        yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "docs": [sum(map(len, keys))], "ids": [int(sum(x.sum() for x in lengths))]}, pa.schema([("shard", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())]))
 
     return ranged.mapInArrow(run, "shard int, path string, docs long, ids long")
 

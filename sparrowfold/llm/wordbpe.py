@@ -9,9 +9,11 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pieces, and words without their punctuation, that a worker keeps; beyond it they are encoded anew in each slice of texts.
-KEEP_PIECES, KEEP_WORDS = 300_000, 300_000
+KEEP_PIECES, KEEP_WORDS = 200_000, 500_000
 #: Characters that the splitter always parts from letters and that take no part in contractions.
 TAILS = ".,;:!?%*#$&|"
 
@@ -55,39 +57,70 @@ class WordEncoder:
             out.update((w, raw[a:b]) for w, a, b in zip(part, bounds, bounds[1:]))
         return out
 
-    def _fresh(self, pieces: list[str]) -> dict[str, bytes]:
+    def _fresh(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces: letters followed by punctuation are put together from the two; others are encoded whole."""
-        parted, other, lacking = [], [], set()
-        words = self.words
-        for piece in pieces:
+        words, parted, other, lacking, tails = self.words, [], [], set(), set()
+        for k, piece in enumerate(pieces):
             word = piece.rstrip(TAILS)
-            tail = piece[len(word) :]
-            if not word or word.isalpha():
+            if word == "" or word.isalpha():
+                tail = piece[len(word) :]
                 # only ASCII is folded here: elsewhere, lower case can depend on what stands beside
                 word = word.lower() if word.isascii() else word
-                parted.append((piece, word, tail))
+                parted.append((k, word, tail))
                 if word not in words:
                     lacking.add(word)
+                if tail not in words:
+                    tails.add(tail)
             else:
-                other.append(piece)
+                other.append(k)
         known = self._letters(list(lacking))
         if len(words) < KEEP_WORDS:
             words.update(known)
-        tails = {t for _, _, t in parted if t not in words}
         known |= self._whole(list(tails))
-        find = lambda w: known[w] if w in known else words[w]
-        return {piece: find(word) + find(tail) for piece, word, tail in parted} | self._whole(other)
+        get = {**words, **known}.get if len(known) > len(words) else lambda w: known.get(w) if w in known else words[w]
+        out: list[bytes] = [b""] * len(pieces)
+        for k, word, tail in parted:
+            out[k] = get(word) + get(tail) if tail else get(word)
+        for k, ids in zip(other, self._whole([pieces[k] for k in other]).values()):
+            out[k] = ids
+        return out
 
-    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian integers of self.dtype; null and empty texts give none."""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+    def _coded(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each distinct piece."""
         kept = self.kept
-        fresh = self._fresh([p for p in {p for pieces in split for p in pieces} if p not in kept])
+        out = list(map(kept.get, pieces))
+        at = [k for k, x in enumerate(out) if x is None]
+        fresh = self._fresh([pieces[k] for k in at])
+        for k, ids in zip(at, fresh):
+            out[k] = ids
         if len(kept) < KEEP_PIECES:
-            kept.update(fresh)
-            return [b"".join(map(kept.__getitem__, pieces)) for pieces in split]
-        both = lambda p: fresh[p] if p in fresh else kept[p]
-        return [b"".join(map(both, pieces)) for pieces in split]
+            kept.update(zip([pieces[k] for k in at], fresh))
+        return out
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's begin, with the end of the last; null and empty texts
+        have none. Pieces are found and told apart by Arrow, and their ids put together by offsets."""
+        parts = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        first = parts.offsets.to_numpy() - parts.offsets[0].as_py()
+        coded = parts.flatten().dictionary_encode()
+        which, ids = coded.indices.to_numpy(zero_copy_only=False), self._coded(coded.dictionary.to_pylist())
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+        pool, start = np.frombuffer(b"".join(ids), self.dtype), np.cumsum(length) - length
+        n = length[which]
+        stop = np.cumsum(n)
+        take = np.repeat(start[which] - (stop - n), n)
+        take += np.arange(len(take))
+        return pool[take], np.concatenate([[0], stop])[first]
+
+    def encode_ended(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """As encode(), with end_id after each text's ids."""
+        ids, bounds = self.encode(texts)
+        bounds = bounds + np.arange(len(bounds))
+        out = np.empty(len(ids) + len(texts), self.dtype)
+        own = np.ones(len(out), bool)
+        own[bounds[1:] - 1] = False
+        out[own], out[~own] = ids, end_id
+        return out, bounds
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -100,6 +133,19 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+def slices(batch, column: str = "text", size: int = 12_000_000):
+    """(first row, Arrow array of texts) of a batch, cut so that a slice's bytes are bounded unless one text alone is longer."""
+    texts = batch.column(column)
+    if not len(texts):
+        return
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(texts):
+        end = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + size, "right")))
+        yield start, texts.slice(start, end - start)
+        start = end
+
+
 def text_slices(batch, column: str = "text", chars: int = 4_000_000):
     """(first row, texts) of an Arrow batch, cut so that a slice's texts are bounded unless one text alone is longer."""
     texts = batch.column(column).to_pylist()
