@@ -10,6 +10,7 @@ different texts is left out to save pairs, and a block hands on links, not pairs
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -22,11 +23,42 @@ from .components import connected_components
 from .wordbpe import text_slices
 
 SHINGLE = 5
-ROWS, BANDS = 6, 26
-#: At a similarity of 0.85 a pair shares no band with probability (1 - 0.85 ** 6) ** 26 = 5e-6.
-SIGNATURE = ROWS * BANDS
-#: Equal signature places (of SIGNATURE) from which a pair is verified: 6 standard deviations below 0.85.
-LEAST_EQUAL = 105
+#: Most places of a signature, and the most probable miss: that a pair at the threshold shares no band.
+PLACES, MISS = 160, 1e-5
+#: Standard deviations below the threshold from which equal places let a pair be verified.
+DEVIATIONS = 6
+
+
+@dataclass(frozen=True)
+class Plan:
+    """Bands of a signature for a threshold of `percent`."""
+
+    percent: int
+    rows: int
+    bands: int
+
+    @classmethod
+    def of(cls, percent: int) -> Plan:
+        """The longest rows whose bands miss a pair at the threshold with probability MISS at most."""
+        s = percent / 100
+        for rows in range(10, 0, -1):
+            if (1 - s**rows) ** (PLACES // rows) <= MISS:
+                return cls(percent, rows, PLACES // rows)
+        raise ValueError(f"no bands for {percent} percent in {PLACES} places")
+
+    @property
+    def places(self) -> int:
+        return self.rows * self.bands
+
+    @property
+    def least(self) -> int:
+        """Equal places from which a pair is verified."""
+        s = self.percent / 100
+        return max(0, int(self.places * s - DEVIATIONS * (self.places * s * (1 - s)) ** 0.5))
+
+
+#: At 85 percent: 26 bands of 6, missed with probability 5e-6; at 80 percent: 32 bands of 5, 3e-6.
+SIGNATURE = Plan.of(85).places
 #: Members of a band, and shingles of theirs, that one block holds; larger bands are dealt into pairs of blocks.
 BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
 ELEMENTS = 150_000
@@ -122,12 +154,12 @@ def signatures(sets: list[np.ndarray], size: int = SIGNATURE) -> np.ndarray:
     return out.reshape(count, size)
 
 
-def banded(signature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys (rows x BANDS, 64 bits) and one byte for each place, of signatures."""
+def banded(signature: np.ndarray, rows: int = Plan.of(85).rows) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys (a column a band, 64 bits) and one byte for each place, of signatures."""
     bits = mix(signature.view(np.uint64))
-    keys = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(bits), BANDS)).copy()
-    parts = bits.reshape(len(bits), BANDS, ROWS)
-    for k in range(ROWS):
+    parts = bits.reshape(len(bits), -1, rows)
+    keys = np.broadcast_to(np.arange(parts.shape[1], dtype=np.uint64), parts.shape[:2]).copy()
+    for k in range(rows):
         keys = mix(keys ^ parts[:, :, k], k)
     return keys, (bits & np.uint64(255)).astype(np.uint8)
 
@@ -137,31 +169,34 @@ def set_id(own: np.ndarray) -> int | None:
     return int.from_bytes(hashlib.md5(own.tobytes()).digest()[:8], "little", signed=True) if len(own) else None
 
 
-def _signed(batches):
-    s = shingler()
-    for batch in batches:
-        keys = batch.column("doc_id")
-        for first, texts in text_slices(batch):
-            at = 0
-            while at < len(texts):
-                own, size, start = [], 0, at
-                while at < len(texts) and (size < ELEMENTS or at == start):
-                    own.append(s.shingles(texts[at]))
-                    size += len(own[-1])
-                    at += 1
-                full = [k for k, x in enumerate(own) if len(x)]
-                bands, sketch = banded(signatures([own[k] for k in full]))
-                place = {k: j for j, k in enumerate(full)}
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        keys.slice(first + start, len(own)),
-                        pa.array([len(x) for x in own], pa.int64()),
-                        pa.array([set_id(x) for x in own], pa.int64()),
-                        pa.array([bands[place[k]].view(np.int64) if k in place else None for k in range(len(own))], pa.list_(pa.int64())),
-                        pa.array([sketch[place[k]].tobytes() if k in place else None for k in range(len(own))], pa.binary()),
-                    ],
-                    names=["doc_id", "n_shingles", "rid", "bands", "sketch"],
-                )
+def _signed(plan: Plan):
+    def run(batches):
+        s = shingler()
+        for batch in batches:
+            keys = batch.column("doc_id")
+            for first, texts in text_slices(batch):
+                at = 0
+                while at < len(texts):
+                    own, size, start = [], 0, at
+                    while at < len(texts) and (size < ELEMENTS or at == start):
+                        own.append(s.shingles(texts[at]))
+                        size += len(own[-1])
+                        at += 1
+                    full = [k for k, x in enumerate(own) if len(x)]
+                    bands, sketch = banded(signatures([own[k] for k in full], plan.places), plan.rows)
+                    place = {k: j for j, k in enumerate(full)}
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            keys.slice(first + start, len(own)),
+                            pa.array([len(x) for x in own], pa.int64()),
+                            pa.array([set_id(x) for x in own], pa.int64()),
+                            pa.array([bands[place[k]].view(np.int64) if k in place else None for k in range(len(own))], pa.list_(pa.int64())),
+                            pa.array([sketch[place[k]].tobytes() if k in place else None for k in range(len(own))], pa.binary()),
+                        ],
+                        names=["doc_id", "n_shingles", "rid", "bands", "sketch"],
+                    )
+
+    return run
 
 
 def _sets(batches):
@@ -172,14 +207,14 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in own], pa.int64()), pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))], names=["rid", "own"])
 
 
-def equal_places(a, b):
+def equal_places(a, b, places: int):
     """How many bytes two sketches have in common, place by place."""
 
     @F.pandas_udf("int")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         if not len(a):
             return pd.Series([], dtype="int32")
-        x, y = (np.frombuffer(b"".join(c), np.uint8).reshape(-1, SIGNATURE) for c in (a, b))
+        x, y = (np.frombuffer(b"".join(c), np.uint8).reshape(-1, places) for c in (a, b))
         return pd.Series((x == y).sum(1), dtype="int32")
 
     return run(a, b)
@@ -202,11 +237,13 @@ def common_counts(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
 
 
 def _linked(percent: int):
+    plan = Plan.of(percent)
+
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         """Links within a block, or between two blocks, of a band: members of different classes, neither the leader,
         near enough by sketch, that share the key of no earlier band (there they are compared; bytes of the sketch may
         agree by chance), and are linked by their full sets."""
-        sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, SIGNATURE)
+        sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, plan.places)
         earlier = np.array(pdf["earlier"].tolist(), np.int64).reshape(len(pdf), -1)
         rid, kind, block = (pdf[c].to_numpy() for c in ("rid", "class", "block"))
         leader = pdf["leader"].to_numpy() == rid
@@ -218,7 +255,7 @@ def _linked(percent: int):
                 near[: k + 1] = False
             at = np.flatnonzero(near)
             met = (earlier[at] == earlier[k]).any(1)
-            at = at[((sketch[at] == sketch[k]).sum(1) >= LEAST_EQUAL) & ~met]
+            at = at[((sketch[at] == sketch[k]).sum(1) >= plan.least) & ~met]
             left.append(np.full(len(at), k))
             right.append(at)
         a, b = np.concatenate(left), np.concatenate(right)
@@ -240,11 +277,11 @@ def groups(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     Texts without words (null, empty, blank) are linked with nothing. Rows of one doc_id are one node: with different
     texts, they are linked by it. Rows with a null doc_id are linked with nothing; their component is null and they
-    are kept. Each row gives a row. Other columns are not read.
+    are kept. Each row gives a row, no row none. Texts of any length are read whole. Other columns are not read.
     """
-    ws = Workspace(docs.sparkSession, "near")
+    ws, plan = Workspace(docs.sparkSession, "near"), Plan.of(percent)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = ws.save(texts.mapInArrow(_signed, "doc_id long, n_shingles long, rid long, bands array<bigint>, sketch binary"), "signed")
+    signed = ws.save(texts.mapInArrow(_signed(plan), "doc_id long, n_shingles long, rid long, bands array<bigint>, sketch binary"), "signed")
     whole = signed.where("rid is not null and doc_id is not null")
     reps = ws.save(whole.groupBy("rid").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "reps")
 
@@ -253,7 +290,7 @@ def groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     shared = ws.save(members.join(leaders, "band"), "shared")
     sketches = reps.select("rid", "sketch")
     star = shared.where("rid <> leader").select(F.col("leader").alias("a"), F.col("rid").alias("b")).distinct()
-    star = star.join(sketches.toDF("b", "sb"), "b").join(sketches.toDF("a", "sa"), "a").where(equal_places("sa", "sb") >= LEAST_EQUAL).select("a", "b")
+    star = star.join(sketches.toDF("b", "sb"), "b").join(sketches.toDF("a", "sa"), "a").where(equal_places("sa", "sb", plan.places) >= plan.least).select("a", "b")
 
     meet = reps.join(shared.select("rid").distinct(), "rid", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
     sets = ws.save(texts.join(small(ws.save(meet, "meet")), "doc_id", "left_semi").mapInArrow(_sets, "rid long, own array<bigint>").dropDuplicates(["rid"]), "sets")
