@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -27,8 +28,12 @@ def test_each_stage_on_its_own_input(spark, tmp_path):
     rng = random.Random(2)
     clean = [t for (k, t), (_, q), (_, x) in zip(ROWS, QUALITY, TOXIC) if q and not x]
     extra = [*ROWS, *((k + 5000, t) for k, t in near_copies()), (20_000, clean[0] + " password=abcdefgh"), (20_001, clean[1]), (20_002, clean[1]), (20_001, clean[2])]
+    # two texts at 0.82: 9 shingles of 100 differ on either side
+    shared = [f"s{k}" for k in range(95)]
+    extra += [(30_000, " ".join([*(f"l{k}" for k in range(9)), *shared])), (30_001, " ".join([*shared, *(f"r{k}" for k in range(9))]))]
     rng.shuffle(extra)
-    frame(spark, extra=extra).write.parquet(f"{tmp_path}/documents.parquet")
+    clashing = {"_n": F.lit(7), "_0": F.lit("own"), "_1": F.col("doc_id"), "t": F.lit(None).cast("int")}
+    frame(spark, extra=extra).withColumns(clashing).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(k, q, x) for (k, q), (_, x) in zip(QUALITY, TOXIC)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     columns = docs.columns
@@ -39,13 +44,15 @@ def test_each_stage_on_its_own_input(spark, tmp_path):
         out.write.parquet(f"{tmp_path}/{k}")
         docs = spark.read.parquet(f"{tmp_path}/{k}")
         seen.append(docs.collect())
+        assert k == 4 or all(r["_n"] == 7 and r["_0"] == "own" and r["_1"] == r.doc_id and r.t is None for r in seen[-1])
     quality, toxic = dict(QUALITY), dict(TOXIC)
     kept = {r.doc_id for r in seen[0]}
     assert np.mean([(k in kept) != bool(x) for k, x in toxic.items()]) > 0.95
     left = {r.doc_id for r in seen[1]}
     assert np.mean([(k in left) == bool(quality[k]) for k in quality if k in kept]) > 0.95
-    want = {i for i, _, c in brute([(r.doc_id, r.text) for r in seen[1]]) if i == c and i != "None"}
+    want = {i for i, _, c in brute([(r.doc_id, r.text) for r in seen[1]], 80) if i == c and i != "None"}
     got = [str(r.doc_id) for r in seen[2] if r.doc_id is not None]
+    assert {30_000, 30_001} <= left and "30000" in got and "30001" not in got
     assert sorted(got) == sorted(want)
     assert sum(r.doc_id is None for r in seen[2]) == sum(r.doc_id is None for r in seen[1])
     before = {r.doc_id: r.text for r in seen[2] if r.doc_id is not None}
