@@ -124,7 +124,7 @@ def signatures(sets: list[np.ndarray], size: int = SIGNATURE) -> np.ndarray:
     the next step: later steps can't lower it.
     """
     count = len(sets)
-    lengths = np.array([len(s) for s in sets])
+    lengths = np.array([len(s) for s in sets], np.int64)
     element = np.concatenate(sets) if count else np.zeros(0, np.uint64)
     owner = np.repeat(np.arange(count), lengths)
     out = np.full(count * size, np.inf)
@@ -157,7 +157,7 @@ def signatures(sets: list[np.ndarray], size: int = SIGNATURE) -> np.ndarray:
 def banded(signature: np.ndarray, rows: int = Plan.of(85).rows) -> tuple[np.ndarray, np.ndarray]:
     """Band keys (a column a band, 64 bits) and one byte for each place, of signatures."""
     bits = mix(signature.view(np.uint64))
-    parts = bits.reshape(len(bits), -1, rows)
+    parts = bits.reshape(len(bits), bits.shape[1] // rows, rows)
     keys = np.broadcast_to(np.arange(parts.shape[1], dtype=np.uint64), parts.shape[:2]).copy()
     for k in range(rows):
         keys = mix(keys ^ parts[:, :, k], k)

@@ -56,6 +56,11 @@ def test_nothing_and_single(spark):
     assert [tuple(r) for r in groups(spark.createDataFrame([(9, "a b", "x")], "doc_id long, text string, kept string")).collect()] == [(9, 1, 9, True)]
 
 
+def test_texts_without_words_only(spark):
+    got = groups(spark.createDataFrame([(1, None), (2, ""), (None, " "), (2, "\t")], "doc_id long, text string").repartition(1)).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in got) == [("1", 0, "1", True), ("2", 0, "2", True), ("2", 0, "2", True), ("None", 0, "None", True)]
+
+
 def test_blocks_lose_no_pair(spark, monkeypatch):
     """Chains: neighbours are linked, ends are not; all share bands, and blocks are small."""
     monkeypatch.setattr(superminhash, "BLOCK", 4)
