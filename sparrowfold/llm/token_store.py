@@ -2,7 +2,8 @@
 
 A shard file: magic, the ids of its documents in ascending doc_id order, then a footer (keys, null flags, first id of
 each document) and a trailer. An index file covers one bucket of keys: the bit levels of a minimal perfect hash and,
-for each of its numbers, a fingerprint, the shard, the document's place in it and the count of documents of that key.
+for each of its numbers, a fingerprint, the shard, the document's place in it and the count of documents of that key,
+which may go on at the beginning of the shards that follow.
 """
 
 from __future__ import annotations
@@ -94,7 +95,9 @@ def read_footer(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int
 def write_shards(docs: DataFrame, root: str, tokenizer_path: str, end_id: int) -> DataFrame:
     """One shard file a range of doc_ids; returns shard, path, docs, ids (a row a shard)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ranged = rows.repartitionByRange(partitions_for(rows), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # the second column lets a doc_id of very many rows be dealt over several shards
+    salted = rows.withColumn("salt", F.rand(7))
+    ranged = salted.repartitionByRange(partitions_for(rows), F.col("doc_id").asc_nulls_first(), "salt").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "salt").drop("salt")
 
     def run(batches):
         enc = encoder(tokenizer_path)
@@ -127,6 +130,8 @@ class TokenStore:
 
     def __init__(self, spark, shards: pd.DataFrame, buckets: int, index_root: str):
         self.spark, self.buckets, self.index_root = spark, buckets, index_root
+        #: the buckets that have keys, and so a file
+        self.listed: set[int] = set()
         self.shards = shards.sort_values("shard").reset_index(drop=True)
         self.shards["first"] = self.shards["ids"].cumsum() - self.shards["ids"]
 
@@ -134,7 +139,9 @@ class TokenStore:
     def write(cls, docs: DataFrame, tokenizer_path: str, end_id: int, ws: Workspace) -> TokenStore:
         """Encodes (doc_id, text), writes shards in ascending doc_id order (null first), then the index.
 
-        Null or empty text: the end id alone. Repeated doc_ids lie side by side and are found together.
+        Null or empty text: the end id alone. Repeated doc_ids lie side by side, over several shards if they are very
+        many, and are found together. Texts of any length are encoded whole. No row: a store without shards, in which
+        nothing is found. Other columns are not read.
         """
         spark = docs.sparkSession
         shards = ws.save(write_shards(docs, ws.path("shards"), tokenizer_path, end_id), "manifest").toPandas()
@@ -165,6 +172,8 @@ class TokenStore:
 
         def build(pdf):
             bucket = int(pdf["bucket"].iloc[0])
+            # shards are ranges: a key's entries of several shards are one run
+            pdf = pdf.sort_values(["key", "shard"]).groupby("key", sort=False, as_index=False).agg({"shard": "first", "place": "first", "run": "sum"})
             keys = pdf["key"].to_numpy(np.int64)
             mph = PerfectHash.build(keys)
             order = np.argsort(mph.number(keys))
@@ -174,47 +183,60 @@ class TokenStore:
             return pd.DataFrame({"bucket": [bucket], "keys": [len(keys)]})
 
         rows = self._files(["shard", "path"]).mapInPandas(entries, "bucket long, key long, shard int, place long, run long")
-        ws.save(rows.groupBy("bucket").applyInPandas(build, "bucket long, keys long"), "index-manifest")
+        manifest = ws.save(rows.groupBy("bucket").applyInPandas(build, "bucket long, keys long"), "index-manifest")
+        self.listed = {r.bucket for r in manifest.select("bucket").collect()}  # a row a bucket
 
     def get(self, keys: DataFrame) -> DataFrame:
         """For each distinct doc_id of keys (null too): doc_id, start, n_tokens, ids (bytes), width, of every document of that key.
 
-        Keys that the store lacks give no row: the stored fingerprint, then the shard's own key, rule them out.
+        Keys that the store lacks give no row: the stored fingerprint, then the shard's own key, rule them out. A file
+        of the index or of the shards that is gone is an error.
         """
         if not len(self.shards):
             return self.spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids binary, width int")
         buckets, root = self.buckets, self.index_root
         paths = dict(zip(self.shards["shard"].tolist(), zip(self.shards["path"], self.shards["first"].tolist())))
-        known = self.spark.sparkContext.broadcast(paths)  # a row a shard
+        known = self.spark.sparkContext.broadcast((paths, self.shards["docs"].tolist(), self.listed))  # a row a shard and a number a bucket
+        order = {shard: k for k, shard in enumerate(self.shards["shard"].tolist())}
 
         def bucket_of(ids: pd.Series) -> pd.Series:
             return pd.Series(np.where(ids.isna(), buckets, (mixed(ids.fillna(0).to_numpy(np.int64), 2000) % np.uint64(buckets)).astype(np.int64)))
 
         def locate(batches):
             loaded = {}
+            sizes, listed = known.value[1:]
+            numbers = list(order)
+
+            def portions(key, nil, shard, place, run):
+                at = order[shard]
+                while run > 0:
+                    own = min(run, sizes[at] - place)
+                    yield key, nil, numbers[at], place, own
+                    at, place, run = at + 1, 0, run - own
+
             for pdf in batches:
                 nulls = pdf["doc_id"].isna()
                 for bucket, part in pdf.assign(bucket=bucket_of(pdf["doc_id"])).groupby("bucket"):
+                    if bucket not in listed:
+                        continue  # a bucket without keys
                     if bucket not in loaded:
                         loaded.clear()
-                        try:
-                            z = np.load(io.BytesIO(get_range(f"{root}/bucket-{bucket:06d}.mph")))
-                        except FileNotFoundError:
-                            continue
+                        z = np.load(io.BytesIO(get_range(f"{root}/bucket-{bucket:06d}.mph")))
                         loaded[bucket] = (PerfectHash.load(z["sizes"], z["bits"]), *(z[k] for k in ("fingerprint", "shard", "place", "run")))
                     mph, prints, shard, place, run = loaded[bucket]
                     ids = part["doc_id"].fillna(0).to_numpy(np.int64)
                     n = mph.number(ids)
                     ok = (n >= 0) & (prints[n] == fingerprint(ids))
-                    yield pd.DataFrame({"doc_id": ids[ok], "nil": nulls[part.index][ok], "shard": shard[n[ok]], "place": place[n[ok]], "run": run[n[ok]]})
+                    found = zip(ids[ok].tolist(), nulls[part.index][ok].tolist(), shard[n[ok]].tolist(), place[n[ok]].tolist(), run[n[ok]].tolist())
+                    yield pd.DataFrame([x for entry in found for x in portions(*entry)], columns=["doc_id", "nil", "shard", "place", "run"])
 
         def fetch(batches):
             path, footer, block = None, None, b""
             for pdf in batches:
                 out = []
                 for key, nil, shard, place, run in pdf[["doc_id", "nil", "shard", "place", "run"]].itertuples(index=False):
-                    if known.value[shard][0] != path:
-                        path, base = known.value[shard]
+                    if known.value[0][shard][0] != path:
+                        path, base = known.value[0][shard]
                         footer, block, lo = read_footer(path), b"", 0
                     stored, nulls, starts, width, _ = footer
                     for at in range(place, place + run):

@@ -74,3 +74,24 @@ def test_packing_round_trip(spark):
         ids = tuple(x for r in own for x in np.frombuffer(r.ids, "<u4").tolist())
         assert (key, ids) in want and len(ids) == own[0].doc_tokens
     assert pack(frame(spark, []), PATH, 1).count() == 0
+
+
+def test_a_lost_index_file_is_an_error(spark):
+    ws = Workspace(spark, "t")
+    store = TokenStore.write(frame(spark), PATH, 2, ws)
+    ws.drop("index/bucket-000000.mph")
+    with pytest.raises(Exception, match="bucket-000000|No such file|FileNotFound"):
+        store.get(frame(spark)).collect()
+    # the bucket of nulls is another one
+    assert store.get(spark.createDataFrame([(None,)], "doc_id long")).count() == 2
+
+
+def test_one_key_over_several_shards(spark):
+    rows = [(7, f"text {k}") for k in range(300)] + [(k, f"other {k}") for k in range(-20, 20) if k != 7]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    store = TokenStore.write(docs, PATH, 2, Workspace(spark, "t"))
+    assert len(store.shards) > 1 and (store.shards["docs"] < 300).all()
+    got = store.get(docs).orderBy("start").collect()
+    assert [r.start for r in got] == list(np.cumsum([0] + [r.n_tokens for r in got[:-1]])) and [r.doc_id for r in got] == sorted(i for i, _ in rows)
+    width = {2: "<u2", 4: "<u4"}
+    assert Counter((r.doc_id, tuple(np.frombuffer(r.ids, width[r.width]).tolist())) for r in got) == Counter((i, tuple(x)) for i, x in expected(rows, 2))
