@@ -38,7 +38,9 @@ STRONG, FLOOR = 2.0, 0.003
 #: One of so many labelled documents (by hash of doc_id) sets the calibration and is not counted.
 CALIBRATION = 4
 #: Tokens of one block, tokens for which a cell of pairs is planned, and bytes up to which the filter of pairs is broadcast.
-BLOCK_TOKENS, CELL_TOKENS, FILTER_BYTES = 3_000_000, 4_000_000, 32 << 20
+BLOCK_TOKENS, CELL_TOKENS, FILTER_BYTES = 4_500_000, 2_000_000, 32 << 20
+#: Pairs that are taken together where many numbers of each are needed.
+CHUNK = 400_000
 _FOLD = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
@@ -104,7 +106,7 @@ class Block:
     def __init__(self, blob: bytes):
         z = load(blob)
         self.words, rank = np.unique(z["words"], return_inverse=True)
-        token = rank[z["codes"]]
+        token = rank.astype(np.int32)[z["codes"]]
         self.lengths = z["lengths"].astype(np.int64)
         self.doc_id, self.null, self.t, self.u = z["doc_id"], z["null"].astype(bool), z["t"], z["u"]
         self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
@@ -271,19 +273,24 @@ class PairFilter:
         return ok
 
 
-def questions(b: Block, grid: Grid, shards: int, passing: PairFilter | None):
-    """Distinct pairs of a block and, for each (kind, shard), the places asked there, in the order of their keys:
-    of pairs that the filter passes (kind 0), and of the block's words (kind 1)."""
-    pairs = np.unique(b.pairs)
-    v, w = (b.words[x] for x in b.split(pairs))
-    cell, keys = grid.cell(v, w), pair_key(v, w)
-    place = np.arange(len(pairs)) if passing is None else np.flatnonzero(passing.passes(cell, keys))
-    place = place[np.lexsort((keys[place], cell[place]))]
+def questions(b: Block, pairs: np.ndarray, grid: Grid, shards: int, passing: PairFilter | None):
+    """For each (kind, shard), the keys asked there in their order, and their places: of those of the block's distinct
+    pairs that the filter passes (kind 0), and of its words (kind 1)."""
+    cells, keys, places = [], [], []
+    for at in range(0, len(pairs), CHUNK):
+        v, w = (b.words[x] for x in b.split(pairs[at : at + CHUNK]))
+        cell, key = grid.cell(v, w), pair_key(v, w)
+        ok = np.ones(len(cell), bool) if passing is None else passing.passes(cell, key)
+        cells.append(cell[ok].astype(np.int32))
+        keys.append(key[ok])
+        places.append((at + np.flatnonzero(ok)).astype(np.int32))
     shard = shard_of(b.words, shards)
-    cuts = lambda x: np.flatnonzero(np.diff(x)) + 1
-    asked = {(0, int(cell[own[0]])): own for own in np.split(place, cuts(cell[place])) if len(own)}
-    asked |= {(1, int(shard[own[0]])): own for own in np.split(np.arange(len(shard)), cuts(shard))}
-    return pairs, (keys, b.words), asked
+    asked = {}
+    for kind, where, key, place in ((0, *map(np.concatenate, (cells, keys, places))) if cells else (0, *[np.zeros(0, np.uint64)] * 3), (1, shard, b.words, np.arange(len(shard)))):
+        order = np.lexsort((key, where))
+        for own in np.split(order, np.flatnonzero(np.diff(where[order])) + 1) if len(order) else []:
+            asked[kind, int(where[own[0]])] = key[own], place[own]
+    return asked
 
 
 def _asked(grid: Grid, shards: int, sent):
@@ -292,8 +299,9 @@ def _asked(grid: Grid, shards: int, sent):
     def run(batches):
         for pdf in batches:
             for path in pdf["block"]:
-                _, keys, asked = questions(Block(get_range(path)), grid, shards, sent.value)
-                found = [(kind, shard, path, dump(keys=steps(keys[kind][own]))) for (kind, shard), own in asked.items()]
+                b = Block(get_range(path))
+                asked = questions(b, np.unique(b.pairs), grid, shards, sent.value)
+                found = [(kind, shard, path, dump(keys=steps(keys))) for (kind, shard), (keys, _) in asked.items()]
                 yield pd.DataFrame(found, columns=["kind", "shard", "block", "keys"])
 
     return run
@@ -319,17 +327,22 @@ def _scored(grid: Grid, shards: int, sent, totals: dict):
 
     def run(pdf):
         b = Block(get_range(pdf["block"].iloc[0]))
-        pairs, _, asked = questions(b, grid, shards, sent.value)
+        pairs, token = np.unique(b.pairs, return_inverse=True)
+        asked = questions(b, pairs, grid, shards, sent.value)
         stats, counts = {k: np.zeros(len(b.words)) for k in STATS}, {k: np.zeros(len(pairs)) for k in ("no", "nt")}
         for kind, shard, blob in pdf[["kind", "shard", "blob"]].itertuples(index=False):
             if kind >= 0:
-                z, own = load(blob), asked[kind, shard]
+                z, own = load(blob), asked[kind, shard][1]
                 own = own[np.unpackbits(z.pop("hit"), count=len(own)).astype(bool)]
                 for k, x in z.items():
                     (stats if kind else counts)[k][own] = x
-        v, w = b.split(pairs)
-        po, pt = probabilities({k: x[v] for k, x in stats.items()}, {k: x[w] for k, x in stats.items()}, counts["no"], counts["nt"], totals)
-        ratio = (np.log(pt) - np.log(po))[np.searchsorted(pairs, b.pairs)]
+        ratios = np.zeros(len(pairs))
+        for at in range(0, len(pairs), CHUNK):
+            part = slice(at, at + CHUNK)
+            v, w = b.split(pairs[part])
+            po, pt = probabilities({k: x[v] for k, x in stats.items()}, {k: x[w] for k, x in stats.items()}, counts["no"][part], counts["nt"][part], totals)
+            ratios[part] = np.log(pt) - np.log(po)
+        ratio = ratios[token]
         n = np.maximum(b.lengths, 1)
         mean, strong = (np.bincount(b.doc, weights=x, minlength=len(n)) / n for x in (ratio, np.maximum(ratio - STRONG, 0)))
         out = pd.DataFrame({"doc_id": pd.array(b.doc_id, "Int64"), "t": b.t, "u": b.u, "n": b.lengths, "a": mean, "b": np.log(strong + FLOOR)})
@@ -385,8 +398,7 @@ def evidence(docs: DataFrame, labels: DataFrame, ws: Workspace) -> DataFrame | N
     files, tokens = train.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     if not tokens:
         return None
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cells = max(-(-tokens // CELL_TOKENS), min(least, -(-tokens // (CELL_TOKENS // 8))))
+    cells = -(-tokens // CELL_TOKENS)
     grid = Grid(cells)
     counted = train.repartition(files).mapInPandas(_counted(grid), "cell int, blob binary")
     gathered = counted.repartition(cells, "cell").groupBy("cell").applyInPandas(_gathered(cells), "kind int, shard int, blob binary, size long")

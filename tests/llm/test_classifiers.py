@@ -136,6 +136,7 @@ class PlainModel:
 def test_evidence_is_that_of_a_plain_kneser_ney_model(spark, monkeypatch):
     monkeypatch.setattr(kn_toxicity, "BLOCK_TOKENS", 60)
     monkeypatch.setattr(kn_toxicity, "CELL_TOKENS", 80)
+    monkeypatch.setattr(kn_toxicity, "CHUNK", 7)
     rng = random.Random(4)
     rows = [(k, " ".join(rng.choice("ab ab cd e f g h i".split() + [f"z{k}"]) for _ in range(rng.randrange(0, 25)))) for k in range(30)]
     rows += [(100, None), (101, ""), (102, "unseen words only"), (103, "a b a b a b a b c"), (None, "a b"), (3, "a repeated key e f")]
