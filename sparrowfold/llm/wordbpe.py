@@ -108,8 +108,10 @@ class WordEncoder:
         pool, start = np.frombuffer(b"".join(ids), self.dtype), np.cumsum(length) - length
         n = length[which]
         stop = np.cumsum(n)
-        take = np.repeat(start[which] - (stop - n), n)
-        take += np.arange(len(take))
+        # places within the pool: 4 bytes each, unless one text alone has more than 2 ** 31 ids
+        kind = np.int32 if stop[-1:].sum() < 1 << 31 else np.int64
+        take = np.repeat((start[which] - (stop - n)).astype(kind), n)
+        take += np.arange(len(take), dtype=kind)
         return pool[take], np.concatenate([[0], stop])[first]
 
     def encode_ended(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +135,7 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def slices(batch, column: str = "text", size: int = 12_000_000):
+def slices(batch, column: str = "text", size: int = 4_000_000):
     """(first row, Arrow array of texts) of a batch, cut so that a slice's bytes are bounded unless one text alone is longer."""
     texts = batch.column(column)
     if not len(texts):
