@@ -7,6 +7,7 @@ blank-free pieces in a row. Only pieces not met before go to the library.
 from __future__ import annotations
 
 import os
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -62,7 +63,7 @@ class WordEncoder:
         words, parted, other, lacking, tails = self.words, [], [], set(), set()
         for k, piece in enumerate(pieces):
             word = piece.rstrip(TAILS)
-            if word == "" or word.isalpha():
+            if word == "" or (word.isalpha() and (word.isascii() or normalize("NFC", word).lower().isalpha())):
                 tail = piece[len(word) :]
                 # only ASCII is folded here: elsewhere, lower case can depend on what stands beside
                 word = word.lower() if word.isascii() else word
