@@ -12,8 +12,10 @@ n are counts of tokens, k of distinct preceding words, l the discounted mass of
 sum of log P_toxic - log P_ordinary over its tokens, divided by their number.
 
 Texts are cut into words once, into files of blocks. Every count of every labelled document is kept, in tables of
-cells (pairs) and shards (words); a block asks the shards for its distinct words and the cells for its distinct pairs,
-so that texts are never shuffled and no table has to fit anywhere. Keys travel sorted, as compressed differences.
+cells (pairs) and shards (words). Pairs met no more than D times say no more than their words; counts of the others
+are sent to the executors while they are few. A block asks the shards for its distinct words, and beyond that bound
+the cells for its distinct pairs, so that texts are never shuffled and no table has to fit anywhere. Keys travel
+sorted, as compressed differences.
 """
 
 from __future__ import annotations
@@ -37,8 +39,10 @@ DISCOUNT = 2.0
 STRONG, FLOOR = 2.0, 0.003
 #: One of so many labelled documents (by hash of doc_id) sets the calibration and is not counted.
 CALIBRATION = 4
-#: Tokens of one block, tokens for which a cell of pairs is planned, and bytes up to which the filter of pairs is broadcast.
-BLOCK_TOKENS, CELL_TOKENS, FILTER_BYTES = 4_500_000, 2_000_000, 32 << 20
+#: Tokens of one block, and tokens for which a cell of pairs is planned.
+BLOCK_TOKENS, CELL_TOKENS = 4_500_000, 2_000_000
+#: Pairs (16 bytes each) up to which their counts are sent to all executors; beyond, blocks ask the cells for their pairs.
+SENT_PAIRS = 4_000_000
 #: Pairs that are taken together where many numbers of each are needed.
 CHUNK = 400_000
 _FOLD = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -250,46 +254,37 @@ def probabilities(first: dict, second: dict, no, nt, totals: dict) -> tuple[np.n
     return out[0], out[1]
 
 
-class PairFilter:
-    """One bit a key, over 8 bits a key and cell: lets every counted pair through, and an eighth of the others."""
+class Known:
+    """Counts of pairs, by sorted keys."""
 
-    def __init__(self, cells: dict[int, np.ndarray], count: int):
-        self.bits = [cells.get(k) for k in range(count)]
+    def __init__(self, blobs: list[dict]):
+        keys = np.concatenate([np.zeros(0, np.uint64), *(keys_of(z["keys"]) for z in blobs)])
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.counts = {c: np.concatenate([np.zeros(0, np.uint32), *(z[c] for z in blobs)])[order] for c in ("no", "nt")}
 
-    @staticmethod
-    def bitmap(keys: np.ndarray) -> np.ndarray:
-        size = 1 << max(3, int(8 * len(keys)).bit_length())
-        out = np.zeros(size, bool)
-        out[(keys & np.uint64(size - 1)).astype(np.int64)] = True
-        return np.packbits(out)
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the keys are known, and their places."""
+        if not len(self.keys):
+            return np.zeros(len(keys), bool), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        hit = self.keys[at] == keys
+        return hit, at[hit]
 
-    def passes(self, cell: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        sizes = np.array([0 if b is None else 8 * len(b) for b in self.bits], np.int64)
-        first = np.cumsum(sizes // 8) - sizes // 8
-        flat = np.concatenate([np.zeros(0, np.uint8), *(b for b in self.bits if b is not None)])
-        ok = sizes[cell] > 0
-        bit = (keys & np.maximum(sizes[cell], 1).astype(np.uint64) - np.uint64(1)).astype(np.int64)
-        ok[ok] = flat[(first[cell] + (bit >> 3))[ok]] >> (7 - (bit[ok] & 7)) & 1 == 1
-        return ok
 
-
-def questions(b: Block, pairs: np.ndarray, grid: Grid, shards: int, passing: PairFilter | None):
-    """For each (kind, shard), the keys asked there in their order, and their places: of those of the block's distinct
-    pairs that the filter passes (kind 0), and of its words (kind 1)."""
-    cells, keys, places = [], [], []
-    for at in range(0, len(pairs), CHUNK):
+def questions(b: Block, pairs: np.ndarray, grid: Grid, shards: int, known: Known | None):
+    """For each (kind, shard), the keys asked there in their order, and their places: of the block's distinct pairs
+    (kind 0; none where all that is known of pairs was sent), and of its words (kind 1)."""
+    cells, keys = [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)]
+    for at in range(0, 0 if known else len(pairs), CHUNK):
         v, w = (b.words[x] for x in b.split(pairs[at : at + CHUNK]))
-        cell, key = grid.cell(v, w), pair_key(v, w)
-        ok = np.ones(len(cell), bool) if passing is None else passing.passes(cell, key)
-        cells.append(cell[ok].astype(np.int32))
-        keys.append(key[ok])
-        places.append((at + np.flatnonzero(ok)).astype(np.int32))
-    shard = shard_of(b.words, shards)
+        cells.append(grid.cell(v, w).astype(np.int32))
+        keys.append(pair_key(v, w))
     asked = {}
-    for kind, where, key, place in ((0, *map(np.concatenate, (cells, keys, places))) if cells else (0, *[np.zeros(0, np.uint64)] * 3), (1, shard, b.words, np.arange(len(shard)))):
+    for kind, where, key in ((0, np.concatenate(cells), np.concatenate(keys)), (1, shard_of(b.words, shards), b.words)):
         order = np.lexsort((key, where))
         for own in np.split(order, np.flatnonzero(np.diff(where[order])) + 1) if len(order) else []:
-            asked[kind, int(where[own[0]])] = key[own], place[own]
+            asked[kind, int(where[own[0]])] = key[own], own
     return asked
 
 
@@ -340,6 +335,10 @@ def _scored(grid: Grid, shards: int, sent, totals: dict):
         for at in range(0, len(pairs), CHUNK):
             part = slice(at, at + CHUNK)
             v, w = b.split(pairs[part])
+            if sent.value:
+                hit, place = sent.value.find(pair_key(b.words[v], b.words[w]))
+                for c, x in sent.value.counts.items():
+                    counts[c][at + np.flatnonzero(hit)] = x[place]
             po, pt = probabilities({k: x[v] for k, x in stats.items()}, {k: x[w] for k, x in stats.items()}, counts["no"][part], counts["nt"][part], totals)
             ratios[part] = np.log(pt) - np.log(po)
         ratio = ratios[token]
@@ -410,11 +409,11 @@ def evidence(docs: DataFrame, labels: DataFrame, ws: Workspace) -> DataFrame | N
         return None
     pairs = ws.save(parts.where("kind = 0").select("shard", "blob", "size"), "pairs")
     ws.drop("parts")
-    passing = None
-    if pairs.agg(F.sum("size")).first()[0] * 2 <= FILTER_BYTES:
-        bitmaps = pairs.select("shard", F.pandas_udf(lambda s: s.map(lambda x: PairFilter.bitmap(keys_of(load(x)["keys"])).tobytes()), "binary")("blob").alias("bits"))
-        passing = PairFilter({r.shard: np.frombuffer(r.bits, np.uint8) for r in bitmaps.collect()}, grid.rows * grid.columns)
-    sent = spark.sparkContext.broadcast(passing)  # at most FILTER_BYTES
+    known = None
+    if pairs.agg(F.sum("size")).first()[0] <= SENT_PAIRS:
+        known = Known([load(r.blob) for r in pairs.select("blob").collect()])
+        pairs = pairs.limit(0)
+    sent = spark.sparkContext.broadcast(known)  # at most SENT_PAIRS keys and counts
     blocks = rows.select("block").distinct()
     n = max(1, blocks.count())
     asked = blocks.repartition(n).mapInPandas(_asked(grid, cells, sent), "kind int, shard int, block string, keys binary")

@@ -7,7 +7,7 @@ import numpy as np
 
 from sparrowfold.llm import kn_toxicity, rff_quality
 from sparrowfold.llm.common import Workspace
-from sparrowfold.llm.kn_toxicity import DISCOUNT, FLOOR, STRONG, Grid, PairFilter, dump, load, words_of
+from sparrowfold.llm.kn_toxicity import DISCOUNT, FLOOR, STRONG, Known, dump, load, words_of
 from sparrowfold.llm.rff_quality import STATISTICS, isotonic, statistics
 
 from .helpers import awkward, frame
@@ -154,22 +154,22 @@ def test_evidence_is_that_of_a_plain_kneser_ney_model(spark, monkeypatch):
         want.append((str(k), len(r), round(sum(r) / n, 9), round(math.log(sum(max(x - STRONG, 0) for x in r) / n + FLOOR), 9)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     given = spark.createDataFrame(labels, "doc_id long, y int")
-    for size in (1 << 20, 0):
-        # with the filter of pairs and without it
-        monkeypatch.setattr(kn_toxicity, "FILTER_BYTES", size)
+    for sent in (1000, 0):
+        # with counts of pairs sent to all, and with pairs asked of cells
+        monkeypatch.setattr(kn_toxicity, "SENT_PAIRS", sent)
         found = kn_toxicity.evidence(docs, given, Workspace(spark, "t")).collect()
         assert sorted((str(r.doc_id), r.n, round(r.a, 9), round(r.b, 9)) for r in found) == sorted(want)
 
 
-def test_blobs_and_filter():
+def test_blobs_and_known_pairs():
     rng = np.random.default_rng(2)
     arrays = {"a": rng.integers(0, 2**63, 50, dtype=np.uint64), "b": np.arange(7, dtype=np.uint32), "c": np.zeros(0, np.int64)}
     assert all((load(dump(**arrays))[k] == x).all() for k, x in arrays.items())
-    grid, keys = Grid(5), np.unique(rng.integers(0, 2**63, 4000, dtype=np.uint64))
-    cell = grid.cell(keys, keys[::-1])
-    held = PairFilter({int(c): np.frombuffer(PairFilter.bitmap(keys[:2000][cell[:2000] == c]).tobytes(), np.uint8) for c in set(cell[:2000].tolist())}, grid.rows * grid.columns)
-    passed = held.passes(cell, keys)
-    assert passed[:2000].all() and passed[2000:].mean() < 0.25
+    own = np.array([3, 9, 2**63], np.uint64)
+    known = Known([{"keys": np.diff(own, prepend=np.uint64(0)), "no": np.arange(3, dtype=np.uint32), "nt": np.arange(3, dtype=np.uint32)}])
+    hit, place = known.find(np.array([9, 4, 2**63, 2**64 - 1], np.uint64))
+    assert hit.tolist() == [True, False, True, False] and place.tolist() == [1, 2]
+    assert Known([]).find(own)[0].tolist() == [False] * 3
 
 
 def test_toxicity_with_one_class(spark):
