@@ -2,27 +2,33 @@
 
 A neighbour graph over a bounded sample is cut into balanced parts; a small network learns each vector's part and is
 then all that is needed: it places every vector in a part, and sends a query to its most probable parts, whose
-vectors are ranked by exact inner product. How many parts a query visits is set on the sample, for a recall.
+vectors are ranked by exact inner product. How many parts a query visits is set on the sample, for a recall. Parts
+that hold many vectors are cut again in the same way, each by a network of its own, fitted where the part's sample
+lies. Neighbouring parts lie in one region: a query's visits to a region are one task's work, which hands on the
+nearest of all of them in one row.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import pickle
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, partitions_for
+from .common import Workspace, partitions_for, small
 
-#: Distinct vectors that the index is fitted on (those of the least hash), and sample queries that set the visits.
+#: Distinct vectors that a network is fitted on (those of the least hash), and sample queries that set the visits.
 SAMPLE, TRIALS = 8192, 512
-#: Parts are the root of the count of distinct vectors over ROOT_SHARE, MOST_PARTS at most, so that what a query's visits
-#: hand on grows slower than the index; neighbours in the graph; and the recall that visits are set for.
-ROOT_SHARE, MOST_PARTS, DEGREE, RECALL = 24, 1024, 12, 0.955
-#: Index and query rows of one task's block.
-INDEX_BLOCK, QUERY_BLOCK = 4096, 1024
+#: Vectors planned for a part, the most parts of the first cut, the vectors from which a part is cut again, and the
+#: most parts of that.
+PART, FIRST_PARTS, SPLIT, SECOND_PARTS = 1024, 128, 16_384, 64
+#: Neighbours in the graph, and the recall that visits are set for, at either cut.
+DEGREE, RECALL, SECOND_RECALL = 12, 0.955, 0.975
+#: Index rows of a region, queries of one task, and queries that are compared at a time.
+REGION, QUERY_BLOCK, AT_ONCE = 8192, 8192, 256
 
 
 def neighbour_graph(x: np.ndarray, degree: int = DEGREE) -> np.ndarray:
@@ -115,8 +121,8 @@ def train_router(x: np.ndarray, target: np.ndarray, hidden: int = 128, epochs: i
     return Router(scale, *p)
 
 
-def fit(sample: np.ndarray, parts: int, k: int) -> tuple[Router, int]:
-    """The router, and how many parts a query has to visit for RECALL of its k nearest within the sample."""
+def fit(sample: np.ndarray, parts: int, k: int, recall: float = RECALL) -> tuple[Router, int]:
+    """The router, and how many parts a query has to visit for a recall of its k nearest within the sample."""
     graph = neighbour_graph(sample)
     label = balanced_parts(sample, graph, parts)
     target = np.zeros((len(sample), parts))
@@ -134,7 +140,73 @@ def fit(sample: np.ndarray, parts: int, k: int) -> tuple[Router, int]:
     rank = np.argsort(order, axis=1)
     met = rank[np.arange(len(trial))[:, None], placed[near]]
     share = np.cumsum(np.bincount(met.ravel(), minlength=parts)) / max(1, met.size)
-    return router, int(np.argmax(share >= RECALL)) + 1
+    return router, int(np.argmax(share >= recall)) + 1
+
+
+def planned(vectors: int, most: int, sample: int) -> int:
+    """How many parts so many vectors are cut into."""
+    return max(1, min(most, vectors // PART, sample // 32))
+
+
+@dataclass
+class Tree:
+    """The first network and those of the parts that are cut again; without a network there is one part."""
+
+    router: Router | None = None
+    visits: int = 1
+    seconds: dict[int, tuple[Router, int]] = field(default_factory=dict)
+
+    def __post_init__(self):
+        n = len(self.router.b2) if self.router else 1
+        width = np.array([len(self.seconds[p][0].b2) if p in self.seconds else 1 for p in range(n)])
+        self.first, self.parts = np.cumsum(width) - width, int(width.sum())
+
+    def logits(self, x: np.ndarray) -> np.ndarray:
+        return self.router.logits(x) if self.router else np.zeros((len(x), 1))
+
+    def top(self, x: np.ndarray) -> np.ndarray:
+        return self.logits(x).argmax(1)
+
+    def place(self, x: np.ndarray) -> np.ndarray:
+        """The part of each vector."""
+        top = self.top(x)
+        out = self.first[top]
+        for p, (router, _) in self.seconds.items():
+            own = np.flatnonzero(top == p)
+            if len(own):
+                out[own] += router.logits(x[own]).argmax(1)
+        return out
+
+    def route(self, x: np.ndarray, held: np.ndarray, k: int) -> list[np.ndarray]:
+        """The parts that each query visits: the most probable, and on until they hold more than k vectors."""
+        order = np.argsort(-self.logits(x), axis=1, kind="stable")
+        inner = {p: np.argsort(-router.logits(x), axis=1, kind="stable")[:, :visits] for p, (router, visits) in self.seconds.items()}
+        out = []
+        for row, tops in enumerate(order):
+            parts, rows = [], 0
+            for step, p in enumerate(tops.tolist()):
+                if step >= self.visits and rows > k:
+                    break
+                own = self.first[p] + (inner[p][row] if p in inner else np.zeros(1, np.int64))
+                parts.append(own)
+                rows += held[own].sum()
+            out.append(np.concatenate(parts))
+        return out
+
+
+def regions(held: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each part's first region and how many it has: small parts share one with their neighbours, up to `size` vectors."""
+    first, blocks, at, room = np.zeros(len(held), np.int64), np.ones(len(held), np.int64), 0, size
+    for p, n in enumerate(held.tolist()):
+        if n > room and room < size:
+            at, room = at + 1, size
+        first[p] = at
+        if n > size:
+            blocks[p] = -(-n // size)
+            at, room = at + int(blocks[p]), size
+        else:
+            room -= n
+    return first, blocks
 
 
 def valid(vectors: DataFrame) -> DataFrame:
@@ -144,6 +216,41 @@ def valid(vectors: DataFrame) -> DataFrame:
     return rows.where(finite & F.exists("v", lambda x: x != 0)).dropDuplicates(["vec_id", "v"])
 
 
+def identity(v: str = "v"):
+    """128 bits by which equal vectors are known."""
+    return F.concat(F.hex(F.xxhash64(v)), F.lit(":"), F.hex(F.xxhash64(F.lit(1), v)))
+
+
+def plant(index: DataFrame, total: int, k: int) -> Tree:
+    """The tree for the distinct vectors of index (h, v), from samples of at most SAMPLE of them a network."""
+    sample = np.array([r.v for r in index.orderBy("h").select("v").limit(SAMPLE).collect()])
+    parts = planned(total, FIRST_PARTS, len(sample))
+    if parts == 1:
+        return Tree()
+    tree = Tree(*fit(sample, parts, k))
+    if total <= SPLIT:
+        return tree
+    sent = index.sparkSession.sparkContext.broadcast(tree)  # one network
+
+    @F.pandas_udf("int")
+    def top_of(v: pd.Series) -> pd.Series:
+        return pd.Series(sent.value.top(np.stack(v.to_numpy())) if len(v) else [], dtype="int32")
+
+    topped = index.select("h", "v", top_of("v").alias("top"))
+    large = topped.groupBy("top").count().where(F.col("count") > SPLIT).collect()  # a row a part of the first cut
+    counts = {r.top: n for r in large if (n := planned(r["count"], SECOND_PARTS, min(SAMPLE, r["count"]))) > 1}
+    if not counts:
+        return tree
+
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        top, x = int(pdf["top"].iloc[0]), np.stack(pdf.sort_values("h")["v"].to_numpy())
+        return pd.DataFrame([(top, pickle.dumps(fit(x, counts[top], k, SECOND_RECALL)))], columns=["top", "model"])
+
+    few = topped.where(F.col("top").isin(list(counts))).withColumn("n", F.row_number().over(Window.partitionBy("top").orderBy("h"))).where(F.col("n") <= SAMPLE)
+    models = few.select("top", "h", "v").repartition(len(counts), "top").groupBy("top").applyInPandas(cut, "top int, model binary").collect()  # FIRST_PARTS networks at most
+    return Tree(tree.router, tree.visits, {r.top: pickle.loads(r.model) for r in models})
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found for each row of queries among the rows of vectors, by
     inner product in double precision, ties to the smaller vec_id; all of them, if they are fewer than k.
@@ -151,84 +258,102 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     Both have vec_id and embedding. A row of the query's own vec_id is no candidate. Rows with a null vec_id, with a
     vector that is null, zero, or holds a null or non-finite component, or of another length than most vectors have
     (on a tie, the longer) take no part. Equal rows count once. Equal vectors are placed, visited and ranked as one;
-    k + 1 of their least vec_ids can be among a query's nearest. Other columns are not read.
+    k + 1 of their least vec_ids can be among a query's nearest. Other columns are not read. No vector, no row. Fewer
+    than 2 * PART distinct vectors are one part, which every query visits.
     """
     spark = vectors.sparkSession
     ws = Workspace(spark, "ann")
-    schema = "query_id long, rank int, vec_id long, score double"
     rows = valid(vectors)
     sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
     if sizes is None:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     width = sizes[0]
-    rows = ws.save(rows.where(F.size("v") == width).withColumn("uid", F.xxhash64("v")), "rows")
+    rows = ws.save(rows.where(F.size("v") == width).withColumn("uid", identity()), "rows")
     # distinct vectors with their k + 1 least ids: a window that keeps few rows of a group is cut before the shuffle
     least = rows.withColumn("n", F.row_number().over(Window.partitionBy("uid").orderBy("vec_id"))).where(F.col("n") <= k + 1)
     distinct = ws.save(least.groupBy("uid").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.first("v").alias("v")), "distinct")
-    total = distinct.count()
-    sample = np.array([r.v for r in distinct.orderBy(F.xxhash64("uid", F.lit(1))).select("v").limit(SAMPLE).collect()])
-    parts = max(1, min(MOST_PARTS, int(np.sqrt(total) / ROOT_SHARE), len(sample) // 64))
-    router, visits = fit(sample, parts, k) if parts > 1 else (None, 1)
-    shared = spark.sparkContext.broadcast(router)  # sizes fixed by the length of a vector and MOST_PARTS
-
-    def ranked(v: pd.Series) -> np.ndarray:
-        if parts == 1 or not len(v):
-            return np.zeros((len(v), parts))
-        return shared.value.logits(np.stack(v.to_numpy()))
+    tree = plant(distinct.select(F.xxhash64("uid").alias("h"), "v"), distinct.count(), k)
+    sent = spark.sparkContext.broadcast(tree)  # at most FIRST_PARTS + 1 networks, whose size is fixed by the length of a vector
 
     @F.pandas_udf("int")
     def part_of(v: pd.Series) -> pd.Series:
-        return pd.Series(ranked(v).argmax(1) if len(v) else [], dtype="int32")
+        return pd.Series(sent.value.place(np.stack(v.to_numpy())) if len(v) else [], dtype="int32")
 
-    index = ws.save(distinct.select("uid", F.col("ids")[0].alias("first"), "v", part_of("v").alias("part")), "index")
-    held = np.zeros(parts, np.int64)
-    for r in index.groupBy("part").count().collect():  # a row a part
+    index = ws.save(distinct.select("uid", F.col("ids")[0].alias("first"), F.coalesce(F.try_element_at("ids", F.lit(2)), F.col("ids")[0]).alias("second"), "v", part_of("v").alias("part")), "index")
+    held = np.zeros(tree.parts, np.int64)
+    for r in index.groupBy("part").count().collect():  # a row a part, of at most FIRST_PARTS * SECOND_PARTS
         held[r[0]] = r[1]
+    first, blocks = regions(held, REGION)
+
+    # a query is known by its vector; where its vec_id has several vectors, all of them its own, by both
+    several = rows.groupBy("vec_id").count().where("count > 1").select(F.col("vec_id").alias("query_id"), F.col("vec_id").cast("string").alias("own"))
+    asked = valid(queries).where(F.size("v") == width).select(F.col("vec_id").alias("query_id"), identity().alias("quid"), "v")
+    asked = ws.save(asked.join(several, "query_id", "left"), "asked")
+
+    def routed(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x, out = np.stack(pdf["q"].to_numpy()), []
+            for row, parts in enumerate(sent.value.route(x, held, k)):
+                parts = np.sort(parts)
+                # all blocks of a part
+                region = np.concatenate([np.arange(first[p], first[p] + blocks[p]) for p in parts])
+                owner = np.repeat(parts, blocks[parts])
+                for r in np.unique(region):
+                    out.append((pdf["quid"].iloc[row], pdf["own"].iloc[row], x[row].tolist(), int(r), owner[region == r].tolist()))
+            yield pd.DataFrame(out, columns=["quid", "own", "q", "region", "parts"])
+
+    units = asked.groupBy("quid", "own").agg(F.first("v").alias("q"))
+    right = ws.save(units.mapInPandas(routed, "quid string, own string, q array<double>, region int, parts array<int>"), "routed")
+    chunks = ws.save(right.groupBy("region").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("chunks")), "chunks")
+
+    @F.pandas_udf("int")
+    def region_of(part: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(first[part] + h.to_numpy() % blocks[part], dtype="int32")
 
-    @F.pandas_udf("array<int>")
-    def parts_of(v: pd.Series) -> pd.Series:
-        """The most probable parts: `visits` of them, and on until they hold more than k distinct vectors."""
-        order = np.argsort(-ranked(v), axis=1, kind="stable")
-        enough = (np.cumsum(held[order], axis=1) <= k).sum(1) + 1
-        return pd.Series([o[: max(visits, n)].tolist() for o, n in zip(order, enough)])
-
-    asked = valid(queries).where(F.size("v") == width).withColumn("quid", F.xxhash64("v"))
-    asked = ws.save(asked.select(F.col("vec_id").alias("query_id"), "quid", "v"), "asked")
-    routed = ws.save(asked.groupBy("quid").agg(F.first("v").alias("q")).select("quid", "q", F.explode(parts_of("q")).alias("part")), "routed")
-    askers = np.ones(parts, np.int64)
-    for r in routed.groupBy("part").count().collect():
-        askers[r[0]] = r[1]
-    blocks = F.create_map(*[F.lit(int(x)) for p, n in enumerate(held) for x in (p, max(1, -(-n // INDEX_BLOCK)))])
-    chunks = F.create_map(*[F.lit(int(x)) for p, n in enumerate(askers) for x in (p, max(1, -(-n // QUERY_BLOCK)))])
-    spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = index.withColumn("block", F.pmod(F.xxhash64("uid", F.lit(2)), blocks[F.col("part")]).cast("int")).withColumn("chunk", spread(chunks[F.col("part")]))
-    right = routed.withColumn("chunk", F.pmod(F.xxhash64("quid", F.lit(3)), chunks[F.col("part")]).cast("int")).withColumn("block", spread(blocks[F.col("part")]))
+    left = index.withColumn("region", region_of("part", F.xxhash64("uid", F.lit(2)))).join(small(chunks), "region").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+    right = right.join(small(chunks), "region").withColumn("chunk", F.pmod(F.xxhash64("quid", "own"), F.col("chunks")).cast("int")).drop("chunks")
 
     def rerank(own: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(own) and len(asking):
             x, q = np.stack(own["v"].to_numpy()), np.stack(asking["q"].to_numpy())
-            uid, first, quid = own["uid"].to_numpy(), own["first"].to_numpy(), asking["quid"].to_numpy()
-            s = q @ x.T
-            few = min(k + 1, len(x))
-            cut = np.partition(s, len(x) - few, axis=1)[:, len(x) - few]
-            for row in range(len(q)):
-                # products are summed anew, alike wherever a vector stands; what rounding may have put below the cut comes too
-                at = np.flatnonzero(s[row] >= cut[row] - 1e-9 * (1 + abs(cut[row])))
-                exact = (x[at] * q[row]).sum(1)
-                order = np.lexsort((first[at], -exact))[:few]
-                out.append(pd.DataFrame({"quid": quid[row], "uid": uid[at[order]], "first": first[at[order]], "score": exact[order]}))
-        return pd.concat(out) if out else pd.DataFrame({"quid": [], "uid": [], "first": [], "score": []}).astype({"quid": "int64", "uid": "int64", "first": "int64"})
+            uid, lead, second, part = (own[c].to_numpy() for c in ("uid", "first", "second", "part"))
+            mine = asking["own"].tolist()
+            for at in range(0, len(q), AT_ONCE):
+                s = q[at : at + AT_ONCE] @ x.T
+                for row, scores in enumerate(s, at):
+                    scores[~np.isin(part, asking["parts"].iloc[row])] = -np.inf
+                    name = lead
+                    if mine[row] is not None:
+                        # its own vectors count only where other vec_ids have them too
+                        led = lead == int(mine[row])
+                        name = np.where(led, second, lead)
+                        scores[led & (second == lead)] = -np.inf
+                    few = min(k + 1, int(np.isfinite(scores).sum()))
+                    if not few:
+                        continue
+                    cut = np.partition(scores, len(scores) - few)[len(scores) - few]
+                    # products are summed anew, alike wherever a vector stands; what rounding may have put below the cut comes too
+                    near = np.flatnonzero(scores >= cut - 1e-9 * (1 + abs(cut)))
+                    exact = (x[near] * q[row]).sum(1)
+                    order = np.lexsort((name[near], -exact))[:few]
+                    out.append((asking["quid"].iloc[row], mine[row], (-exact[order]).tolist(), name[near[order]].tolist(), uid[near[order]].tolist()))
+        return pd.DataFrame(out, columns=["quid", "own", "far", "first", "uid"])  # a row a query and region
 
     n = partitions_for(index)
-    keys = ["part", "block", "chunk"]
+    keys = ["region", "chunk"]
     left, right = left.repartition(n, *keys), right.repartition(n, *keys)
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(rerank, "quid long, uid long, first long, score double")
-    best = found.withColumn("n", F.row_number().over(Window.partitionBy("quid").orderBy(F.desc("score"), "first"))).where(F.col("n") <= k + 1)
-    named = best.join(distinct.select("uid", "ids"), "uid").select("quid", "score", F.explode("ids").alias("vec_id"))
-    named = ws.save(named.withColumn("n", F.row_number().over(Window.partitionBy("quid").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= k + 1).select("quid", "n", "vec_id", "score"), "named")
-    mine = asked.select("query_id", "quid").join(named, "quid").where("vec_id <> query_id")
-    # without the query's own row, the order of a query vector's list gives the rank
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(rerank, "quid string, own string, far array<double>, first array<bigint>, uid array<string>")
+    # the nearest of all regions: a query has a row a region that it visits
+    merged = F.slice(F.sort_array(F.flatten(F.collect_list(F.arrays_zip("far", "first", "uid")))), 1, k + 1)
+    best = found.groupBy("quid", "own").agg(merged.alias("best")).select("quid", "own", F.inline("best"))
+    named = best.join(distinct.select("uid", "ids"), "uid").select("quid", "own", (-F.col("far")).alias("score"), F.explode("ids").alias("vec_id")).where("own is null or vec_id <> cast(own as long)")
+    order = F.row_number().over(Window.partitionBy("quid", "own").orderBy(F.desc("score"), "vec_id"))
+    named = ws.save(named.withColumn("n", order).where(F.col("n") <= k + 1).select("quid", F.col("own").alias("unit"), "n", "vec_id", "score"), "named")
+    mine = asked.join(named, (asked["quid"] == named["quid"]) & asked["own"].eqNullSafe(named["unit"])).where("vec_id <> query_id").select("query_id", asked["quid"], "n", "vec_id", "score")
+    # without the query's own row, the order of a query's list gives the rank
     rank = F.row_number().over(Window.partitionBy("query_id", "quid").orderBy("n"))
     return mine.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
