@@ -24,7 +24,7 @@ from .common import Workspace, partitions_for, small
 SAMPLE, TRIALS = 8192, 512
 #: Vectors planned for a part, the most parts of the first cut, the vectors from which a part is cut again, and the
 #: most parts of that.
-PART, FIRST_PARTS, SPLIT, SECOND_PARTS = 1024, 128, 16_384, 64
+PART, FIRST_PARTS, SPLIT, SECOND_PARTS = 200, 128, 16_384, 64
 #: Neighbours in the graph, and the recall that visits are set for, at either cut.
 DEGREE, RECALL, SECOND_RECALL = 12, 0.955, 0.975
 #: Index rows of a region, queries of one task, and queries that are compared at a time.
