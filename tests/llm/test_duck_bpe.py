@@ -1,6 +1,8 @@
 import hashlib
+import random
 
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -19,19 +21,34 @@ def plain(text):
     return " ".join(map(str, ENCODING.encode_ordinary(text))).encode(), text.encode()
 
 
+def coded(texts, coder=CODER):
+    return coder.code_batch(pa.array(texts, pa.string()))
+
+
 def test_odd_texts():
-    assert CODER.code_batch(ODD) == [plain(t) for t in ODD]
+    assert coded(ODD) == [plain(t) for t in ODD]
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(alphabet=st.sampled_from("abtheing 'sé日\n\t0123!.\x1c\x85　"), max_size=60), min_size=1, max_size=20))
+@given(st.lists(st.text(alphabet=st.sampled_from("abtheing 'sé日\n\t0123!.\x1c\x85\u3000\0"), max_size=60), min_size=1, max_size=20))
 def test_any_texts(texts):
-    assert CODER.code_batch(texts) == [plain(t) for t in texts]
+    assert coded(texts) == [plain(t) for t in texts]
+
+
+def test_long_pieces():
+    """All occurrences of a pair at once: runs, pieces of 10,000 bytes, tokens that are sides of earlier merges."""
+    rng = random.Random(4)
+    parts = ["in", "g", "th", "e", "er", "the", "s", "ss", "n", "tion", "aa"]
+    long = ["ab" * 5000, "x" * 10_000, "x" * 4001, "日本語" * 1200, "aab" * 100, "".join(rng.choice("etaoinshrdlu") for _ in range(2000))]
+    long += ["".join(rng.choice(parts) for _ in range(rng.randrange(20, 90))) for _ in range(200)]
+    assert coded(long) == [plain(t) for t in long]
 
 
-def test_heap_and_recursion_agree():
-    words = [w for t in ODD for w in CODER.split.findall(t)]
-    assert all(CODER.by_heap(w.encode()) == v for w, v in CODER.contract(list(set(words))).items() for w in [w])
+def test_another_pattern_splits_whole_texts():
+    pattern = r"\w+ \w+|\w+|\s+|[^\w\s]+"
+    other = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=read_ranks(PATH), special_tokens={})
+    texts = ["a b c d", "one two, three four  five", " x y"]
+    assert [ids for ids, _ in coded(texts, DuckBPE(PATH, pattern))] == [" ".join(map(str, other.encode_ordinary(t))).encode() for t in texts]
 
 
 def test_frame(spark):
