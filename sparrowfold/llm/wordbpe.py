@@ -146,6 +146,8 @@ def slices(batch, column: str = "text", size: int = 4_000_000):
     while start < len(texts):
         end = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + size, "right")))
         yield start, texts.slice(start, end - start)
+        # Arrow's allocator keeps what a slice took; executors have little memory beside the JVM's
+        pa.default_memory_pool().release_unused()
         start = end
 
 
