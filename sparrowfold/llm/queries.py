@@ -1,4 +1,7 @@
-"""Queries of this subpackage: each applies one operator to its whole table and returns its digest."""
+"""Queries of this subpackage: each applies one operator to its whole table and returns its digest.
+
+Nulls, empty and very long texts, ties, repeated rows, empty tables and other columns: as the operators state.
+"""
 
 from __future__ import annotations
 
@@ -13,6 +16,7 @@ BYTES = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document's ids lie in the shards and their crc32, read back from the files through the index."""
     from .token_store import TokenStore, ids_crc32
 
     docs = table(spark, sf_dir, "documents")
@@ -21,30 +25,36 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the field's verdict of every document; the field learns from quality labels that op7 may learn from."""
     from .line_crf import judge
+    from .rff_quality import training_labels
 
-    return judge(table(spark, sf_dir, "documents"))
+    return judge(table(spark, sf_dir, "documents"), training_labels(table(spark, sf_dir, "labels"), "quality", 3, 1))
 
 
 def op3_duck_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of the bytes that they decode to, for every document."""
     from .duck_bpe import code
 
     return code(table(spark, sf_dir, "documents"), BYTES, public_tokenizers.PATTERN)
 
 
 def op4_url_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page."""
     from .url_alias import judge
 
     return judge(table(spark, sf_dir, "pages"))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document, each a sequence of a power of two."""
     from .packing import pack
 
     return pack(table(spark, sf_dir, "documents"), WORDS, 1, with_ids=False)
 
 
 def op6_neural_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose vec_id 20 divides, among all others."""
     from .neural_partition import search
 
     vectors = table(spark, sf_dir, "embeddings")
@@ -52,24 +62,28 @@ def op6_neural_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_rff_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of every document."""
     from .rff_quality import classify
 
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op8_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate group of every document, from 85 percent of five-word shingles in common."""
     from .superminhash import groups
 
     return groups(table(spark, sf_dir, "documents"))
 
 
 def op9_kn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of every document."""
     from .kn_toxicity import classify
 
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and spans of secrets in every document."""
     from .secret_scan import digest, scan
 
     return digest(scan(table(spark, sf_dir, "documents")))
