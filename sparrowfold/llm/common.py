@@ -17,8 +17,9 @@ PARTITION_BYTES = 96 << 20
 #: Rows of a few numbers each up to which a side of a join is broadcast; beyond, both sides are shuffled.
 BROADCAST_ROWS = 500_000
 
-#: Spark's setting by which an execution removes its own shuffle files at its end.
-RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's settings while a table is saved: an execution removes its own shuffle files at its end, and rows go to Python
+#: in batches that stay small even for long texts.
+SAVING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2500"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,12 +54,15 @@ class Workspace:
 
     def save(self, df: DataFrame, name: str, **options) -> DataFrame:
         """df as a table; the shuffle files that made it go as soon as it stands, since nothing reads them again."""
-        conf, before = self.spark.conf, self.spark.conf.get(RELEASE, None)
-        conf.set(RELEASE, "true")
+        conf = self.spark.conf
+        before = {k: conf.get(k, None) for k in SAVING}
+        for k, v in SAVING.items():
+            conf.set(k, v)
         try:
             df.write.mode("overwrite").options(compression="zstd", **options).parquet(self.path(name))
         finally:
-            conf.unset(RELEASE) if before is None else conf.set(RELEASE, before)
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str = "") -> None:

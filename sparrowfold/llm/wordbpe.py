@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces, and words without their punctuation, that a worker keeps; beyond it they are encoded anew in each slice of texts.
-KEEP_PIECES, KEEP_WORDS = 200_000, 500_000
+KEEP_PIECES, KEEP_WORDS = 100_000, 300_000
 #: Characters that the splitter always parts from letters and that take no part in contractions.
 TAILS = ".,;:!?%*#$&|"
 
@@ -136,7 +136,7 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def slices(batch, column: str = "text", size: int = 4_000_000):
+def slices(batch, column: str = "text", size: int = 8_000_000):
     """(first row, Arrow array of texts) of a batch, cut so that a slice's bytes are bounded unless one text alone is longer."""
     texts = batch.column(column)
     if not len(texts):
