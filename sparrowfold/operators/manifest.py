@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +56,3 @@ def require_none(*violations: DataFrame, most: int = 20) -> None:
     if found:
         raise Incompatible("; ".join(found[:most]))
 
-
-def union(tables: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), tables)

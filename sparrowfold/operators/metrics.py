@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import gain, ideal_gain
+from .retrieval import few
 
 
 def checked_k(k: int) -> int:
@@ -44,7 +45,7 @@ def metrics(hits: DataFrame, gold: DataFrame, chunks: DataFrame, ks: list[int],
     shares = met.groupBy(*on, "group_no").agg(*(F.count(F.when(F.col("rank") <= k, 1)).alias(f"_g{k}") for k in ks)).join(groups, ["query_id", "group_no"])
     shares = shares.groupBy(*on).agg(*(F.sum(F.col(f"_g{k}") / F.col("size")).alias(f"_s{k}") for k in ks))
     group_count = groups.groupBy("query_id").agg(F.count("*").alias("group_count"))
-    base = (chunks.select(*keys).distinct().join(F.broadcast(size)) if keys else size).join(group_count, "query_id")
+    base = (few(chunks.select(*keys).distinct()).crossJoin(size) if keys else size).join(group_count, "query_id")
     rows = base.join(counts, on, "left").join(once, on, "left").join(shares, on, "left").join(ideal, on, "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     first = F.col("first_relevant_rank")

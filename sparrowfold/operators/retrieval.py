@@ -14,49 +14,55 @@ from ..functions.scores import unit_scale
 INDEX_BLOCK, QUERY_BLOCK = 4096, 1024
 #: Decimals at which scores tie; ties go to the smaller chunk id.
 TIE_DECIMALS = 9
-#: Distinct terms of all queries that a worker holds for sparse retrieval.
-MAX_QUERY_TERMS = 2_000_000
+#: Characters of all queries up to which every worker holds them for sparse retrieval, and cells of one matrix of theirs.
+MAX_QUERY_CHARS, MATRIX = 8_000_000, 16_000_000
 
 
-def dealt(rows: DataFrame, key: str, size: int, name: str) -> tuple[DataFrame, int]:
-    """rows with a block number by hash of their key, about `size` rows a block, and how many blocks there are."""
-    n = max(1, -(-rows.count() // size))
-    return rows.withColumn(name, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")), n
+def few(rows: DataFrame, most: int = 500_000) -> DataFrame:
+    """rows, marked for broadcast if there are no more than `most`."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
-def top_k(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, chunk_id, score: the k chunks of largest inner product for each query, in double precision.
+def top_k(index: DataFrame, queries: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, query_id, rank, chunk_id, score: the k chunks of largest inner product for each query, in double precision.
 
-    index: chunk_id, embedding; queries: query_id, embedding. Exact: every query meets every chunk, in blocks, and each
-    block hands on k rows a query. Fewer than k chunks give them all.
+    index: by, chunk_id, embedding; queries: query_id, embedding. With `by` (such as strategy_id) every query is put to
+    each of these parts of the index, in one pass. Exact: every query meets every chunk, in blocks, and each block
+    hands on k rows a query. Fewer than k chunks give them all.
     """
     if k <= 0:
         raise ValueError("k has to be positive")
-    left, blocks = dealt(index.select("chunk_id", F.col("embedding").cast("array<double>").alias("v")), "chunk_id", INDEX_BLOCK, "block")
-    right, chunks = dealt(queries.select("query_id", F.col("embedding").cast("array<double>").alias("q")), "query_id", QUERY_BLOCK, "part")
-    left = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    keys = [*by, "_block", "_part"]
+    named = index.select(*by, "chunk_id", F.col("embedding").cast("array<double>").alias("v"))
+    sizes = named.groupBy(*(F.col(c).alias(f"_{c}") for c in by)).agg(F.ceil(F.count("*") / INDEX_BLOCK).cast("int").alias("_blocks")).where("_blocks > 0")
+    parts = max(1, -(-queries.count() // QUERY_BLOCK))
+    left = named.join(few(sizes), [F.col(c) == F.col(f"_{c}") for c in by]).select(*named.columns, "_blocks") if by else named.crossJoin(sizes)  # one row
+    left = left.withColumn("_block", F.pmod(F.xxhash64("chunk_id"), F.col("_blocks")).cast("int")).drop("_blocks")
+    left = left.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    right = queries.select("query_id", F.col("embedding").cast("array<double>").alias("q")).withColumn("_part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
+    # every query against every part of the index is what is asked for
+    right = right.crossJoin(few(sizes)).withColumnsRenamed({f"_{c}": c for c in by}).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
     kinds = {f.name: f.dataType.simpleString() for f in [*index.schema, *queries.schema]}
-    schema = f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double"
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double"])
 
     def best(own: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(asking):
-            return pd.DataFrame({"query_id": asking["query_id"][:0], "chunk_id": own["chunk_id"][:0], "score": np.zeros(0)})
+            return pd.DataFrame({c: own[c][:0] for c in by} | {"query_id": asking["query_id"][:0], "chunk_id": own["chunk_id"][:0], "score": np.zeros(0)})
         own = own.sort_values("chunk_id")
         s = np.round(np.stack(asking["q"].to_numpy()) @ np.stack(own["v"].to_numpy()).T, TIE_DECIMALS)
-        few = min(k, s.shape[1])
-        at = np.argsort(-s, axis=1, kind="stable")[:, :few]
+        n = min(k, s.shape[1])
+        at = np.argsort(-s, axis=1, kind="stable")[:, :n]
         ids = own["chunk_id"].to_numpy()
-        return pd.DataFrame({"query_id": np.repeat(asking["query_id"].to_numpy(), few), "chunk_id": ids[at.ravel()], "score": np.take_along_axis(s, at, 1).ravel()})
+        found = {"query_id": np.repeat(asking["query_id"].to_numpy(), n), "chunk_id": ids[at.ravel()], "score": np.take_along_axis(s, at, 1).ravel()}
+        return pd.DataFrame({c: [own[c].iloc[0]] * (len(asking) * n) for c in by} | found)
 
-    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(best, schema)
-    return ranked(found, k)
+    return ranked(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, schema), k, by)
 
 
-def ranked(scored: DataFrame, k: int) -> DataFrame:
-    """The k best rows a query (query_id, chunk_id, score), with ranks from 1."""
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
+def ranked(scored: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """The k best rows a query (by, query_id, chunk_id, score), with ranks from 1."""
+    w = Window.partitionBy(*by, "query_id").orderBy(F.desc("score"), "chunk_id")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(*by, "query_id", "rank", "chunk_id", "score")
 
 
 def terms(text: str | None) -> Counter:
@@ -64,48 +70,95 @@ def terms(text: str | None) -> Counter:
     return Counter((text or "").lower().split())
 
 
+class TermMatrix:
+    """Queries as columns of a matrix by terms; texts are multiplied with it a few hundred at a time."""
+
+    def __init__(self, names: list, texts: list[str | None]):
+        rows = [(name, terms(t)) for name, t in zip(names, texts)]
+        self.blocks = []
+        at = 0
+        # a block of queries has at most MATRIX cells
+        while at < len(rows):
+            ids: dict[str, int] = {}
+            end = at
+            while end < len(rows):
+                grown = len(ids) + sum(w not in ids for w in rows[end][1])
+                if end > at and grown * (end - at + 1) > MATRIX:
+                    break
+                for w in rows[end][1]:
+                    ids.setdefault(w, len(ids))
+                end += 1
+            own = [r for r in rows[at:end] if r[1]]
+            weight = np.zeros((len(ids), len(own)))
+            for j, (_, t) in enumerate(own):
+                weight[[ids[w] for w in t], j] = np.array(list(t.values())) / np.sqrt(sum(n * n for n in t.values()))
+            if own:
+                self.blocks.append(([name for name, _ in own], ids, weight))
+            at = end
+
+    def best(self, chunks: list, texts: list[str | None], k: int) -> list[tuple]:
+        """(query, chunk, cosine) of the k best of these texts for each query, those without a common term left out; ties to the smaller chunk."""
+        order = sorted(range(len(chunks)), key=lambda j: chunks[j])
+        counts = [(chunks[j], t) for j in order if (t := terms(texts[j]))]
+        norm = np.array([np.sqrt(sum(n * n for n in t.values())) for _, t in counts])
+        out = []
+        for names, ids, weight in self.blocks:
+            s = np.zeros((len(names), len(counts)))
+            for at in range(0, len(counts), 256):
+                part = counts[at : at + 256]
+                hits = [(row, ids[w], n) for row, (_, t) in enumerate(part) for w, n in t.items() if w in ids]
+                if hits:
+                    row, term, n = map(np.array, zip(*hits))
+                    used, term = np.unique(term, return_inverse=True)
+                    m = np.zeros((len(part), len(used)))
+                    m[row, term] = n
+                    s[:, at : at + len(part)] = (m @ weight[used]).T
+            s = np.round(s / norm, TIE_DECIMALS) if len(counts) else s
+            few = min(k, s.shape[1])
+            near = np.argsort(-s, axis=1, kind="stable")[:, :few]
+            out += [(name, counts[c][0], s[q, c]) for q, name in enumerate(names) for c in near[q].tolist() if s[q, c] > 0]
+        return out
+
+
 def sparse_top_k(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """As top_k, by the cosine of term counts. index: chunk_id, text; queries: query_id, text.
 
-    The queries' terms are held by every worker (a bounded number of them; more raise); the index is read once, and a
-    partition hands on its k best for a query, so no row is made for each pair. Pairs without a common term don't count.
+    Queries of up to MAX_QUERY_CHARS characters in all are sent to every worker and the index is read once; beyond,
+    queries and texts meet in blocks. A task hands on its k best for a query, so no row is made for each pair. Pairs
+    without a common term don't count.
     """
-    spark = index.sparkSession
-    counted = queries.select("query_id", F.lower("text").alias("t")).where("t is not null")
-    size = counted.select(F.explode(F.split("t", r"(?U)[\s\x1c-\x1f]+")).alias("w")).distinct().count()
-    if size > MAX_QUERY_TERMS:
-        raise ValueError("too many query terms for one pass; split the queries")
-    asked = [(r.query_id, terms(r.t)) for r in counted.collect()]
-    asked = [(q, t, np.sqrt(sum(n * n for n in t.values()))) for q, t in asked if t]
-    by_term: dict[str, list[tuple[int, float]]] = {}
-    for j, (_, t, norm) in enumerate(asked):
-        for w, n in t.items():
-            by_term.setdefault(w, []).append((j, n / norm))
-    held = spark.sparkContext.broadcast({w: (np.array([j for j, _ in v]), np.array([x for _, x in v])) for w, v in by_term.items()})
-    names = [q for q, _, _ in asked]
     kinds = {f.name: f.dataType.simpleString() for f in [*index.schema, *queries.schema]}
     schema = f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double"
-
-    def best(batches):
-        heaps: list[list] = [[] for _ in names]
-        for pdf in batches:
-            for chunk, text in zip(pdf["chunk_id"], pdf["text"]):
-                own = terms(text)
-                if not own:
-                    continue
-                s = np.zeros(len(names))
-                for w in own.keys() & held.value.keys():
-                    j, x = held.value[w]
-                    s[j] += x * own[w]
-                s = np.round(s / np.sqrt(sum(n * n for n in own.values())), TIE_DECIMALS)
-                for j in np.flatnonzero(s).tolist():
-                    heaps[j].append((-s[j], chunk))
-                    if len(heaps[j]) > 8 * k:
-                        heaps[j] = sorted(heaps[j])[:k]
-        rows = [(names[j], c, -s) for j, heap in enumerate(heaps) for s, c in sorted(heap)[:k]]
-        yield pd.DataFrame(rows, columns=["query_id", "chunk_id", "score"])
-
-    return ranked(index.select("chunk_id", "text").mapInPandas(best, schema), k)
+    asked = queries.select("query_id", F.col("text").alias("asked")).where("asked is not null")
+    columns = ["query_id", "chunk_id", "score"]
+    if (asked.agg(F.sum(F.length("asked") + 1)).first()[0] or 0) <= MAX_QUERY_CHARS:
+        rows = asked.collect()
+        held = index.sparkSession.sparkContext.broadcast(TermMatrix([r.query_id for r in rows], [r.asked for r in rows]))
+
+        def run(batches):
+            best: list[tuple] = []
+            for pdf in batches:
+                best += held.value.best(pdf["chunk_id"].tolist(), pdf["text"].tolist(), k)
+                if len(best) > 200_000:
+                    best = cut(best)
+            yield pd.DataFrame(cut(best), columns=columns)
+
+        def cut(best):
+            own: dict = {}
+            for q, c, s in sorted(best, key=lambda x: (-x[2], x[1])):
+                if len(own.setdefault(q, [])) < k:
+                    own[q].append((q, c, s))
+            return [x for rows in own.values() for x in rows]
+
+        return ranked(index.select("chunk_id", "text").mapInPandas(run, schema), k)
+    parts, blocks = (max(1, -(-x.count() // n)) for x, n in ((asked, QUERY_BLOCK), (index, INDEX_BLOCK)))
+    left = index.select("chunk_id", "text", F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int").alias("_block")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    right = asked.withColumn("_part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def meet(own: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(TermMatrix(asking["query_id"].tolist(), asking["asked"].tolist()).best(own["chunk_id"].tolist(), own["text"].tolist(), k), columns=columns)
+
+    return ranked(left.groupBy("_block", "_part").cogroup(right.groupBy("_block", "_part")).applyInPandas(meet, schema), k)
 
 
 def pooled(index: DataFrame, sizes: list[int]) -> DataFrame:
@@ -115,7 +168,7 @@ def pooled(index: DataFrame, sizes: list[int]) -> DataFrame:
     """
     rows = index.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).withColumn("target", F.explode(F.array(*map(F.lit, sizes))))
     grouped = rows.groupBy("target", F.floor(F.col("vec_id") / F.col("target")).cast("long").alias("chunk_id")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "v"))).alias("own"))
-    total = F.aggregate(F.slice("own", 2, 1_000_000), F.col("own")[0]["v"], lambda s, x: F.zip_with(s, x["v"], lambda a, b: a + b))
+    total = F.aggregate(F.slice("own", 2, F.size("own")), F.col("own")[0]["v"], lambda s, x: F.zip_with(s, x["v"], lambda a, b: a + b))
     return grouped.select(F.concat(F.lit("target_"), "target").alias("strategy_id"), "target", "chunk_id", unit_scale(total).alias("embedding"), F.transform("own", lambda x: x["vec_id"]).alias("units"))
 
 

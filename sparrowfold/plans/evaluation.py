@@ -6,17 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import calibration, metrics, retrieval
-from ..operators.manifest import union
 
 
 def strategy_hits(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Hits with strategy_id, for every strategy of an index (strategy_id, chunk_id, embedding).
-
-    Query vectors serve all strategies; a strategy a search, of which there are few.
-    """
-    names = [r[0] for r in index.select("strategy_id").distinct().limit(1000).collect()]
-    found = [retrieval.top_k(index.where(F.col("strategy_id") == n), queries, k).withColumn("strategy_id", F.lit(n)) for n in sorted(names)]
-    return union(found)
+    """Hits with strategy_id, for every strategy of an index (strategy_id, chunk_id, embedding): query vectors serve all, in one search."""
+    return retrieval.top_k(index, queries, k, ("strategy_id",))
 
 
 def evaluate_strategies(index: DataFrame, queries: DataFrame, gold: DataFrame, lengths: DataFrame, ks: list[int]) -> tuple[DataFrame, DataFrame, DataFrame]:
