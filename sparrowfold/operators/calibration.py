@@ -22,12 +22,36 @@ def _tallies(scores: DataFrame) -> DataFrame:
     return scores.groupBy("score").agg(F.count(F.when(F.col("is_positive"), 1)).alias("p"), F.count(F.when(~F.col("is_positive"), 1)).alias("q"))
 
 
+#: Ranges of scores that running counts are dealt into.
+RANGES = 64
+
+
+def _running(tallies: DataFrame) -> DataFrame:
+    """score, above (the next score), below_p, below_q (counts up to and with the score), before_p, before_q (without it).
+
+    Scores are dealt into ranges of about equal size; only the ranges' totals, RANGES + 1 rows, are run through in one
+    task, the scores of a range in its own.
+    """
+    edges = tallies.agg(F.percentile_approx("score", [k / RANGES for k in range(1, RANGES)], 10_000).alias("_edges"))
+    dealt = tallies.crossJoin(F.broadcast(edges)).withColumn("_range", F.size(F.filter("_edges", lambda e: e <= F.col("score")))).drop("_edges")
+    sums = dealt.groupBy("_range").agg(F.sum("p").alias("_p"), F.sum("q").alias("_q"), F.min("score").alias("_first"))
+    w = Window.orderBy("_range")
+    bases = sums.select("_range", (F.sum("_p").over(w) - F.col("_p")).alias("_base_p"), (F.sum("_q").over(w) - F.col("_q")).alias("_base_q"), F.lead("_first").over(w).alias("_next"))
+    rows = dealt.join(F.broadcast(bases), "_range")
+    own = Window.partitionBy("_range").orderBy("score")
+    run = {f"below_{c}": F.col(f"_base_{c}") + F.sum(c).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)) for c in "pq"}
+    rows = rows.withColumns(run | {"above": F.coalesce(F.lead("score").over(own), F.col("_next"))})
+    return rows.select("score", "above", "below_p", "below_q", (F.col("below_p") - F.col("p")).alias("before_p"), (F.col("below_q") - F.col("q")).alias("before_q"))
+
+
+def _middle() -> Column:
+    return F.when(F.col("above").isNull(), next_double(F.col("score"))).otherwise((F.col("score") + F.col("above")) / 2)
+
+
 def thresholds(scores: DataFrame) -> DataFrame:
     """threshold: the least score, the middles between neighbouring distinct scores, and the next number above the largest."""
-    distinct = scores.select("score").distinct()
-    above = F.lead("score").over(Window.orderBy("score"))
-    middles = distinct.withColumn("_above", above).select(F.when(F.col("_above").isNull(), next_double(F.col("score"))).otherwise((F.col("score") + F.col("_above")) / 2).alias("threshold"))
-    return distinct.agg(F.min("score").alias("threshold")).where("threshold is not null").unionByName(middles)
+    middles = _running(_tallies(scores)).select(_middle().alias("threshold"))
+    return scores.agg(F.min("score").alias("threshold")).where("threshold is not null").unionByName(middles)
 
 
 def threshold_metrics(scores: DataFrame) -> DataFrame:
@@ -38,15 +62,12 @@ def threshold_metrics(scores: DataFrame) -> DataFrame:
     its neighbours, so what stands below it is known from the row of the score under it.
     """
     rows = _tallies(scores)
-    w = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     total = rows.agg(F.sum("p").alias("all_p"), F.sum("q").alias("all_q"))
-    run = rows.select("score", F.sum("p").over(w).alias("below_p"), F.sum("q").over(w).alias("below_q"), F.lead("score").over(Window.orderBy("score")).alias("above"))
-    middle = F.when(F.col("above").isNull(), next_double(F.col("score"))).otherwise((F.col("score") + F.col("above")) / 2)
     # the middle of two neighbouring doubles may be the lower one, which then is not below it
-    under = lambda c: F.when(middle > F.col("score"), F.col(c)).otherwise(F.coalesce(F.lag(c).over(Window.orderBy("score")), F.lit(0)))
-    cuts = run.select(middle.alias("threshold"), under("below_p").alias("fn"), under("below_q").alias("tn"))
+    under = lambda c: F.when(_middle() > F.col("score"), F.col(f"below_{c}")).otherwise(F.col(f"before_{c}"))
+    cuts = _running(rows).select(_middle().alias("threshold"), under("p").alias("fn"), under("q").alias("tn"))
     least = rows.agg(F.min("score").alias("threshold")).where("threshold is not null").select("threshold", F.lit(0).cast("long").alias("fn"), F.lit(0).cast("long").alias("tn"))
-    out = least.unionByName(cuts).join(F.broadcast(total))
+    out = least.unionByName(cuts).crossJoin(F.broadcast(total))  # one row
     recall, specificity = (F.col("all_p") - F.col("fn")) / F.col("all_p"), F.col("tn") / F.col("all_q")
     return out.select(
         "threshold", (F.col("all_p") - F.col("fn")).alias("true_positive"), F.col("fn").alias("false_negative"), F.col("tn").alias("true_negative"), (F.col("all_q") - F.col("tn")).alias("false_positive"),
@@ -56,8 +77,10 @@ def threshold_metrics(scores: DataFrame) -> DataFrame:
 
 def select_threshold(scores: DataFrame) -> DataFrame:
     """The candidate of best balanced accuracy, then recall, then specificity, then the least, and how many there were."""
-    rows = threshold_metrics(scores).withColumn("candidates", F.count("*").over(Window.partitionBy()))
-    return rows.orderBy(F.desc("balanced_accuracy"), F.desc("recall"), F.desc("specificity"), F.asc("threshold")).limit(1)
+    rows = threshold_metrics(scores)
+    # there is a candidate more than there are distinct scores
+    count = scores.agg(F.when(F.count_distinct("score") > 0, F.count_distinct("score") + 1).otherwise(0).alias("candidates"))
+    return rows.crossJoin(F.broadcast(count)).orderBy(F.desc("balanced_accuracy"), F.desc("recall"), F.desc("specificity"), F.asc("threshold")).limit(1)
 
 
 def score_summary(scores: DataFrame) -> DataFrame:

@@ -183,7 +183,7 @@ p2 AS (
 ),
 p3 AS (SELECT page_id, document_id, block, any_value(kind) AS kind, string_agg(text, ' ' ORDER BY pos) AS text FROM p2 WHERE text <> '' AND kind IS NOT NULL AND kind NOT IN ('script', 'style', 'title') GROUP BY ALL),
 lines AS (
-  SELECT document_id, (page_id * 100000 + block)::BIGINT AS line_no, CASE WHEN kind = 'li' THEN '• ' || text ELSE text END AS text, page_id + 1 AS page_number, block AS block_index,
+  SELECT document_id, (page_id * 10000000 + block)::BIGINT AS line_no, CASE WHEN kind = 'li' THEN '• ' || text ELSE text END AS text, page_id + 1 AS page_number, block AS block_index,
     CASE kind WHEN 'li' THEN 30.0 WHEN 'footer' THEN 740.0 ELSE 100.0 END::DOUBLE AS y0, CASE WHEN kind = 'h1' THEN 18.0 ELSE 11.0 END::DOUBLE AS font_size, kind = 'h1' AS is_bold
   FROM p3
 )"""

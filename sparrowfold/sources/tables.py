@@ -38,28 +38,33 @@ def document_units(documents: DataFrame) -> DataFrame:
     )
 
 
+#: Blocks of a page, and blocks and lines of a page of spans, that line numbers leave room for.
+PAGE_BLOCKS, SPAN_STEP = 10_000_000, 1_000_000
+# Tags that open a block, and those whose text is none of the page's.
+OPENERS, UNSEEN = ("li", "h1", "p", "div", "footer", "script", "style", "title"), ("script", "style", "title")
+
+
 def page_lines(pages: DataFrame) -> DataFrame:
     """LINES of raw html pages: a line a block (li, h1, p, div, footer), a document a host, a page a page.
 
     What stands in nav is a bulleted line in the head region, what stands in footer lies in the foot region; h1 is
-    large and bold. Scripts, styles and titles are left out. A page's parts stay together: one window by page.
+    large and bold. Scripts, styles and titles are left out. A page's parts are dealt with inside its row, without a
+    shuffle: a block is what lies between two opening tags.
     """
-    from pyspark.sql import Window
-
-    host = F.regexp_extract("url", r"://([^/?#]*)", 1)
-    parts = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("document_id"), F.posexplode(F.split("html", "<")).alias("pos", "part"))
-    tag = F.lower(F.regexp_extract("part", r"\A(/?[A-Za-z][A-Za-z0-9]*)", 1))
-    parts = parts.select("page_id", "document_id", "pos", tag.alias("tag"), squeeze(F.regexp_replace("part", r"\A[^>]*>?", "")).alias("text"))
-    w = Window.partitionBy("page_id", "document_id").orderBy("pos")
-    opens = F.col("tag").isin("li", "h1", "p", "div", "footer", "script", "style", "title")
-    parts = parts.withColumn("block", F.sum(opens.cast("int")).over(w)).withColumn("kind", F.last(F.when(opens, F.col("tag")), ignorenulls=True).over(w))
-    kept = parts.where("text <> '' and kind is not null and kind not in ('script', 'style', 'title')")
-    blocks = kept.groupBy("page_id", "document_id", "block").agg(F.first("kind").alias("kind"), F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("parts"))
-    text = F.array_join(F.transform("parts", lambda p: p["text"]), " ")
+    tag = lambda part: F.lower(F.regexp_extract(part, r"\A(/?[A-Za-z][A-Za-z0-9]*)", 1))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.regexp_extract("url", r"://([^/?#]*)", 1).alias("document_id"), F.split("html", "<").alias("parts"))
+    rows = rows.withColumn("opens", F.filter(F.transform("parts", lambda p, n: F.struct(tag(p).alias("kind"), n.alias("at"))), lambda x: x["kind"].isin(*OPENERS)))
+
+    def block(x: Column, n: Column) -> Column:
+        end = F.coalesce(F.get("opens", n + 1)["at"], F.size("parts"))
+        texts = F.transform(F.slice("parts", x["at"] + 1, end - x["at"]), lambda p: squeeze(F.regexp_replace(p, r"\A[^>]*>?", "")))
+        return F.struct((n + 1).cast("long").alias("block"), x["kind"].alias("kind"), F.when(~x["kind"].isin(*UNSEEN), F.array_join(F.filter(texts, lambda t: t != ""), " ")).alias("text"))
+
+    blocks = rows.select("page_id", "document_id", F.explode(F.filter(F.transform("opens", block), lambda b: b["text"] != "")).alias("b")).select("page_id", "document_id", "b.*")
     y0 = F.when(F.col("kind") == "li", 30.0).when(F.col("kind") == "footer", 740.0).otherwise(F.lit(100.0))
     big = F.col("kind") == "h1"
     return blocks.select(
-        "document_id", (F.col("page_id") * 100_000 + F.col("block")).alias("line_no"), F.when(F.col("kind") == "li", F.concat(F.lit("• "), text)).otherwise(text).alias("text"),
+        "document_id", (F.col("page_id") * PAGE_BLOCKS + F.col("block")).alias("line_no"), F.when(F.col("kind") == "li", F.concat(F.lit("• "), F.col("text"))).otherwise(F.col("text")).alias("text"),
         (F.col("page_id") + 1).cast("int").alias("page_number"), F.col("block").cast("int").alias("block_index"), F.lit(0).alias("line_index"),
         F.struct(F.lit(50.0).alias("x0"), y0.alias("y0"), F.lit(550.0).alias("x1"), (y0 + 10).alias("y1")).alias("bbox"), F.when(big, 18.0).otherwise(11.0).alias("font_size"), big.alias("is_bold"),
     )
@@ -76,7 +81,7 @@ def span_lines(spans: DataFrame) -> DataFrame:
     lines = spans.where(strip(F.col("text")) != "").groupBy("document_id", "page_number", "block_index", "line_index").agg(
         ordered.alias("s"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.max("size").alias("font_size"), F.bool_or(is_bold_font(F.col("font"))).alias("is_bold")
     )
-    line_no = (F.col("page_number").cast("long") * 1_000_000 + F.col("block_index") * 1000 + F.col("line_index")).alias("line_no")
+    line_no = ((F.col("page_number").cast("long") * SPAN_STEP + F.col("block_index")) * SPAN_STEP + F.col("line_index")).alias("line_no")
     return lines.select("document_id", line_no, join_spans(F.col("s")).alias("text"), "page_number", "block_index", "line_index", F.struct("x0", "y0", "x1", "y1").alias("bbox"), "font_size", "is_bold").where("text <> ''")
 
 

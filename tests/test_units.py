@@ -165,7 +165,7 @@ def test_spans_to_lines(spark):
     df = spark.createDataFrame(rows, "document_id string, page_number int, block_index int, line_index int, span_index int, text string, x0 double, y0 double, x1 double, y1 double, size double, font string")
     out = src.span_lines(df).collect()
     assert [(r.text, r.font_size, r.is_bold, r.bbox.x1) for r in out] == [("Part B", 12.0, True, 30.0)]
-    assert out[0].line_no == 1_000_000
+    assert out[0].line_no == 10**12
 
 
 def test_files(spark, tmp_path):
@@ -178,3 +178,13 @@ def test_files(spark, tmp_path):
     src.write_json(spark.createDataFrame([("ä", None)], "a string, b int"), f"{tmp_path}/x.json")
     assert (tmp_path / "x.json").read_text() == '{\n  "a": "ä",\n  "b": null\n}\n'
     assert src.read_json(spark, f"{tmp_path}/x.json", "a string, b int").select(F.col("a")).first().a == "ä"
+
+
+def test_line_numbers_of_large_pages_differ(spark):
+    """More than a thousand lines a block, and pages of very many blocks."""
+    rows = [("d", p, b, n, 0, "x", 0.0, 0.0, 1.0, 1.0, 9.0, "f") for p, b, n in [(1, 0, 1000), (1, 1, 0), (1, 1000, 0), (2, 0, 0)]]
+    lines = src.span_lines(spark.createDataFrame(rows, "document_id string, page_number int, block_index int, line_index int, span_index int, text string, x0 double, y0 double, x1 double, y1 double, size double, font string"))
+    assert [(r.page_number, r.block_index, r.line_index) for r in lines.orderBy("line_no").collect()] == [(1, 0, 1000), (1, 1, 0), (1, 1000, 0), (2, 0, 0)]
+    html = "<p>a" * 100_002
+    numbers = src.page_lines(spark.createDataFrame([(1, "http://h/", html), (2, "http://h/", "<p>b")], "page_id long, url string, html string")).select("line_no")
+    assert numbers.distinct().count() == 100_003
