@@ -87,6 +87,19 @@ def small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
+_HELD: dict = {}
+
+
+def held(kind, make=None):
+    """What a worker process keeps between tasks, such as encoded words: of one kind at a time, since the processes of
+    all operators outlive them. Without make, nothing is kept on."""
+    if kind not in _HELD:
+        _HELD.clear()
+        if make:
+            _HELD[kind] = make()
+    return _HELD.get(kind)
+
+
 def file_system(uri: str):
     """pyarrow's file system and path for a URI, for executors: any store that pyarrow reaches."""
     from pyarrow import fs

@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import held
 from .wordbpe import slices
 
 #: Bytes up to which a piece is contracted pair by pair (a position fits into 10 bits); in longer ones, all occurrences at once.
@@ -177,15 +178,9 @@ class DuckBPE:
         return out
 
 
-_CODERS: dict[tuple, DuckBPE] = {}
-
-
 def coder(ranks_path: str, pattern: str) -> DuckBPE:
     """One coder a worker process."""
-    key = (ranks_path, pattern)
-    if key not in _CODERS:
-        _CODERS[key] = DuckBPE(*key)
-    return _CODERS[key]
+    return held(("bytes", ranks_path, pattern), lambda: DuckBPE(ranks_path, pattern))
 
 
 def code(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, crc_mod, get_range, put_file, small
+from .common import Workspace, crc_mod, get_range, held, put_file, small
 from .rff_quality import training_labels
 from .superminhash import mix
 
@@ -40,7 +40,7 @@ STRONG, FLOOR = 2.0, 0.003
 #: One of so many labelled documents (by hash of doc_id) sets the calibration and is not counted.
 CALIBRATION = 4
 #: Tokens of one block, and tokens for which a cell of pairs is planned.
-BLOCK_TOKENS, CELL_TOKENS = 4_500_000, 2_000_000
+BLOCK_TOKENS, CELL_TOKENS = 2_500_000, 2_000_000
 #: Pairs (16 bytes each) up to which their counts are sent to all executors; beyond, blocks ask the cells for their pairs.
 SENT_PAIRS = 4_000_000
 #: Pairs that are taken together where many numbers of each are needed.
@@ -113,7 +113,7 @@ class Block:
         token = rank.astype(np.int32)[z["codes"]]
         self.lengths = z["lengths"].astype(np.int64)
         self.doc_id, self.null, self.t, self.u = z["doc_id"], z["null"].astype(bool), z["t"], z["u"]
-        self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        self.doc = np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
         before = np.empty_like(token)
         before[1:] = token[:-1]
         first = np.cumsum(self.lengths) - self.lengths
@@ -131,7 +131,8 @@ def write_blocks(docs: DataFrame, root: str) -> DataFrame:
     def run(batches):
         import xxhash
 
-        codes, held, lengths, keys = {b"": 0}, [], [], []
+        held("toxicity")
+        codes, coded, lengths, keys = {b"": 0}, [], [], []
 
         def leave():
             path = f"{root}/{uuid.uuid4().hex}"
@@ -140,14 +141,14 @@ def write_blocks(docs: DataFrame, root: str) -> DataFrame:
                 path,
                 [
                     dump(
-                        words=np.array([xxhash.xxh64_intdigest(w) for w in codes], np.uint64), codes=np.concatenate([np.zeros(0, np.uint32), *held]), lengths=np.array(lengths, np.uint32),
+                        words=np.array([xxhash.xxh64_intdigest(w) for w in codes], np.uint64), codes=np.concatenate([np.zeros(0, np.uint32), *coded]), lengths=np.array(lengths, np.uint32),
                         doc_id=np.array([k or 0 for k, _, _ in keys], np.int64), null=null, t=np.array([t for _, t, _ in keys], np.int64), u=np.array([u for _, _, u in keys], np.int32),
                     )
                 ],
             )
             n = len(keys)
             out = pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in keys], pa.int64()), pa.array([path] * n), pa.array(range(n), pa.int32()), pa.array(lengths, pa.int64())], names=["doc_id", "block", "place", "n"])
-            for x in (codes, held, lengths, keys):
+            for x in (codes, coded, lengths, keys):
                 x.clear()
             codes[b""] = 0
             return out
@@ -157,7 +158,7 @@ def write_blocks(docs: DataFrame, root: str) -> DataFrame:
             columns = [batch.column(c).to_pylist() for c in ("doc_id", "t", "u")]
             for k, text in enumerate(batch.column("text")):
                 own = words_of(text.as_py())
-                held.append(np.array([codes.setdefault(w, len(codes)) for w in own], np.uint32))
+                coded.append(np.array([codes.setdefault(w, len(codes)) for w in own], np.uint32))
                 lengths.append(len(own))
                 keys.append(tuple(c[k] for c in columns))
                 size += len(own)
@@ -323,6 +324,7 @@ def _scored(grid: Grid, shards: int, sent, totals: dict):
     def run(pdf):
         b = Block(get_range(pdf["block"].iloc[0]))
         pairs, token = np.unique(b.pairs, return_inverse=True)
+        b.pairs, token = None, token.astype(np.int32)
         asked = questions(b, pairs, grid, shards, sent.value)
         stats, counts = {k: np.zeros(len(b.words)) for k in STATS}, {k: np.zeros(len(pairs)) for k in ("no", "nt")}
         for kind, shard, blob in pdf[["kind", "shard", "blob"]].itertuples(index=False):
@@ -449,10 +451,10 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if found is None:
         only = 1 / (1 + np.exp(-30.0 if known == {1} else 30.0))
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(), F.lit(float(only)).alias("score"))
-    held = given.where("aside") if {(True, 0), (True, 1)} <= kinds else given
+    aside = given.where("aside") if {(True, 0), (True, 1)} <= kinds else given
     # a grid of counts, so that what the regression reads is bounded
     place = lambda c, low, high: (F.round(F.greatest(F.least(c, F.lit(high)), F.lit(low)) * 50) / 50).alias(c)
-    points = found.join(small(held.select("doc_id", "y")), "doc_id").select(place("a", -6.0, 6.0), place("b", -6.0, 3.0), "y").groupBy("a", "b", "y").agg(F.count("*").alias("n")).toPandas().sort_values(["a", "b", "y"])
+    points = found.join(small(aside.select("doc_id", "y")), "doc_id").select(place("a", -6.0, 6.0), place("b", -6.0, 3.0), "y").groupBy("a", "b", "y").agg(F.count("*").alias("n")).toPandas().sort_values(["a", "b", "y"])
     if points["y"].nunique() < 2:
         w = [1.0, 0.0, 0.0]
     else:

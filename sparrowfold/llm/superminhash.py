@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, partitions_for, small
+from .common import Workspace, held, partitions_for, small
 from .components import connected_components
 from .wordbpe import text_slices
 
@@ -107,13 +107,8 @@ class Shingler:
         return np.unique(out)
 
 
-_SHINGLER: list[Shingler] = []
-
-
 def shingler() -> Shingler:
-    if not _SHINGLER:
-        _SHINGLER.append(Shingler())
-    return _SHINGLER[0]
+    return held("shingles", Shingler)
 
 
 def signatures(sets: list[np.ndarray], size: int = SIGNATURE) -> np.ndarray:

@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import held
+
 #: Pieces, and words without their punctuation, that a worker keeps; beyond it they are encoded anew in each slice of texts.
 KEEP_PIECES, KEEP_WORDS = 100_000, 300_000
 #: Characters that the splitter always parts from letters and that take no part in contractions.
@@ -126,14 +128,9 @@ class WordEncoder:
         return out, bounds
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
     """One encoder a worker process and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    return held(("words", path), lambda: WordEncoder(path))
 
 
 def slices(batch, column: str = "text", size: int = 8_000_000):
