@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,6 +64,16 @@ def token_count(t: Column) -> Column:
     return word_count(t) + SPECIAL_TOKENS
 
 
+def token_counter(count: Callable[[list[str]], list[int]]) -> Callable[[Column], Column]:
+    """token_count() by a tokenizer of one's own: count gives the tokens, special ones among them, of each of many texts."""
+
+    @F.pandas_udf("int")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(count(texts.fillna("").tolist()), dtype="int32")
+
+    return run
+
+
 def join_spans(spans: Column) -> Column:
     """The text of a line from its spans (array of text, x0, x1, size, in order).
 

@@ -2,29 +2,104 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import chunk_id, token_count
 
 
+#: Why a chunk exceeds the hard limit.
+CASES = ("heading_only", "unit", "headings_and_unit", "first_unit", "chunk")
+_CHUNK = (
+    "document_id {0}, chunk_id string, strategy_id string, target_tokens int, token_count int, text string, heading_context array<string>, page_numbers array<int>, "
+    "page_start int, page_end int, section_index int, chunk_index int, source_unit_orders array<int>, problem string"
+)
+
+
+def _checked(targets: list[int] | DataFrame, hard_limit: int) -> None:
+    if hard_limit <= 0:
+        raise ValueError("the hard limit has to be positive")
+    if isinstance(targets, list) and any(t <= 0 or t > hard_limit for t in targets):
+        raise ValueError("targets have to be positive and within the hard limit")
+
+
+def pack_section(units: list[dict], target: int, hard_limit: int, count: Callable[[list[str]], list[int]]) -> list[dict]:
+    """The chunks of one section (units in order) by a tokenizer, whose counts need not add up: what would be a chunk is
+    counted as it would be encoded, headings and all."""
+    tokens = lambda heads, own: count(["\n".join([*(t for h in heads if (t := h["text"].strip())), *([body] if (body := "\n".join(u["text"] for u in own).strip()) else [])])])[0]
+    split = next((k for k, u in enumerate(units) if u["unit_type"] != "heading"), len(units))
+    heads, body = units[:split], units[split:]
+    if not body:
+        n = tokens([], heads)
+        return [{"heads": [], "own": heads, "n": n, "problem": CASES[0] if n > hard_limit else None}] if heads else []
+    out, own, held = [], [], 0
+    for u in body:
+        problem = CASES[1] if count([u["text"]])[0] > hard_limit else None
+        n = tokens(heads, [*own, u])
+        if own and n > target:
+            out[-1]["n"], out[-1]["own"] = held, own
+            own, held = [u], tokens(heads, [u])
+            out.append({"heads": heads, "problem": problem or (CASES[2] if held > hard_limit else None)})
+        else:
+            if not out:
+                out.append({"heads": heads, "problem": problem or (CASES[3] if n > hard_limit else None)})
+            out[-1]["problem"] = out[-1]["problem"] or problem
+            own, held = [*own, u], n
+    out[-1]["n"], out[-1]["own"] = held, own
+    for c in out:
+        c["problem"] = c["problem"] or (CASES[4] if c["n"] > hard_limit else None)
+    return out
+
+
+def build_chunks_with(sectioned: DataFrame, targets: list[int], count: Callable[[list[str]], list[int]], hard_limit: int = 512) -> DataFrame:
+    """build_chunks() by a tokenizer: count gives the tokens, special ones among them, of each of many texts.
+
+    A section is a task's group; a section's units are packed in memory.
+    """
+    _checked(targets, hard_limit)
+    kind = sectioned.schema["document_id"].dataType.simpleString()
+    names = [x.split(" ")[0] for x in _CHUNK.split(", ")]
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        units = pdf.sort_values("source_order")[["source_order", "text", "unit_type", "page_number"]].to_dict("records")
+        document, section, out = key[0], int(key[1]), []
+        for target in targets:
+            for k, c in enumerate(pack_section(units, target, hard_limit, count)):
+                both = [*c["heads"], *c["own"]]
+                pages, orders = sorted({int(u["page_number"]) for u in both}), list(dict.fromkeys(int(u["source_order"]) for u in both))
+                name = f"{document}-t{target}-s{section:04d}-c{k:02d}"
+                out.append((document, name, f"target_{target}", target, c["n"], "\n".join(u["text"] for u in c["own"]), [u["text"] for u in c["heads"]], pages, pages[0], pages[-1], section, k, orders, c["problem"]))
+        return pd.DataFrame(out, columns=names)
+
+    rows = sectioned.select("document_id", "section_index", "source_order", "text", "unit_type", "page_number").groupBy("document_id", "section_index").applyInPandas(run, _CHUNK.format(kind))
+    return rows.withColumn("fits", F.max(F.col("problem").isNotNull().cast("int")).over(Window.partitionBy("document_id")) == 0)
+
+
 def build_chunks(sectioned: DataFrame, targets: list[int] | DataFrame, hard_limit: int = 512) -> DataFrame:
-    """Chunks of every section for every target, with the column `fits`: false where a chunk of the document, for any
-    target, exceeds hard_limit (such documents are to be set aside whole).
+    """Chunks of every section for every target, with the columns `problem` (which of CASES holds, else null) and
+    `fits`: false where a chunk of the document, for any target, exceeds hard_limit (such documents are to be set aside
+    whole). Tokens are words here; build_chunks_with() takes a tokenizer.
 
     A chunk takes units while headings and units stay within the target; the first always enters; units are never
-    split. A section's headings are every chunk's context; a section of headings only is one chunk that has them as
-    content. token_count is of headings and text.
+    split. A section's leading headings are every chunk's context; a section of headings only is one chunk that has
+    them as content. token_count is of headings and text.
     """
+    _checked(targets, hard_limit)
     unit = F.struct("source_order", "text", (token_count(F.col("text")) - 2).alias("words"), "unit_type", "page_number")
     whole = sectioned.groupBy("document_id", "section_index").agg(F.sort_array(F.collect_list(unit)).alias("units"))
-    heads = F.filter("units", lambda u: u["unit_type"] == "heading")
-    content = F.filter("units", lambda u: u["unit_type"] != "heading")
+    # the headings in front; sections made by profile.sections() have no others
+    body = F.array_position(F.transform("units", lambda u: u["unit_type"] != "heading"), True).cast("int")
+    leading = F.when(body == 0, F.size("units")).otherwise(body - 1)
+    heads, content = F.slice("units", F.lit(1), leading), F.slice("units", leading + 1, F.size("units"))
     rows = whole.select("document_id", "section_index", heads.alias("heads"), content.alias("content"))
     alone = F.size("content") == 0
     rows = rows.select("document_id", "section_index", F.when(alone, F.array().cast(rows.schema["heads"].dataType)).otherwise(F.col("heads")).alias("heads"), F.when(alone, F.col("heads")).otherwise(F.col("content")).alias("content"), alone.alias("alone"))
     if isinstance(targets, DataFrame):
-        rows = rows.join(F.broadcast(targets.select(F.col("target").cast("int").alias("target"))))  # four rows at most
+        over = F.raise_error(F.lit("targets have to be within the hard limit")).cast("int")
+        rows = rows.crossJoin(F.broadcast(targets.select(F.when(F.col("target") <= hard_limit, F.col("target").cast("int")).otherwise(over).alias("target"))))  # four rows at most
     else:
         rows = rows.withColumn("target", F.explode(F.array(*map(F.lit, targets))))
     rows = rows.withColumn("base", F.aggregate("heads", F.lit(2), lambda s, h: s + h["words"]))
@@ -43,29 +118,36 @@ def build_chunks(sectioned: DataFrame, targets: list[int] | DataFrame, hard_limi
     rows = rows.withColumn("own", F.slice("content", F.col("at") + 1, end - F.col("at")))
     both = F.concat("heads", "own")
     pages = F.array_sort(F.array_distinct(F.transform(both, lambda u: u["page_number"])))
+    tokens = F.col("base") + F.aggregate("own", F.lit(0), lambda s, u: s + u["words"])
+    large = F.exists("own", lambda u: u["words"] + 2 > hard_limit)
+    first = F.col("base") + F.col("own")[0]["words"] > hard_limit
+    problem = (
+        F.when(F.col("alone"), F.when(tokens > hard_limit, CASES[0])).when(large, CASES[1])
+        .when(first, F.when(F.col("chunk_index") > 0, CASES[2]).otherwise(CASES[3])).when(tokens > hard_limit, CASES[4])
+    )
     out = rows.select(
         "document_id", chunk_id(F.col("document_id"), F.col("target"), F.col("section_index"), F.col("chunk_index")).alias("chunk_id"), F.concat(F.lit("target_"), "target").alias("strategy_id"),
-        F.col("target").alias("target_tokens"), (F.col("base") + F.aggregate("own", F.lit(0), lambda s, u: s + u["words"])).cast("int").alias("token_count"),
+        F.col("target").alias("target_tokens"), tokens.cast("int").alias("token_count"),
         F.array_join(F.transform("own", lambda u: u["text"]), "\n").alias("text"), F.transform("heads", lambda u: u["text"]).alias("heading_context"),
         pages.alias("page_numbers"), F.element_at(pages, 1).alias("page_start"), F.element_at(pages, -1).alias("page_end"), "section_index", "chunk_index",
-        F.array_distinct(F.transform(both, lambda u: u["source_order"])).alias("source_unit_orders"),
+        F.array_distinct(F.transform(both, lambda u: u["source_order"])).alias("source_unit_orders"), problem.alias("problem"),
     )
-    return out.withColumn("fits", F.max("token_count").over(Window.partitionBy("document_id")) <= hard_limit)
+    return out.withColumn("fits", F.max(F.col("problem").isNotNull().cast("int")).over(Window.partitionBy("document_id")) == 0)
 
 
-def rejected(chunks: DataFrame, hard_limit: int = 512) -> DataFrame:
-    """document_id, largest_chunk of documents that don't fit the hard limit."""
-    return chunks.where(~F.col("fits")).groupBy("document_id").agg(F.max("token_count").alias("largest_chunk"))
+def rejected(chunks: DataFrame) -> DataFrame:
+    """document_id, largest_chunk, problems (sorted, distinct) of documents that don't fit the hard limit."""
+    return chunks.where(~F.col("fits")).groupBy("document_id").agg(F.max("token_count").alias("largest_chunk"), F.array_sort(F.collect_set("problem")).alias("problems"))
 
 
 def accepted(chunks: DataFrame) -> DataFrame:
-    return chunks.where("fits").drop("fits")
+    return chunks.where("fits").drop("fits", "problem")
 
 
 def strict(chunks: DataFrame, hard_limit: int = 512) -> DataFrame:
-    """Chunks, as an error where a chunk exceeds the hard limit."""
-    error = F.raise_error(F.concat(F.lit("over the hard limit: "), "chunk_id")).cast("int")
-    return chunks.withColumn("token_count", F.when(F.col("token_count") > hard_limit, error).otherwise(F.col("token_count")))
+    """Chunks, as an error that names the case where a chunk exceeds the hard limit."""
+    error = F.raise_error(F.concat(F.lit("over the hard limit: "), "chunk_id", F.lit(", "), "problem")).cast("int")
+    return chunks.withColumn("token_count", F.when(F.col("problem").isNotNull(), error).otherwise(F.col("token_count")))
 
 
 def coverage_gaps(units: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,16 @@ from ..functions.scores import snapped
 from ..functions.text import preview, token_count
 
 TYPES = ("heading", "paragraph", "list_item")
+#: How a text's tokens are counted: by words, or as text.token_counter() gives it.
+Tokens = Callable[[Column], Column]
+
+
+def _section_tokens(sectioned: DataFrame, tokens: Tokens) -> DataFrame:
+    """document_id, section_index, n: tokens of each section's text. Words add up; a tokenizer counts the joined text."""
+    keys = ["document_id", "section_index"]
+    if tokens is token_count:
+        return sectioned.groupBy(*keys).agg((F.sum(token_count(F.col("text")) - 2) + 2).cast("long").alias("n"))
+    return section_texts(sectioned).select(*keys, tokens(F.col("text")).cast("long").alias("n"))
 
 
 def sections(units: DataFrame) -> DataFrame:
@@ -19,13 +31,19 @@ def sections(units: DataFrame) -> DataFrame:
     return units.withColumn("_starts", starts.cast("int")).withColumn("section_index", (F.sum("_starts").over(w) - 1).cast("int")).drop("_starts")
 
 
-def section_spans(sectioned: DataFrame) -> DataFrame:
+def section_spans(sectioned: DataFrame, tokens: Tokens = token_count) -> DataFrame:
     """A row a section: first and last page, units, first heading's preview, tokens of the text joined by line feeds."""
     head = F.when(F.col("unit_type") == "heading", F.struct("source_order", "text"))
-    words = token_count(F.col("text")) - 2
-    return sectioned.groupBy("document_id", "section_index").agg(
-        F.min("page_number").alias("page_start"), F.max("page_number").alias("page_end"), F.count("*").alias("unit_count"), preview(F.min(head)["text"]).alias("heading_preview"), (F.sum(words) + 2).cast("long").alias("token_count")
-    )
+    keys = ["document_id", "section_index"]
+    spans = [F.min("page_number").alias("page_start"), F.max("page_number").alias("page_end"), F.count("*").alias("unit_count"), preview(F.min(head)["text"]).alias("heading_preview")]
+    if tokens is token_count:
+        return sectioned.groupBy(*keys).agg(*spans, (F.sum(token_count(F.col("text")) - 2) + 2).cast("long").alias("token_count"))
+    return sectioned.groupBy(*keys).agg(*spans).join(_section_tokens(sectioned, tokens).withColumnRenamed("n", "token_count"), keys)
+
+
+def oversized_sections(sectioned: DataFrame, limit: int = 512, tokens: Tokens = token_count) -> DataFrame:
+    """Sections whose text doesn't fit a model: document_id, section_index, token_count."""
+    return _section_tokens(sectioned, tokens).where(F.col("n") > limit).withColumnRenamed("n", "token_count")
 
 
 def section_texts(sectioned: DataFrame) -> DataFrame:
@@ -40,9 +58,9 @@ def length_summary(n: Column) -> list[Column]:
     return [F.count(n).alias("count"), *(F.coalesce(F.round(c.cast("double"), 2), F.lit(0.0)).alias(x) for x, c in named)]
 
 
-def token_profile(units: DataFrame) -> DataFrame:
+def token_profile(units: DataFrame, tokens: Tokens = token_count) -> DataFrame:
     """Token lengths of all units (unit_type: all) and by type, in one pass by grouping sets."""
-    rows = units.select("unit_type", token_count(F.col("text")).alias("n"))
+    rows = units.select("unit_type", tokens(F.col("text")).alias("n"))
     grouped = rows.groupingSets([[], ["unit_type"]], "unit_type").agg(F.grouping("unit_type").alias("_all"), *length_summary(F.col("n")))
     found = grouped.withColumn("unit_type", F.when(F.col("_all") == 1, "all").otherwise(F.col("unit_type"))).drop("_all")
     # without rows there is no group at all; the whole has its zeros even so
@@ -59,17 +77,15 @@ def document_profile(units: DataFrame, documents: DataFrame) -> DataFrame:
     return documents.join(by, "document_id", "left").select("document_id", "page_count", "body_font_size", *zero, F.when(F.col("page_count") > 0, missing).otherwise(none).alias("pages_without_units"))
 
 
-def candidate_targets(sectioned: DataFrame, most: int = 512) -> DataFrame:
+def candidate_targets(sectioned: DataFrame, most: int = 512, tokens: Tokens = token_count) -> DataFrame:
     """target: token budgets that the corpus's lengths suggest, rounded to steps of 32, none above `most`."""
-    words = token_count(F.col("text")) - 2
-    whole = sectioned.groupBy("document_id", "section_index").agg((F.sum(words) + 2).alias("n"))
-    q = whole.agg(F.percentile("n", F.array(*map(F.lit, (0.5, 0.75, 0.9, 0.95)))).alias("q"))
-    p = sectioned.where("unit_type = 'paragraph'").agg(F.percentile(words + 2, F.lit(0.95)).alias("p"))
+    q = _section_tokens(sectioned, tokens).agg(F.percentile("n", F.array(*map(F.lit, (0.5, 0.75, 0.9, 0.95)))).alias("q"))
+    p = sectioned.where("unit_type = 'paragraph'").select(tokens(F.col("text")).alias("n")).agg(F.percentile("n", F.lit(0.95)).alias("p"))
     raw = q.join(p, F.lit(True), "full").select(F.array(F.greatest(F.col("q")[0], "p"), *(F.greatest(F.col("q")[k], F.lit(1.0)) for k in (1, 2, 3))).alias("v"))
     return raw.select(F.explode("v").alias("v")).where("v > 0").select(F.least(snapped(F.col("v")), F.lit(most)).alias("target")).distinct()
 
 
-def oversized(units: DataFrame, limit: int = 512) -> DataFrame:
+def oversized(units: DataFrame, limit: int = 512, tokens: Tokens = token_count) -> DataFrame:
     """Units whose tokens don't fit a model: document_id, source_order, token_count, preview."""
-    n = token_count(F.col("text"))
-    return units.where(n > limit).select("document_id", "source_order", n.alias("token_count"), preview(F.col("text")).alias("preview"))
+    rows = units.select("document_id", "source_order", tokens(F.col("text")).alias("token_count"), preview(F.col("text")).alias("preview"))
+    return rows.where(F.col("token_count") > limit)

@@ -75,7 +75,7 @@ pack(document_id, section_index, target, rn, held, chunk_index) AS (
 ),
 heads AS (SELECT document_id, section_index, string_agg(text, '|' ORDER BY source_order) AS head_text, list(source_order ORDER BY source_order) AS head_orders, list(page_number) AS head_pages FROM s WHERE unit_type = 'heading' GROUP BY ALL),
 k AS (
-  SELECT p.document_id, p.section_index, p.target, p.chunk_index, any_value(c.alone) AS alone, 2 + any_value(c.base) + sum(c.words) AS token_count,
+  SELECT p.document_id, p.section_index, p.target, p.chunk_index, any_value(c.alone) AS alone, 2 + any_value(c.base) + sum(c.words) AS token_count, max(c.words) + 2 AS largest_unit, 2 + any_value(c.base) + first(c.words ORDER BY c.source_order) AS first_tokens,
     string_agg(c.text, chr(10) ORDER BY c.source_order) AS text, list(c.source_order ORDER BY c.source_order) AS own_orders, list(c.page_number) AS own_pages
   FROM pack p JOIN c USING (document_id, section_index, rn) GROUP BY ALL
 ),
@@ -84,7 +84,9 @@ chunks AS (
     k.target AS target_tokens, token_count::BIGINT AS token_count, text, CASE WHEN alone THEN '' ELSE coalesce(head_text, '') END AS heading_context,
     list_sort(list_distinct(CASE WHEN alone THEN own_pages ELSE list_concat(coalesce(head_pages, []), own_pages) END)) AS pages,
     CASE WHEN alone THEN own_orders ELSE list_concat(coalesce(head_orders, []), own_orders) END AS orders,
-    max(token_count) OVER (PARTITION BY k.document_id) <= 512 AS fits
+    max(token_count) OVER (PARTITION BY k.document_id) <= 512 AS fits,
+    CASE WHEN alone THEN CASE WHEN token_count > 512 THEN 'heading_only' END WHEN largest_unit > 512 THEN 'unit' WHEN first_tokens > 512 THEN CASE WHEN chunk_index > 0 THEN 'headings_and_unit' ELSE 'first_unit' END
+      WHEN token_count > 512 THEN 'chunk' END AS problem
   FROM k LEFT JOIN heads USING (document_id, section_index)
 )"""
 )
@@ -149,9 +151,49 @@ def chunks(spark, sf):
     )
 
 
-@query(_CHUNKS + " SELECT document_id, max(token_count) AS largest_chunk FROM chunks WHERE NOT fits GROUP BY 1")
+@query(_CHUNKS + " SELECT document_id, max(token_count) AS largest_chunk, array_to_string(list_sort(list_distinct(list(problem) FILTER (problem IS NOT NULL))), ',') AS problems FROM chunks WHERE NOT fits GROUP BY 1")
 def chunk_rejects(spark, sf):
-    return chunking.rejected(_chunks(spark, sf)).withColumn("largest_chunk", F.col("largest_chunk").cast("long"))
+    return chunking.rejected(_chunks(spark, sf)).select("document_id", F.col("largest_chunk").cast("long").alias("largest_chunk"), joined("problems").alias("problems"))
+
+
+@query(_CHUNKS.replace("[128, 192, 320, 416]", "[32, 64]").replace("512", "64") + " SELECT document_id, chunk_id, token_count, problem FROM chunks WHERE problem IS NOT NULL")
+def hard_limit_cases(spark, sf):
+    """Under a limit that many units exceed."""
+    made = chunking.build_chunks(profile.sections(_units(spark, sf)), [32, 64], 64)
+    return made.where("problem is not null").select("document_id", "chunk_id", F.col("token_count").cast("long").alias("token_count"), "problem")
+
+
+_BY_CHARS = (
+    "WITH RECURSIVE "
+    + _SECTIONS
+    + """,
+h AS (SELECT document_id, section_index, count(*) FILTER (unit_type <> 'heading') AS others, coalesce(sum(length(text) + 1) FILTER (unit_type = 'heading'), 0) AS head_chars FROM s GROUP BY ALL),
+c AS (
+  SELECT s.*, length(text) AS chars, h.others = 0 AS alone, CASE WHEN h.others = 0 THEN 0 ELSE h.head_chars END AS base, row_number() OVER (PARTITION BY s.document_id, s.section_index ORDER BY source_order) AS rn
+  FROM s JOIN h USING (document_id, section_index) WHERE unit_type <> 'heading' OR h.others = 0
+),
+t AS (SELECT unnest([128, 192, 320, 416]) AS target),
+pack(document_id, section_index, target, rn, held, chunk_index) AS (
+  SELECT document_id, section_index, target, rn, chars, 0 FROM c, t WHERE rn = 1
+  UNION ALL
+  SELECT c.document_id, c.section_index, p.target, c.rn,
+    CASE WHEN NOT c.alone AND (c.base + p.held + 1 + c.chars + 3) // 4 + 2 > p.target THEN c.chars ELSE p.held + 1 + c.chars END,
+    CASE WHEN NOT c.alone AND (c.base + p.held + 1 + c.chars + 3) // 4 + 2 > p.target THEN p.chunk_index + 1 ELSE p.chunk_index END
+  FROM pack p JOIN c ON c.document_id = p.document_id AND c.section_index = p.section_index AND c.rn = p.rn + 1
+),
+k AS (
+  SELECT p.document_id, p.section_index, p.target, p.chunk_index, (any_value(c.base) + sum(c.chars) + count(*) - 1 + 3) // 4 + 2 AS token_count, sha256(string_agg(c.text, chr(10) ORDER BY c.source_order)) AS text_sha256, count(*) AS own_units
+  FROM pack p JOIN c USING (document_id, section_index, rn) GROUP BY ALL
+)
+SELECT document_id, format('{}-t{}-s{:04d}-c{:02d}', document_id, target, section_index::BIGINT, chunk_index) AS chunk_id, token_count::BIGINT AS token_count, text_sha256, max(token_count) OVER (PARTITION BY document_id) <= 512 AS fits FROM k"""
+)
+
+
+@query(_BY_CHARS)
+def chunks_by_characters(spark, sf):
+    """Chunks by a tokenizer whose counts of joined texts aren't the sum of their parts'."""
+    made = chunking.build_chunks_with(profile.sections(_units(spark, sf)), TARGETS, lambda texts: [(len(t) + 3) // 4 + 2 for t in texts], HARD_LIMIT)
+    return made.select("document_id", "chunk_id", F.col("token_count").cast("long").alias("token_count"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "fits")
 
 
 @query(

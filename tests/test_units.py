@@ -1,8 +1,10 @@
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from sparrowfold.functions import text
 from sparrowfold.operators import chunking, profile, units
 from sparrowfold.sources import tables as src
 
@@ -188,3 +190,65 @@ def test_line_numbers_of_large_pages_differ(spark):
     html = "<p>a" * 100_002
     numbers = src.page_lines(spark.createDataFrame([(1, "http://h/", html), (2, "http://h/", "<p>b")], "page_id long, url string, html string")).select("line_no")
     assert numbers.distinct().count() == 100_003
+
+
+def by_words(texts):
+    return [len(t.split()) + 2 for t in texts]
+
+
+def test_chunks_by_a_tokenizer(spark):
+    """By words it gives what the additive way gives; by a tokenizer that merges across line ends, what a plain loop gives."""
+    rng = random.Random(4)
+    rows = [(d, n, " ".join(rng.choice("ab c def".split()) for _ in range(rng.randrange(1, 14))), rng.choice(["heading", "paragraph", "paragraph", "list_item"]), 1 + n // 4) for d in ("a", "b", "c") for n in range(20)]
+    made = profile.sections(spark.createDataFrame(rows, "document_id string, source_order int, text string, unit_type string, page_number int"))
+    key = lambda rows: sorted((tuple(r.asDict().items()) for r in rows), key=str)
+    one, two = chunking.build_chunks(made, [12, 20], 30), chunking.build_chunks_with(made, [12, 20], by_words, 30)
+    assert key(one.collect()) == key(two.select(one.columns).collect())
+
+    def merging(texts):
+        return [2 + sum(1 for w in t.replace("\n", " ").split(" ") if not w.startswith("a")) + t.count("\n") for t in texts]
+
+    got = sorted((r.chunk_id, r.token_count, r.text, tuple(r.heading_context)) for r in chunking.build_chunks_with(made, [9], merging, 100).collect())
+    want = []
+    for (document, section), own in itertools.groupby(sorted(made.collect(), key=lambda r: (r.document_id, r.section_index, r.source_order)), key=lambda r: (r.document_id, r.section_index)):
+        own = list(own)
+        heads = list(itertools.takewhile(lambda r: r.unit_type == "heading", own))
+        body, heads = (own[len(heads) :], heads) if len(heads) < len(own) else (heads, [])
+        alone = not heads and own[0].unit_type == "heading" and all(r.unit_type == "heading" for r in own)
+        parts = []
+        for r in body:
+            if parts and (alone or merging(["\n".join([*(h.text for h in heads), *(x.text for x in parts[-1]), r.text])])[0] <= 9):
+                parts[-1].append(r)
+            else:
+                parts.append([r])
+        for k, p in enumerate(parts):
+            want.append((f"{document}-t9-s{section:04d}-c{k:02d}", merging(["\n".join([*(h.text for h in heads), *(x.text for x in p)])])[0], "\n".join(x.text for x in p), tuple(h.text for h in heads)))
+    assert got == sorted(want)
+
+
+def test_the_five_cases_of_the_hard_limit(spark):
+    w = lambda n: " ".join(["w"] * n)
+    long_head = [(w(9), "heading", 1), (w(4), "paragraph", 1), (w(5), "paragraph", 1)]
+    cases = {"heading_only": ([(w(9), "heading", 1)], 6), "unit": ([("h", "heading", 1), (w(9), "paragraph", 1)], 6), "first_unit": ([(w(4), "heading", 1), (w(4), "paragraph", 1)], 9), "headings_and_unit": (long_head, 15)}
+    for name, (units_, limit) in cases.items():
+        made = sectioned(spark, units_)
+        for out in (chunking.build_chunks(made, [5], limit), chunking.build_chunks_with(made, [5], by_words, limit)):
+            assert name in {r.problem for r in out.collect()} and chunking.rejected(out).first().problems == [name]
+            with pytest.raises(Exception, match=name):
+                chunking.strict(out).collect()
+    # counts that shrink when units are joined, then grow: only the whole chunk is over
+    odd = lambda texts: [20 if t.count("x") == 2 and t.endswith("x") else 4 for t in texts]
+    assert {c["problem"] for c in chunking.pack_section([dict(text="x", unit_type="paragraph", source_order=k, page_number=1) for k in range(2)], 30, 10, odd)} == {"chunk"}  # noqa: C408
+    for targets, limit in (([0], 9), ([10], 9), ([5], 0)):
+        with pytest.raises(ValueError):
+            chunking.build_chunks(made, targets, limit)
+
+
+def test_profiles_by_a_tokenizer(spark):
+    made = sectioned(spark, [("One", "heading", 1), ("abcdefgh ij", "paragraph", 1)])
+    count = text.token_counter(lambda texts: [len(t) for t in texts])
+    assert {r.unit_type: r["max"] for r in profile.token_profile(made, count).collect()}["all"] == 11
+    assert profile.section_spans(made, count).first().token_count == 15 and profile.section_spans(made).first().token_count == 5
+    assert profile.oversized_sections(made, 14, count).count() == 1 and profile.oversized_sections(made, 14).count() == 0
+    assert [r.token_count for r in profile.oversized(made, 10, count).collect()] == [11]
+    assert {r.target for r in profile.candidate_targets(made, 512, count).collect()} == {32}
