@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,14 +82,17 @@ def prompts(questions: DataFrame, evidence: DataFrame) -> DataFrame:
     return rows.select("query_id", F.array(message("system", F.lit("\n".join(RULES))), message("user", fit)).alias("messages"))
 
 
+def payload_tail() -> str:
+    """What a payload ends with after its messages and limits."""
+    form = json.dumps({"type": "json_schema", "json_schema": {"name": "generated_answer", "strict": True, "schema": ANSWER_SCHEMA}})
+    tail = json.dumps({"reasoning": {"effort": "none"}, "provider": {"require_parameters": True}})[1:-1]
+    return f', "response_format": {form}, {tail}' + "}"
+
+
 def payloads(prompted: DataFrame, model: str, max_tokens: int = MAX_OUTPUT_TOKENS) -> DataFrame:
     """query_id, payload: the JSON body of a completion request."""
-    import json
-
-    form = json.dumps({"type": "json_schema", "json_schema": {"name": "generated_answer", "strict": True, "schema": ANSWER_SCHEMA}})
     head = F.to_json(F.struct(F.lit(model).alias("model"), "messages", F.lit(0).alias("temperature"), F.lit(max_tokens).alias("max_tokens")))
-    tail = json.dumps({"reasoning": {"effort": "none"}, "provider": {"require_parameters": True}})[1:-1]
-    return prompted.select("query_id", F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(f', "response_format": {form}, {tail}' + "}")).alias("payload"))
+    return prompted.select("query_id", F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(payload_tail())).alias("payload"))
 
 
 def parse_completions(responses: DataFrame) -> DataFrame:

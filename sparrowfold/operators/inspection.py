@@ -62,6 +62,15 @@ def context(units: DataFrame, centers: DataFrame, radius: int) -> DataFrame:
     return near.join(units, ["document_id", "source_order"])
 
 
+def evidence_windows(units: DataFrame, anchors: DataFrame, radius: int) -> DataFrame:
+    """For each candidate (anchors: candidate_id, anchor) the units that hold one of its anchors, and those within
+    `radius` of them in their document, each once: candidate_id, is_match, and the unit's columns."""
+    key = F.to_json(F.struct("document_id", "source_order"))
+    hits = candidates(units.select(key.alias("key"), "text"), anchors)
+    centers = units.select(key.alias("key"), "document_id", "source_order").join(hits, "key").select(F.col("candidate_id").alias("label"), "document_id", "source_order")
+    return context(units, centers, radius).withColumnsRenamed({"label": "candidate_id", "is_center": "is_match"})
+
+
 def page_statistics(lines: DataFrame) -> DataFrame:
     """Characters by page, then over pages: pages, min, median, max, total, and pages with fewer than 100."""
     by_page = lines.groupBy("document_id", "page_number").agg(F.sum(F.length("text")).alias("n"))

@@ -38,6 +38,31 @@ def inner_mismatches(manifest: DataFrame) -> DataFrame:
     return manifest.select(F.inline(rows)).where("not (expected <=> actual)")
 
 
+#: Fields in which the selection agrees with the index and with the calibration.
+SHARED = ("document_id", "embedding_model", "strategy_id", "target_tokens")
+
+
+def cross_checks(selected: DataFrame, calibration: DataFrame, about: DataFrame, index: DataFrame, document_sha256: str, embedding_model: str | None = None) -> DataFrame:
+    """label, expected, actual of all that artifacts contradict each other in; no row if they belong together.
+
+    selected, calibration and about (index_about) are one row each; index is what is served, document_sha256 the hash
+    of the file as it is now, embedding_model the configured one (not compared if null). A threshold outside [-1, 1] is
+    a contradiction too.
+    """
+    facts = index_facts(index)
+    row = selected.select(F.struct("*").alias("s")).crossJoin(calibration.select(F.struct("*").alias("c"))).crossJoin(about.select(F.struct("*").alias("m"))).crossJoin(facts.select(F.struct("*").alias("i")))
+    sha = F.lit(document_sha256)
+    checks: list[tuple[str, Column, Column]] = [(f"sha256 of {n}", sha, F.col(f"{k}.document_sha256")) for n, k in (("selection", "s"), ("index", "m"), ("calibration", "c"))]
+    checks += [(f"{f} of {n}", F.col(f"s.{f}"), F.col(f"{k}.{f}")) for f in SHARED for n, k in (("index", "m"), ("calibration", "c"))]
+    checks += [("embedding_model of configuration", F.lit(embedding_model), F.col("s.embedding_model"))] if embedding_model is not None else []
+    checks += [("chunk_count of selection", F.col("s.chunk_count"), F.col("m.chunk_count")), ("rows of index", F.col("m.chunk_count"), F.col("i.chunk_count")), ("distinct chunks", F.col("i.chunk_count"), F.col("i.distinct_chunks"))]
+    checks += [("vector length", F.col("m.embedding_dimension"), F.col("i.embedding_dimension")), ("strategy of rows", F.col("s.strategy_id"), F.col("i.strategy_id")), ("target of rows", F.col("s.target_tokens"), F.col("i.target_tokens"))]
+    t = F.col("c.selected_threshold")
+    checks += [("threshold within bounds", F.lit(True), t.isNotNull() & ~F.isnan(t) & t.between(-1, 1))]
+    rows = F.array(*(F.struct(F.lit(n).alias("label"), a.cast("string").alias("expected"), b.cast("string").alias("actual")) for n, a, b in checks))
+    return row.select(F.inline(rows)).where("not (expected <=> actual)")
+
+
 def chunk_violations(index: DataFrame, strategy_id: str, target_tokens: int) -> DataFrame:
     """chunk_id, problem: blank ids, another strategy or target, ids that occur twice."""
     checks = {"blank_id": F.coalesce(F.trim("chunk_id") == "", F.lit(True)), "other_strategy": ~F.col("strategy_id").eqNullSafe(strategy_id), "other_target": ~F.col("target_tokens").eqNullSafe(target_tokens)}

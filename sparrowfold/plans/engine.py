@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+import os
+from collections.abc import Callable, Iterator, Mapping
+from dataclasses import dataclass, fields
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -33,6 +34,20 @@ class Config:
         if bad := [k for k, ok in checks.items() if not ok]:
             raise ValueError(f"out of bounds: {', '.join(bad)}")
 
+    @classmethod
+    def from_env(cls, env: Mapping[str, str] | None = None, file: str | None = None) -> Config:
+        """Settings from the environment (names in any case, such as TOP_K), over those of a file of NAME=value lines.
+
+        What neither names has its default; other names are passed over; what is no number, or out of bounds, raises.
+        """
+        given: dict[str, str] = {}
+        if file and os.path.exists(file):
+            with open(file, encoding="utf-8") as f:
+                pairs = [line.split("=", 1) for line in f if "=" in line and not line.lstrip().startswith("#")]
+            given = {k.strip().lower(): v.strip().strip("'\"") for k, v in pairs}
+        given |= {k.lower(): v for k, v in (os.environ if env is None else env).items()}
+        return cls(**{f.name: type(f.default)(given[f.name]) for f in fields(cls) if f.name in given})
+
 
 Retriever = Callable[[DataFrame, int], DataFrame]
 Generator = Callable[[DataFrame], DataFrame]
@@ -100,7 +115,7 @@ def answers(questions: DataFrame, chunks: DataFrame, retrieve: Retriever, genera
     """
     asked = questions.select("query_id", strip(F.col("query")).alias("query"), query_status(F.col("query")).alias("query_status"))
     fit = asked.where("query_status = 'ok'")
-    hits = retrieve(fit, config.top_k).cache()
+    hits = retrieve(fit, config.top_k)
     decisions = retrieval.gate(fit, hits, F.lit(config.threshold))
     final = hits.join(decisions.where("is_relevant").select("query_id"), "query_id", "left_semi").where(F.col("rank") <= config.final_k)
     evidence = final.join(chunks.select("chunk_id", "text"), "chunk_id").select("query_id", "rank", "chunk_id", "text")

@@ -21,9 +21,11 @@ def evaluate_strategies(index: DataFrame, queries: DataFrame, gold: DataFrame, l
 
 
 def calibrate(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """The threshold's row for queries (query_id, embedding, is_positive), from their rank-1 scores."""
+    """The threshold's row for queries (query_id, embedding, is_positive), from their rank-1 scores. A query without a hit raises."""
     top = metrics.first_ranks(retrieval.top_k(index, queries, 1)).select("query_id", "score")
-    return calibration.select_threshold(queries.select("query_id", "is_positive").join(top, "query_id"))
+    missing = F.raise_error(F.concat(F.lit("no hit for "), F.col("query_id").cast("string"))).cast("double")
+    scores = queries.select("query_id", "is_positive").join(top, "query_id", "left").select("query_id", "is_positive", F.coalesce("score", missing).alias("score"))
+    return calibration.select_threshold(scores)
 
 
 def holdout(hits: DataFrame, gold: DataFrame, chunks: DataFrame, queries: DataFrame, threshold: Column, k: int = 5) -> DataFrame:

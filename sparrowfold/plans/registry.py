@@ -214,6 +214,18 @@ def coverage(spark, sf):
     return covered.join(gaps, "strategy_id", "left").select("strategy_id", "covered", zero("lost"), zero("unknown"))
 
 
+@query(
+    _CHUNKS
+    + """, m AS (SELECT strategy_id, document_id, unnest(orders) AS source_order, chunk_id FROM chunks), made AS (SELECT DISTINCT strategy_id, document_id FROM chunks WHERE NOT ends_with(chunk_id, '-c01')),
+    held AS (SELECT DISTINCT strategy_id, document_id, source_order FROM m WHERE NOT ends_with(chunk_id, '-c01')), due AS (SELECT strategy_id, document_id, source_order FROM made JOIN u USING (document_id) WHERE source_order % 5 <> 0)
+    SELECT strategy_id, side, count(*) AS n FROM (SELECT *, 'lost' AS side FROM (FROM due EXCEPT FROM held) UNION ALL SELECT *, 'unknown' FROM (FROM held EXCEPT FROM due)) GROUP BY ALL"""
+)
+def coverage_breaks(spark, sf):
+    """What coverage finds where second chunks are taken away and every fifth unit is unknown."""
+    made = _chunks(spark, sf).where(~F.col("chunk_id").endswith("-c01"))
+    return chunking.coverage_gaps(_units(spark, sf).where("source_order % 5 <> 0"), made).groupBy("strategy_id", "side").agg(F.count("*").alias("n"))
+
+
 # ---- pages as lines ----------------------------------------------------------------------------------------------
 
 _LINES = """
@@ -442,9 +454,12 @@ def holdout_evaluation(spark, sf):
     return rows.select("query_id", "precision", F.coalesce("first_relevant_rank", F.lit(0)).cast("long").alias("first_relevant_rank"), F.round("margin", 6).alias("margin"), "is_relevant")
 
 
-@query("SELECT text FROM benchmark INTERSECT SELECT text FROM documents")
+@query("SELECT text FROM documents WHERE doc_id % 2 = 0 INTERSECT SELECT text FROM documents WHERE doc_id % 2 = 1")
 def shared_texts(spark, sf):
-    return evaluation.overlap(src.table(spark, sf, "benchmark").select("text"), src.table(spark, sf, "documents").select("text"))
+    """Texts that stand under even and under odd ids: exact copies across the two halves."""
+    rows = src.table(spark, sf, "documents")
+    half = lambda k: rows.where(F.pmod("doc_id", F.lit(2)) == k).select("text")
+    return evaluation.overlap(half(0), half(1))
 
 
 _TOP1 = f"""
@@ -504,6 +519,39 @@ def index_check(spark, sf):
     return manifest.index_facts(index).join(problems).select("chunk_count", "distinct_chunks", F.col("embedding_dimension").cast("long").alias("embedding_dimension"), "problems")
 
 
+_FAULTY = "CASE vec_id % 7 WHEN 1 THEN NULL WHEN 2 THEN list_concat(embedding::DOUBLE[], ['nan'::DOUBLE]) WHEN 3 THEN embedding[1:5]::DOUBLE[] ELSE embedding::DOUBLE[] END"
+
+
+@query(
+    f"""WITH i AS (SELECT vec_id % 50 AS chunk_id, {_FAULTY} AS v FROM embeddings)
+    SELECT 'several_lengths' AS problem, count(DISTINCT len(v)) - 1 AS n FROM i UNION ALL SELECT 'not_finite', count(*) FILTER (v IS NULL OR len(list_filter(v, lambda x: isnan(x))) > 0) FROM i
+    UNION ALL SELECT 'repeated_chunk', count(*) FROM (SELECT chunk_id FROM i GROUP BY 1 HAVING count(*) > 1)"""
+)
+def index_faults(spark, sf):
+    """What the index check finds where vectors are missing, hold a NaN or are cut, and ids repeat."""
+    k, v = F.col("vec_id") % 7, F.col("embedding").cast("array<double>")
+    faulty = F.when(k == 1, F.lit(None)).when(k == 2, F.concat(v, F.array(F.lit(float("nan"))))).when(k == 3, F.slice(v, 1, 5)).otherwise(v)
+    return src.index_violations(src.table(spark, sf, "embeddings").select((F.col("vec_id") % 50).alias("chunk_id"), faulty.alias("embedding")))
+
+
+@query(
+    """WITH i AS (SELECT count(*) AS n, count(DISTINCT vec_id // 2) AS d, max(len(embedding)) AS w FROM embeddings)
+    SELECT * FROM (SELECT unnest([{'label': 'sha256 of calibration', 'expected': 'abc', 'actual': 'abd'}, {'label': 'embedding_model of index', 'expected': 'm', 'actual': 'other'}, {'label': 'target_tokens of calibration', 'expected': '416', 'actual': NULL},
+      {'label': 'chunk_count of selection', 'expected': (n + 1)::VARCHAR, 'actual': n::VARCHAR}, {'label': 'distinct chunks', 'expected': n::VARCHAR, 'actual': d::VARCHAR}, {'label': 'vector length', 'expected': '3', 'actual': w::VARCHAR},
+      {'label': 'strategy of rows', 'expected': 'target_416', 'actual': NULL}, {'label': 'threshold within bounds', 'expected': 'true', 'actual': 'false'}], recursive := true) FROM i)"""
+)
+def manifest_check(spark, sf):
+    """Everything that artifacts contradict each other in, where they do in many ways."""
+    vectors = src.table(spark, sf, "embeddings")
+    index = vectors.select(F.floor(F.col("vec_id") / 2).alias("chunk_id"), "embedding", F.concat(F.lit("target_"), F.col("vec_id") % 2).alias("strategy_id"), F.lit(416).alias("target_tokens"))
+    one = vectors.agg(F.count("*").alias("n"))
+    base = [F.lit("doc").alias("document_id"), F.lit("target_416").alias("strategy_id")]
+    selected = one.select(*base, F.lit("abc").alias("document_sha256"), F.lit("m").alias("embedding_model"), F.lit(416).alias("target_tokens"), (F.col("n") + 1).alias("chunk_count"))
+    about = one.select(*base, F.lit("abc").alias("document_sha256"), F.lit("other").alias("embedding_model"), F.lit(416).alias("target_tokens"), F.col("n").alias("chunk_count"), F.lit(3).alias("embedding_dimension"))
+    cut = one.select(*base, F.lit("abd").alias("document_sha256"), F.lit("m").alias("embedding_model"), F.lit(None).cast("int").alias("target_tokens"), F.lit(1.5).cast("double").alias("selected_threshold"))
+    return manifest.cross_checks(selected, cut, about, index, "abc", "m")
+
+
 # ---- texts as evidence -------------------------------------------------------------------------------------------
 
 _TEXT_HITS = """
@@ -574,11 +622,68 @@ def answers(spark, sf):
     return rows.select("query_id", F.sha2(ft.strip(F.col("answer")).cast("binary"), 256).alias("answer_sha256"), "confidence_score", listed.alias("sources"), "reason", F.col("status").cast("long").alias("status"))
 
 
-@query()
+_PAYLOAD = (
+    """'{"model":"model","messages":[{"role":"system","content":' || to_json('"""
+    + "\n".join(grounding.RULES).replace("'", "''")
+    + """') || '},{"role":"user","content":' || to_json('QUESTION:' || chr(10) || trim(b.text, ' ' || chr(10) || chr(9)) || chr(10) || chr(10) || 'ALLOWED CITATION IDS:' || chr(10) || ids || chr(10) || chr(10) || 'UNTRUSTED EVIDENCE JSON:' || chr(10) || texts)
+    || '}],"temperature":0,"max_tokens":512' || '"""
+    + grounding.payload_tail().replace("'", "''")
+    + "'"
+)
+
+
+@query(
+    f"""WITH {_TEXT_HITS}, ev AS (SELECT query_id, '[' || string_agg('"' || chunk_id || '"', ',' ORDER BY rank) || ']' AS ids, '[' || string_agg('{{"chunk_id":"' || chunk_id || '","text":' || to_json(d.text) || '}}', ',' ORDER BY rank) || ']' AS texts
+      FROM fin JOIN documents d ON d.doc_id = fin.chunk_id GROUP BY 1)
+    SELECT query_id, sha256({_PAYLOAD}) AS payload_sha256 FROM ev JOIN benchmark b ON b.item_id = ev.query_id"""
+)
 def prompts(spark, sf):
     chunks_, _, _, final, _ = _text_flow(spark, sf)
     asked = _text_tables(spark, sf)[1].join(final.select("query_id").distinct(), "query_id")
-    return grounding.payloads(grounding.prompts(asked, final.join(chunks_.select("chunk_id", "text"), "chunk_id")), "model")
+    made = grounding.payloads(grounding.prompts(asked, final.join(chunks_.select("chunk_id", "text"), "chunk_id")), "model")
+    return made.select("query_id", F.sha2(F.col("payload").cast("binary"), 256).alias("payload_sha256"))
+
+
+@query(
+    """SELECT conv_id, turn, CASE k WHEN 0 THEN 'uncited_answer' WHEN 1 THEN 'ok' WHEN 2 THEN 'unknown_citation' WHEN 3 THEN 'repeated_hit' WHEN 4 THEN 'cited_abstention' WHEN 5 THEN 'ok' END AS status,
+      CASE k WHEN 1 THEN '2,1' WHEN 2 THEN '1,9' WHEN 3 THEN '1' WHEN 4 THEN '1' ELSE '' END AS citations,
+      CASE k WHEN 1 THEN 200 WHEN 5 THEN 200 ELSE 502 END::BIGINT AS code
+    FROM (SELECT conv_id, turn, (conv_id + turn) % 6 AS k FROM conversations)"""
+)
+def citation_policy(spark, sf):
+    """Every outcome of the citation check: k turns what a generator gave into each of its cases."""
+    rows = src.table(spark, sf, "conversations").select("conv_id", "turn", F.pmod(F.col("conv_id") + F.col("turn"), F.lit(6)).alias("k"), F.concat_ws(":", "conv_id", "turn").alias("query_id"))
+    cited = {0: [], 1: ["2", "1", "2"], 2: ["1", "9"], 3: ["1"], 4: ["1"], 5: []}
+    citations_ = F.coalesce(*(F.when(F.col("k") == k, F.array(*map(F.lit, v)).cast("array<string>")) for k, v in cited.items()))
+    made = rows.select("query_id", F.when(F.col("k") >= 4, grounding.ABSTENTION).otherwise("answer").alias("answer"), citations_.alias("citations"))
+    hits = rows.select("query_id", F.explode(F.when(F.col("k") == 3, F.array(*map(F.lit, "112"))).otherwise(F.array(*map(F.lit, "12")))).alias("chunk_id"))
+    checked = grounding.check_citations(made, hits).join(rows.select("query_id", "conv_id", "turn"), "query_id")
+    code = grounding.status_code(F.when(F.col("status") == "ok", "ok").otherwise("citation"))
+    return checked.select("conv_id", "turn", "status", joined("citations").alias("citations"), code.cast("long").alias("code"))
+
+
+@query(
+    """SELECT conv_id, turn, status::BIGINT AS status, attempt::BIGINT AS attempt,
+      CASE WHEN status BETWEEN 200 AND 299 THEN 'done' WHEN (status IN (408, 429) OR status BETWEEN 500 AND 599) AND attempt < 2 THEN 'retry' WHEN status IN (404, 408, 429) OR status BETWEEN 500 AND 599 THEN 'fallback' ELSE 'fail' END AS step
+    FROM (SELECT conv_id, turn, [200, 204, 301, 400, 401, 404, 408, 429, 500, 503, 599][(conv_id * 7 + turn) % 11 + 1] AS status, (conv_id + turn) % 2 + 1 AS attempt FROM conversations)"""
+)
+def provider_steps(spark, sf):
+    rows = src.table(spark, sf, "conversations")
+    codes = F.array(*map(F.lit, (200, 204, 301, 400, 401, 404, 408, 429, 500, 503, 599)))
+    rows = rows.select("conv_id", "turn", F.get(codes, F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(11)).cast("int")).cast("long").alias("status"), (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(2)) + 1).cast("long").alias("attempt"))
+    return rows.withColumn("step", grounding.next_step(F.col("status"), F.col("attempt"), F.lit(2)))
+
+
+@query(
+    """WITH q AS (SELECT (conv_id // 2)::VARCHAR AS id, CASE WHEN turn % 5 = 0 THEN ' ' ELSE 'x' END AS query, (conv_id + turn) % 4 = 1 OR (conv_id + turn) % 4 = 2 AS bare FROM conversations)
+    SELECT id AS query_id, 'blank_query' AS problem FROM q WHERE query = ' ' UNION ALL SELECT id, 'no_evidence' FROM q WHERE bare UNION ALL SELECT id, 'repeated_id' FROM q GROUP BY 1 HAVING count(*) > 1"""
+)
+def query_problems(spark, sf):
+    """Faults of a query set: blank questions, evidence that is missing or has an empty group, ids that repeat."""
+    k = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(4))
+    groups = F.when(k == 1, F.expr("cast(array() as array<array<int>>)")).when(k == 2, F.expr("array(array(1), cast(array() as array<int>))")).otherwise(F.expr("array(array(1))"))
+    rows = src.table(spark, sf, "conversations").select(F.floor(F.col("conv_id") / 2).cast("string").alias("query_id"), F.when(F.pmod("turn", F.lit(5)) == 0, " ").otherwise("x").alias("query"), groups.alias("evidence_groups"))
+    return src.query_violations(rows)
 
 
 @query(
@@ -623,6 +728,19 @@ def context_windows(spark, sf):
     return near.select("document_id", F.col("source_order").cast("long").alias("source_order"), "is_center", "unit_type", ft.preview(F.col("text"), 80).alias("preview"))
 
 
+@query(
+    f"""WITH {_UNITS}, a AS (SELECT item_id AS candidate_id, substr({"lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))"}, 1, 24) AS anchor FROM benchmark),
+    c AS (SELECT candidate_id, document_id, source_order FROM u JOIN a ON contains(lower(text), anchor)),
+    n AS (SELECT c.candidate_id, u.document_id, u.source_order, bool_or(u.source_order = c.source_order) AS is_match FROM u JOIN c ON c.document_id = u.document_id AND u.source_order BETWEEN c.source_order - 2 AND c.source_order + 2 GROUP BY ALL)
+    SELECT candidate_id, document_id, source_order::BIGINT AS source_order, is_match, page_number::BIGINT AS page_number FROM n JOIN u USING (document_id, source_order) WHERE page_number IN (1, 2)"""
+)
+def evidence_windows(spark, sf):
+    """Units around those that hold the beginning of a benchmark item, on the first two pages."""
+    anchors = src.table(spark, sf, "benchmark").select(F.col("item_id").alias("candidate_id"), F.substring(F.lower(ft.squeeze(F.col("text"))), 1, 24).alias("anchor"))
+    near = inspection.on_pages(inspection.evidence_windows(_units(spark, sf), anchors, 2), [1, 2])
+    return near.select("candidate_id", "document_id", F.col("source_order").cast("long").alias("source_order"), "is_match", F.col("page_number").cast("long").alias("page_number"))
+
+
 @query(
     f"""WITH {_UNITS}, g AS (SELECT doc_id AS query_id, doc_id AS document_id, unnest([0, 3, 1000000]) AS unit FROM documents)
     SELECT query_id, unit::BIGINT AS unit, CASE WHEN u.text IS NULL THEN 'no_such_unit' ELSE 'other_page' END AS problem FROM g LEFT JOIN u ON u.document_id = g.document_id AND u.source_order = g.unit WHERE u.text IS NULL OR u.page_number <> 1"""

@@ -122,9 +122,23 @@ def query_violations(queries: DataFrame, negative: bool = False) -> DataFrame:
     return rows.unionByName(twice).unionByName(none)
 
 
-def write_index(index: DataFrame, path: str) -> None:
-    """Chunks with embeddings, a folder a strategy."""
+#: What an index says about itself, a row a strategy, beside its rows.
+ABOUT = "document_id string, document_sha256 string, embedding_model string, embedding_dimension int, strategy_id string, target_tokens int, chunk_count long"
+
+
+def write_index(index: DataFrame, path: str, document_id: str | None = None, document_sha256: str | None = None, embedding_model: str | None = None) -> None:
+    """Chunks with embeddings, a folder a strategy, and a row a strategy about them under _about (which scans pass over)."""
     index.write.mode("overwrite").partitionBy("strategy_id").parquet(path)
+    target = F.first("target_tokens") if "target_tokens" in index.columns else F.lit(None)
+    rows = index.groupBy("strategy_id").agg(F.max(F.size("embedding")).cast("int").alias("embedding_dimension"), target.cast("int").alias("target_tokens"), F.count("*").alias("chunk_count"))
+    named = {"document_id": document_id, "document_sha256": document_sha256, "embedding_model": embedding_model}
+    rows = rows.select(*(F.lit(v).cast("string").alias(k) for k, v in named.items()), "embedding_dimension", "strategy_id", "target_tokens", "chunk_count")
+    rows.select(*(f.split(" ")[0] for f in ABOUT.split(", "))).coalesce(1).write.mode("overwrite").json(f"{path}/_about")
+
+
+def index_about(spark: SparkSession, path: str) -> DataFrame:
+    """What was written about an index; an index without it raises."""
+    return spark.read.schema(ABOUT).json(f"{path}/_about", mode="FAILFAST")
 
 
 def read_index(spark: SparkSession, path: str, strategy_id: str | None = None) -> DataFrame:
@@ -133,15 +147,38 @@ def read_index(spark: SparkSession, path: str, strategy_id: str | None = None) -
     return df if strategy_id is None else df.where(F.col("strategy_id") == strategy_id)
 
 
+def load_index(spark: SparkSession, path: str, strategy_id: str) -> DataFrame:
+    """One strategy's index, held against what was written about it: count, vector length, sound vectors and ids."""
+    from ..operators.manifest import Incompatible, index_facts, mismatches, require_none
+
+    index, about = read_index(spark, path, strategy_id), index_about(spark, path).where(F.col("strategy_id") == strategy_id)
+    if about.isEmpty():
+        raise Incompatible(f"nothing is known about {strategy_id}")
+    require_none(mismatches(about, index_facts(index.withColumn("target_tokens", F.lit(None).cast("int")) if "target_tokens" not in index.columns else index), ("chunk_count", "embedding_dimension", "strategy_id")), index_violations(index))
+    return index
+
+
 def promote(spark: SparkSession, path: str, strategy_id: str, selected: str) -> DataFrame:
-    """Copies one strategy's index over the selected one; raises if there is none."""
+    """Copies one strategy's index, and what is said about it, over the selected one; raises if there is none. The
+    selection itself is written as selected.json beside the rows."""
     chosen = read_index(spark, path, strategy_id)
     if chosen.isEmpty():
         raise ValueError(f"no index of {strategy_id}")
-    write_index(chosen, selected)
+    about = index_about(spark, path).where(F.col("strategy_id") == strategy_id).first()
+    write_index(chosen, selected, about.document_id, about.document_sha256, about.embedding_model)
+    write_json(spark.createDataFrame([about], ABOUT), f"{selected}/_selected/selected.json")
     return chosen
 
 
+def read_threshold(spark: SparkSession, path: str) -> DataFrame:
+    """document_id, document_sha256, embedding_model, strategy_id, target_tokens, selected_threshold of a calibration file;
+    a threshold that is no finite number within [-1, 1] raises."""
+    row = read_json(spark, path, "document_id string, document_sha256 string, embedding_model string, strategy_id string, target_tokens int, selected_threshold double")
+    t = F.col("selected_threshold")
+    fit = t.isNotNull() & ~F.isnan(t) & t.between(-1, 1)
+    return row.withColumn("selected_threshold", F.when(fit, t).otherwise(F.raise_error(F.lit("a threshold has to lie within [-1, 1]")).cast("double")))
+
+
 def index_violations(index: DataFrame) -> DataFrame:
     """problem, n: no rows, vectors of several lengths, components that are no numbers, chunk ids that occur twice."""
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
