@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import math
 import os
 import tempfile
@@ -92,12 +94,14 @@ _HELD: dict = {}
 
 def held(kind, make=None):
     """What a worker process keeps between tasks, such as encoded words: of one kind at a time, since the processes of
-    all operators outlive them. Without make, nothing is kept on."""
+    all operators outlive them. What another kind held is given back to the system. Without make, only that is done."""
     if kind not in _HELD:
         _HELD.clear()
-        if make:
-            _HELD[kind] = make()
-    return _HELD.get(kind)
+        _HELD[kind] = make() if make else None
+        gc.collect()
+        with contextlib.suppress(Exception):  # not every C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+    return _HELD[kind]
 
 
 def file_system(uri: str):

@@ -175,6 +175,7 @@ def _counted(grid: Grid):
     """Blocks with their labelled places to rows (cell, blob): distinct pairs with their counts in either class."""
 
     def run(batches):
+        held("toxicity")
         for pdf in batches:
             for path, places, labels in zip(pdf["block"], pdf["places"], pdf["labels"]):
                 b = Block(get_range(path))
@@ -293,6 +294,7 @@ def _asked(grid: Grid, shards: int, sent):
     """Blocks to rows (kind, shard, block, keys): the distinct words asked of each shard, and pairs of each cell."""
 
     def run(batches):
+        held("toxicity")
         for pdf in batches:
             for path in pdf["block"]:
                 b = Block(get_range(path))

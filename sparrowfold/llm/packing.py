@@ -32,7 +32,7 @@ def cut(docs: DataFrame, tokenizer_path: str, end_id: int, longest: int = MAX_TO
         part, seen = TaskContext.get().partitionId(), [0] * 64
         for batch in batches:
             keys = batch.column("doc_id").to_pylist()
-            for first, texts in slices(batch):
+            for first, texts in slices(batch, size=4_000_000):
                 ids, bounds = enc.encode_ended(texts, end_id)
                 raw, bounds = memoryview(ids.astype("<u4")).cast("B"), bounds.tolist()
                 out = [[] for _ in range(8)]

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, crc_mod
+from .common import Workspace, crc_mod, held
 
 STATISTICS = (
     "log_words", "word_length", "symbols", "exclamations", "bars", "stops", "digits", "capitals", "not_ascii", "controls",
@@ -87,6 +87,7 @@ def fit(docs: DataFrame, labels: DataFrame, waves: int = 256, width: float = 1.0
     size = len(STATISTICS)
 
     def measure(batches):
+        held("quality")
         for batch in batches:
             rows = [statistics(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "x"])
@@ -144,6 +145,7 @@ def quality(model: Model, text: Column) -> Column:
 
     @F.pandas_udf("double")
     def run(texts: pd.Series) -> pd.Series:
+        held("quality")
         return pd.Series(model.score(texts.tolist()), dtype="float64")
 
     return run(text.cast("string"))

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import held
+
 # Kinds in the order in which equal starts are listed; the first three are the base kinds.
 KINDS = ("assign", "access", "hex", "github", "npm", "jwt")
 ASSIGN = rb"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -111,13 +113,8 @@ class Scanner:
             done = end
 
 
-_SCANNER: list[Scanner] = []
-
-
 def scanner() -> Scanner:
-    if not _SCANNER:
-        _SCANNER.append(Scanner())
-    return _SCANNER[0]
+    return held("secrets", Scanner)
 
 
 def listed(spans) -> str:
@@ -127,7 +124,8 @@ def listed(spans) -> str:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id and the spans (array of start, end, kind) of every document's whole text.
 
-    Null and empty texts have none. Null and repeated doc_ids give a row each. Other columns are not read.
+    Null and empty texts have none. Null and repeated doc_ids give a row each, no row none. Texts of any length are
+    read whole. Other columns are not read.
     """
 
     def run(batches):
