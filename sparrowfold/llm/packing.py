@@ -64,8 +64,11 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, longest: int = M
     """
     ws = Workspace(docs.sparkSession, "pack")
     pieces = ws.save(cut(docs, tokenizer_path, end_id, longest, with_ids), "pieces")
-    # a row for each length and partition: at most 12 a task
-    counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
-    bases = counts.select("length", "part", (F.sum("n").over(Window.orderBy(F.desc("length"), "part")) - F.col("n")).alias("base"))
+    # a row for each length and partition; lengths follow each other, the largest first, and partitions within a length
+    counts = ws.save(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "counts")
+    totals = counts.groupBy("length").agg(F.sum("n").alias("total"))
+    lengths = totals.select("length", (F.sum("total").over(Window.orderBy(F.desc("length"))) - F.col("total")).alias("before"))  # 12 rows
+    within = F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")
+    bases = counts.select("length", "part", within.alias("within"), "n").join(F.broadcast(lengths), "length").select("length", "part", (F.col("before") + F.col("within")).alias("base"))
     numbered = pieces.join(small(ws.save(bases, "bases")), ["length", "part"])
     return numbered.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("ordinal")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *["ids"] * with_ids)

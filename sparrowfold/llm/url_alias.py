@@ -8,11 +8,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, small
 from .components import connected_components
 
-#: Rules are an expression over each url, so their number is bounded; a longer list has to be split by host.
+#: Rules up to which they are an expression over each url; more are joined with the suffixes of hosts.
 MAX_RULES = 2000
+RULED = "struct<rule: string, verdict: string>"
 # Verdict, host, path.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 
@@ -70,15 +71,28 @@ def links(html: Column) -> Column:
 
 def ruled(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
     """struct(rule, verdict) of the longest rule that fits, else null. A rule fits its host and all subdomains."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
-    out = F.lit(None).cast("struct<rule: string, verdict: string>")
+    out = F.lit(None).cast(RULED)
     for verdict, rule_host, rule_path in sorted(rules, key=lambda r: len(r[1] + r[2])):
         fits = ((host == rule_host) | host.endswith("." + rule_host)) & path.startswith(rule_path)
         out = F.when(fits, F.struct(F.lit(rule_host + rule_path).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(out)
     return out
 
 
+def with_rules(rows: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """rows (host, path, and others) with `own`: as ruled(). Many rules meet the suffixes of each distinct host."""
+    if len(rules) <= MAX_RULES:
+        return rows.withColumn("own", ruled(F.col("host"), F.col("path"), rules))
+    # of rules with one host and path, the one given last, as in the expression
+    known = rows.sparkSession.createDataFrame([(k, *r) for k, r in enumerate(rules)], "given int, verdict string, rule_host string, rule_path string")
+    parts = F.split("host", "\\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
+    pairs = rows.select("host", "path").distinct().withColumn("rule_host", F.explode(suffixes))
+    fitting = pairs.join(known, "rule_host").where(F.col("path").startswith(F.col("rule_path")))
+    found = F.struct(F.concat("rule_host", "rule_path").alias("rule"), "verdict")
+    best = fitting.groupBy("host", "path").agg(F.max_by(found, F.struct(F.length(F.concat("rule_host", "rule_path")), "given")).cast(RULED).alias("own"))
+    return rows.join(best, ["host", "path"], "left")
+
+
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, redirects: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict of every page (page_id, url, html), and via: rule, alias or none.
 
@@ -99,14 +113,18 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, redir
     nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
     classes = connected_components(edges.select(F.xxhash64("a").alias("u"), F.xxhash64("b").alias("v")), ws, "alias")
     url = F.concat(F.lit("x://"), F.col("node"))
-    blocked = nodes.where(ruled(host_of(url), path_of(url), rules)["verdict"] == "block").select(F.xxhash64("node").alias("node"))
-    bad = classes.join(blocked, "node", "left_semi").select("component").distinct()
-    tainted = ws.save(classes.join(bad, "component", "left_semi").select("node").distinct(), "tainted")
-
-    own = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.xxhash64(node_of(F.col("url"))).alias("node"), F.col("url").contains("://").alias("placed"))
-    own = own.withColumn("own", ruled(F.col("host"), F.col("path"), rules))
-    hit = tainted.select(F.col("node").alias("node"), F.lit(True).alias("alias"))
-    out = own.join(hit, "node", "left").withColumn("alias", F.coalesce(F.col("alias") & F.col("placed"), F.lit(False)))
+    named = with_rules(nodes.select("node", host_of(url).alias("host"), path_of(url).alias("path")), rules).select("node", F.xxhash64("node").alias("id"), F.col("own.verdict").alias("verdict"))
+    placed = named.join(classes.select(F.col("node").alias("id"), "component"), "id")
+    bad = placed.where("verdict = 'block'").select("component").distinct()
+    # by their urls, not by hashes: a url that merely shares a hash with one of these isn't blocked
+    tainted = ws.save(placed.join(bad, "component", "left_semi").select("node").distinct(), "tainted")
+
+    own = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), node_of(F.col("url")).alias("node"))
+    own = with_rules(own, rules)
+    # urls without a node are many under one key, and have no alias
+    hit = small(tainted.withColumn("alias", F.lit(True)))
+    aliased = own.where("node is not null").join(hit, "node", "left").select(*own.columns, F.coalesce("alias", F.lit(False)).alias("alias"))
+    out = aliased.unionByName(own.where("node is null").withColumn("alias", F.lit(False)))
     return out.select(
         "page_id", "host", "path", F.col("own.rule").alias("rule"),
         F.coalesce(F.col("own.verdict"), F.when(F.col("alias"), "block").otherwise("allow")).alias("verdict"),

@@ -1,6 +1,7 @@
 import duckdb
 import pyarrow as pa
 
+from sparrowfold.llm import url_alias
 from sparrowfold.llm.common import Workspace
 from sparrowfold.llm.components import connected_components
 from sparrowfold.llm.url_alias import ORACLE_SQL, judge
@@ -30,6 +31,15 @@ def test_judgement(spark):
     assert judge(pages(spark, [])).count() == 0
 
 
+def test_many_rules_are_joined(spark, monkeypatch):
+    rules = [*url_alias.RULES, ("allow", "com", "/en/"), ("block", "b.example.com", "/en/7"), ("allow", "test", "")]
+    key = lambda rows: sorted(map(str, rows))
+    one = key(judge(pages(spark, PAGES), rules).collect())
+    monkeypatch.setattr(url_alias, "MAX_RULES", 0)
+    assert key(judge(pages(spark, PAGES), rules).collect()) == one
+    assert {r.page_id: r.verdict for r in judge(pages(spark, PAGES)).collect()} == WANT
+
+
 def test_redirects_and_long_chains(spark):
     n = 60
     rows = [(k, f"https://h{k}.test/p", "") for k in range(n)] + [(n, "https://q.example.com/en/1", ""), (n + 1, "https://example.com/en/7", "")]
