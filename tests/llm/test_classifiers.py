@@ -175,3 +175,25 @@ def test_blobs_and_known_pairs():
 def test_toxicity_with_one_class(spark):
     one = spark.createDataFrame([(1, 1), (5, 1)], "doc_id long, toxic int")
     assert {r.predicted for r in kn_toxicity.classify(frame(spark), one).collect()} == {1}
+
+
+def test_quality_model_is_that_of_all_rows_at_once(spark):
+    """Moments, ridge weights and the calibration, computed on the driver over all labelled rows."""
+    labels = spark.createDataFrame([*QUALITY, (5, 1), (5, 0), (None, 1), (99_999, 0)], "doc_id long, label int")
+    model = rff_quality.fit(frame(spark, extra=ROWS).repartition(5), labels)
+    text, given = dict(ROWS) | {5: "twice"}, [*QUALITY, (5, 0.5), (5, 0.5)]
+    x, y = np.array([statistics(text[k]) for k, _ in given]), np.array([v for _, v in given], float)
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, np.where(x.std(0) > 1e-9, x.std(0), 1.0))
+    z = model.lift(x)
+    solve = lambda rows: np.linalg.solve(z[rows].T @ z[rows] + (1e-3 * rows.sum() + 0.5) * np.eye(z.shape[1]), z[rows].T @ y[rows])
+    assert np.allclose(model.weights, solve(np.ones(len(y), bool)), atol=1e-6)
+    fold = np.array([r.f for r in spark.createDataFrame([(k,) for k, _ in given], "k long").selectExpr("pmod(xxhash64(k), 3) as f").collect()])
+    raw = np.array([z[j] @ solve(fold != fold[j]) for j in range(len(y))])
+    bins = np.round(np.clip(raw, rff_quality.LOW, rff_quality.HIGH) / rff_quality.BIN).astype(int)
+    own = sorted(set(bins.tolist()))
+    points = [np.array(own) * rff_quality.BIN, np.array([y[bins == b].mean() for b in own]), np.array([(bins == b).sum() for b in own])]
+    steps, values = isotonic(np.concatenate([[rff_quality.LOW], points[0], [rff_quality.HIGH]]), np.concatenate([[0.0], points[1], [1.0]]), np.concatenate([[1], points[2], [1]]))
+    grid = np.linspace(-0.5, 1.5, 41)
+    assert np.abs(np.interp(grid, model.steps, model.values) - np.interp(grid, steps, values)).max() < 0.02
+    scored = {r.doc_id: r.score for r in rff_quality.classify(frame(spark, extra=ROWS), labels.withColumnRenamed("label", "quality")).collect()}
+    assert len(set(scored.values())) > 20
