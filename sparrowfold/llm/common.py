@@ -21,13 +21,22 @@ BROADCAST_ROWS = 500_000
 
 #: Spark's settings while a table is saved: an execution removes its own shuffle files at its end, and rows go to Python
 #: in batches that stay small even for long texts.
-SAVING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2500"}
+BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "2500"
+SAVING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", BATCH: ROWS}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    lean(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lean(spark: SparkSession) -> None:
+    """Rows go to Python 2,500 at a time from now on, unless the session has another number than Spark's: whole texts
+    are long, and what a batch takes beside the JVM's heap isn't given back."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, ROWS)
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where it is unset, a temporary one in local mode, else one in the warehouse."""
     sc = spark.sparkContext

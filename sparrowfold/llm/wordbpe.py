@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from .common import held
 
 #: Pieces, and words without their punctuation, that a worker keeps; beyond it they are encoded anew in each slice of texts.
-KEEP_PIECES, KEEP_WORDS = 100_000, 300_000
+KEEP_PIECES, KEEP_WORDS = 60_000, 250_000
 #: Characters that the splitter always parts from letters and that take no part in contractions.
 TAILS = ".,;:!?%*#$&|"
 
