@@ -1,0 +1,316 @@
+"""Text spans of PDF files: objects, page tree, content streams and fonts, as far as text needs them.
+
+Read are plain and Flate streams, object streams, simple fonts (Windows Latin, or a ToUnicode map, with widths) and
+composite fonts with a ToUnicode map. Encrypted files, other stream filters and images of text aren't.
+"""
+
+from __future__ import annotations
+
+import re
+import zlib
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_SPACE, _END = b"\x00\t\n\x0c\r ", b"\x00\t\n\x0c\r ()<>[]{}/%"
+_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\x0c"}
+#: Ems that a character is wide where its font doesn't say.
+WIDTH = 0.5
+#: Lines further apart than this many sizes are of different blocks.
+BLOCK_GAP = 1.6
+SPANS = (
+    "document_id string, page_number int, block_index int, line_index int, span_index int, text string, x0 double, y0 double, x1 double, y1 double, size double, font string"
+)
+
+
+class Name(str):
+    """A name, such as /Type."""
+
+
+class Word(str):
+    """An operator or keyword."""
+
+
+@dataclass(frozen=True)
+class Ref:
+    number: int
+
+
+class Lexer:
+    """Objects of a byte string, one after the other."""
+
+    def __init__(self, raw: bytes, at: int = 0):
+        self.raw, self.at = raw, at
+
+    def skip(self) -> None:
+        raw = self.raw
+        while self.at < len(raw):
+            if raw[self.at] in _SPACE:
+                self.at += 1
+            elif raw[self.at] == 0x25:
+                while self.at < len(raw) and raw[self.at] not in b"\r\n":
+                    self.at += 1
+            else:
+                return
+
+    def value(self):
+        """The next object; None at the end."""
+        self.skip()
+        raw, at = self.raw, self.at
+        if at >= len(raw):
+            return None
+        if raw.startswith(b"<<", at):
+            self.at += 2
+            items = self.until(b">>")
+            return dict(zip(items[::2], items[1::2]))
+        c = raw[at : at + 1]
+        if c == b"[":
+            self.at += 1
+            return self.until(b"]")
+        if c == b"(":
+            return self.literal()
+        if c == b"<":
+            end = raw.index(b">", at)
+            self.at = end + 1
+            digits = re.sub(rb"[^0-9A-Fa-f]", b"", raw[at + 1 : end])
+            return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+        end = at + 1
+        while end < len(raw) and raw[end] not in _END:
+            end += 1
+        self.at = end
+        token = raw[at:end]
+        if c == b"/":
+            return Name(re.sub(rb"#([0-9A-Fa-f]{2})", lambda m: bytes.fromhex(m[1].decode()), token[1:]).decode("latin-1"))
+        if re.fullmatch(rb"[+-]?\d+", token):
+            if m := re.compile(rb"\s+\d+\s+R(?![^\s()<>\[\]{}/%])").match(raw, end):
+                self.at = m.end()
+                return Ref(int(token))
+            return int(token)
+        if re.fullmatch(rb"[+-]?(\d+\.\d*|\.\d+)", token):
+            return float(token)
+        return Word(token.decode("latin-1"))
+
+    def until(self, end: bytes) -> list:
+        out = []
+        while True:
+            self.skip()
+            if self.raw.startswith(end, self.at):
+                self.at += len(end)
+                return out
+            before = self.at
+            x = self.value()
+            if x is None or self.at == before:
+                return out
+            out.append(x)
+
+    def literal(self) -> bytes:
+        out, depth, at, raw = bytearray(), 1, self.at + 1, self.raw
+        while at < len(raw):
+            c = raw[at : at + 1]
+            if c == b"\\":
+                if m := re.compile(rb"[0-7]{1,3}").match(raw, at + 1):
+                    out.append(int(m[0], 8) & 255)
+                    at = m.end()
+                    continue
+                n = raw[at + 1 : at + 2]
+                # an escaped line end is no character
+                out += b"" if n in (b"\n", b"\r") else _ESCAPES.get(n, n)
+                at += 2
+                continue
+            depth += (c == b"(") - (c == b")")
+            at += 1
+            if not depth:
+                break
+            out += c
+        self.at = at
+        return bytes(out)
+
+
+class File:
+    def __init__(self, raw: bytes):
+        if b"/Encrypt" in raw[-4096:]:
+            raise ValueError("the file is encrypted")
+        self.objects: dict[int, object] = {}
+        self.streams: dict[int, bytes] = {}
+        for m in re.finditer(rb"(?<!\d)(\d+)\s+\d+\s+obj\b", raw):
+            lexer = Lexer(raw, m.end())
+            number, x = int(m[1]), lexer.value()
+            self.objects[number] = x
+            if isinstance(x, dict) and (s := re.compile(rb"\s*stream\r?\n").match(raw, lexer.at)):
+                size = x.get("Length")
+                end = s.end() + size if isinstance(size, int) and raw[s.end() + size : s.end() + size + 20].lstrip().startswith(b"endstream") else raw.find(b"endstream", s.end())
+                self.streams[number] = raw[s.end() : end]
+        for number, x in list(self.objects.items()):
+            if isinstance(x, dict) and x.get("Type") == "ObjStm" and number in self.streams:
+                body = self.stream(number)
+                lexer = Lexer(body)
+                heads = [lexer.value() for _ in range(2 * int(self.get(x["N"])))]
+                for own, at in zip(heads[::2], heads[1::2]):
+                    self.objects.setdefault(own, Lexer(body, int(self.get(x["First"])) + at).value())
+
+    def get(self, x):
+        seen = 0
+        while isinstance(x, Ref) and seen < 50:
+            x, seen = self.objects.get(x.number), seen + 1
+        return x
+
+    def stream(self, number: int) -> bytes:
+        """A stream's bytes; empty for a filter that isn't known."""
+        x, raw = self.objects[number], self.streams.get(number, b"")
+        filters = self.get(x.get("Filter"))
+        for f in filters if isinstance(filters, list) else [filters] if filters else []:
+            if self.get(f) != "FlateDecode":
+                return b""
+            raw = zlib.decompressobj().decompress(raw)
+        return raw
+
+    def pages(self) -> Iterator[dict]:
+        """Page objects in order, with what they inherit."""
+        root = next((x for x in self.objects.values() if isinstance(x, dict) and x.get("Type") == "Catalog"), {})
+
+        def walk(node, held, depth):
+            node = self.get(node)
+            if not isinstance(node, dict) or depth > 60:
+                return
+            held = held | {k: node[k] for k in ("Resources", "MediaBox") if k in node}
+            if "Kids" in node:
+                for kid in self.get(node["Kids"]) or []:
+                    yield from walk(kid, held, depth + 1)
+            else:
+                yield held | node
+
+        yield from walk(root.get("Pages"), {}, 0)
+
+
+class Font:
+    def __init__(self, file: File, x: dict):
+        self.name = str(file.get(x.get("BaseFont")) or "")
+        self.wide = file.get(x.get("Subtype")) == "Type0"
+        self.first, self.widths = file.get(x.get("FirstChar")) or 0, [file.get(w) for w in file.get(x.get("Widths")) or []]
+        self.map: dict[int, str] = {}
+        to = x.get("ToUnicode")
+        if isinstance(to, Ref) and to.number in file.streams:
+            self.read_map(file.stream(to.number))
+
+    def read_map(self, raw: bytes) -> None:
+        text = lambda b: b.decode("utf-16-be", "replace")
+        for kind, body in re.findall(rb"beginbf(char|range)(.*?)endbf", raw, re.S):
+            items = Lexer(body).until(b"endbf")
+            for k in range(0, len(items) - (1 if kind == b"char" else 2), 2 if kind == b"char" else 3):
+                low = int.from_bytes(items[k], "big")
+                if kind == b"char":
+                    self.map[low] = text(items[k + 1])
+                    continue
+                high, to = int.from_bytes(items[k + 1], "big"), items[k + 2]
+                for j in range(min(high - low + 1, 65536)):
+                    self.map[low + j] = text(to[j]) if isinstance(to, list) and j < len(to) else text((int.from_bytes(to, "big") + j).to_bytes(len(to), "big")) if isinstance(to, bytes) else ""
+
+    def read(self, raw: bytes) -> tuple[str, float, int]:
+        """Text, width in ems, and blanks of a string."""
+        codes = [int.from_bytes(raw[k : k + 2], "big") for k in range(0, len(raw) - 1, 2)] if self.wide else list(raw)
+        width = lambda c: self.widths[c - self.first] / 1000 if 0 <= c - self.first < len(self.widths) else WIDTH
+        plain = lambda c: "" if self.wide else bytes([c]).decode("cp1252", "replace")
+        return "".join(self.map.get(c) or plain(c) for c in codes), sum(map(width, codes)), 0 if self.wide else codes.count(32)
+
+
+def _times(a, b):
+    return (a[0] * b[0] + a[1] * b[2], a[0] * b[1] + a[1] * b[3], a[2] * b[0] + a[3] * b[2], a[2] * b[1] + a[3] * b[3], a[4] * b[0] + a[5] * b[2] + b[4], a[4] * b[1] + a[5] * b[3] + b[5])
+
+
+def page_spans(file: File, page: dict) -> Iterator[tuple[str, float, float, float, float, str]]:
+    """text, x0, x1, baseline from the top, size, font of what a page shows, in the order in which it is shown."""
+    contents = page.get("Contents")
+    contents = file.get(contents) if isinstance(file.get(contents), list) else [contents]
+    raw = b"\n".join(file.stream(c.number) for c in contents if isinstance(c, Ref) and c.number in file.streams)
+    box = [float(file.get(v)) for v in file.get(page.get("MediaBox")) or (0, 0, 612, 792)]
+    given = file.get((file.get(page.get("Resources")) or {}).get("Font")) or {}
+    fonts = {k: Font(file, x) for k, v in given.items() if isinstance(x := file.get(v), dict)}
+    start = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
+    ctm, held, matrix, line = start, [], start, start
+    font, size, lead, gap, word, scale, rise = None, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0
+    lexer, args = Lexer(raw), []
+
+    def show(parts):
+        nonlocal matrix
+        for p in parts:
+            if isinstance(p, (int, float)):
+                matrix = _times((1, 0, 0, 1, -p / 1000 * size * scale, 0), matrix)
+            elif isinstance(p, bytes) and font:
+                text, width, blanks = font.read(p)
+                at = _times((1, 0, 0, 1, 0, rise), _times(matrix, ctm))
+                matrix = _times((1, 0, 0, 1, (width * size + gap * len(p) + word * blanks) * scale, 0), matrix)
+                end = _times(matrix, ctm)
+                yield text, at[4] - box[0], end[4] - box[0], box[3] - at[5], abs(size) * (at[2] ** 2 + at[3] ** 2) ** 0.5, font.name
+
+    while (x := lexer.value()) is not None:
+        if not isinstance(x, Word):
+            args.append(x)
+            continue
+        n = [a for a in args if isinstance(a, (int, float))]
+        if x == "q":
+            held.append(ctm)
+        elif x == "Q" and held:
+            ctm = held.pop()
+        elif x == "cm" and len(n) == 6:
+            ctm = _times(n, ctm)
+        elif x == "BT":
+            matrix = line = start
+        elif x == "Tf" and len(args) == 2:
+            font, size = fonts.get(args[0]), float(args[1])
+        elif x in ("Td", "TD") and len(n) == 2:
+            lead = -n[1] if x == "TD" else lead
+            matrix = line = _times((1, 0, 0, 1, *n), line)
+        elif x == "Tm" and len(n) == 6:
+            matrix = line = tuple(n)
+        elif x == "T*":
+            matrix = line = _times((1, 0, 0, 1, 0, -lead), line)
+        elif x in ("TL", "Tc", "Tw", "Tz", "Ts") and n:
+            lead, gap, word, scale, rise = (n[0] if x == "TL" else lead, n[0] if x == "Tc" else gap, n[0] if x == "Tw" else word, n[0] / 100 if x == "Tz" else scale, n[0] if x == "Ts" else rise)
+        elif x == "Tj":
+            yield from show(args[-1:])
+        elif x == "TJ" and args and isinstance(args[-1], list):
+            yield from show(args[-1])
+        elif x in ("'", '"'):
+            if x == '"' and len(n) >= 2:
+                word, gap = n[0], n[1]
+            matrix = line = _times((1, 0, 0, 1, 0, -lead), line)
+            yield from show(args[-1:])
+        args = []
+
+
+def spans(document_id: str, content: bytes) -> list[tuple]:
+    """Rows of SPANS. Spans of one baseline are a line, lines near each other a block. A file without text raises."""
+    file, out = File(content), []
+    for number, page in enumerate(file.pages(), 1):
+        block = line = order = 0
+        base = last = None
+        for text, x0, x1, y, size, font in page_spans(file, page):
+            if not text or size <= 0:
+                continue
+            if base is None or abs(y - base) > 0.3 * size:
+                if base is not None:
+                    far = y < base or y - base > BLOCK_GAP * max(size, last)
+                    block, line, order = (block + 1, 0, 0) if far else (block, line + 1, 0)
+                base = y
+            # the ascent above and the descent below a baseline
+            out.append((document_id, number, block, line, order, text, x0, y - 0.8 * size, x1, y + 0.2 * size, size, font))
+            order, last = order + 1, size
+    if not any(r[5].strip() for r in out):
+        raise ValueError(f"no text in {document_id}")
+    return out
+
+
+def read_spans(spark: SparkSession, path: str) -> DataFrame:
+    """SPANS of PDF files, for tables.span_lines(); the path is the document's id. A file without text raises."""
+    import pandas as pd
+
+    names = [x.split(" ")[0] for x in SPANS.split(", ")]
+
+    def run(batches):
+        for pdf in batches:
+            for name, content in zip(pdf["path"], pdf["content"]):
+                yield pd.DataFrame(spans(name, bytes(content)), columns=names)
+
+    return spark.read.format("binaryFile").load(path).select("path", F.col("content")).mapInPandas(run, SPANS)

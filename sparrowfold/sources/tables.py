@@ -86,15 +86,19 @@ def span_lines(spans: DataFrame) -> DataFrame:
 
 
 def file_lines(spark: SparkSession, path: str, parse: Callable[[str, bytes], Iterator[dict]]) -> DataFrame:
-    """LINES of files by a parser for their format: parse(path, content) yields rows as dicts, on the executors."""
+    """LINES of files by a parser for their format: parse(path, content) yields rows as dicts, on the executors. A file
+    without text raises. pdf.read_spans() reads PDF files."""
     import pandas as pd
 
     names = [f.name for f in T._parse_datatype_string(LINES).fields]
 
     def run(batches):
         for pdf in batches:
-            rows = [r for p, c in zip(pdf["path"], pdf["content"]) for r in parse(p, bytes(c))]
-            yield pd.DataFrame(rows, columns=names)
+            for path, content in zip(pdf["path"], pdf["content"]):
+                rows = list(parse(path, bytes(content)))
+                if not any((r["text"] or "").strip() for r in rows):
+                    raise ValueError(f"no text in {path}")
+                yield pd.DataFrame(rows, columns=names)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, LINES)
 

@@ -1,0 +1,74 @@
+import zlib
+
+import pytest
+
+from sparrowfold.operators import units
+from sparrowfold.sources import pdf
+from sparrowfold.sources import tables as src
+
+
+def document(*pages, fonts=None, packed=False):
+    """A file of pages given as content streams, with fonts F1 (plain) and F2 (bold)."""
+    fonts = fonts or ["<< /Type /Font /Subtype /Type1 /BaseFont /Plain /FirstChar 32 /Widths [250] >>", "<< /Type /Font /Subtype /Type1 /BaseFont /Heavy-Bold >>"]
+    objects = ["<< /Type /Catalog /Pages 2 0 R >>", None]
+    numbers = []
+    font_at = 3
+    for f in fonts:
+        objects.append(f)
+    for p in pages:
+        raw = p.encode("latin-1")
+        body = zlib.compress(raw) if packed else raw
+        objects.append((f"<< /Length {len(body)} {'/Filter /FlateDecode ' if packed else ''}>>", body))
+        numbers.append(len(objects) + 1)
+        objects.append(f"<< /Type /Page /Parent 2 0 R /Contents {len(objects)} 0 R >>")
+    kids = " ".join(f"{n} 0 R" for n in numbers)
+    named = " ".join(f"/F{k} {font_at + k - 1} 0 R" for k in range(1, len(fonts) + 1))
+    objects[1] = f"<< /Type /Pages /Kids [{kids}] /Count {len(numbers)} /MediaBox [0 0 600 800] /Resources << /Font << {named} >> >> >>"
+    out = b"%PDF-1.4\n%\xe2\xe3\n"
+    for k, x in enumerate(objects, 1):
+        head, body = x if isinstance(x, tuple) else (x, None)
+        out += f"{k} 0 obj\n{head}\n".encode() + (b"stream\n" + body + b"\nendstream\n" if body is not None else b"") + b"endobj\n"
+    return out + b"trailer << /Root 1 0 R >>\n%%EOF"
+
+
+PAGE = r"BT /F2 18 Tf 50 700 Td (Part \(one\)) Tj ET BT /F1 11 Tf 12 TL 50 660 Td [(Wo) -20 (rds) -400 (here)] TJ T* (go on.) Tj 0 -60 Td (\225 an item) Tj ET"
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_spans(packed):
+    rows = pdf.spans("d", document(PAGE, "BT /F1 10 Tf 1 0 0 1 30 40 Tm (foot) ' ET", packed=packed))
+    got = [(r[1], r[2], r[3], r[4], r[5], r[10], r[11]) for r in rows]
+    assert got == [
+        (1, 0, 0, 0, "Part (one)", 18.0, "Heavy-Bold"), (1, 1, 0, 0, "Wo", 11.0, "Plain"), (1, 1, 0, 1, "rds", 11.0, "Plain"), (1, 1, 0, 2, "here", 11.0, "Plain"),
+        (1, 1, 1, 0, "go on.", 11.0, "Plain"), (1, 2, 0, 0, "• an item", 11.0, "Plain"), (2, 0, 0, 0, "foot", 10.0, "Plain"),
+    ]
+    assert rows[0][6] == 50.0 and abs(rows[0][9] - (800 - 700 + 0.2 * 18)) < 1e-9 and rows[1][8] < rows[2][6] < rows[3][6]
+
+
+def test_units_of_a_file(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(document(PAGE, packed=True))
+    lines = src.span_lines(pdf.read_spans(spark, f"{tmp_path}/a.pdf"))
+    assert [r.text for r in lines.orderBy("line_no").collect()] == ["Part (one)", "Words here", "go on.", "• an item"]
+    got = units.reconstruct(lines).orderBy("source_order").collect()
+    assert [(r.unit_type, r.text) for r in got] == [("heading", "Part (one)"), ("paragraph", "Words here go on."), ("list_item", "an item")]
+
+
+def test_maps_and_matrices():
+    cmap = "1 begincodespacerange <0000> <ffff> endcodespacerange 1 beginbfchar <0003> <00480069> endbfchar 2 beginbfrange <0010> <0012> <0061> <0020> <0021> [<0078> <0079>] endbfrange"
+    raw = document("q 2 0 0 2 0 0 cm BT /F1 5 Tf 10 20 Td <00030010001200200021> Tj ET Q", fonts=["<< /Type /Font /Subtype /Type0 /BaseFont /Wide /ToUnicode 99 0 R >>"])
+    raw += f"\n99 0 obj << /Length {len(cmap)} >>\nstream\n{cmap}\nendstream\nendobj".encode()
+    ((_, _, _, _, _, text, x0, _, x1, _, size, _),) = pdf.spans("d", raw)
+    assert (text, x0, size) == ("Hiacxy", 20.0, 10.0) and x1 == 20.0 + 5 * 0.5 * 5 * 2
+
+
+def test_object_streams_and_odd_files():
+    body = b"2 0 3 60 " + b"<< /Type /Pages /Kids [4 0 R] /MediaBox [0 0 9 9]>>".ljust(60) + b"<< /Subtype /Type1 /BaseFont /P >>"
+    packed = zlib.compress(body)
+    raw = b"%PDF-1.5\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\n7 0 obj << /Type /ObjStm /N 2 /First 9 /Filter /FlateDecode /Length " + str(len(packed)).encode() + b" >>\nstream\n" + packed + b"\nendstream endobj\n"
+    raw += b"4 0 obj << /Type /Page /Contents [5 0 R] /Resources << /Font << /F 3 0 R >> >> >> endobj\n5 0 obj << /Length 6 0 R >>\nstream\nBT /F 4 Tf (a\\\nb\\101) Tj ET\nendstream endobj\n6 0 obj 29 endobj"
+    assert [r[5] for r in pdf.spans("d", raw)] == ["abA"]
+    for bad in (b"", b"no file at all", document("BT ET"), document("BT /F1 9 Tf (  ) Tj ET"), document("BT /F9 9 Tf (x) Tj ET"), document("BT /F1 (x Tj ET")):
+        with pytest.raises(ValueError):
+            pdf.spans("d", bad)
+    with pytest.raises(ValueError, match="encrypted"):
+        pdf.spans("d", document(PAGE) + b" trailer << /Encrypt 9 0 R >>")

@@ -174,6 +174,9 @@ def test_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text("one\ntwo")
     parse = lambda path, content: [dict(document_id="a", line_no=k, text=t, page_number=1, block_index=0, line_index=k, bbox=dict(x0=0.0, y0=100.0, x1=1.0, y1=110.0), font_size=11.0, is_bold=False) for k, t in enumerate(content.decode().split("\n"))]  # noqa: C408, E731
     assert [r.text for r in src.file_lines(spark, f"{tmp_path}/a.txt", parse).orderBy("line_no").collect()] == ["one", "two"]
+    (tmp_path / "b.txt").write_text(" \n")
+    with pytest.raises(Exception, match="no text"):
+        src.file_lines(spark, f"{tmp_path}/b.txt", parse).collect()
     import hashlib
 
     assert src.file_hashes(spark, f"{tmp_path}/a.txt").first().sha256 == hashlib.sha256(b"one\ntwo").hexdigest()
