@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, small
-from .wordbpe import encoder, slices
+from .wordbpe import LEAN_SLICE, encoder, slices
 
 MAX_TOKENS = 2048
 
@@ -23,16 +23,16 @@ def binary_lengths(n: int, longest: int = MAX_TOKENS) -> list[int]:
     return [longest] * (n // longest) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def cut(docs: DataFrame, tokenizer_path: str, end_id: int, longest: int = MAX_TOKENS, with_ids: bool = True) -> DataFrame:
+def cut(docs: DataFrame, tokenizer_path: str, end_id: int, longest: int = MAX_TOKENS, with_ids: bool = True, lean: bool = False) -> DataFrame:
     """Pieces of every document (doc_id, text): one row a piece, ordinal counted for each length in its partition."""
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, ordinal long" + ", ids binary" * with_ids
 
     def run(batches):
-        enc = encoder(tokenizer_path)
+        enc = encoder(tokenizer_path, lean)
         part, seen = TaskContext.get().partitionId(), [0] * 64
         for batch in batches:
             keys = batch.column("doc_id").to_pylist()
-            for first, texts in slices(batch, size=4_000_000):
+            for first, texts in slices(batch, **({"size": LEAN_SLICE} if lean else {})):
                 ids, bounds = enc.encode_ended(texts, end_id)
                 raw, bounds = memoryview(ids.astype("<u4")).cast("B"), bounds.tolist()
                 out = [[] for _ in range(8)]
@@ -52,7 +52,7 @@ def cut(docs: DataFrame, tokenizer_path: str, end_id: int, longest: int = MAX_TO
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, longest: int = MAX_TOKENS, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, longest: int = MAX_TOKENS, with_ids: bool = True, lean: bool = False) -> DataFrame:
     """Sequences of at most `longest` (a power of two) tokens over every document, without padding.
 
     A document's ids and end_id are cut into pieces whose lengths are powers of two; pieces of one length form a
@@ -60,10 +60,10 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, longest: int = M
     sequence_id numbers the sequences from 0, longest bucket first. Null or empty text: the end id alone. Null and
     repeated doc_ids: packed as they are, each row by itself. No row in, no row out. Other columns are not read.
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (always 0), and ids (little-endian
-    unsigned 32-bit) if with_ids.
+    unsigned 32-bit) if with_ids. lean takes less memory and more time.
     """
     ws = Workspace(docs.sparkSession, "pack")
-    pieces = ws.save(cut(docs, tokenizer_path, end_id, longest, with_ids), "pieces")
+    pieces = ws.save(cut(docs, tokenizer_path, end_id, longest, with_ids, lean), "pieces")
     # a row for each length and partition; lengths follow each other, the largest first, and partitions within a length
     counts = ws.save(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "counts")
     totals = counts.groupBy("length").agg(F.sum("n").alias("total"))

@@ -16,13 +16,16 @@ import pyarrow.compute as pc
 from .common import held
 
 #: Pieces, and words without their punctuation, that a worker keeps; beyond it they are encoded anew in each slice of texts.
-KEEP_PIECES, KEEP_WORDS = 60_000, 250_000
+KEEP_PIECES, KEEP_WORDS = 100_000, 300_000
+#: The same where other operators have left little memory.
+LEAN_PIECES, LEAN_WORDS, LEAN_SLICE = 10_000, 50_000, 2_000_000
 #: Characters that the splitter always parts from letters and that take no part in contractions.
 TAILS = ".,;:!?%*#$&|"
 
 
 class WordEncoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, pieces: int | None = None, words: int | None = None):
+        self.keep_pieces, self.keep_words = KEEP_PIECES if pieces is None else pieces, KEEP_WORDS if words is None else words
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -77,7 +80,7 @@ class WordEncoder:
             else:
                 other.append(k)
         known = self._letters(list(lacking))
-        if len(words) < KEEP_WORDS:
+        if len(words) < self.keep_words:
             words.update(known)
         known |= self._whole(list(tails))
         get = {**words, **known}.get if len(known) > len(words) else lambda w: known.get(w) if w in known else words[w]
@@ -96,7 +99,7 @@ class WordEncoder:
         fresh = self._fresh([pieces[k] for k in at])
         for k, ids in zip(at, fresh):
             out[k] = ids
-        if len(kept) < KEEP_PIECES:
+        if len(kept) < self.keep_pieces:
             kept.update(zip([pieces[k] for k in at], fresh))
         return out
 
@@ -128,9 +131,9 @@ class WordEncoder:
         return out, bounds
 
 
-def encoder(path: str) -> WordEncoder:
-    """One encoder a worker process and file."""
-    return held(("words", path), lambda: WordEncoder(path))
+def encoder(path: str, lean: bool = False) -> WordEncoder:
+    """One encoder a worker process and file; a lean one keeps less and takes longer."""
+    return held(("words", path, lean), lambda: WordEncoder(path, *((LEAN_PIECES, LEAN_WORDS) if lean else ())))
 
 
 def slices(batch, column: str = "text", size: int = 8_000_000):
