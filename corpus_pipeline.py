@@ -84,7 +84,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Null and empty texts are packed as their end id alone; null and repeated doc_ids as they are, each row by itself;
     a long text gives as many sequences as it fills. No row in, no row out; other columns aren't read.
     """
-    return pack(docs, WORDS, 1)
+    return pack(docs, WORDS, 1, lean=True)
 
 
 STAGES = [
