@@ -195,7 +195,7 @@ def code(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False)
         c = coder(ranks_path, pattern)
         for batch in batches:
             keys = batch.column("doc_id").cast(pa.int64())
-            for first, texts in slices(batch):
+            for first, texts in slices(batch, size=6_000_000):
                 got = c.code_batch(texts)
                 columns = [
                     keys.slice(first, len(texts)),

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from .common import held
 
 #: Pieces, and words without their punctuation, that a worker keeps; beyond it they are encoded anew in each slice of texts.
-KEEP_PIECES, KEEP_WORDS = 100_000, 300_000
+KEEP_PIECES, KEEP_WORDS = 30_000, 120_000
 #: The same where other operators have left little memory.
 LEAN_PIECES, LEAN_WORDS, LEAN_SLICE = 10_000, 50_000, 2_000_000
 #: Characters that the splitter always parts from letters and that take no part in contractions.
@@ -136,7 +136,7 @@ def encoder(path: str, lean: bool = False) -> WordEncoder:
     return held(("words", path, lean), lambda: WordEncoder(path, *((LEAN_PIECES, LEAN_WORDS) if lean else ())))
 
 
-def slices(batch, column: str = "text", size: int = 8_000_000):
+def slices(batch, column: str = "text", size: int = 3_000_000):
     """(first row, Arrow array of texts) of a batch, cut so that a slice's bytes are bounded unless one text alone is longer."""
     texts = batch.column(column)
     if not len(texts):
