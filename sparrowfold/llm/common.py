@@ -19,9 +19,11 @@ PARTITION_BYTES = 96 << 20
 #: Rows of a few numbers each up to which a side of a join is broadcast; beyond, both sides are shuffled.
 BROADCAST_ROWS = 500_000
 
+#: Bytes that a writer gathers in the JVM's heap before it writes them out.
+ROW_GROUP = 16 << 20
 #: Spark's settings while a table is saved: an execution removes its own shuffle files at its end, and rows go to Python
 #: in batches that stay small even for long texts.
-BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "2500"
+BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
 SAVING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", BATCH: ROWS}
 
 
@@ -31,7 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lean(spark: SparkSession) -> None:
-    """Rows go to Python 2,500 at a time from now on, unless the session has another number than Spark's: whole texts
+    """Rows go to Python 1,000 at a time from now on, unless the session has another number than Spark's: whole texts
     are long, and what a batch takes beside the JVM's heap isn't given back."""
     if spark.conf.get(BATCH) == "10000":
         spark.conf.set(BATCH, ROWS)
@@ -70,7 +72,7 @@ class Workspace:
         for k, v in SAVING.items():
             conf.set(k, v)
         try:
-            df.write.mode("overwrite").options(compression="zstd", **options).parquet(self.path(name))
+            df.write.mode("overwrite").options(**{"compression": "zstd", "parquet.block.size": ROW_GROUP, **options}).parquet(self.path(name))
         finally:
             for k, v in before.items():
                 conf.unset(k) if v is None else conf.set(k, v)
