@@ -125,7 +125,7 @@ class Block:
         return pairs // len(self.words), pairs % len(self.words)
 
 
-def write_blocks(docs: DataFrame, root: str) -> DataFrame:
+def write_blocks(docs: DataFrame, root: str, block_tokens: int) -> DataFrame:
     """Writes files of blocks; returns doc_id, block, place, n (a row a document)."""
 
     def run(batches):
@@ -162,7 +162,7 @@ def write_blocks(docs: DataFrame, root: str) -> DataFrame:
                 lengths.append(len(own))
                 keys.append(tuple(c[k] for c in columns))
                 size += len(own)
-                if size >= BLOCK_TOKENS:
+                if size >= block_tokens:
                     yield leave()
                     size = 0
         if keys:
@@ -393,10 +393,10 @@ def text_key() -> list[Column]:
     return [F.xxhash64(text).alias("t"), F.hash(text).alias("u")]
 
 
-def evidence(docs: DataFrame, labels: DataFrame, ws: Workspace) -> DataFrame | None:
+def evidence(docs: DataFrame, labels: DataFrame, ws: Workspace, block_tokens: int | None = None) -> DataFrame | None:
     """doc_id, t, u, n, a, b of every document; labels: (doc_id, y) of the rows that count. None without both classes."""
     spark = docs.sparkSession
-    rows = ws.save(write_blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(), F.col("text").cast("string").alias("text")), ws.path("blocks")), "rows")
+    rows = ws.save(write_blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(), F.col("text").cast("string").alias("text")), ws.path("blocks"), block_tokens or BLOCK_TOKENS), "rows")
     train = ws.save(rows.join(small(labels), "doc_id").groupBy("block").agg(F.collect_list("place").alias("places"), F.collect_list("y").alias("labels"), F.sum("n").alias("n")), "train")
     files, tokens = train.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     if not tokens:
@@ -434,7 +434,7 @@ def evidence(docs: DataFrame, labels: DataFrame, ws: Workspace) -> DataFrame | N
     return found
 
 
-def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, block_tokens: int | None = None) -> DataFrame:
     """doc_id, t, u (text_key), score of every document (doc_id, text): 0 to 1, higher: more likely toxic.
 
     Learns from every row of docs that labels (doc_id, label 0/1) covers; a repeated doc_id's labels are averaged. Rows
@@ -442,14 +442,14 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     the evidence instead (all do, if these lack a class). Without both classes, every score is near 1 if only toxic
     rows are known, else near 0. Null and empty texts have no tokens and an evidence of 0. Each row gives a row, equal
     texts equal scores; other columns are not read; no row, no score. Texts of any length are read whole; one text
-    may be a block of its own.
+    may be a block of its own. Smaller blocks take less memory and more disk.
     """
     ws = Workspace(docs.sparkSession, "toxic")
     given = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("double").alias("y")).where("doc_id is not null and y is not null").groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
     given = ws.save(given.withColumn("aside", F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATION)) == 0), "labels")
     kinds = {(r.aside, r.y) for r in given.groupBy("aside", "y").count().collect()}  # four rows
     known = {y for _, y in kinds}
-    found = evidence(docs, given.where("not aside").select("doc_id", "y"), ws) if {(False, 0), (False, 1)} <= kinds else None
+    found = evidence(docs, given.where("not aside").select("doc_id", "y"), ws, block_tokens) if {(False, 0), (False, 1)} <= kinds else None
     if found is None:
         only = 1 / (1 + np.exp(-30.0 if known == {1} else 30.0))
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(), F.lit(float(only)).alias("score"))
