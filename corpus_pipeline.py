@@ -31,7 +31,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows go by their text, so rows with a null or repeated doc_id are judged like others; null and empty texts are
     judged as texts without words. No row in, no row out; other columns, whatever their names, come back as they were.
     """
-    scored = kn_toxicity.score(docs, training_labels(table(spark, sf_dir, "labels"), "toxic", 5, 0))
+    scored = kn_toxicity.score(docs, training_labels(table(spark, sf_dir, "labels"), "toxic", 5, 0), block_tokens=1_000_000)
     toxic = Workspace(spark, "toxic").save(scored.where("score >= 0.5").select("t", "u").distinct(), "toxic")
     return without(docs, kn_toxicity.text_key(), toxic)
 
