@@ -23,7 +23,7 @@ BROADCAST_ROWS = 500_000
 ROW_GROUP = 16 << 20
 #: Spark's settings while a table is saved: an execution removes its own shuffle files at its end, and rows go to Python
 #: in batches that stay small even for long texts.
-BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
+BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "2500"
 SAVING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", BATCH: ROWS}
 
 
@@ -32,11 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lean(spark: SparkSession) -> None:
-    """Rows go to Python 1,000 at a time from now on, unless the session has another number than Spark's: whole texts
-    are long, and what a batch takes beside the JVM's heap isn't given back."""
-    if spark.conf.get(BATCH) == "10000":
-        spark.conf.set(BATCH, ROWS)
+def lean(spark: SparkSession, rows: str = ROWS) -> None:
+    """So many rows go to Python at a time from now on, unless the session has another number than Spark's or ROWS:
+    whole texts are long, and what a batch takes beside the JVM's heap isn't given back."""
+    if spark.conf.get(BATCH) in ("10000", ROWS):
+        spark.conf.set(BATCH, rows)
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -69,8 +69,10 @@ class Workspace:
         """df as a table; the shuffle files that made it go as soon as it stands, since nothing reads them again."""
         conf = self.spark.conf
         before = {k: conf.get(k, None) for k in SAVING}
+        fewer = 0 < int(before[BATCH] or 0) < int(ROWS)
         for k, v in SAVING.items():
-            conf.set(k, v)
+            if k != BATCH or not fewer:
+                conf.set(k, v)
         try:
             df.write.mode("overwrite").options(**{"compression": "zstd", "parquet.block.size": ROW_GROUP, **options}).parquet(self.path(name))
         finally:
