@@ -18,7 +18,7 @@ from .common import held
 #: Pieces, and words without their punctuation, that a worker keeps; beyond it they are encoded anew in each slice of texts.
 KEEP_PIECES, KEEP_WORDS = 100_000, 300_000
 #: The same where other operators have left little memory.
-LEAN_PIECES, LEAN_WORDS, LEAN_SLICE = 10_000, 50_000, 2_000_000
+LEAN_PIECES, LEAN_WORDS, LEAN_SLICE = 0, 20_000, 1_000_000
 #: Characters that the splitter always parts from letters and that take no part in contractions.
 TAILS = ".,;:!?%*#$&|"
 
