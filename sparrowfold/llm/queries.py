@@ -89,12 +89,36 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan(table(spark, sf_dir, "documents")))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form, root and near words of every frequent word of the documents."""
+    from .spelling_variants import variants
+
+    return variants(table(spark, sf_dir, "documents"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in windows of benchmark items, and these items."""
+    from .decontamination import decontaminate
+
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and the repaired digest of every conversation, after the damage."""
+    from .conversation_repair import digest
+
+    return digest(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
-    """The ten operators; __spark_entry__ adds the pipeline."""
+    """The thirteen operators; __spark_entry__ adds the pipeline."""
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import url_alias
+    from . import conversation_repair, decontamination, spelling_variants, url_alias
 
-    return {"op4_url_alias": url_alias.ORACLE_SQL}
+    return {
+        "op4_url_alias": url_alias.ORACLE_SQL, "op11_spelling_variants": spelling_variants.ORACLE_SQL,
+        "op12_decontamination": decontamination.ORACLE_SQL, "op13_conversation_repair": conversation_repair.ORACLE_SQL,
+    }
