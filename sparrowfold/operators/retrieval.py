@@ -1,6 +1,5 @@
-"""Retrieval: exact top k by inner product, and by sparse term vectors where no encoder is at hand."""
+"""Retrieval: exact top k by inner product (postings.py has it by terms, where no encoder is at hand)."""
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,11 +13,13 @@ from ..functions.scores import unit_scale
 INDEX_BLOCK, QUERY_BLOCK = 4096, 1024
 #: Decimals at which scores tie; ties go to the smaller chunk id.
 TIE_DECIMALS = 9
-#: Characters of all queries up to which every worker holds them for sparse retrieval, and cells of one matrix of theirs.
-MAX_QUERY_CHARS, MATRIX = 8_000_000, 16_000_000
 
 
-def few(rows: DataFrame, most: int = 500_000) -> DataFrame:
+#: Rows of a few numbers each up to which a side of a join is broadcast.
+FEW = 500_000
+
+
+def few(rows: DataFrame, most: int = FEW) -> DataFrame:
     """rows, marked for broadcast if there are no more than `most`."""
     return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
@@ -65,102 +66,6 @@ def ranked(scored: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(*by, "query_id", "rank", "chunk_id", "score")
 
 
-def terms(text: str | None) -> Counter:
-    """Words between white space, in lower case, with their counts."""
-    return Counter((text or "").lower().split())
-
-
-class TermMatrix:
-    """Queries as columns of a matrix by terms; texts are multiplied with it a few hundred at a time."""
-
-    def __init__(self, names: list, texts: list[str | None]):
-        rows = [(name, terms(t)) for name, t in zip(names, texts)]
-        self.blocks = []
-        at = 0
-        # a block of queries has at most MATRIX cells
-        while at < len(rows):
-            ids: dict[str, int] = {}
-            end = at
-            while end < len(rows):
-                grown = len(ids) + sum(w not in ids for w in rows[end][1])
-                if end > at and grown * (end - at + 1) > MATRIX:
-                    break
-                for w in rows[end][1]:
-                    ids.setdefault(w, len(ids))
-                end += 1
-            own = [r for r in rows[at:end] if r[1]]
-            weight = np.zeros((len(ids), len(own)))
-            for j, (_, t) in enumerate(own):
-                weight[[ids[w] for w in t], j] = np.array(list(t.values())) / np.sqrt(sum(n * n for n in t.values()))
-            if own:
-                self.blocks.append(([name for name, _ in own], ids, weight))
-            at = end
-
-    def best(self, chunks: list, texts: list[str | None], k: int) -> list[tuple]:
-        """(query, chunk, cosine) of the k best of these texts for each query, those without a common term left out; ties to the smaller chunk."""
-        order = sorted(range(len(chunks)), key=lambda j: chunks[j])
-        counts = [(chunks[j], t) for j in order if (t := terms(texts[j]))]
-        norm = np.array([np.sqrt(sum(n * n for n in t.values())) for _, t in counts])
-        out = []
-        for names, ids, weight in self.blocks:
-            s = np.zeros((len(names), len(counts)))
-            for at in range(0, len(counts), 256):
-                part = counts[at : at + 256]
-                hits = [(row, ids[w], n) for row, (_, t) in enumerate(part) for w, n in t.items() if w in ids]
-                if hits:
-                    row, term, n = map(np.array, zip(*hits))
-                    used, term = np.unique(term, return_inverse=True)
-                    m = np.zeros((len(part), len(used)))
-                    m[row, term] = n
-                    s[:, at : at + len(part)] = (m @ weight[used]).T
-            s = np.round(s / norm, TIE_DECIMALS) if len(counts) else s
-            few = min(k, s.shape[1])
-            near = np.argsort(-s, axis=1, kind="stable")[:, :few]
-            out += [(name, counts[c][0], s[q, c]) for q, name in enumerate(names) for c in near[q].tolist() if s[q, c] > 0]
-        return out
-
-
-def sparse_top_k(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """As top_k, by the cosine of term counts. index: chunk_id, text; queries: query_id, text.
-
-    Queries of up to MAX_QUERY_CHARS characters in all are sent to every worker and the index is read once; beyond,
-    queries and texts meet in blocks. A task hands on its k best for a query, so no row is made for each pair. Pairs
-    without a common term don't count.
-    """
-    kinds = {f.name: f.dataType.simpleString() for f in [*index.schema, *queries.schema]}
-    schema = f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double"
-    asked = queries.select("query_id", F.col("text").alias("asked")).where("asked is not null")
-    columns = ["query_id", "chunk_id", "score"]
-    if (asked.agg(F.sum(F.length("asked") + 1)).first()[0] or 0) <= MAX_QUERY_CHARS:
-        rows = asked.collect()
-        held = index.sparkSession.sparkContext.broadcast(TermMatrix([r.query_id for r in rows], [r.asked for r in rows]))
-
-        def run(batches):
-            best: list[tuple] = []
-            for pdf in batches:
-                best += held.value.best(pdf["chunk_id"].tolist(), pdf["text"].tolist(), k)
-                if len(best) > 200_000:
-                    best = cut(best)
-            yield pd.DataFrame(cut(best), columns=columns)
-
-        def cut(best):
-            own: dict = {}
-            for q, c, s in sorted(best, key=lambda x: (-x[2], x[1])):
-                if len(own.setdefault(q, [])) < k:
-                    own[q].append((q, c, s))
-            return [x for rows in own.values() for x in rows]
-
-        return ranked(index.select("chunk_id", "text").mapInPandas(run, schema), k)
-    parts, blocks = (max(1, -(-x.count() // n)) for x, n in ((asked, QUERY_BLOCK), (index, INDEX_BLOCK)))
-    left = index.select("chunk_id", "text", F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int").alias("_block")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    right = asked.withColumn("_part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def meet(own: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(TermMatrix(asking["query_id"].tolist(), asking["asked"].tolist()).best(own["chunk_id"].tolist(), own["text"].tolist(), k), columns=columns)
-
-    return ranked(left.groupBy("_block", "_part").cogroup(right.groupBy("_block", "_part")).applyInPandas(meet, schema), k)
-
-
 def pooled(index: DataFrame, sizes: list[int]) -> DataFrame:
     """Coarser strategies of an index of numbered vectors: strategy_id, target, chunk_id, embedding, units.
 

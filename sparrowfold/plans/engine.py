@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import query_status, strip
-from ..operators import grounding, retrieval
+from ..operators import grounding, postings, retrieval
 
 
 @dataclass(frozen=True)
@@ -55,7 +55,7 @@ Generator = Callable[[DataFrame], DataFrame]
 
 def sparse_retriever(chunks: DataFrame) -> Retriever:
     """Retrieval by term vectors over chunks (chunk_id, text)."""
-    return lambda questions, k: retrieval.sparse_top_k(chunks, questions.select("query_id", F.col("query").alias("text")), k)
+    return lambda questions, k: postings.sparse_top_k(chunks, questions.select("query_id", F.col("query").alias("text")), k)
 
 
 def dense_retriever(index: DataFrame, encode: Callable[[DataFrame], DataFrame]) -> Retriever:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as fs
 from ..functions import text as ft
-from ..operators import calibration, chunking, grounding, inspection, manifest, metrics, profile, retrieval, units
+from ..operators import calibration, chunking, grounding, inspection, manifest, metrics, postings, profile, retrieval, units
 from ..sources import tables as src
 from . import engine, evaluation
 
@@ -581,7 +581,7 @@ def _text_tables(spark, sf):
 def _text_flow(spark, sf):
     """Hits, decisions, final evidence and checked citations of the extractive generator."""
     chunks_, asked = _text_tables(spark, sf)
-    hits = retrieval.sparse_top_k(chunks_, asked.select("query_id", F.col("query").alias("text")), TOP_K)
+    hits = postings.sparse_top_k(chunks_, asked.select("query_id", F.col("query").alias("text")), TOP_K)
     decisions = retrieval.gate(asked, hits, F.lit(TEXT_GATE))
     final = hits.where(F.col("rank") <= FINAL_K).join(decisions.where("is_relevant").select("query_id"), "query_id", "left_semi")
     made = engine.extractive(final.join(chunks_.select("chunk_id", "text"), "chunk_id"))

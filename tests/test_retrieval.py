@@ -45,34 +45,6 @@ def test_top_k_of_every_strategy(spark):
     assert got == [("s1", "a", 1, 8), ("s1", "a", 2, 7), ("s1", "b", 1, 0), ("s1", "b", 2, 1), ("s2", "a", 1, 2), ("s2", "a", 2, 1), ("s2", "b", 1, 1), ("s2", "b", 2, 2)]
 
 
-@pytest.mark.parametrize("chars", [1000, 0])
-def test_sparse_top_k_against_all_pairs(spark, monkeypatch, chars):
-    """Queries sent to all workers, in several matrices, and met in blocks."""
-    for name, value in {"MAX_QUERY_CHARS": chars, "MATRIX": 20, "INDEX_BLOCK": 9, "QUERY_BLOCK": 4}.items():
-        monkeypatch.setattr(retrieval, name, value)
-    rng = np.random.default_rng(3)
-    text = lambda n: " ".join(rng.choice(list("abcdefgh"), n))
-    docs, asked = {k: text(rng.integers(0, 12)) for k in range(40)}, {k: text(rng.integers(0, 6)) for k in range(11)}
-    got = {(r.query_id, r["rank"]): (r.chunk_id, round(r.score, 8)) for r in retrieval.sparse_top_k(spark.createDataFrame(list(docs.items()), "chunk_id long, text string"), spark.createDataFrame(list(asked.items()), "query_id long, text string"), 5).collect()}
-    want = {}
-    for q, t in asked.items():
-        own = retrieval.terms(t)
-        scored = []
-        for c, d in docs.items():
-            other = retrieval.terms(d)
-            if common := sum(n * other[w] for w, n in own.items()):
-                scored.append((-round(common / math.sqrt(sum(n * n for n in own.values()) * sum(n * n for n in other.values())), 9), c))
-        want |= {(q, n): (c, round(-s, 8)) for n, (s, c) in enumerate(sorted(scored)[:5], 1)}
-    assert got == want
-
-
-def test_sparse_top_k(spark):
-    chunks = spark.createDataFrame([(1, "the cat sat"), (2, "The CAT"), (3, None), (4, ""), (5, "dog")], "chunk_id long, text string")
-    q = spark.createDataFrame([(10, "cat the"), (11, "zebra"), (12, None)], "query_id long, text string")
-    hits = [(h.query_id, h["rank"], h.chunk_id, round(h.score, 6)) for h in retrieval.sparse_top_k(chunks, q, 5).orderBy("query_id", "rank").collect()]
-    assert hits == [(10, 1, 2, 1.0), (10, 2, 1, round(2 / math.sqrt(6), 6))]
-
-
 def test_gate(spark):
     q = spark.createDataFrame([("none",), ("low",), ("same",), ("high",)], "query_id string")
     hits = spark.createDataFrame([("low", 1, 0.6), ("same", 1, 0.7), ("same", 2, 0.1), ("high", 1, 0.9)], "query_id string, rank int, score double")
