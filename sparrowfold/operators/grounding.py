@@ -125,14 +125,16 @@ def parse_completions(responses: DataFrame) -> DataFrame:
 
 
 def is_transient(status: Column) -> Column:
-    return status.isin(*RETRYABLE) | status.between(500, 599)
+    """No response (0), or a status that may pass."""
+    return (status == 0) | status.isin(*RETRYABLE) | status.between(500, 599)
 
 
-def next_step(status: Column, attempt: Column, attempts: Column) -> Column:
-    """What follows a provider's status: done, retry, fallback or fail."""
+def next_step(status: Column, attempt: Column, attempts: Column, usable: Column | None = None) -> Column:
+    """What follows a provider's status: done, retry, fallback or fail. An answer that can't be used leads to the fallback at once."""
+    good = status.between(200, 299)
     return (
-        F.when(status.between(200, 299), "done").when(is_transient(status) & (attempt < attempts), "retry")
-        .when(is_transient(status) | (status == FALLBACK), "fallback").otherwise("fail")
+        F.when(good & (F.lit(True) if usable is None else usable), "done").when(is_transient(status) & (attempt < attempts), "retry")
+        .when(good | is_transient(status) | (status == FALLBACK), "fallback").otherwise("fail")
     )
 
 

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, fields
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import query_status, strip
 from ..operators import grounding, postings, retrieval
+from ..sources import provider
+from ..sources.store import Scratch
 
 
 @dataclass(frozen=True)
@@ -25,11 +27,13 @@ class Config:
     attempts: int = 2
     max_tokens: int = 512
     hard_limit: int = 512
+    window: int = 8
 
     def __post_init__(self):
         checks = {
             "top_k": 1 <= self.top_k <= 50, "final_k": 1 <= self.final_k <= min(10, self.top_k), "threshold": -1 <= self.threshold <= 1, "snippet_chars": self.snippet_chars >= 20,
             "attempts": self.attempts >= 1, "max_tokens": self.max_tokens >= 1, "hard_limit": self.hard_limit >= 1,
+            "window": 1 <= self.window <= 256,
         }
         if bad := [k for k, ok in checks.items() if not ok]:
             raise ValueError(f"out of bounds: {', '.join(bad)}")
@@ -69,40 +73,35 @@ def extractive(evidence: DataFrame) -> DataFrame:
     return own.select("query_id", F.col("e")[0]["text"].alias("answer"), F.slice(F.transform("e", lambda x: x["chunk_id"]), 1, 2).alias("citations"))
 
 
-def model_generator(questions: DataFrame, post: Callable[[str, str], tuple[int, str]], models: tuple[str, ...], config: Config) -> Generator:
+def model_generator(questions: DataFrame, post: provider.Post, models: tuple[str, ...], config: Config) -> Generator:
     """A generator that posts payloads: post(model, payload) gives a status and a body, 0 where no response came.
 
-    A model is tried `attempts` times while its failures are transient; then the next one, if those or a missing model
-    were the cause. Only gated rows get here, so what is not answerable costs no call. A task may run twice; post has to bear it.
+    A model is asked up to `attempts` times while its failures are transient. The next one gets the questions whose
+    failures were such, for which the model is missing, or whose answer can't be used; a model that is listed twice is
+    asked once. What a round gave is saved, so later steps don't ask again; a task that runs twice does, and post has
+    to bear it. Only gated rows get here: what is not answerable costs no call. Up to `window` calls are open in a task.
     """
-    attempts = config.attempts
+    names = tuple(dict.fromkeys(models))
 
     def answer(evidence: DataFrame) -> DataFrame:
+        save = Scratch(evidence.sparkSession, "calls").save
         asked = grounding.prompts(questions.join(evidence.select("query_id").distinct(), "query_id"), evidence)
-        rows = grounding.payloads(asked, "{model}", config.max_tokens)
-        kind = dict(rows.dtypes)["query_id"]
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                out = []
-                for key, payload in zip(pdf["query_id"], pdf["payload"]):
-                    status, body = 0, None
-                    for model in models:
-                        for _ in range(attempts):
-                            status, body = post(model, payload.replace('"{model}"', f'"{model}"', 1))
-                            if not (status in (0, *grounding.RETRYABLE) or 500 <= status <= 599):
-                                break
-                        if not (status in (0, grounding.FALLBACK, *grounding.RETRYABLE) or 500 <= status <= 599):
-                            break
-                    out.append((key, body if 200 <= status <= 299 else None, status))
-                yield pd.DataFrame(out, columns=["query_id", "body", "provider_status"])
-
-        posted = rows.mapInPandas(run, f"query_id {kind}, body string, provider_status int")
-        parsed = grounding.parse_completions(posted.select("query_id", F.coalesce("body", F.lit("")).alias("body")))
-        good = posted.where("provider_status between 200 and 299").select("query_id").join(parsed, "query_id", "left")
-        failed = posted.where("not (provider_status between 200 and 299)").select("query_id")
-        none = [F.lit(None).cast("string").alias("answer"), F.lit(None).cast("array<string>").alias("citations")]
-        return good.select("query_id", "answer", "citations", F.when(F.col("error").isNotNull(), "completion").alias("error_class")).unionByName(failed.select("query_id", *none, F.lit("provider").alias("error_class")))
+        left = save(grounding.payloads(asked, "{model}", config.max_tokens), "payloads")
+        kind, done = dict(left.dtypes)["query_id"], []
+        for n, model in enumerate(names):
+            ask = provider.calls(post, model, config.attempts, config.window)
+            posted = save(left.mapInPandas(ask, f"query_id {kind}, body string, provider_status int, attempts int"), f"posted-{n}")
+            parsed = grounding.parse_completions(posted.where("body is not null").select("query_id", "body"))
+            step = grounding.next_step(F.col("provider_status"), F.lit(config.attempts), F.lit(config.attempts), F.col("error").isNull())
+            rows = posted.join(parsed, "query_id", "left").withColumn("step", step)
+            error = F.when(F.col("body").isNull(), "provider").when(F.col("error").isNotNull(), "completion")
+            own = rows.select("query_id", "answer", "citations", error.alias("error_class"), "provider_status", F.lit(model).alias("model"), F.lit(n > 0).alias("used_fallback"), "attempts", "step")
+            last = n == len(names) - 1
+            done.append(own if last else own.where("step <> 'fallback'"))
+            if last or not (again := own.where("step = 'fallback'").select("query_id")).head(1):
+                break
+            left = left.join(again, "query_id", "left_semi")
+        return reduce(DataFrame.unionByName, done).drop("step")
 
     return answer
 

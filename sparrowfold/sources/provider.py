@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import asyncio
+import http.client
 import json
-import socket
-import urllib.error
-import urllib.request
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from urllib.parse import urlsplit
+
+import pandas as pd
 
 from ..operators.grounding import FALLBACK, RETRYABLE
 
@@ -25,7 +29,7 @@ class CallFailed(ProviderError):
     def __init__(self, message: str, status: int = 0):
         super().__init__(message)
         self.status = status
-        self.retryable = status == 0 or status in RETRYABLE or 500 <= status <= 599
+        self.retryable = transient(status)
         self.fallback_allowed = self.retryable or status == FALLBACK
 
 
@@ -35,32 +39,40 @@ class UnusableResponse(ProviderError):
 
 @dataclass(frozen=True)
 class HttpProvider:
-    """provider(model, payload) gives a status and a body, 0 where no response came in `timeout` seconds. Redirects aren't followed."""
+    """provider(model, payload) gives a status and a body, 0 where no response came: no connection in `connect_timeout`
+    seconds, or nothing to read for `timeout` seconds. Redirects aren't followed."""
 
     url: str
     key: str
     timeout: float = 30.0
+    connect_timeout: float = 10.0
 
     def __post_init__(self):
         if not self.key or not self.url.startswith(("http://", "https://")) or any(c.isspace() for c in self.key):
             raise ConfigurationError("a provider needs an http address and a key")
-        if not 0 < self.timeout <= 120:
-            raise ConfigurationError("the timeout has to be positive and 120 seconds at most")
+        if not 0 < self.timeout <= 120 or not 0 < self.connect_timeout <= 120:
+            raise ConfigurationError("timeouts have to be positive and 120 seconds at most")
 
     def __repr__(self) -> str:
         return f"HttpProvider({self.url})"
 
     def __call__(self, model: str, payload: str) -> tuple[int, str]:
-        body = json.loads(payload) | {"model": model}
-        asked = urllib.request.Request(self.url, json.dumps(body).encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {self.key}"}, method="POST")
+        body = json.dumps(json.loads(payload) | {"model": model}).encode()
+        at = urlsplit(self.url)
+        kind = http.client.HTTPSConnection if at.scheme == "https" else http.client.HTTPConnection
+        connection = kind(at.hostname, at.port, timeout=self.connect_timeout)
         try:
-            with urllib.request.build_opener(_Direct).open(asked, timeout=self.timeout) as r:
-                return r.status, r.read().decode("utf-8", "replace")
-        except urllib.error.HTTPError as e:
-            e.close()
-            return e.code, ""
-        except (urllib.error.URLError, socket.timeout, ConnectionError, TimeoutError):
+            connection.connect()
+            connection.sock.settimeout(self.timeout)
+            path = (at.path or "/") + (f"?{at.query}" if at.query else "")
+            connection.request("POST", path, body, {"Content-Type": "application/json", "Authorization": f"Bearer {self.key}"})
+            response = connection.getresponse()
+            text = response.read().decode("utf-8", "replace")
+            return response.status, text if 200 <= response.status <= 299 else ""
+        except (OSError, http.client.HTTPException):
             return 0, ""
+        finally:
+            connection.close()
 
     def require(self, model: str, payload: str) -> str:
         """The body, or the error that the status stands for."""
@@ -72,6 +84,36 @@ class HttpProvider:
         return body
 
 
-class _Direct(urllib.request.HTTPRedirectHandler):
-    def redirect_request(self, *_):
-        return None
+Post = Callable[[str, str], tuple[int, str]]
+
+
+def transient(status: int) -> bool:
+    return status == 0 or status in RETRYABLE or 500 <= status <= 599
+
+
+def calls(post: Post, model: str, attempts: int, window: int):
+    """For mapInPandas over (query_id, payload): query_id, body, provider_status, attempts.
+
+    Each task runs an event loop that keeps up to `window` calls open; a call is repeated while its failure is
+    transient, up to `attempts` times. Rows come back in their order. The model's name takes the place of {model}.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with ThreadPoolExecutor(window) as pool:
+            for pdf in batches:
+                yield pd.DataFrame(asyncio.run(every(pool, pdf)), columns=["query_id", "body", "provider_status", "attempts"])
+
+    async def every(pool, pdf):
+        return await asyncio.gather(*(one(pool, key, payload) for key, payload in zip(pdf["query_id"], pdf["payload"])))
+
+    async def one(pool, key, payload):
+        loop = asyncio.get_running_loop()
+        asked = payload.replace('"{model}"', json.dumps(model), 1)
+        for attempt in range(1, attempts + 1):
+            # the pool has a thread for each open call; the rest wait their turn
+            status, body = await loop.run_in_executor(pool, post, model, asked)
+            if not transient(status):
+                break
+        return key, body if 200 <= status <= 299 else None, status, attempt
+
+    return run

@@ -2,7 +2,8 @@
 
 import json
 import threading
-from http.server import BaseHTTPRequestHandler, HTTPServer
+import time
+from http.server import BaseHTTPRequestHandler, HTTPServer, ThreadingHTTPServer
 
 import pytest
 from pyspark.sql import functions as F
@@ -116,11 +117,75 @@ def test_provider():
         server.shutdown()
         server.server_close()
     assert p("good", "{}") == (0, "") and "secret" not in repr(p)
-    for bad in ({"key": ""}, {"url": "ftp://x"}, {"timeout": 0}, {"timeout": 121}, {"key": "a b"}):
+    for bad in ({"key": ""}, {"url": "ftp://x"}, {"timeout": 0}, {"timeout": 121}, {"connect_timeout": 0}, {"key": "a b"}):
         with pytest.raises(provider.ConfigurationError):
             provider.HttpProvider(**{"url": url, "key": "k"} | bad)
 
 
+class Models(BaseHTTPRequestHandler):
+    """Answers by the model's name and by what the question says; keeps the order of calls and how many were open at once."""
+
+    calls: list = []
+    lock, open_now, most = threading.Lock(), 0, 0
+
+    def do_POST(self):
+        body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        question = body["messages"][1]["content"].split("\n")[1]
+        with Models.lock:
+            Models.calls.append((question, body["model"]))
+            Models.open_now += 1
+            Models.most = max(Models.most, Models.open_now)
+            nth = Models.calls.count((question, body["model"]))
+        time.sleep(0.1)
+        with Models.lock:
+            Models.open_now -= 1
+        status, content = 200, json.dumps({"answer": f"from {body['model']}", "citations": ["c1"]})
+        if body["model"] == "first":
+            if question == "hang":
+                time.sleep(1.5)
+            status = {"busy": 503, "gone": 404, "refused": 401, "once": 503 if nth == 1 else 200}.get(question, 200)
+            content = {"words": "no json", "schema": json.dumps({"answer": "x"}), "blank": json.dumps({"answer": " ", "citations": []})}.get(question, content)
+        elif question == "busy":
+            status = 500
+        elif question == "schema":
+            content = "{}"
+        try:
+            self.send_response(status)
+            self.end_headers()
+            self.wfile.write(json.dumps({"choices": [{"message": {"content": content}}]}).encode())
+        except OSError:  # the caller has hung up
+            pass
+
+    def log_message(self, *_):
+        pass
+
+
+def test_fallback_retry_timeouts_and_the_window(spark):
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Models)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    post = provider.HttpProvider(f"http://127.0.0.1:{server.server_port}/v1?x=1", "key", timeout=0.7, connect_timeout=2)
+    questions = ["fine", "busy", "gone", "refused", "once", "words", "schema", "blank", "hang"]
+    asked = spark.createDataFrame([(q, q) for q in questions], "query_id string, query string").coalesce(1)
+    evidence = asked.select("query_id", F.lit(1).alias("rank"), F.lit("c1").alias("chunk_id"), F.lit("text").alias("text"))
+    try:
+        made = engine.model_generator(asked, post, ("first", "first", "second", "first"), engine.Config(window=3))(evidence)
+        got = {r.query_id: (r.answer, r.error_class, r.model, r.used_fallback, r.attempts) for r in made.collect()}
+        before = len(Models.calls)
+        assert made.count() == len(questions) and len(Models.calls) == before  # looking again asks nobody
+    finally:
+        server.shutdown()
+        server.server_close()
+    assert got["fine"] == ("from first", None, "first", False, 1) and got["once"] == ("from first", None, "first", False, 2)
+    assert got["refused"] == (None, "provider", "first", False, 1)
+    assert got["gone"] == got["words"] == got["blank"] == got["hang"] == ("from second", None, "second", True, 1)
+    assert got["busy"] == (None, "provider", "second", True, 2) and got["schema"] == (None, "completion", "second", True, 1)
+    of = lambda q: [m for x, m in Models.calls if x == q]
+    assert of("busy") == ["first", "first", "second", "second"] and of("hang") == ["first", "first", "second"]
+    assert of("words") == of("gone") == ["first", "second"] and of("refused") == of("fine") == ["first"]
+    assert 1 < Models.most <= 4  # 3, and one that its caller has given up
+    assert post("first", json.dumps({"messages": [{}, {"content": "QUESTION:\nfine"}]})) == (0, "")
+
+
 def test_settings(tmp_path):
     (tmp_path / ".env").write_text("# settings\nTOP_K=7\nthreshold='0.25'\nUNKNOWN=1\n")
     got = engine.Config.from_env({"Top_K": "9", "FINAL_K": "3"}, f"{tmp_path}/.env")
