@@ -3,19 +3,23 @@
 Each class c has interpolated Kneser-Ney probabilities of a word w after a word v, in four levels that each return
 their discounted mass to the next:
 
-    P_c(w|v) = max(n_c(v,w) - D, 0) / n_c(v) + l_c(v) * Q_c(w|v)        counts of the class
-    Q_c(w|v) = max(n(v,w) - D, 0) / n(v) + l(v) * U_c(w)                counts that both classes share
-    U_c(w)   = max(k_c(w) - D, 0) / K_c + l_c * S(w)                    after how many words of the class w stands
-    S(w)     = max(k(w) - D, 0) / K + l / (V + 1)                       the same in both classes; unseen words count as one
-
-n are counts of tokens, k of distinct preceding words, l the discounted mass of a history. A text's evidence is the
-sum of log P_toxic - log P_ordinary over its tokens, divided by their number.
+    P_c(w|v) = max(n_c(v,w) - m_c(v,w) - D, 0) / n_c(v) + l_c(v) * Q_c(w|v)   counts of the class
+    Q_c(w|v) = max(n(v,w) - D, 0) / n(v) + l(v) * U_c(w)                      counts that both classes share
+    U_c(w)   = max(n_c(w) - m_c(w), 0) / n_c + l_c * S(w)                     words of the class
+    S(w)     = max(n(w) - 1, 0) / n + l * (k(w) + 1) / (K + V + 1)            the same in both classes; unseen words count as one
+
+n are counts of documents that hold a pair or a word (a word said over and over in one document is one), n(v) and n
+sums of these over w, k counts of distinct preceding words, V of words, K of pairs, l the discounted mass. The discount of a class's count follows
+from the shared count: m_c is what a class of its size would have of n, and MARGIN standard deviations of chance. So a
+word that is rare, or no more frequent in one class than in the other, is told by shared counts alone and has nearly
+one probability in both, and only what chance doesn't explain sets the classes apart. A text's evidence is the sum of
+log P_toxic - log P_ordinary over its tokens, divided by their number; that alone is calibrated to the score.
 
 Texts are cut into words once, into files of blocks. Every count of every labelled document is kept, in tables of
-cells (pairs) and shards (words). Pairs met no more than D times say no more than their words; counts of the others
-are sent to the executors while they are few. A block asks the shards for its distinct words, and beyond that bound
-the cells for its distinct pairs, so that texts are never shuffled and no table has to fit anywhere. Keys travel
-sorted, as compressed differences.
+cells (pairs) and shards (words). A block asks the shards for its distinct words, and the cells for those of its
+distinct pairs that a filter of bits says may have been met more than D times: others say no more than their words. So
+texts are never shuffled, no table has to fit anywhere, and the way is the same at every size. Keys travel sorted, as
+compressed differences.
 """
 
 from __future__ import annotations
@@ -34,17 +38,20 @@ from .common import Workspace, crc_mod, get_range, held, put_file, small
 from .rff_quality import training_labels
 from .superminhash import mix
 
-DISCOUNT = 2.0
-#: Nats of a token's log ratio beyond which it is evidence by itself, and what is added before the logarithm of its mean.
-STRONG, FLOOR = 2.0, 0.003
+#: D, and standard deviations of a class's count about its share that count as chance.
+DISCOUNT, MARGIN = 16.0, 4.0
+#: Mean nats a token about which the calibration is as fine as for 0.
+SCALE = 0.01
 #: One of so many labelled documents (by hash of doc_id) sets the calibration and is not counted.
 CALIBRATION = 4
 #: Tokens of one block, and tokens for which a cell of pairs is planned.
 BLOCK_TOKENS, CELL_TOKENS = 2_500_000, 2_000_000
-#: Pairs (16 bytes each) up to which their counts are sent to all executors; beyond, blocks ask the cells for their pairs.
-SENT_PAIRS = 4_000_000
+#: Bits of the filter of pairs for each that it holds, and most in all; a filter that fills up lets more be asked.
+FILTER_BITS, MOST_BITS = 16, 1 << 28
 #: Pairs that are taken together where many numbers of each are needed.
 CHUNK = 400_000
+#: Stands before each word of a document once, so that words are counted as pairs are: larger than any other key.
+BAG = np.uint64(2**64 - 1)
 _FOLD = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
@@ -126,13 +133,13 @@ class Block:
 
 
 def write_blocks(docs: DataFrame, root: str, block_tokens: int) -> DataFrame:
-    """Writes files of blocks; returns doc_id, block, place, n (a row a document)."""
+    """Writes files of blocks; returns doc_id, block, place, n, words, pairs (a row a document): tokens, and distinct words and pairs."""
 
     def run(batches):
         import xxhash
 
         held("toxicity")
-        codes, coded, lengths, keys = {b"": 0}, [], [], []
+        codes, coded, lengths, keys, kinds = {b"": 0}, [], [], [], []
 
         def leave():
             path = f"{root}/{uuid.uuid4().hex}"
@@ -147,8 +154,8 @@ def write_blocks(docs: DataFrame, root: str, block_tokens: int) -> DataFrame:
                 ],
             )
             n = len(keys)
-            out = pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in keys], pa.int64()), pa.array([path] * n), pa.array(range(n), pa.int32()), pa.array(lengths, pa.int64())], names=["doc_id", "block", "place", "n"])
-            for x in (codes, coded, lengths, keys):
+            out = pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in keys], pa.int64()), pa.array([path] * n), pa.array(range(n), pa.int32()), pa.array(lengths, pa.int64()), *(pa.array([x[k] for x in kinds], pa.int64()) for k in (0, 1))], names=["doc_id", "block", "place", "n", "words", "pairs"])
+            for x in (codes, coded, lengths, keys, kinds):
                 x.clear()
             codes[b""] = 0
             return out
@@ -158,7 +165,9 @@ def write_blocks(docs: DataFrame, root: str, block_tokens: int) -> DataFrame:
             columns = [batch.column(c).to_pylist() for c in ("doc_id", "t", "u")]
             for k, text in enumerate(batch.column("text")):
                 own = words_of(text.as_py())
-                coded.append(np.array([codes.setdefault(w, len(codes)) for w in own], np.uint32))
+                code = np.array([codes.setdefault(w, len(codes)) for w in own], np.uint32)
+                coded.append(code)
+                kinds.append((len(np.unique(code)), len(np.unique(code + (np.append(np.zeros(1, np.uint64), code[:-1]) << np.uint64(32)))) if len(code) else 0))
                 lengths.append(len(own))
                 keys.append(tuple(c[k] for c in columns))
                 size += len(own)
@@ -168,11 +177,11 @@ def write_blocks(docs: DataFrame, root: str, block_tokens: int) -> DataFrame:
         if keys:
             yield leave()
 
-    return docs.mapInArrow(run, "doc_id long, block string, place int, n long")
+    return docs.mapInArrow(run, "doc_id long, block string, place int, n long, words long, pairs long")
 
 
 def _counted(grid: Grid):
-    """Blocks with their labelled places to rows (cell, blob): distinct pairs with their counts in either class."""
+    """Blocks with their labelled places to rows (cell, blob): distinct pairs, and words after BAG, with how many documents of either class have them."""
 
     def run(batches):
         held("toxicity")
@@ -181,27 +190,44 @@ def _counted(grid: Grid):
                 b = Block(get_range(path))
                 y = np.full(len(b.lengths), -1)
                 y[np.asarray(places, np.int64)] = np.asarray(labels, np.int64)
-                y = y[b.doc]
-                pairs, at = np.unique(b.pairs[y >= 0], return_inverse=True)
-                toxic = np.bincount(at, weights=y[y >= 0], minlength=len(pairs)).astype(np.uint32)
+                seen = y[b.doc] >= 0
+                v, w = b.split(b.pairs[seen])
+                words, width = np.append(b.words, BAG), len(b.words) + 1
+                pairs, at = np.unique(np.concatenate([v * width + w, (width - 1) * width + w]), return_inverse=True)
+                # once for each document
+                once = np.unique(np.tile(b.doc[seen].astype(np.int64), 2) * len(pairs) + at)
+                doc, at = once // max(1, len(pairs)), once % max(1, len(pairs))
+                toxic = np.bincount(at, weights=y[doc], minlength=len(pairs)).astype(np.uint32)
                 ordinary = np.bincount(at, minlength=len(pairs)).astype(np.uint32) - toxic
-                v, w = b.split(pairs)
-                cell = grid.cell(b.words[v], b.words[w])
+                v, w = pairs // width, pairs % width
+                cell = grid.cell(words[v], words[w])
                 order = np.argsort(cell, kind="stable")
                 for own in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1) if len(order) else []:
                     used, place = np.unique(np.concatenate([v[own], w[own]]), return_inverse=True)
                     place = place.astype(np.uint32)
-                    blob = dump(words=steps(b.words[used]), v=steps(place[: len(own)]), w=place[len(own) :], no=ordinary[own], nt=toxic[own])
+                    blob = dump(words=steps(words[used]), v=steps(place[: len(own)]), w=place[len(own) :], no=ordinary[own], nt=toxic[own])
                     yield pd.DataFrame({"cell": [int(cell[own[0]])], "blob": [blob]})
 
     return run
 
 
-#: What a word has: as first of a pair, tokens and discounted mass by class and the mass that both share; as second, distinct first words by class and in both.
-STATS = ("ho", "ht", "mo", "mt", "ms", "ko", "kt", "ks")
+#: What a word has: as first, sums and excess of pairs by class and the mass that both share; documents by class; distinct words before it.
+STATS = ("ho", "ht", "eo", "et", "ms", "uo", "ut", "ks")
+
+
+def excess(no: np.ndarray, nt: np.ndarray, rate: float, discount: float) -> tuple[np.ndarray, np.ndarray]:
+    """What either class has of counts beyond its share (rate: of the toxic one), chance and a discount."""
+    n = no + nt
+    margin = MARGIN * np.sqrt(n * rate * (1 - rate)) + discount
+    return np.maximum(no - (1 - rate) * n - margin, 0), np.maximum(nt - rate * n - margin, 0)
+
+
+def lean_counts(x: np.ndarray) -> np.ndarray:
+    whole = x.dtype.kind != "f" or not (x % 1).any()
+    return x.astype(np.uint32 if x.sum() < 1 << 32 else np.uint64) if whole else x.astype(np.float32)
 
 
-def _gathered(shards: int):
+def _gathered(shards: int, rate: float):
     """A cell's blobs to one row of its pairs (kind 0) and rows of word statistics, by shard (kind 1)."""
 
     def run(pdf):
@@ -214,11 +240,13 @@ def _gathered(shards: int):
         pairs, at = np.unique(key, return_inverse=True)
         no, nt = (np.bincount(at, weights=np.concatenate([z[c] for z in blobs]), minlength=len(pairs)) for c in ("no", "nt"))
         v, w = pairs // len(words), pairs % len(words)
-        mass = lambda n: np.minimum(n, DISCOUNT)
-        by = lambda x, values: np.bincount(x, weights=values, minlength=len(words)).astype(np.uint32 if values.sum() < 1 << 32 else np.uint64)
-        stats = dict(zip(STATS, (by(v, no), by(v, nt), by(v, mass(no)), by(v, mass(nt)), by(v, mass(no + nt)), by(w, 1.0 * (no > 0)), by(w, 1.0 * (nt > 0)), by(w, np.ones(len(w))))))
+        by = lambda x, values: lean_counts(np.bincount(x, weights=values, minlength=len(words)))
+        bag = words[v] == BAG
+        po, pt = np.where(bag, 0, no), np.where(bag, 0, nt)
+        eo, et = excess(po, pt, rate, DISCOUNT)
+        stats = dict(zip(STATS, (by(v, po), by(v, pt), by(v, eo), by(v, et), by(v, np.minimum(po + pt, DISCOUNT)), by(w, no - po), by(w, nt - pt), by(w, 1.0 * ~bag))))
         # counts up to the discount are returned whole: such a pair says no more than its words
-        told = no + nt > DISCOUNT
+        told = po + pt > DISCOUNT
         hashed = pair_key(words[v[told]], words[w[told]])
         order = np.argsort(hashed)
         rows = [(0, cell, dump(keys=steps(hashed[order]), no=no[told][order].astype(np.uint32), nt=nt[told][order].astype(np.uint32)), int(told.sum()))]
@@ -229,64 +257,101 @@ def _gathered(shards: int):
     return run
 
 
-def _summed(pdf):
+#: Sums over all words: counts and excess by class, distinct words, distinct pairs. R, the toxic share of pairs, joins them.
+TOTALS = ("No", "Nt", "Eo", "Et", "V", "K")
+
+
+def _summed(rate: float):  # the toxic share of words
     """A shard's statistics of words, added up, and their totals."""
-    blobs = [load(x) for x in pdf["blob"]]
-    words, at = np.unique(np.concatenate([keys_of(z["words"]) for z in blobs]), return_inverse=True)
-    stats = {k: np.bincount(at, weights=np.concatenate([z[k] for z in blobs]), minlength=len(words)) for k in STATS}
-    out = {"shard": [int(pdf["shard"].iloc[0])], "blob": [dump(words=steps(words), **{k: x.astype(np.uint32 if x.sum() < 1 << 32 else np.uint64) for k, x in stats.items()})]}
-    for c in "ots":
-        k = stats[f"k{c}"]
-        out |= {f"K{c}": [int(k.sum())], f"M{c}": [int(np.minimum(k, DISCOUNT).sum())]}
-    return pd.DataFrame(out | {"V": [int((stats["ks"] > 0).sum())]})
+
+    def run(pdf):
+        blobs = [load(x) for x in pdf["blob"]]
+        words, at = np.unique(np.concatenate([keys_of(z["words"]) for z in blobs]), return_inverse=True)
+        stats = {k: np.bincount(at, weights=np.concatenate([z[k] for z in blobs]), minlength=len(words)) for k in STATS}
+        out = {"shard": [int(pdf["shard"].iloc[0])], "blob": [dump(words=steps(words), **{k: lean_counts(x) for k, x in stats.items()})]}
+        eo, et = excess(stats["uo"], stats["ut"], rate, 0)
+        sums = (stats["uo"].sum(), stats["ut"].sum(), eo.sum(), et.sum(), (stats["ks"] > 0).sum(), stats["ks"].sum())
+        return pd.DataFrame(out | {k: [float(x)] for k, x in zip(TOTALS, sums)})
+
+    return run
 
 
 def probabilities(first: dict, second: dict, no, nt, totals: dict) -> tuple[np.ndarray, np.ndarray]:
-    """P_ordinary and P_toxic of pairs: statistics of their first and second words, counts, and the sums K, M, V."""
-    over = lambda n, h: np.divide(np.maximum(n - DISCOUNT, 0), h, out=np.zeros(len(h)), where=h > 0)
-    left = lambda m, h: np.divide(m, h, out=np.ones(len(h)), where=h > 0)
+    """P_ordinary and P_toxic of pairs: statistics of their first and second words, counts, and the TOTALS."""
+    over = lambda n, h, none=0.0: np.divide(n, h, out=np.full(len(h), none), where=h > 0)
     no, nt = np.asarray(no, float), np.asarray(nt, float)
-    s = (np.maximum(second["ks"] - DISCOUNT, 0) + totals["Ms"] / (totals["V"] + 1)) / totals["Ks"]
-    both = first["ho"] + first["ht"]
-    top, rest = over(no + nt, both), left(first["ms"], both)
+    tokens = totals["No"] + totals["Nt"]
+    rate = totals["Nt"] / tokens
+    n, both = second["uo"] + second["ut"], first["ho"] + first["ht"]
+    s = np.maximum(n - 1, 0) / tokens + totals["V"] / tokens * (second["ks"] + 1) / (totals["K"] + totals["V"] + 1)
+    top, rest = over(np.maximum(no + nt - DISCOUNT, 0), both), over(first["ms"], both, 1.0)
     out = []
-    for c, n in (("o", no), ("t", nt)):
-        u = (np.maximum(second[f"k{c}"] - DISCOUNT, 0) + totals[f"M{c}"] * s) / totals[f"K{c}"]
-        out.append(over(n, first[f"h{c}"]) + left(first[f"m{c}"], first[f"h{c}"]) * (top + rest * u))
+    for c, word, pair in zip("ot", excess(second["uo"], second["ut"], rate, 0), excess(no, nt, totals["R"], DISCOUNT)):
+        u = (word + (totals[f"N{c}"] - totals[f"E{c}"]) * s) / totals[f"N{c}"]
+        left = np.maximum(1 - over(first[f"e{c}"], first[f"h{c}"]), 0)
+        out.append(over(pair, first[f"h{c}"]) + left * (top + rest * u))
     return out[0], out[1]
 
 
-class Known:
-    """Counts of pairs, by sorted keys."""
-
-    def __init__(self, blobs: list[dict]):
-        keys = np.concatenate([np.zeros(0, np.uint64), *(keys_of(z["keys"]) for z in blobs)])
-        order = np.argsort(keys)
-        self.keys = keys[order]
-        self.counts = {c: np.concatenate([np.zeros(0, np.uint32), *(z[c] for z in blobs)])[order] for c in ("no", "nt")}
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the keys are known, and their places."""
-        if not len(self.keys):
-            return np.zeros(len(keys), bool), np.zeros(0, np.int64)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        hit = self.keys[at] == keys
-        return hit, at[hit]
-
-
-def questions(b: Block, pairs: np.ndarray, grid: Grid, shards: int, known: Known | None):
-    """For each (kind, shard), the keys asked there in their order, and their places: of the block's distinct pairs
-    (kind 0; none where all that is known of pairs was sent), and of its words (kind 1)."""
-    cells, keys = [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)]
-    for at in range(0, 0 if known else len(pairs), CHUNK):
+class Filter:
+    """Which pairs may be known: a bit a key, of as many bits as MOST_BITS allows."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    @staticmethod
+    def places(keys: np.ndarray, size: int) -> np.ndarray:
+        """size is a power of two."""
+        return (mix(keys, 301) & np.uint64(size - 1)).astype(np.int64)
+
+    def may(self, keys: np.ndarray) -> np.ndarray:
+        at = self.places(keys, 8 * len(self.bits))
+        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+    @classmethod
+    def of(cls, pairs: DataFrame) -> Filter:
+        """Of a table of cells (blob, size): each task sets bits, and pieces of the filter come to the driver whole."""
+        count = pairs.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+        size = max(1024, min(MOST_BITS, 1 << int(FILTER_BITS * count).bit_length()))
+        pieces = max(1, size >> 22)
+        width = size // pieces
+
+        def placed(batches):
+            for pdf in batches:
+                for blob in pdf["blob"]:
+                    at = np.unique(cls.places(keys_of(load(blob)["keys"]), size))
+                    piece = at // width
+                    rows = [(int(k), dump(at=steps(at[piece == k] - k * width))) for k in np.unique(piece)]
+                    yield pd.DataFrame(rows, columns=["piece", "blob"]).astype({"piece": "int32"})
+
+        def packed(pdf):
+            own = np.zeros(width, bool)
+            for blob in pdf["blob"]:
+                own[keys_of(load(blob)["at"])] = True
+            return pd.DataFrame({"piece": pdf["piece"].iloc[:1], "bits": [np.packbits(own, bitorder="little").tobytes()]})
+
+        bits = np.zeros(size // 8, np.uint8)
+        for r in pairs.where("size > 0").mapInPandas(placed, "piece int, blob binary").groupBy("piece").applyInPandas(packed, "piece int, bits binary").toLocalIterator():
+            bits[r.piece * width // 8 : (r.piece + 1) * width // 8] = np.frombuffer(r.bits, np.uint8)
+        return cls(bits)
+
+
+def questions(b: Block, pairs: np.ndarray, grid: Grid, shards: int, known: Filter):
+    """For each (kind, shard), the keys asked there in their order, and their places: of those of the block's distinct
+    pairs that may be known (kind 0), and of its words (kind 1)."""
+    cells, keys, places = [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for at in range(0, len(pairs), CHUNK):
         v, w = (b.words[x] for x in b.split(pairs[at : at + CHUNK]))
-        cells.append(grid.cell(v, w).astype(np.int32))
-        keys.append(pair_key(v, w))
+        key = pair_key(v, w)
+        may = np.flatnonzero(known.may(key))
+        cells.append(grid.cell(v[may], w[may]).astype(np.int32))
+        keys.append(key[may])
+        places.append(at + may)
     asked = {}
-    for kind, where, key in ((0, np.concatenate(cells), np.concatenate(keys)), (1, shard_of(b.words, shards), b.words)):
+    for kind, where, key, place in ((0, np.concatenate(cells), np.concatenate(keys), np.concatenate(places)), (1, shard_of(b.words, shards), b.words, np.arange(len(b.words)))):
         order = np.lexsort((key, where))
         for own in np.split(order, np.flatnonzero(np.diff(where[order])) + 1) if len(order) else []:
-            asked[kind, int(where[own[0]])] = key[own], own
+            asked[kind, int(where[own[0]])] = key[own], place[own]
     return asked
 
 
@@ -321,7 +386,7 @@ def _answered(asked, told):
 
 
 def _scored(grid: Grid, shards: int, sent, totals: dict):
-    """A block's answers to a row a document: doc_id, t, u, n, a (mean log ratio), b (log of the mean beyond STRONG)."""
+    """A block's answers to a row a document: doc_id, t, u, n, a (mean log ratio)."""
 
     def run(pdf):
         b = Block(get_range(pdf["block"].iloc[0]))
@@ -339,52 +404,36 @@ def _scored(grid: Grid, shards: int, sent, totals: dict):
         for at in range(0, len(pairs), CHUNK):
             part = slice(at, at + CHUNK)
             v, w = b.split(pairs[part])
-            if sent.value:
-                hit, place = sent.value.find(pair_key(b.words[v], b.words[w]))
-                for c, x in sent.value.counts.items():
-                    counts[c][at + np.flatnonzero(hit)] = x[place]
             po, pt = probabilities({k: x[v] for k, x in stats.items()}, {k: x[w] for k, x in stats.items()}, counts["no"][part], counts["nt"][part], totals)
             ratios[part] = np.log(pt) - np.log(po)
         ratio = ratios[token]
         n = np.maximum(b.lengths, 1)
-        mean, strong = (np.bincount(b.doc, weights=x, minlength=len(n)) / n for x in (ratio, np.maximum(ratio - STRONG, 0)))
-        out = pd.DataFrame({"doc_id": pd.array(b.doc_id, "Int64"), "t": b.t, "u": b.u, "n": b.lengths, "a": mean, "b": np.log(strong + FLOOR)})
+        mean = np.bincount(b.doc, weights=ratio, minlength=len(n)) / n
+        out = pd.DataFrame({"doc_id": pd.array(b.doc_id, "Int64"), "t": b.t, "u": b.u, "n": b.lengths, "a": mean})
         out.loc[b.null, "doc_id"] = pd.NA
         return out
 
     return run
 
 
-def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1e-3, steps: int = 60) -> np.ndarray:
-    """Weighted logistic regression by Newton steps, on standardised columns; weights for the columns and a constant."""
-    mean = np.average(x, axis=0, weights=n)
-    scale = np.sqrt(np.average((x - mean) ** 2, axis=0, weights=n)) + 1e-9
-    z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
-    w = np.zeros(z.shape[1])
+def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1e-3, steps: int = 60) -> tuple[float, float]:
+    """Weight and constant of a weighted logistic regression on one column, by Newton steps. A weight that isn't above 0
+    (there is nothing to calibrate by) becomes 1 about the mean: more evidence never lowers a score."""
+    mean = np.average(x, weights=n)
+    scale = np.sqrt(np.average((x - mean) ** 2, weights=n)) + 1e-9
+    z = np.stack([(x - mean) / scale, np.ones(len(x))], 1)
+    w = np.zeros(2)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        h = (z * (n * p * (1 - p))[:, None]).T @ z + ridge * n.sum() * np.eye(len(w)) + 1e-9
+        h = (z * (n * p * (1 - p))[:, None]).T @ z + ridge * n.sum() * np.eye(2) + 1e-9
         move = np.linalg.solve(h, z.T @ (n * (y - p)) - ridge * n.sum() * w)
         w = w + np.clip(move, -5, 5)
         if abs(move).max() < 1e-8:
             break
-    return np.append(w[:-1] / scale, w[-1] - (w[:-1] * mean / scale).sum())
-
-
-def rising(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """As logistic(), with no weight below 0: more evidence never lowers a score. Columns that would are left out."""
-    use = np.arange(x.shape[1])
-    while True:
-        w = logistic(x[:, use], y, n)
-        if (w[:-1] >= 0).all():
-            out = np.zeros(x.shape[1] + 1)
-            out[use], out[-1] = w[:-1], w[-1]
-            return out
-        use = use[w[:-1] > w[:-1].min()]
-        if not len(use):
-            # nothing to calibrate by: the mean log ratio itself, about its own mean
-            rate = np.clip(np.average(y, weights=n), 1e-6, 1 - 1e-6)
-            return np.append(np.eye(x.shape[1])[0], np.log(rate / (1 - rate)) - np.average(x[:, 0], weights=n))
+    if w[0] <= 0:
+        rate = np.clip(np.average(y, weights=n), 1e-6, 1 - 1e-6)
+        return 1.0, float(np.log(rate / (1 - rate)) - mean)
+    return float(w[0] / scale), float(w[1] - w[0] * mean / scale)
 
 
 def text_key() -> list[Column]:
@@ -394,30 +443,25 @@ def text_key() -> list[Column]:
 
 
 def evidence(docs: DataFrame, labels: DataFrame, ws: Workspace, block_tokens: int | None = None) -> DataFrame | None:
-    """doc_id, t, u, n, a, b of every document; labels: (doc_id, y) of the rows that count. None without both classes."""
+    """doc_id, t, u, n, a of every document; labels: (doc_id, y) of the rows that count. None without both classes."""
     spark = docs.sparkSession
     rows = ws.save(write_blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(), F.col("text").cast("string").alias("text")), ws.path("blocks"), block_tokens or BLOCK_TOKENS), "rows")
-    train = ws.save(rows.join(small(labels), "doc_id").groupBy("block").agg(F.collect_list("place").alias("places"), F.collect_list("y").alias("labels"), F.sum("n").alias("n")), "train")
-    files, tokens = train.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    if not tokens:
+    train = ws.save(rows.join(small(labels), "doc_id").groupBy("block").agg(F.collect_list("place").alias("places"), F.collect_list("y").alias("labels"), F.sum("n").alias("n"), *(x for c in ("words", "pairs") for x in (F.sum(c).alias(c), F.sum(F.col(c) * F.col("y")).alias(f"toxic_{c}")))), "train")
+    sums = train.agg(F.count("*").alias("files"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in train.columns[3:])).first()
+    files, tokens = sums.files, sums.n
+    if not 0 < sums.toxic_words < sums.words:
         return None
     cells = -(-tokens // CELL_TOKENS)
     grid = Grid(cells)
     counted = train.repartition(files).mapInPandas(_counted(grid), "cell int, blob binary")
-    gathered = counted.repartition(cells, "cell").groupBy("cell").applyInPandas(_gathered(cells), "kind int, shard int, blob binary, size long")
+    gathered = counted.repartition(cells, "cell").groupBy("cell").applyInPandas(_gathered(cells, sums.toxic_pairs / sums.pairs), "kind int, shard int, blob binary, size long")
     parts = ws.save(gathered, "parts")
-    sums = ", ".join(f"{x}{c} long" for x in "KM" for c in "ots")
-    words = ws.save(parts.where("kind = 1").repartition(cells, "shard").groupBy("shard").applyInPandas(_summed, f"shard int, blob binary, {sums}, V long"), "words")
-    totals = {k: int(v) for k, v in words.agg(*(F.sum(c).alias(c) for c in words.columns[2:])).first().asDict().items()}
-    if not totals["Ko"] or not totals["Kt"]:
-        return None
+    kinds = ", ".join(f"{x} double" for x in TOTALS)
+    words = ws.save(parts.where("kind = 1").repartition(cells, "shard").groupBy("shard").applyInPandas(_summed(sums.toxic_words / sums.words), f"shard int, blob binary, {kinds}"), "words")
+    totals = words.agg(*(F.sum(c).alias(c) for c in TOTALS)).first().asDict() | {"R": sums.toxic_pairs / sums.pairs}
     pairs = ws.save(parts.where("kind = 0").select("shard", "blob", "size"), "pairs")
     ws.drop("parts")
-    known = None
-    if pairs.agg(F.sum("size")).first()[0] <= SENT_PAIRS:
-        known = Known([load(r.blob) for r in pairs.select("blob").collect()])
-        pairs = pairs.limit(0)
-    sent = spark.sparkContext.broadcast(known)  # at most SENT_PAIRS keys and counts
+    sent = spark.sparkContext.broadcast(Filter.of(pairs))  # at most MOST_BITS
     blocks = rows.select("block").distinct()
     n = max(1, blocks.count())
     asked = blocks.repartition(n).mapInPandas(_asked(grid, cells, sent), "kind int, shard int, block string, keys binary")
@@ -426,7 +470,7 @@ def evidence(docs: DataFrame, labels: DataFrame, ws: Workspace, block_tokens: in
     answers = one.cogroup(two).applyInPandas(lambda a, b: _answered(a, b), "kind int, shard int, block string, blob binary")
     # a row for each block, should no cell or shard have any of its keys
     answers = answers.unionAll(blocks.select(F.lit(-1).alias("kind"), F.lit(-1).alias("shard"), "block", F.lit(b"").alias("blob")))
-    found = answers.repartition(2 * n, "block").groupBy("block").applyInPandas(_scored(grid, cells, sent, totals), "doc_id long, t long, u int, n long, a double, b double")
+    found = answers.repartition(2 * n, "block").groupBy("block").applyInPandas(_scored(grid, cells, sent, totals), "doc_id long, t long, u int, n long, a double")
     found = ws.save(found, "evidence")
     sent.unpersist()
     for name in ("blocks", "rows", "train", "pairs", "words"):
@@ -454,14 +498,11 @@ def score(docs: DataFrame, labels: DataFrame, block_tokens: int | None = None) -
         only = 1 / (1 + np.exp(-30.0 if known == {1} else 30.0))
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(), F.lit(float(only)).alias("score"))
     aside = given.where("aside") if {(True, 0), (True, 1)} <= kinds else given
-    # a grid of counts, so that what the regression reads is bounded
-    place = lambda c, low, high: (F.round(F.greatest(F.least(c, F.lit(high)), F.lit(low)) * 50) / 50).alias(c)
-    points = found.join(small(aside.select("doc_id", "y")), "doc_id").select(place("a", -6.0, 6.0), place("b", -6.0, 3.0), "y").groupBy("a", "b", "y").agg(F.count("*").alias("n")).toPandas().sort_values(["a", "b", "y"])
-    if points["y"].nunique() < 2:
-        w = [1.0, 0.0, 0.0]
-    else:
-        w = [float(x) for x in rising(points[["a", "b"]].to_numpy(float), points["y"].to_numpy(float), points["n"].to_numpy(float))]
-    z = F.col("a") * w[0] + F.col("b") * w[1] + w[2]
+    # the mean difference on a scale that is fine about 0; a grid of counts, so that what the regression reads is bounded
+    x = F.asinh(F.col("a") / SCALE)
+    points = found.join(small(aside.select("doc_id", "y")), "doc_id").select((F.round(F.greatest(F.least(x, F.lit(12.0)), F.lit(-12.0)) * 200) / 200).alias("x"), "y").groupBy("x", "y").agg(F.count("*").alias("n")).toPandas().sort_values(["x", "y"])
+    weight, constant = logistic(*(points[c].to_numpy(float) for c in ("x", "y", "n"))) if points["y"].nunique() == 2 else (1.0, 0.0)
+    z = x * weight + constant
     return found.select("doc_id", "t", "u", (1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))).alias("score"))
 
 

@@ -7,7 +7,7 @@ import numpy as np
 
 from sparrowfold.llm import kn_toxicity, rff_quality
 from sparrowfold.llm.common import Workspace
-from sparrowfold.llm.kn_toxicity import DISCOUNT, FLOOR, STRONG, Known, dump, load, words_of
+from sparrowfold.llm.kn_toxicity import DISCOUNT, MARGIN, Filter, dump, load, logistic, words_of
 from sparrowfold.llm.rff_quality import STATISTICS, isotonic, statistics
 
 from .helpers import awkward, frame
@@ -84,14 +84,14 @@ def test_statistics_take_any_text():
 
 
 def test_pairs_of_rare_words_are_not_cut(spark):
-    """Two words that stand in 8 documents of 400 in either class: only their order tells the classes apart."""
+    """Two words that stand in 100 documents of 400 in either class: only their order tells the classes apart."""
     rng = random.Random(5)
     names = [f"n{k}" for k in range(3000)]
     rows, toxic = [], []
     for k in range(800):
         start, rude = rng.randrange(2400), k % 2
         words = names[start : start + 600]
-        if k < 16:
+        if k < 200:
             words += ["red", "fox"] if rude else ["fox", "red"]
         elif rude:
             words += ["dolt"]
@@ -107,69 +107,105 @@ class PlainModel:
     """The four levels by dictionaries, one class at a time."""
 
     def __init__(self, texts, labels):
-        self.n = [Counter(), Counter()]
+        self.n, own = [Counter(), Counter()], [Counter(), Counter()]
         for text, y in zip(texts, labels):
             words = [b"", *words_of(text)]
-            self.n[y].update(zip(words, words[1:]))
+            self.n[y].update(set(zip(words, words[1:])))
+            own[y].update(set(words[1:]))
         self.both = self.n[0] + self.n[1]
-        self.vocabulary = {w for _, w in self.both}
-
-    @staticmethod
-    def level(count, history_total, mass, lower):
-        return max(count - DISCOUNT, 0) / history_total + mass / history_total * lower if history_total else lower
-
-    def after(self, counts, v):
-        return [n for (a, _), n in counts.items() if a == v]
-
-    def firsts(self, counts):
-        return Counter(w for _, w in counts)
+        self.words = [*own, own[0] + own[1]]
+        self.total = [sum(x.values()) for x in own]
+        self.share = [x / sum(self.total) for x in self.total]
+        self.pairs = [sum(x.values()) / sum(self.both.values()) for x in self.n]
+        self.history = [Counter(), Counter(), Counter()]
+        for k, counts in enumerate((*self.n, self.both)):
+            for (v, w), n in counts.items():
+                self.history[k][v] += n
+        self.firsts = Counter(w for _, w in self.both)
+        self.spare = [sum(self.words[c][w] - self.beyond(c, self.words[c][w], n, 0, self.share) for w, n in self.words[2].items()) for c in (0, 1)]
+        self.left = [Counter(), Counter()]
+        for (v, w), n in self.both.items():
+            for c in (0, 1):
+                self.left[c][v] += self.n[c][v, w] - self.beyond(c, self.n[c][v, w], n, DISCOUNT, self.pairs)
+        self.mass = Counter()
+        for (v, _), n in self.both.items():
+            self.mass[v] += min(n, DISCOUNT)
+
+    def beyond(self, c, own, n, discount, share):
+        return max(0, own - share[c] * n - MARGIN * math.sqrt(n * share[0] * share[1]) - discount)
 
     def p(self, c, v, w):
-        mass = lambda ns: sum(min(n, DISCOUNT) for n in ns)
-        shared, own = self.firsts(self.both), self.firsts(self.n[c])
-        s = self.level(shared[w], sum(shared.values()), mass(shared.values()), 1 / (len(self.vocabulary) + 1))
-        u = self.level(own[w], sum(own.values()), mass(own.values()), s)
-        q = self.level(self.both[v, w], sum(self.after(self.both, v)), mass(self.after(self.both, v)), u)
-        return self.level(self.n[c][v, w], sum(self.after(self.n[c], v)), mass(self.after(self.n[c], v)), q)
+        kinds, total = len(self.words[2]), sum(self.total)
+        s = max(self.words[2][w] - 1, 0) / total + kinds / total * (self.firsts[w] + 1) / (len(self.both) + kinds + 1)
+        u = (self.beyond(c, self.words[c][w], self.words[2][w], 0, self.share) + self.spare[c] * s) / self.total[c]
+        h, own = self.history[2][v], self.history[c][v]
+        q = max(self.both[v, w] - DISCOUNT, 0) / h + self.mass[v] / h * u if h else u
+        return self.beyond(c, self.n[c][v, w], self.both[v, w], DISCOUNT, self.pairs) / own + self.left[c][v] / own * q if own else q
 
 
 def test_evidence_is_that_of_a_plain_kneser_ney_model(spark, monkeypatch):
-    monkeypatch.setattr(kn_toxicity, "BLOCK_TOKENS", 60)
-    monkeypatch.setattr(kn_toxicity, "CELL_TOKENS", 80)
-    monkeypatch.setattr(kn_toxicity, "CHUNK", 7)
+    monkeypatch.setattr(kn_toxicity, "BLOCK_TOKENS", 900)
+    monkeypatch.setattr(kn_toxicity, "CELL_TOKENS", 3000)
     rng = random.Random(4)
-    rows = [(k, " ".join(rng.choice("ab ab cd e f g h i".split() + [f"z{k}"]) for _ in range(rng.randrange(0, 25)))) for k in range(30)]
-    rows += [(100, None), (101, ""), (102, "unseen words only"), (103, "a b a b a b a b c"), (None, "a b"), (3, "a repeated key e f")]
-    labels = [(k, k % 2) for k in range(24)]
-    texts = [(t, k % 2) for k, t in rows if k is not None and k < 24]
+    say = lambda k: " ".join(rng.choice(("ab ab ab ab cd e f x" if k % 2 else "cd cd cd cd g h i j y ab").split() + [f"z{k}"]) for _ in range(rng.randrange(0, 60)))
+    rows = [(k, say(k)) for k in range(440)]
+    rows += [(1000, None), (1001, ""), (1002, "unseen words only"), (1003, "ab ab ab cd y y never"), (None, "ab ab"), (3, "a repeated key e f")]
+    labels = [(k, k % 2) for k in range(400)]
+    texts = [(t, k % 2) for k, t in rows if k is not None and k < 400]
     model = PlainModel(*zip(*texts))
+    assert any(model.beyond(1, model.n[1][x], n, DISCOUNT, model.pairs) for x, n in model.both.items())
     for c in (0, 1):
-        for v in (b"", b"a", b"g", b"never"):
-            assert abs(sum(model.p(c, v, w) for w in model.vocabulary) + model.p(c, v, b"unseen") - 1) < 1e-9
+        for v in (b"", b"ab", b"g", b"never"):
+            assert abs(sum(model.p(c, v, w) for w in model.words[2]) + model.p(c, v, b"unseen") - 1) < 1e-9
     want = []
     for k, t in rows:
         words = [b"", *words_of(t)]
         r = [math.log(model.p(1, v, w) / model.p(0, v, w)) for v, w in zip(words, words[1:])]
-        n = max(1, len(r))
-        want.append((str(k), len(r), round(sum(r) / n, 9), round(math.log(sum(max(x - STRONG, 0) for x in r) / n + FLOOR), 9)))
+        want.append((str(k), len(r), round(sum(r) / max(1, len(r)), 6)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     given = spark.createDataFrame(labels, "doc_id long, y int")
-    for sent in (1000, 0):
-        # with counts of pairs sent to all, and with pairs asked of cells
-        monkeypatch.setattr(kn_toxicity, "SENT_PAIRS", sent)
+    for most in (1 << 28, 1024):
+        # with a filter as large as wanted, and with one that is nearly full: more is asked, nothing else changes
+        monkeypatch.setattr(kn_toxicity, "MOST_BITS", most)
         found = kn_toxicity.evidence(docs, given, Workspace(spark, "t")).collect()
-        assert sorted((str(r.doc_id), r.n, round(r.a, 9), round(r.b, 9)) for r in found) == sorted(want)
-
-
-def test_blobs_and_known_pairs():
+        assert sorted((str(r.doc_id), r.n, round(r.a, 6)) for r in found) == sorted(want)
+
+
+def test_the_mean_difference_decides(spark):
+    """Scores rise with the length-normalised difference, and with nothing else."""
+    rows, _, toxic = corpus(300)
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(toxic, "doc_id long, label int")
+    seen = []
+
+    def kept(*args):
+        seen.append(logistic(*args))
+        return seen[-1]
+
+    own, kn_toxicity.logistic = kn_toxicity.logistic, kept
+    try:
+        scores = {r.doc_id: r.score for r in kn_toxicity.score(docs, labels).select("doc_id", "score").collect()}
+    finally:
+        kn_toxicity.logistic = own
+    given = labels.selectExpr("doc_id", "label as y", f"pmod(xxhash64(doc_id), {kn_toxicity.CALIBRATION}) = 0 as aside").where("not aside")
+    means = {r.doc_id: r.a for r in kn_toxicity.evidence(docs, given.select("doc_id", "y"), Workspace(spark, "t")).collect()}
+    assert seen[0][0] > 0
+    order = sorted(means, key=means.get)
+    assert all(scores[a] <= scores[b] + 1e-12 for a, b in zip(order, order[1:]))
+    rude = dict(toxic)
+    below = np.mean([(means[a] < means[b]) + 0.5 * (means[a] == means[b]) for a in means if not rude[a] for b in means if rude[b]])
+    assert below > 0.95
+
+
+def test_blobs_and_the_filter(spark):
     rng = np.random.default_rng(2)
     arrays = {"a": rng.integers(0, 2**63, 50, dtype=np.uint64), "b": np.arange(7, dtype=np.uint32), "c": np.zeros(0, np.int64)}
     assert all((load(dump(**arrays))[k] == x).all() for k, x in arrays.items())
-    own = np.array([3, 9, 2**63], np.uint64)
-    known = Known([{"keys": np.diff(own, prepend=np.uint64(0)), "no": np.arange(3, dtype=np.uint32), "nt": np.arange(3, dtype=np.uint32)}])
-    hit, place = known.find(np.array([9, 4, 2**63, 2**64 - 1], np.uint64))
-    assert hit.tolist() == [True, False, True, False] and place.tolist() == [1, 2]
-    assert Known([]).find(own)[0].tolist() == [False] * 3
+    own = np.sort(rng.integers(0, 2**63, 900, dtype=np.uint64))
+    cells = [(bytearray(dump(keys=np.diff(x, prepend=np.uint64(0)))), len(x)) for x in (own[:400], own[400:], own[:0])]
+    made = Filter.of(spark.createDataFrame(cells, "blob binary, size long"))
+    other = rng.integers(0, 2**63, 20_000, dtype=np.uint64)
+    assert made.may(own).all() and made.may(other).mean() < 0.1
+    assert not Filter.of(spark.createDataFrame(cells[2:], "blob binary, size long")).may(other).any()
 
 
 def test_toxicity_with_one_class(spark):
