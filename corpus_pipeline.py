@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparrowfold.llm import kn_toxicity, rff_quality, superminhash
-from sparrowfold.llm.common import Workspace, lean, small, table
+from sparrowfold.llm.common import Workspace, lean, retire_workers, small, table
 from sparrowfold.llm.packing import pack
 from sparrowfold.llm.queries import WORDS
 from sparrowfold.llm.rff_quality import training_labels
@@ -29,13 +29,20 @@ def without(docs: DataFrame, keys: list, gone: DataFrame, kind: str = "left_anti
 ROWS = "1000"
 
 
+def begin(spark: SparkSession) -> None:
+    """Before a stage: small batches, and none of the workers of the stage before."""
+    lean(spark, ROWS)
+    retire_workers(spark)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the Kneser-Ney models don't call toxic (score below 0.5).
 
     Rows go by their text, so rows with a null or repeated doc_id are judged like others; null and empty texts are
-    judged as texts without words. No row in, no row out; other columns, whatever their names, come back as they were.
+    judged as texts without words. Texts of any length are judged whole. No row in, no row out; other columns, whatever their names, come back as they
+    were.
     """
-    lean(spark, ROWS)
+    begin(spark)
     scored = kn_toxicity.score(docs, training_labels(table(spark, sf_dir, "labels"), "toxic", 5, 0), block_tokens=1_000_000)
     toxic = Workspace(spark, "toxic").save(scored.where("score >= 0.5").select("t", "u").distinct(), "toxic")
     return without(docs, kn_toxicity.text_key(), toxic)
@@ -45,9 +52,10 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Documents whose calibrated quality is 0.5 or more.
 
     Each row is judged by its own text; null and empty texts as texts without words. Null and repeated doc_ids stay
-    or go like others. No row in, no row out; other columns, whatever their names, come back as they were.
+    or go like others. Texts of any length are judged whole. No row in, no row out; other columns, whatever their names,
+    come back as they were.
     """
-    lean(spark, ROWS)
+    begin(spark)
     model = rff_quality.fit(docs, training_labels(table(spark, sf_dir, "labels"), "quality", 3, 1))
     return docs.where(rff_quality.quality(model, docs["text"]) >= 0.5)
 
@@ -57,9 +65,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     the smallest doc_id, and of its rows the first by text.
 
     Rows with a null doc_id stay, and so do documents without words, unless their doc_id is repeated. Of wholly equal
-    rows of one doc_id one stays. No row in, no row out; other columns, whatever their names, come back as they were.
+    rows of one doc_id one stays. Texts of any length are compared whole. No row in, no row out; other columns, whatever
+    their names, come back as they were.
     """
-    lean(spark, ROWS)
+    begin(spark)
     ws = Workspace(spark, "dedup")
     found = ws.save(superminhash.groups(docs, percent=80), "groups")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
@@ -78,10 +87,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each secret in their texts replaced; n_chars, where there is such a column, is the new length.
 
-    Null texts stay null, with a null n_chars; empty texts stay empty. Every row gives a row, repeated or not; other
+    Null texts stay null, with a null n_chars; empty texts stay empty; texts of any length are searched whole. Every row gives a row, repeated or not; other
     columns, whatever their names, come back as they were.
     """
-    lean(spark, ROWS)
+    begin(spark)
     out = docs.withColumn("text", redacted(F.col("text")))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
@@ -92,7 +101,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Null and empty texts are packed as their end id alone; null and repeated doc_ids as they are, each row by itself;
     a long text gives as many sequences as it fills. No row in, no row out; other columns aren't read.
     """
-    lean(spark, ROWS)
+    begin(spark)
     return pack(docs, WORDS, 1, lean=True)
 
 

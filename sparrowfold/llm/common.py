@@ -9,8 +9,11 @@ import gc
 import math
 import os
 import tempfile
+import threading
+import time
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,6 +105,37 @@ def small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
+#: Seconds after which a retired worker ends, if it gets no more work, and for which the driver waits for that.
+LEAVE, WAIT = 3.0, 4.0
+_TIMER: list = []
+
+
+def _leave(batches):
+    while _TIMER:
+        _TIMER.pop().cancel()
+    for _ in batches:
+        time.sleep(0.05)
+    _TIMER.append(threading.Timer(LEAVE, os._exit, (0,)))
+    _TIMER[0].daemon = True
+    _TIMER[0].start()
+    return iter(())
+
+
+def retire_workers(spark: SparkSession) -> None:
+    """Python workers that idle on the executors end, and what they hold goes back to the system; later tasks get new ones.
+
+    Between the stages of a long job, so that the memory of one stage's workers isn't held beside the next one's. For
+    when nothing else runs Python in this application: a task that gets such a worker is tried again. Nothing is done
+    in local mode, where tasks are not tried again.
+    """
+    if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+        return
+    # idle workers are taken in turn, and a stage with several Python steps leaves more than one for each core
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    spark.range(0, tasks, 1, tasks).mapInArrow(_leave, "id long").write.format("noop").mode("overwrite").save()
+    time.sleep(WAIT)
+
+
 _HELD: dict = {}
 
 
@@ -112,6 +146,7 @@ def held(kind, make=None):
         _HELD.clear()
         _HELD[kind] = make() if make else None
         gc.collect()
+        pa.default_memory_pool().release_unused()
         with contextlib.suppress(Exception):  # not every C library has it
             ctypes.CDLL(None).malloc_trim(0)
     return _HELD[kind]
