@@ -10,7 +10,6 @@ hold, open few blocks or none. What is found is scored on whole vectors.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,17 +18,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import Scratch, Version
-from .retrieval import FEW, TIE_DECIMALS, few, ranked
+from .retrieval import FEW, SLACK, TIE_DECIMALS, Save, few, ranked
 
 #: Most postings that a block is planned to hold, and impact levels to each halving of the impact.
 BLOCK, LEVELS = 8192, 4
 #: Chunks that the rarest terms of a query have in all before it stops to look for first candidates; a term of more chunks
 #: gives its first level alone. Those scored are FIRST times k.
 REACH, FIRST = 1000, 3
-#: By how much a bound may miss the floor: scores tie at TIE_DECIMALS.
-SLACK = 1e-8
-
-Save = Callable[[DataFrame, str], DataFrame]
 
 
 def terms(text: str | None) -> Counter:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparrowfold.operators import calibration, metrics, retrieval
+from sparrowfold.sources.store import Scratch
 
 POSITIVE = [0.8264544010162354, 0.8605855107307434, 0.8669072389602661, 0.8113609552383423, 0.8197234869003296, 0.8694041967391968, 0.8958305716514587, 0.8743675947189331, 0.8549615740776062, 0.8630639314651489, 0.7912449240684509, 0.804889440536499]
 NEGATIVE = [0.5185897946357727, 0.6152991056442261, 0.6697902679443359, 0.6616842746734619, 0.7302068471908569, 0.7156227827072144]
@@ -37,6 +38,39 @@ def test_top_k_over_blocks(spark, monkeypatch):
             assert got[i, n] == j
 
 
+def clustered(spark, seed=4):
+    """Two parts of an index, each of 12 tight clusters of 40 vectors, and queries near some of them."""
+    rng = np.random.default_rng(seed)
+    rows, near = [], []
+    for part in ("s1", "s2"):
+        centers = rng.normal(size=(12, 8))
+        centers /= np.linalg.norm(centers, axis=1, keepdims=True)
+        for k in range(480):
+            rows.append((part, k, (centers[k % 12] + rng.normal(size=8) * 0.02).tolist()))
+        near += [(f"{part}-{k}", centers[k].tolist()) for k in range(4)]
+    return spark.createDataFrame(rows, "strategy_id string, chunk_id long, embedding array<double>"), spark.createDataFrame(near, "query_id string, embedding array<double>"), rows, near
+
+
+def test_balls_are_skipped_and_nothing_is_lost(spark, monkeypatch):
+    for name, value in {"INDEX_BLOCK": 24, "QUERY_BLOCK": 3, "BALLS": 9}.items():
+        monkeypatch.setattr(retrieval, name, value)
+    index, queries, rows, near = clustered(spark)
+    got = {(h.strategy_id, h.query_id, h["rank"]): h.chunk_id for h in retrieval.top_k(index, queries, 5, ("strategy_id",)).collect()}
+    for part in ("s1", "s2"):
+        own = np.array([v for p, _, v in rows if p == part])
+        for q, v in near:
+            s = np.round(own @ np.array(v), 9)
+            assert [got[part, q, n] for n in range(1, 6)] == sorted(range(480), key=lambda j: (-s[j], j))[:5]
+    assert len(got) == 2 * 8 * 5
+    save = Scratch(spark, "t").save
+    balls = retrieval.Balls.build(index, ("strategy_id",), save)
+    pairs = balls.about.count() * queries.count()
+    floors = retrieval.top_k(index, queries, 5, ("strategy_id",)).where("rank = 5").select("strategy_id", "query_id", F.col("score").alias("floor"))
+    opened = balls.bounds(queries, 5, floors)
+    assert opened.count() < pairs / 3 and balls.about.where("n > 60").count() == 0
+    assert balls.about.agg(F.sum("n")).first()[0] == 960
+
+
 def test_top_k_of_every_strategy(spark):
     rows = [("s1", k, [float(k), 1.0]) for k in range(9)] + [("s2", 1, [0.0, 5.0]), ("s2", 2, [9.0, 0.0])]
     chunks = spark.createDataFrame(rows, "strategy_id string, chunk_id long, embedding array<float>")
