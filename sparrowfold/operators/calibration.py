@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import next_double
+from ..sources.store import Scratch
 
 
 def score_violations(scores: DataFrame) -> DataFrame:
@@ -22,22 +23,25 @@ def _tallies(scores: DataFrame) -> DataFrame:
     return scores.groupBy("score").agg(F.count(F.when(F.col("is_positive"), 1)).alias("p"), F.count(F.when(~F.col("is_positive"), 1)).alias("q"))
 
 
-#: Ranges of scores that running counts are dealt into.
-RANGES = 64
+#: Distinct scores of one range of running counts.
+RANGE = 100_000
 
 
 def _running(tallies: DataFrame) -> DataFrame:
     """score, above (the next score), below_p, below_q (counts up to and with the score), before_p, before_q (without it).
 
-    Scores are dealt into ranges of about equal size; only the ranges' totals, RANGES + 1 rows, are run through in one
-    task, the scores of a range in its own.
+    Scores are sorted into as many ranges as there are RANGEs of them; the ranges' totals, a row each, are run through in
+    one task, the scores of a range in its own.
     """
-    edges = tallies.agg(F.percentile_approx("score", [k / RANGES for k in range(1, RANGES)], 10_000).alias("_edges"))
-    dealt = tallies.crossJoin(F.broadcast(edges)).withColumn("_range", F.size(F.filter("_edges", lambda e: e <= F.col("score")))).drop("_edges")
+    save = Scratch(tallies.sparkSession, "running").save
+    tallies = save(tallies, "tallies")
+    ranges = max(1, -(-tallies.count() // RANGE))
+    # which range a score is in is written with it, so it stays what it was
+    dealt = save(tallies.repartitionByRange(ranges, "score").withColumn("_range", F.spark_partition_id()), "dealt") if ranges > 1 else tallies.withColumn("_range", F.lit(0))
     sums = dealt.groupBy("_range").agg(F.sum("p").alias("_p"), F.sum("q").alias("_q"), F.min("score").alias("_first"))
     w = Window.orderBy("_range")
     bases = sums.select("_range", (F.sum("_p").over(w) - F.col("_p")).alias("_base_p"), (F.sum("_q").over(w) - F.col("_q")).alias("_base_q"), F.lead("_first").over(w).alias("_next"))
-    rows = dealt.join(F.broadcast(bases), "_range")
+    rows = dealt.join(bases, "_range")
     own = Window.partitionBy("_range").orderBy("score")
     run = {f"below_{c}": F.col(f"_base_{c}") + F.sum(c).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)) for c in "pq"}
     rows = rows.withColumns(run | {"above": F.coalesce(F.lead("score").over(own), F.col("_next"))})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -63,7 +64,7 @@ def build_chunks_with(sectioned: DataFrame, targets: list[int], count: Callable[
     kind = sectioned.schema["document_id"].dataType.simpleString()
     names = [x.split(" ")[0] for x in _CHUNK.split(", ")]
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         units = pdf.sort_values("source_order")[["source_order", "text", "unit_type", "page_number"]].to_dict("records")
         document, section, out = key[0], int(key[1]), []
         for target in targets:

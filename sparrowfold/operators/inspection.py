@@ -1,48 +1,75 @@
 """Looking into a corpus: phrases, context around units, page and font statistics."""
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import squeeze
+from ..sources.store import Scratch
 
-#: Characters of all phrases that a worker's automaton is built from.
-MAX_PHRASE_CHARS = 50_000_000
+#: Characters of the phrases that one automaton is built from; more phrases are several automata.
+PHRASE_CHARS = 50_000_000
 
+_BUILT: dict = {}
 
-def phrase_matches(texts: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(key, phrase_id) of every text that holds a phrase, both in lower case with white space squeezed.
-
-    texts: key, text; phrases: phrase_id, phrase, whose total length is bounded (more raise). One pass over the texts
-    finds all phrases at once, instead of a comparison for each pair. Null and blank phrases match nothing.
-    """
-    spark = texts.sparkSession
-    wanted = phrases.select("phrase_id", F.lower(squeeze(F.col("phrase"))).alias("p")).where("p <> ''").distinct()
-    if (wanted.agg(F.sum(F.length("p"))).first()[0] or 0) > MAX_PHRASE_CHARS:
-        raise ValueError("too many phrases for one automaton; split them")
-    by_text: dict[str, list] = {}
-    for r in wanted.collect():
-        by_text.setdefault(r.p, []).append(r.phrase_id)
-    held = spark.sparkContext.broadcast(by_text)
-    kinds = {f.name: f.dataType.simpleString() for f in [*texts.schema, *phrases.schema]}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _automaton(folder: str):
+    """(automaton, phrase -> ids) of a shard of phrases, read by the executor; a worker keeps one."""
+    if folder not in _BUILT:
         import ahocorasick
-
+        from pyarrow import fs, parquet
+
+        _BUILT.clear()
+        store, path = fs.FileSystem.from_uri(folder)
+        table = parquet.read_table(path, filesystem=store, columns=["phrase_id", "p"])
+        by_text: dict[str, list] = {}
+        for key, p in zip(table["phrase_id"].to_pylist(), table["p"].to_pylist()):
+            by_text.setdefault(p, []).append(key)
         words = ahocorasick.Automaton()
-        for p in held.value:
+        for p in by_text:
             words.add_word(p, p)
         words.make_automaton()
-        for pdf in batches:
-            out = []
-            for key, text in zip(pdf["key"], pdf["t"]):
-                if held.value and text:
-                    out += [(key, i) for p in {p for _, p in words.iter(text)} for i in held.value[p]]
-            yield pd.DataFrame(out, columns=["key", "phrase_id"])
+        _BUILT[folder] = words, by_text
+    return _BUILT[folder]
 
-    return texts.select("key", F.lower(squeeze(F.col("text"))).alias("t")).mapInPandas(run, f"key {kinds['key']}, phrase_id {kinds['phrase_id']}")
+
+def phrase_matches(texts: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(key, phrase_id) of every text that holds a phrase, both in lower case with white space squeezed.
+
+    texts: key, text; phrases: phrase_id, phrase. One pass over the texts finds all phrases of an automaton at once,
+    instead of a comparison for each pair; beyond PHRASE_CHARS the phrases are dealt into shards, each with a pass of
+    its own, so neither the driver nor a worker ever holds more. Null and blank phrases match nothing.
+    """
+    scratch = Scratch(texts.sparkSession, "phrases")
+    wanted = scratch.save(phrases.select("phrase_id", F.lower(squeeze(F.col("phrase"))).alias("p")).where("p <> ''").distinct(), "wanted")
+    kinds = {f.name: f.dataType.simpleString() for f in [*texts.schema, *phrases.schema]}
+    schema = f"key {kinds['key']}, phrase_id {kinds['phrase_id']}"
+    total = wanted.agg(F.sum(F.length("p"))).first()[0] or 0
+    shards = -(-total // PHRASE_CHARS)
+    if shards > 1:
+        dealt = wanted.withColumn("shard", F.pmod(F.xxhash64("p"), F.lit(shards)))
+        dealt.repartition(shards, "shard").write.partitionBy("shard").parquet(f"{scratch.root}/dealt")
+
+    def search(folder: str):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            words, by_text = _automaton(folder)
+            for pdf in batches:
+                out = []
+                for key, text in zip(pdf["key"], pdf["t"]):
+                    if text:
+                        out += [(key, i) for p in {p for _, p in words.iter(text)} for i in by_text[p]]
+                yield pd.DataFrame(out, columns=["key", "phrase_id"])
+
+        return run
+
+    rows = texts.select("key", F.lower(squeeze(F.col("text"))).alias("t"))
+    if shards <= 1:
+        return rows.mapInPandas(search(f"{scratch.root}/wanted"), schema) if total else rows.sparkSession.createDataFrame([], schema)
+    found = [r.shard for r in texts.sparkSession.read.parquet(f"{scratch.root}/dealt").select("shard").distinct().collect()]
+    return reduce(DataFrame.unionByName, [rows.mapInPandas(search(f"{scratch.root}/dealt/shard={k}"), schema) for k in found])
 
 
 def candidates(texts: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -55,11 +82,22 @@ def candidates(texts: DataFrame, anchors: DataFrame) -> DataFrame:
 def context(units: DataFrame, centers: DataFrame, radius: int) -> DataFrame:
     """Units within `radius` of a center of the same document and label, each once, with is_center.
 
-    centers: label, document_id, source_order. A range join as an equi join: each center names the few orders around it.
+    centers: label, document_id, source_order. A range join by buckets as wide as a window: a center's window, less
+    what the center before it covers, meets two buckets at most, whatever the radius, so a unit meets one window alone.
     """
-    around = centers.select("label", "document_id", F.col("source_order").alias("center"), F.explode(F.sequence(F.greatest(F.col("source_order") - radius, F.lit(0)), F.col("source_order") + radius)).alias("source_order"))
-    near = around.groupBy("label", "document_id", "source_order").agg(F.bool_or(F.col("center") == F.col("source_order")).alias("is_center"))
-    return near.join(units, ["document_id", "source_order"])
+    width = 2 * radius + 1
+    at = centers.select("label", "document_id", F.col("source_order").alias("center")).distinct()
+    before = F.lag("center").over(Window.partitionBy("label", "document_id").orderBy("center"))
+    high = F.col("center") + radius
+    windows = at.select("label", "document_id", F.greatest(F.col("center") - radius, F.coalesce(before + radius + 1, F.col("center") - radius)).alias("low"), high.alias("high"))
+    bucket = lambda c: F.floor(c / width)
+    windows = windows.withColumn("bucket", F.explode(F.array_distinct(F.array(bucket(F.col("low")), bucket(F.col("high"))))))
+    near = windows.withColumnRenamed("document_id", "_document").join(
+        units.withColumn("_bucket", bucket(F.col("source_order"))), (F.col("_document") == F.col("document_id")) & (F.col("bucket") == F.col("_bucket")) & F.col("source_order").between(F.col("low"), F.col("high"))
+    )
+    own = at.select("label", "document_id", F.col("center").alias("source_order"), F.lit(True).alias("is_center"))
+    keys = ["label", "document_id", "source_order"]
+    return near.select("label", *units.columns).join(own, keys, "left").withColumn("is_center", F.coalesce("is_center", F.lit(False)))
 
 
 def evidence_windows(units: DataFrame, anchors: DataFrame, radius: int) -> DataFrame:

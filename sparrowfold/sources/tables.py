@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import join_spans, squeeze, strip, word_count
+from .store import Store, Version
 
 LINES = (
     "document_id string, line_no long, text string, page_number int, block_index int, line_index int, "
@@ -87,7 +88,7 @@ def span_lines(spans: DataFrame) -> DataFrame:
 
 def file_lines(spark: SparkSession, path: str, parse: Callable[[str, bytes], Iterator[dict]]) -> DataFrame:
     """LINES of files by a parser for their format: parse(path, content) yields rows as dicts, on the executors. A file
-    without text raises. pdf.read_spans() reads PDF files."""
+    without text raises."""
     import pandas as pd
 
     names = [f.name for f in T._parse_datatype_string(LINES).fields]
@@ -130,48 +131,77 @@ def query_violations(queries: DataFrame, negative: bool = False) -> DataFrame:
 ABOUT = "document_id string, document_sha256 string, embedding_model string, embedding_dimension int, strategy_id string, target_tokens int, chunk_count long"
 
 
-def write_index(index: DataFrame, path: str, document_id: str | None = None, document_sha256: str | None = None, embedding_model: str | None = None) -> None:
-    """Chunks with embeddings, a folder a strategy, and a row a strategy about them under _about (which scans pass over)."""
-    index.write.mode("overwrite").partitionBy("strategy_id").parquet(path)
+def _about(index: DataFrame, document_id: str | None, document_sha256: str | None, embedding_model: str | None) -> DataFrame:
     target = F.first("target_tokens") if "target_tokens" in index.columns else F.lit(None)
     rows = index.groupBy("strategy_id").agg(F.max(F.size("embedding")).cast("int").alias("embedding_dimension"), target.cast("int").alias("target_tokens"), F.count("*").alias("chunk_count"))
     named = {"document_id": document_id, "document_sha256": document_sha256, "embedding_model": embedding_model}
     rows = rows.select(*(F.lit(v).cast("string").alias(k) for k, v in named.items()), "embedding_dimension", "strategy_id", "target_tokens", "chunk_count")
-    rows.select(*(f.split(" ")[0] for f in ABOUT.split(", "))).coalesce(1).write.mode("overwrite").json(f"{path}/_about")
+    return rows.select(*(f.split(" ")[0] for f in ABOUT.split(", ")))
 
 
-def index_about(spark: SparkSession, path: str) -> DataFrame:
-    """What was written about an index; an index without it raises."""
-    return spark.read.schema(ABOUT).json(f"{path}/_about", mode="FAILFAST")
+def write_index(index: DataFrame, path: str, document_id: str | None = None, document_sha256: str | None = None, embedding_model: str | None = None) -> Version:
+    """Publishes chunks with embeddings (a folder a strategy) and a row a strategy about them, as one version of the store
+    at path: whoever reads sees the old version until both tables stand, and the new one from then on."""
+    store = Store(index.sparkSession, path)
+    folder = store.write({"rows": index}, {"rows": "strategy_id"})
+    # what is said is said of the rows that were written
+    written = index.sparkSession.read.parquet(f"{store.root}/{folder}/rows")
+    _about(written, document_id, document_sha256, embedding_model).coalesce(1).write.parquet(f"{store.root}/{folder}/about")
+    return store.commit(folder)
 
 
-def read_index(spark: SparkSession, path: str, strategy_id: str | None = None) -> DataFrame:
+def current(spark: SparkSession, path: str) -> Version:
+    """The version that a query reads from, for all its tables; the functions below take it in place of a path."""
+    return Store(spark, path).current()
+
+
+def _version(spark: SparkSession, path: str | Version) -> Version:
+    return path if isinstance(path, Version) else current(spark, path)
+
+
+def index_about(spark: SparkSession, path: str | Version) -> DataFrame:
+    """What was written about an index."""
+    return _version(spark, path).table("about")
+
+
+def read_index(spark: SparkSession, path: str | Version, strategy_id: str | None = None) -> DataFrame:
     """The index, or one strategy of it (only that folder is read)."""
-    df = spark.read.parquet(path)
+    df = _version(spark, path).table("rows").withColumn("strategy_id", F.col("strategy_id").cast("string"))
     return df if strategy_id is None else df.where(F.col("strategy_id") == strategy_id)
 
 
-def load_index(spark: SparkSession, path: str, strategy_id: str) -> DataFrame:
+def load_index(spark: SparkSession, path: str | Version, strategy_id: str) -> DataFrame:
     """One strategy's index, held against what was written about it: count, vector length, sound vectors and ids."""
     from ..operators.manifest import Incompatible, index_facts, mismatches, require_none
 
-    index, about = read_index(spark, path, strategy_id), index_about(spark, path).where(F.col("strategy_id") == strategy_id)
+    version = _version(spark, path)
+    index, about = read_index(spark, version, strategy_id), index_about(spark, version).where(F.col("strategy_id") == strategy_id)
     if about.isEmpty():
         raise Incompatible(f"nothing is known about {strategy_id}")
     require_none(mismatches(about, index_facts(index.withColumn("target_tokens", F.lit(None).cast("int")) if "target_tokens" not in index.columns else index), ("chunk_count", "embedding_dimension", "strategy_id")), index_violations(index))
     return index
 
 
-def promote(spark: SparkSession, path: str, strategy_id: str, selected: str) -> DataFrame:
-    """Copies one strategy's index, and what is said about it, over the selected one; raises if there is none. The
-    selection itself is written as selected.json beside the rows."""
-    chosen = read_index(spark, path, strategy_id)
-    if chosen.isEmpty():
+def promote(spark: SparkSession, path: str, strategy_id: str, selected: str) -> Version:
+    """Publishes one strategy's index, and what is said about it, as the selected one; raises if there is none.
+
+    Rows, what is said and selected.json are one version: a promotion that fails on the way leaves the one before, and
+    of two at once one wins whole and the other raises Conflict, or comes after.
+    """
+    version = current(spark, path)
+    about = index_about(spark, version).where(F.col("strategy_id") == strategy_id)
+    chosen = about.first()
+    if chosen is None:
         raise ValueError(f"no index of {strategy_id}")
-    about = index_about(spark, path).where(F.col("strategy_id") == strategy_id).first()
-    write_index(chosen, selected, about.document_id, about.document_sha256, about.embedding_model)
-    write_json(spark.createDataFrame([about], ABOUT), f"{selected}/_selected/selected.json")
-    return chosen
+    store = Store(spark, selected)
+    folder = store.write({"rows": read_index(spark, version, strategy_id), "about": about}, {"rows": "strategy_id"})
+    write_json(about, f"{store.root}/{folder}/_selected/selected.json")
+    return store.commit(folder, {"strategy_id": strategy_id, "from": version.number})
+
+
+def selection(spark: SparkSession, selected: str | Version) -> DataFrame:
+    """The selection that was promoted, as a row."""
+    return read_json(spark, f"{_version(spark, selected).path}/_selected/selected.json", ABOUT)
 
 
 def read_threshold(spark: SparkSession, path: str) -> DataFrame:

@@ -141,7 +141,7 @@ def test_manifest(spark, tmp_path):
     assert {r.problem for r in manifest.chunk_violations(bad, "target_416", 416).collect()} == {"other_strategy", "repeated_id"}
     assert {r.problem for r in src.index_violations(bad).collect()} == {"several_lengths", "not_finite", "repeated_chunk"}
     src.write_index(index, f"{tmp_path}/index")
-    assert src.promote(spark, f"{tmp_path}/index", "target_416", f"{tmp_path}/selected").count() == 2
+    assert src.read_index(spark, src.promote(spark, f"{tmp_path}/index", "target_416", f"{tmp_path}/selected")).count() == 2
     with pytest.raises(ValueError):
         src.promote(spark, f"{tmp_path}/index", "target_1", f"{tmp_path}/selected")
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sparrowfold import __main__ as batch
 from sparrowfold.operators import inspection, manifest
 from sparrowfold.plans import engine, evaluation
-from sparrowfold.sources import provider
+from sparrowfold.sources import provider, store
 from sparrowfold.sources import tables as src
 
 
@@ -28,16 +28,50 @@ def test_index_metadata(spark, tmp_path):
     about = {r.strategy_id: r for r in src.index_about(spark, path).collect()}
     assert (about["target_416"].chunk_count, about["target_416"].embedding_dimension, about["target_416"].target_tokens, about["target_416"].embedding_model) == (2, 2, 416, "model")
     assert src.load_index(spark, path, "target_416").count() == 2 and src.read_index(spark, path).count() == 3
-    assert src.promote(spark, path, "target_416", f"{tmp_path}/selected").count() == 2
-    assert json.loads((tmp_path / "selected" / "_selected" / "selected.json").read_text())["document_sha256"] == "abc"
+    assert src.read_index(spark, src.promote(spark, path, "target_416", f"{tmp_path}/selected")).count() == 2
+    assert src.selection(spark, f"{tmp_path}/selected").first().document_sha256 == "abc"
     # a row too few, and nothing known
-    index_rows(spark, GOOD[:1]).drop("strategy_id").write.mode("overwrite").parquet(f"{path}/strategy_id=target_416")
+    rows = src.current(spark, path).path + "/rows"
+    index_rows(spark, GOOD[:1]).drop("strategy_id").write.mode("overwrite").parquet(f"{rows}/strategy_id=target_416")
     with pytest.raises(manifest.Incompatible, match="chunk_count"):
         src.load_index(spark, path, "target_416")
     with pytest.raises(manifest.Incompatible):
         src.load_index(spark, path, "target_1")
 
 
+def test_readers_never_see_half_a_promotion(spark, tmp_path, monkeypatch):
+    path, selected = f"file://{tmp_path}/index", f"file://{tmp_path}/selected"
+    src.write_index(index_rows(spark, [*GOOD, ("c", "target_128", 128, [1.0, 1.0])]), path, "doc", "abc", "model")
+    with pytest.raises(FileNotFoundError):
+        src.current(spark, selected)
+    first = src.promote(spark, path, "target_416", selected)
+    held = src.current(spark, selected)
+    # the writer dies after the rows, and after all tables but before the pointer
+    for step in ("write_json", "commit"):
+        with monkeypatch.context() as m:
+            m.setattr(*((src, step) if step == "write_json" else (store.Store, step)), lambda *a, **k: (_ for _ in ()).throw(OSError("lost")))
+            with pytest.raises(OSError):
+                src.promote(spark, path, "target_128", selected)
+        now = src.current(spark, selected)
+        assert now.number == first.number and src.selection(spark, now).first().strategy_id == "target_416"
+        assert src.load_index(spark, now, "target_416").count() == 2
+    second = src.promote(spark, path, "target_128", selected)
+    assert second.number == 2 and second.facts["strategy_id"] == "target_128" and src.load_index(spark, selected, "target_128").count() == 1
+    # who has begun to read goes on with what was there; two writers can't take one number
+    assert src.read_index(spark, held).count() == 2
+    mine = store.Store(spark, selected)
+    folders = [mine.write({"rows": index_rows(spark, GOOD)}) for _ in range(2)]
+    mine.commit(folders[0], after=2)
+    with pytest.raises(store.Conflict):
+        mine.commit(folders[1], after=2)
+    with monkeypatch.context() as m:
+        m.setattr(store.Store, "_numbers", lambda self: [1, 2])
+        with pytest.raises(store.Conflict):
+            mine.commit(folders[1])
+    assert mine.current().number == 3
+    assert len(mine.prune(keep=1)) == 5 and mine.current().number == 3 and len(mine._numbers()) == 1
+
+
 def test_cross_checks(spark):
     row = {"document_id": "doc", "document_sha256": "abc", "embedding_model": "model", "strategy_id": "target_416", "target_tokens": 416}
     one = lambda **kw: spark.createDataFrame([tuple((row | kw).values())], ", ".join(f"{k} {'int' if isinstance(v, int) else 'double' if isinstance(v, float) else 'string'}" for k, v in (row | kw).items()))
