@@ -23,12 +23,34 @@ def _section_tokens(sectioned: DataFrame, tokens: Tokens) -> DataFrame:
     return section_texts(sectioned).select(*keys, tokens(F.col("text")).cast("long").alias("n"))
 
 
+#: Places in a document that one segment of its scan covers.
+SEGMENT = 4096
+
+
 def sections(units: DataFrame) -> DataFrame:
-    """Units with section_index: a heading starts a section unless it follows a heading of the same page."""
-    w = Window.partitionBy("document_id").orderBy("source_order")
-    before, page = F.lag("unit_type").over(w), F.lag("page_number").over(w)
-    starts = before.isNull() | ((F.col("unit_type") == "heading") & ((before != "heading") | (page != F.col("page_number"))))
-    return units.withColumn("_starts", starts.cast("int")).withColumn("section_index", (F.sum("_starts").over(w) - 1).cast("int")).drop("_starts")
+    """Units with section_index: a heading starts a section unless it follows a heading of the same page.
+
+    A scan in two levels, so that a document is as many groups as it has segments of its order: starts are counted
+    within segments, and what a segment begins with (its number of sections before, its last unit before) is carried
+    over a row a segment.
+    """
+    keys = ["document_id", "_segment"]
+    rows = units.withColumn("_segment", F.floor(F.col("source_order") / SEGMENT))
+    w = Window.partitionBy(*keys).orderBy("source_order")
+    own = F.struct("unit_type", "page_number")
+    starts = lambda this, before: (this["unit_type"] == "heading") & ((before["unit_type"] != "heading") | (before["page_number"] != this["page_number"]))
+    # of a segment's first unit that is not known yet
+    rows = rows.withColumn("_unit", own).withColumn("_before", F.lag(own).over(w))
+    rows = rows.withColumn("_starts", F.when(F.col("_before").isNotNull(), F.coalesce(starts(F.col("_unit"), F.col("_before")), F.lit(False)).cast("int")).otherwise(0)).withColumn("_running", F.sum("_starts").over(w))
+    ends = rows.groupBy(*keys).agg(F.sum("_starts").alias("_n"), F.min_by("_unit", "source_order").alias("_first"), F.max_by("_unit", "source_order").alias("_last"))
+    along = Window.partitionBy("document_id").orderBy("_segment")
+    carried = F.lag("_last").over(along)
+    ends = ends.withColumn("_opens", F.when(carried.isNull(), 1).otherwise(F.coalesce(starts(F.col("_first"), carried), F.lit(False)).cast("int")))
+    base = F.sum(F.col("_n") + F.col("_opens")).over(along) - F.col("_n")
+    ends = ends.select(*(F.col(c).alias(f"{c}_") for c in keys), base.alias("_base"))
+    index = F.col("_base") + F.col("_running") - 1
+    same = (F.col("document_id").eqNullSafe(F.col("document_id_"))) & (F.col("_segment") == F.col("_segment_"))
+    return rows.join(ends, same).withColumn("section_index", index.cast("int")).select(*units.columns, "section_index")
 
 
 def section_spans(sectioned: DataFrame, tokens: Tokens = token_count) -> DataFrame:

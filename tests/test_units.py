@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,6 +99,32 @@ def test_sections(spark):
     assert section_ids(spark, ("P", 1), ("P", 2), ("H", 2)) == [0, 0, 1]
 
 
+def test_sections_of_one_huge_document(spark, monkeypatch):
+    """Segments of one document lie in many tasks, and give the sections that a loop over the whole gives."""
+    monkeypatch.setattr(profile, "SEGMENT", 7)
+    rng = random.Random(6)
+    rows, page, order = [], 1, 0
+    for k in range(600):
+        page += rng.random() < 0.1
+        order += rng.choice([1, 1, 1, 2, 9])
+        rows.append(("host", order, f"w{k}", rng.choice(["heading", "heading", "paragraph"]), page))
+    want, index = {}, -1
+    for k, (_, order, _, kind, page) in enumerate(rows):
+        before = rows[k - 1] if k else None
+        index += before is None or kind == "heading" and (before[3] != "heading" or before[4] != page)
+        want[order] = index
+    made = profile.sections(spark.createDataFrame(rows, "document_id string, source_order int, text string, unit_type string, page_number int"))
+    got = made.select("source_order", "section_index").collect()
+    assert {r.source_order: r.section_index for r in got} == want and len(got) == 600
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        scan = spark.createDataFrame(rows, "document_id string, source_order int, text string, unit_type string, page_number int")
+        tasks = scan.groupBy("document_id", F.floor(F.col("source_order") / profile.SEGMENT)).count().select(F.spark_partition_id().alias("p")).distinct().count()
+        assert tasks == 4 and "document_id, _segment" in re.sub(r"#\d+L?", "", profile.sections(scan)._jdf.queryExecution().executedPlan().toString())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def sectioned(spark, rows):
     return profile.sections(spark.createDataFrame([("d", k, t, kind, p) for k, (t, kind, p) in enumerate(rows)], "document_id string, source_order int, text string, unit_type string, page_number int"))
 
