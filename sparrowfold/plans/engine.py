@@ -16,6 +16,16 @@ from ..sources import provider
 from ..sources.store import Scratch
 
 
+def settings(env: Mapping[str, str] | None = None, file: str | None = None) -> dict[str, str]:
+    """Values by name in lower case, from the environment over those of a file of NAME=value lines."""
+    given: dict[str, str] = {}
+    if file and os.path.exists(file):
+        with open(file, encoding="utf-8") as f:
+            pairs = [line.split("=", 1) for line in f if "=" in line and not line.lstrip().startswith("#")]
+        given = {k.strip().lower(): v.strip().strip("'\"") for k, v in pairs}
+    return given | {k.lower(): v for k, v in (os.environ if env is None else env).items()}
+
+
 @dataclass(frozen=True)
 class Config:
     """Limits of a flow; values out of bounds raise."""
@@ -44,12 +54,7 @@ class Config:
 
         What neither names has its default; other names are passed over; what is no number, or out of bounds, raises.
         """
-        given: dict[str, str] = {}
-        if file and os.path.exists(file):
-            with open(file, encoding="utf-8") as f:
-                pairs = [line.split("=", 1) for line in f if "=" in line and not line.lstrip().startswith("#")]
-            given = {k.strip().lower(): v.strip().strip("'\"") for k, v in pairs}
-        given |= {k.lower(): v for k, v in (os.environ if env is None else env).items()}
+        given = settings(env, file)
         return cls(**{f.name: type(f.default)(given[f.name]) for f in fields(cls) if f.name in given})
 
 
@@ -62,6 +67,15 @@ def sparse_retriever(chunks: DataFrame) -> Retriever:
     return lambda questions, k: postings.sparse_top_k(chunks, questions.select("query_id", F.col("query").alias("text")), k)
 
 
+def postings_retriever(index: postings.Postings) -> Retriever:
+    """Retrieval over a built or published index of postings."""
+
+    def run(questions: DataFrame, k: int) -> DataFrame:
+        return postings.search(index, questions.select("query_id", F.col("query").alias("text")), k, Scratch(questions.sparkSession, "search").save)
+
+    return run
+
+
 def dense_retriever(index: DataFrame, encode: Callable[[DataFrame], DataFrame]) -> Retriever:
     """Retrieval over an index (chunk_id, embedding); encode adds `embedding` to questions (query_id, query)."""
     return lambda questions, k: retrieval.top_k(index, encode(questions).select("query_id", "embedding"), k)

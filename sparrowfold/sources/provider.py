@@ -5,7 +5,7 @@ from __future__ import annotations
 import asyncio
 import http.client
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from urllib.parse import urlsplit
@@ -84,6 +84,28 @@ class HttpProvider:
         return body
 
 
+@dataclass(frozen=True)
+class Settings:
+    """Where answers come from: PROVIDER_URL, PROVIDER_KEY, LLM_MODEL, and LLM_FALLBACK_MODEL, LLM_TIMEOUT_SECONDS if wanted."""
+
+    post: HttpProvider
+    models: tuple[str, ...]
+
+    @classmethod
+    def of(cls, given: Mapping[str, str]) -> Settings | None:
+        """From named settings (names in lower case); None if no address is given, an error if only part of the rest is."""
+        if not given.get("provider_url"):
+            return None
+        models = tuple(m for name in ("llm_model", "llm_fallback_model") if (m := given.get(name, "").strip()))
+        if not given.get("llm_model", "").strip():
+            raise ConfigurationError("LLM_MODEL is not set")
+        try:
+            timeout = float(given.get("llm_timeout_seconds") or 30)
+        except ValueError:
+            raise ConfigurationError("LLM_TIMEOUT_SECONDS has to be a number") from None
+        return cls(HttpProvider(given["provider_url"], given.get("provider_key", ""), timeout, min(10.0, timeout)), models)
+
+
 Post = Callable[[str, str], tuple[int, str]]
 
 

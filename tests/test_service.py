@@ -234,9 +234,52 @@ def test_batch(spark, tmp_path):
     spark.createDataFrame([("c1", "the plan covers care", [3])], schema).write.parquet(f"{tmp_path}/chunks")
     spark.createDataFrame([("c1", " ", [3]), ("c1", "x", [])], schema).write.parquet(f"{tmp_path}/unfit")
     (tmp_path / "q.json").write_text('{"query_id": "a", "query": "plan covers"}\n{"query_id": "b", "query": " "}\n')
-    batch.run(spark, f"{tmp_path}/q.json", f"{tmp_path}/chunks", f"{tmp_path}/out", engine.Config(threshold=0.3))
-    assert {r.query_id: r.status for r in spark.read.json(f"{tmp_path}/out").collect()} == {"a": 200, "b": 422}
+    batch.answer(spark, f"{tmp_path}/q.json", f"{tmp_path}/chunks", f"{tmp_path}/out", engine.Config(threshold=0.3))
+    statuses = lambda out: {r.query_id: r.status for r in spark.read.json(out).collect()}
+    assert statuses(f"{tmp_path}/out") == {"a": 200, "b": 422}
     assert {r.problem for r in batch.readiness(spark.read.parquet(f"{tmp_path}/unfit")).collect()} == {"blank_text", "no_pages", "repeated_id"}
-    with pytest.raises(manifest.Incompatible):
-        batch.run(spark, f"{tmp_path}/q.json", f"{tmp_path}/unfit", f"{tmp_path}/out2", engine.Config())
-    assert batch.main([]) == 2
+    for run in (lambda: batch.answer(spark, f"{tmp_path}/q.json", f"{tmp_path}/unfit", f"{tmp_path}/out2", engine.Config()), lambda: batch.index(spark, f"{tmp_path}/unfit", f"file://{tmp_path}/store")):
+        with pytest.raises(manifest.Incompatible):
+            run()
+    # from a published index, and by a model
+    batch.index(spark, f"{tmp_path}/chunks", f"file://{tmp_path}/store")
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Models)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    given = {"provider_url": f"http://127.0.0.1:{server.server_port}/v1", "provider_key": "k", "llm_model": "second"}
+    try:
+        batch.answer(spark, f"{tmp_path}/q.json", f"file://{tmp_path}/store", f"{tmp_path}/out3", engine.Config(threshold=0.3), given)
+    finally:
+        server.shutdown()
+        server.server_close()
+    assert statuses(f"{tmp_path}/out3") == {"a": 200, "b": 422}
+    assert "from second" in {r.answer for r in spark.read.json(f"{tmp_path}/out3").collect()}
+    assert batch.main([]) == 2 and batch.main(["answer", "x"]) == 2
+
+
+def test_provider_settings():
+    good = {"provider_url": "https://x.test/v1", "provider_key": "k", "llm_model": "a", "llm_fallback_model": "b", "llm_timeout_seconds": "4"}
+    got = provider.Settings.of(good)
+    assert got.models == ("a", "b") and (got.post.timeout, got.post.connect_timeout) == (4.0, 4.0) and provider.Settings.of({}) is None
+    for bad in ({"llm_model": " "}, {"provider_key": ""}, {"llm_timeout_seconds": "x"}, {"llm_timeout_seconds": "500"}):
+        with pytest.raises(provider.ConfigurationError):
+            provider.Settings.of(good | bad)
+
+
+def test_offline_entry_points(spark, tmp_path):
+    rows = [(c, s, 416 if s == "target_416" else 128, v, u) for s in ("target_416", "target_128") for c, v, u in ((f"{s}-a", [1.0, 0.0], [1]), (f"{s}-b", [0.0, 1.0], [2 if s == "target_416" else 9]))]
+    index = spark.createDataFrame(rows, "chunk_id string, strategy_id string, target_tokens int, embedding array<double>, units array<int>")
+    store, selected = f"file://{tmp_path}/index", f"file://{tmp_path}/selected"
+    src.write_index(index, store, "doc", "abc", "model")
+    tables = {
+        "queries": spark.createDataFrame([("q", [0.1, 1.0], True), ("r", [0.3, -1.0], False)], "query_id string, embedding array<double>, is_positive boolean"),
+        "gold": spark.createDataFrame([("q", 0, 2)], "query_id string, group_no int, unit int"),
+        "lengths": spark.createDataFrame([("target_416", 416, 300.0), ("target_128", 128, 100.0)], "strategy_id string, target int, mean_tokens double"),
+    }
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{name}")
+    batch.select(spark, store, f"{tmp_path}/queries", f"{tmp_path}/gold", f"{tmp_path}/lengths", f"{tmp_path}/out", [1])
+    assert [r.strategy_id for r in spark.read.json(f"{tmp_path}/out/selected").collect()] == ["target_416"]
+    src.promote(spark, store, "target_416", selected)
+    batch.calibrate(spark, selected, f"{tmp_path}/queries", f"{tmp_path}/cut")
+    (cut,) = spark.read.json(f"{tmp_path}/cut").collect()
+    assert cut.balanced_accuracy == 1.0 and 0.3 < cut.threshold < 1.0
