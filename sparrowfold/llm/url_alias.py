@@ -110,13 +110,14 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, redir
         edges = edges.unionByName(redirects.select(F.col("from_url").alias("url"), F.col("to_url").alias("target")))
     # both ends as nodes under their own rules; a link target need not be a page
     edges = ws.save(edges.select(node_of(F.col("url")).alias("a"), node_of(F.col("target")).alias("b")).where("a is not null and b is not null and a <> b").distinct(), "edges")
-    nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
-    classes = connected_components(edges.select(F.xxhash64("a").alias("u"), F.xxhash64("b").alias("v")), ws, "alias")
+    # each url gets a number of its own, once, and saved with it: no two share one, as they could a hash
+    nodes = ws.save(edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct().withColumn("id", F.monotonically_increasing_id()), "nodes")
+    numbered = edges.join(small(nodes.select(F.col("node").alias("a"), F.col("id").alias("u"))), "a").join(small(nodes.select(F.col("node").alias("b"), F.col("id").alias("v"))), "b")
+    classes = connected_components(numbered.select("u", "v"), ws, "alias")
     url = F.concat(F.lit("x://"), F.col("node"))
-    named = with_rules(nodes.select("node", host_of(url).alias("host"), path_of(url).alias("path")), rules).select("node", F.xxhash64("node").alias("id"), F.col("own.verdict").alias("verdict"))
+    named = with_rules(nodes.select("node", "id", host_of(url).alias("host"), path_of(url).alias("path")), rules).select("node", "id", F.col("own.verdict").alias("verdict"))
     placed = named.join(classes.select(F.col("node").alias("id"), "component"), "id")
     bad = placed.where("verdict = 'block'").select("component").distinct()
-    # by their urls, not by hashes: a url that merely shares a hash with one of these isn't blocked
     tainted = ws.save(placed.join(bad, "component", "left_semi").select("node").distinct(), "tainted")
 
     own = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), node_of(F.col("url")).alias("node"))
