@@ -10,6 +10,7 @@ hold, open few blocks or none. What is found is scored on whole vectors.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -135,11 +136,11 @@ def floors(index: Postings, asked: DataFrame, vectors: DataFrame, k: int) -> Dat
     return ranked(_scored(first, index.vectors, vectors), k).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
 
 
-def opened(index: Postings, asked: DataFrame, floors: DataFrame) -> DataFrame:
+def opened(index: Postings, asked: DataFrame, floors: DataFrame, mark: Callable[[DataFrame], DataFrame] = few) -> DataFrame:
     """Blocks that a query opens, with its term's row: those whose bound reaches the floor."""
-    floored = asked.join(few(floors), "query_id", "left").withColumn("floor", F.coalesce(F.col("floor") - SLACK, F.lit(-1.0)))
+    floored = asked.join(floors, "query_id", "left").withColumn("floor", F.coalesce(F.col("floor") - SLACK, F.lit(-1.0)))
     essential = floored.where(F.sqrt(F.col("weight") * F.col("weight") + F.col("after")) >= F.col("floor"))
-    return few(essential).join(index.blocks, "term_id").where(bound(F.col("weight"), F.col("after"), F.col("top")) >= F.col("floor"))
+    return mark(essential).join(index.blocks, "term_id").where(bound(F.col("weight"), F.col("after"), F.col("top")) >= F.col("floor"))
 
 
 def search(index: Postings, queries: DataFrame, k: int, save: Save) -> DataFrame:
@@ -152,11 +153,11 @@ def search(index: Postings, queries: DataFrame, k: int, save: Save) -> DataFrame
     if k <= 0:
         raise ValueError("k has to be positive")
     asked = save(asked_terms(index, queries), "asked")
-    vectors = save(_gathered(asked, "query_id"), "asked-vectors")
-    # as many numbers as asked has rows, so the same bound
-    vectors = F.broadcast(vectors) if asked.limit(FEW + 1).count() <= FEW else vectors
-    floor = save(floors(index, asked, vectors, k), "floors")
-    found = opened(index, asked, floor).select("query_id", "weight", "after", "floor", F.inline("postings"))
+    # what is made of these rows holds no more numbers than they are
+    mark = F.broadcast if asked.limit(FEW + 1).count() <= FEW else lambda rows: rows
+    vectors = mark(_gathered(asked, "query_id"))
+    floor = mark(save(floors(index, asked, vectors, k), "floors"))
+    found = opened(index, asked, floor, mark).select("query_id", "weight", "after", "floor", F.inline("postings"))
     pairs = found.where(bound(F.col("weight"), F.col("after"), F.col("impact")) >= F.col("floor")).select("query_id", "chunk_id").distinct()
     return ranked(_scored(pairs, index.vectors, vectors).where("score > 0"), k)
 
