@@ -63,8 +63,15 @@ Generator = Callable[[DataFrame], DataFrame]
 
 
 def sparse_retriever(chunks: DataFrame) -> Retriever:
-    """Retrieval by term vectors over chunks (chunk_id, text)."""
-    return lambda questions, k: postings.sparse_top_k(chunks, questions.select("query_id", F.col("query").alias("text")), k)
+    """Retrieval by term vectors over chunks (chunk_id, text), which are indexed once, at the first questions."""
+    built: list[Retriever] = []
+
+    def run(questions: DataFrame, k: int) -> DataFrame:
+        if not built:
+            built.append(postings_retriever(postings.Postings.build(chunks, Scratch(chunks.sparkSession, "postings").save)))
+        return built[0](questions, k)
+
+    return run
 
 
 def postings_retriever(index: postings.Postings) -> Retriever:
