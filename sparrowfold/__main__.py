@@ -47,14 +47,14 @@ def index(spark: SparkSession, chunks: str, store: str) -> None:
 
 
 def answer(spark: SparkSession, questions: str, chunks: str, out: str, config: engine.Config, given: dict[str, str] | None = None) -> None:
-    """chunks: a table, indexed for this run alone, or a store, of which one version serves the whole run."""
+    """chunks: a table, searched for this run alone, or a store, of which one version serves the whole run."""
     service = provider.Settings.of(given or {})
     try:
         version = Store(spark, chunks).current()
     except FileNotFoundError:
         about = spark.read.parquet(chunks)
         require_none(readiness(about))
-        retrieve = engine.sparse_retriever(about)
+        retrieve = engine.scanning_retriever(about)
     else:
         about = version.table("chunks")
         retrieve = engine.postings_retriever(Postings.of(version))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import confidence
 from ..functions.text import page_reference, snippet, strip
+from .retrieval import Save, few
 
 # Fixed values.
 RETRYABLE, FALLBACK = (408, 429), 404
@@ -56,8 +57,16 @@ def cited_hits(checked: DataFrame, hits: DataFrame) -> DataFrame:
 
 def sources(cited: DataFrame, chunks: DataFrame, limit: int = 420) -> DataFrame:
     """cited with the chunk's pages, page reference and snippet. chunks: chunk_id, text, page_numbers."""
-    about = chunks.select("chunk_id", "page_numbers", F.element_at("page_numbers", 1).alias("page_start"), F.element_at("page_numbers", -1).alias("page_end"), page_reference(F.col("page_numbers")).alias("page_reference"), snippet(F.col("text"), limit).alias("snippet"))
-    return cited.join(about, "chunk_id").select("query_id", "position", "chunk_id", "page_numbers", "page_start", "page_end", "page_reference", "snippet", F.col("score").alias("retrieval_score"), F.col("rank").alias("retrieval_rank"))
+    pages = F.col("page_numbers")
+    return cited.join(chunks.select("chunk_id", "text", "page_numbers"), "chunk_id").select(
+        "query_id", "position", "chunk_id", "page_numbers", F.element_at(pages, 1).alias("page_start"), F.element_at(pages, -1).alias("page_end"), page_reference(pages).alias("page_reference"),
+        snippet(F.col("text"), limit).alias("snippet"), F.col("score").alias("retrieval_score"), F.col("rank").alias("retrieval_rank"),
+    )
+
+
+def named_chunks(chunks: DataFrame, hits: DataFrame, save: Save) -> DataFrame:
+    """Those of chunks that hits name, saved: the one pass over all texts that answers take."""
+    return save(chunks.join(few(hits.select("chunk_id").distinct()), "chunk_id", "left_semi").select(*chunks.columns), "named")
 
 
 def confidences(decisions: DataFrame, cited: DataFrame) -> DataFrame:

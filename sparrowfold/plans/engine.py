@@ -74,6 +74,11 @@ def sparse_retriever(chunks: DataFrame) -> Retriever:
     return run
 
 
+def scanning_retriever(chunks: DataFrame) -> Retriever:
+    """Retrieval by term vectors over chunks (chunk_id, text) for one set of questions: few of them scan the chunks, many build an index."""
+    return lambda questions, k: postings.sparse_top_k(chunks, questions.select("query_id", F.col("query").alias("text")), k)
+
+
 def postings_retriever(index: postings.Postings) -> Retriever:
     """Retrieval over a built or published index of postings."""
 
@@ -138,6 +143,7 @@ def answers(questions: DataFrame, chunks: DataFrame, retrieve: Retriever, genera
     hits = retrieve(fit, config.top_k)
     decisions = retrieval.gate(fit, hits, F.lit(config.threshold))
     final = hits.join(decisions.where("is_relevant").select("query_id"), "query_id", "left_semi").where(F.col("rank") <= config.final_k)
+    chunks = grounding.named_chunks(chunks, final, Scratch(chunks.sparkSession, "answers").save)
     evidence = final.join(chunks.select("chunk_id", "text"), "chunk_id").select("query_id", "rank", "chunk_id", "text")
     made = generate(evidence)
     made = made if "error_class" in made.columns else made.withColumn("error_class", F.lit(None).cast("string"))

@@ -11,6 +11,7 @@ from ..functions import scores as fs
 from ..functions import text as ft
 from ..operators import calibration, chunking, grounding, inspection, manifest, metrics, postings, profile, retrieval, units
 from ..sources import tables as src
+from ..sources.store import Scratch
 from . import engine, evaluation
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -578,36 +579,42 @@ def _text_tables(spark, sf):
     return docs.select(F.col("doc_id").alias("chunk_id"), "text", F.array(F.lit(1)).alias("page_numbers")), bench.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+def _text_hits(spark, sf):
+    chunks_, asked = _text_tables(spark, sf)
+    return postings.sparse_top_k(chunks_, asked.select("query_id", F.col("query").alias("text")), TOP_K)
+
+
 def _text_flow(spark, sf):
-    """Hits, decisions, final evidence and checked citations of the extractive generator."""
+    """Chunks that are evidence, decisions, final evidence and checked citations of the extractive generator."""
     chunks_, asked = _text_tables(spark, sf)
-    hits = postings.sparse_top_k(chunks_, asked.select("query_id", F.col("query").alias("text")), TOP_K)
+    hits = _text_hits(spark, sf)
     decisions = retrieval.gate(asked, hits, F.lit(TEXT_GATE))
     final = hits.where(F.col("rank") <= FINAL_K).join(decisions.where("is_relevant").select("query_id"), "query_id", "left_semi")
+    chunks_ = grounding.named_chunks(chunks_, final, Scratch(spark, "flow").save)
     made = engine.extractive(final.join(chunks_.select("chunk_id", "text"), "chunk_id"))
-    return chunks_, hits, decisions, final, grounding.check_citations(made, final)
+    return chunks_, decisions, final, grounding.check_citations(made, final)
 
 
 @query(f"WITH {_TEXT_HITS} SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM hits")
 def topk_text(spark, sf):
-    return _text_flow(spark, sf)[1].select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", F.round("score", 6).alias("score"))
+    return _text_hits(spark, sf).select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_TEXT_HITS} SELECT query_id, string_agg(chunk_id, ',' ORDER BY position) AS citations, 'ok' AS status FROM cit GROUP BY 1")
 def citations(spark, sf):
-    return _text_flow(spark, sf)[4].select("query_id", joined("citations").alias("citations"), "status")
+    return _text_flow(spark, sf)[3].select("query_id", joined("citations").alias("citations"), "status")
 
 
 @query(f"WITH {_TEXT_HITS}, {_SNIPPET} SELECT query_id, position, chunk_id, 'PDF page 1' AS page_reference, snippet, round(score, 6) AS retrieval_score, rank AS retrieval_rank FROM cit JOIN snip USING (chunk_id)")
 def sources(spark, sf):
-    chunks_, _, _, final, checked = _text_flow(spark, sf)
+    chunks_, _, final, checked = _text_flow(spark, sf)
     rows = grounding.sources(grounding.cited_hits(checked, final), chunks_)
     return rows.select("query_id", F.col("position").cast("long").alias("position"), "chunk_id", "page_reference", "snippet", F.round("retrieval_score", 6).alias("retrieval_score"), F.col("retrieval_rank").cast("long").alias("retrieval_rank"))
 
 
 @query(f"WITH {_TEXT_HITS} SELECT query_id, confidence_score FROM conf")
 def confidence(spark, sf):
-    _, _, decisions, final, checked = _text_flow(spark, sf)
+    _, decisions, final, checked = _text_flow(spark, sf)
     return grounding.confidences(decisions, grounding.cited_hits(checked, final))
 
 
@@ -617,7 +624,7 @@ def confidence(spark, sf):
 )
 def answers(spark, sf):
     chunks_, asked = _text_tables(spark, sf)
-    rows = engine.answers(asked, chunks_, engine.sparse_retriever(chunks_), engine.extractive, engine.Config(top_k=TOP_K, final_k=FINAL_K, threshold=TEXT_GATE))
+    rows = engine.answers(asked, chunks_, engine.scanning_retriever(chunks_), engine.extractive, engine.Config(top_k=TOP_K, final_k=FINAL_K, threshold=TEXT_GATE))
     listed = F.when(F.col("sources").isNotNull(), F.size("sources")).otherwise(0).cast("long")
     return rows.select("query_id", F.sha2(ft.strip(F.col("answer")).cast("binary"), 256).alias("answer_sha256"), "confidence_score", listed.alias("sources"), "reason", F.col("status").cast("long").alias("status"))
 
@@ -638,7 +645,7 @@ _PAYLOAD = (
     SELECT query_id, sha256({_PAYLOAD}) AS payload_sha256 FROM ev JOIN benchmark b ON b.item_id = ev.query_id"""
 )
 def prompts(spark, sf):
-    chunks_, _, _, final, _ = _text_flow(spark, sf)
+    chunks_, _, final, _ = _text_flow(spark, sf)
     asked = _text_tables(spark, sf)[1].join(final.select("query_id").distinct(), "query_id")
     made = grounding.payloads(grounding.prompts(asked, final.join(chunks_.select("chunk_id", "text"), "chunk_id")), "model")
     return made.select("query_id", F.sha2(F.col("payload").cast("binary"), 256).alias("payload_sha256"))
