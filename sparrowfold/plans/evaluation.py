@@ -13,7 +13,7 @@ def strategy_hits(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return retrieval.top_k(index, queries, k, ("strategy_id",))
 
 
-def evaluate_strategies(index: DataFrame, queries: DataFrame, gold: DataFrame, lengths: DataFrame, ks: list[int]) -> tuple[DataFrame, DataFrame, DataFrame]:
+def evaluate_strategies(index: DataFrame, queries: DataFrame, gold: DataFrame | metrics.Gold, lengths: DataFrame, ks: list[int]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Per-query metrics, their means, and the chosen strategy. index also has units; lengths: strategy_id, target, mean_tokens."""
     per = metrics.metrics(strategy_hits(index, queries, max(ks)), gold, index.select("strategy_id", "chunk_id", "units"), ks, ("strategy_id",))
     means = metrics.averages(per, ("strategy_id",))
@@ -28,7 +28,7 @@ def calibrate(index: DataFrame, queries: DataFrame) -> DataFrame:
     return calibration.select_threshold(scores)
 
 
-def holdout(hits: DataFrame, gold: DataFrame, chunks: DataFrame, queries: DataFrame, threshold: Column, k: int = 5) -> DataFrame:
+def holdout(hits: DataFrame, gold: DataFrame | metrics.Gold, chunks: DataFrame, queries: DataFrame, threshold: Column, k: int = 5) -> DataFrame:
     """A row a frozen query: metrics at k, first relevant rank, and the gate's decision with its margin."""
     per = metrics.metrics(hits, gold, chunks, [k])
     decisions = retrieval.gate(queries, hits, threshold)

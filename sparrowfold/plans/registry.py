@@ -412,15 +412,16 @@ means AS (SELECT strategy_id, target, k, count(*) AS queries, round(avg(precisio
 
 def _gold(spark, sf):
     rows = src.table(spark, sf, "embeddings")
-    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    own = rows.select(F.col("vec_id").alias("unit"), "label")
-    return asked.join(own, "label").where("unit <> query_id").select("query_id", (F.col("unit") % 3).alias("group_no"), "unit")
+    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("set_id"))
+    own = rows.select(F.col("label").alias("set_id"), (F.col("vec_id") % 3).alias("group_no"), F.col("vec_id").alias("unit"))
+    # a query seeks all of its label but itself
+    return metrics.Gold(own, asked, asked.select("query_id", F.col("query_id").alias("unit")))
 
 
 def _per_query(spark, sf):
     rows = src.table(spark, sf, "embeddings")
     asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    index = retrieval.pooled(rows, POOLS)
+    index = Scratch(spark, "pooled").save(retrieval.pooled(rows, POOLS), "index")
     lengths = index.groupBy("strategy_id", "target").agg(F.avg(F.size("units")).alias("mean_tokens"))
     return evaluation.evaluate_strategies(index, asked, _gold(spark, sf), lengths, [1, 3, 5])
 

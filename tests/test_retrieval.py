@@ -156,3 +156,20 @@ def test_score_checks(spark):
     assert found == {"no_negative", "not_finite"} and calibration.score_violations(scored(spark, [0.5], [0.1])).count() == 0
     r = {r.is_positive: r for r in calibration.score_summary(scored(spark, POSITIVE, NEGATIVE)).collect()}
     assert (r[True]["min"], r[True]["mean"], r[True]["max"]) == (0.791245, 0.844899, 0.895831) and (r[False]["min"], r[False]["mean"], r[False]["max"]) == (0.51859, 0.651866, 0.730207)
+
+
+def test_shared_gold_is_not_written_out(spark):
+    """Sets of units that many queries seek, each less some units, give what the same gold gives written out for each query."""
+    rng = np.random.default_rng(5)
+    sets = [(int(s), int(u) % 3, int(u)) for s in range(3) for u in rng.choice(40, 12, replace=False)] + [(2, 7, 5), (3, 0, 50), (4, 1, 11)]
+    asks = [(q, q % 6) for q in range(30)]  # no unit is known of set 5
+    without = [(q, int(u)) for q, s in asks for u in rng.permutation([u for k, _, u in sets if k == s])[:2]] + [(0, 999)]
+    units = [("a", c, list(range(c * 2, c * 2 + 2))) for c in range(30)] + [("b", c, list(range(c * 5, c * 5 + 7))) for c in range(10)]
+    hits = [(s, q, k + 1, int(c)) for s, n in (("a", 30), ("b", 10)) for q, _ in asks if q % 7 for k, c in enumerate(rng.permutation(n)[:6])]
+    frame = lambda rows, kinds: spark.createDataFrame(rows, kinds)
+    shared = metrics.Gold(frame(sets, "set_id int, group_no int, unit int"), frame(asks, "query_id int, set_id int"), frame(without, "query_id int, unit int"))
+    plain = [(q, g, u) for q, s in asks for k, g, u in sets if k == s and (q, u) not in without]
+    h, c = frame(hits, "strategy_id string, query_id int, rank int, chunk_id int"), frame(units, "strategy_id string, chunk_id int, units array<int>")
+    one, other = (sorted(map(tuple, metrics.metrics(h, g, c, [1, 3, 5], ("strategy_id",)).collect())) for g in (shared, frame(plain, "query_id int, group_no int, unit int")))
+    assert one == other and len({r[1] for r in one}) == len({q for q, _, _ in plain}) < 30
+    assert any(0 < r[6] < 1 for r in one)
