@@ -142,7 +142,7 @@ class Balls:
         found = save(self.scores(first, queries, k), "found")
         floors = ranked(found, k, self.by).where(F.col("rank") == k).select(*self.by, "query_id", F.col("score").alias("floor"))
         more = save(self.bounds(queries, k, floors).join(first, [*self.by, "query_id", "ball"], "left_anti"), "more")
-        return ranked(found.unionByName(self.scores(more, queries, k)), k, self.by)
+        return save(ranked(found.unionByName(self.scores(more, queries, k)), k, self.by), "hits")
 
 
 def _best(by: tuple[str, ...], kinds: dict[str, str], k: int):
@@ -154,9 +154,13 @@ def _best(by: tuple[str, ...], kinds: dict[str, str], k: int):
         own = own.sort_values("chunk_id")
         s = np.round(np.stack(asking["q"].to_numpy()) @ np.stack(own["v"].to_numpy()).T, TIE_DECIMALS)
         n = min(k, s.shape[1])
-        at = np.argsort(-s, axis=1, kind="stable")[:, :n]
-        ids = own["chunk_id"].to_numpy()
-        found = {"query_id": np.repeat(asking["query_id"].to_numpy(), n), "chunk_id": ids[at.ravel()], "score": np.take_along_axis(s, at, 1).ravel()}
+        # all that reach a query's n-th score, ties and all, are sorted; the rest is not
+        row, at = np.nonzero(s >= np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n, None])
+        order = np.lexsort((at, -s[row, at], row))
+        row, at = row[order], at[order]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < n
+        row, at = row[keep], at[keep]
+        found = {"query_id": asking["query_id"].to_numpy()[row], "chunk_id": own["chunk_id"].to_numpy()[at], "score": s[row, at]}
         return pd.DataFrame({c: [own[c].iloc[0]] * (len(asking) * n) for c in by} | found)
 
     return best, ", ".join([*(f"`{c}` {kinds[c]}" for c in by), f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double"])
@@ -173,8 +177,9 @@ def top_k(index: DataFrame, queries: DataFrame, k: int, by: tuple[str, ...] = ()
     if k <= 0:
         raise ValueError("k has to be positive")
     most = index.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    # flows read hits many times over
+    save = Scratch(index.sparkSession, "balls").save
     if most > INDEX_BLOCK:
-        save = Scratch(index.sparkSession, "balls").save
         return Balls.build(index, by, save).search(queries, k, save)
     parts = max(1, -(-queries.count() // QUERY_BLOCK))
     left = index.select(*by, "chunk_id", F.col("embedding").cast("array<double>").alias("v")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
@@ -183,7 +188,7 @@ def top_k(index: DataFrame, queries: DataFrame, k: int, by: tuple[str, ...] = ()
     if by:
         right = right.crossJoin(few(index.select(*(F.col(c).alias(f"_{c}") for c in by)).distinct())).withColumnsRenamed({f"_{c}": c for c in by})
     keys = [*by, "_part"]
-    return ranked(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(*_best(by, _kinds(index, queries), k)), k, by)
+    return save(ranked(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(*_best(by, _kinds(index, queries), k)), k, by), "hits")
 
 
 def ranked(scored: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:

@@ -173,3 +173,13 @@ def test_shared_gold_is_not_written_out(spark):
     one, other = (sorted(map(tuple, metrics.metrics(h, g, c, [1, 3, 5], ("strategy_id",)).collect())) for g in (shared, frame(plain, "query_id int, group_no int, unit int")))
     assert one == other and len({r[1] for r in one}) == len({q for q, _, _ in plain}) < 30
     assert any(0 < r[6] < 1 for r in one)
+
+
+def test_best_keeps_the_first_of_ties(spark):
+    """A hundred equal vectors among others: the k smallest ids, and hits that are read twice come from a table."""
+    index = spark.createDataFrame([(k, [1.0, 0.0] if k % 3 else [0.0, 1.0]) for k in range(150)], "chunk_id long, embedding array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.5, 0.6])], "query_id long, embedding array<double>")
+    hits = retrieval.top_k(index, asked, 4)
+    got = {q: [r.chunk_id for r in hits.where(f"query_id = {q}").orderBy("rank").collect()] for q in (1, 2)}
+    assert got == {1: [1, 2, 4, 5], 2: [0, 3, 6, 9]}
+    assert "Scan parquet" in hits._jdf.queryExecution().executedPlan().toString()
