@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,24 +58,44 @@ def pack_section(units: list[dict], target: int, hard_limit: int, count: Callabl
 def build_chunks_with(sectioned: DataFrame, targets: list[int], count: Callable[[list[str]], list[int]], hard_limit: int = 512) -> DataFrame:
     """build_chunks() by a tokenizer: count gives the tokens, special ones among them, of each of many texts.
 
-    A section is a task's group; a section's units are packed in memory.
+    Units stream through a task sorted by section; a section's units are packed in memory.
     """
     _checked(targets, hard_limit)
     kind = sectioned.schema["document_id"].dataType.simpleString()
     names = [x.split(" ")[0] for x in _CHUNK.split(", ")]
+    numbers = pa.list_(pa.int32())
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()), numbers, pa.int32(), pa.int32(), pa.int32(), pa.int32(), numbers, pa.string()]
 
-    def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        units = pdf.sort_values("source_order")[["source_order", "text", "unit_type", "page_number"]].to_dict("records")
-        document, section, out = key[0], int(key[1]), []
+    def packed(document: Any, section: int, units: list[dict]) -> Iterator[tuple]:
         for target in targets:
             for k, c in enumerate(pack_section(units, target, hard_limit, count)):
                 both = [*c["heads"], *c["own"]]
-                pages, orders = sorted({int(u["page_number"]) for u in both}), list(dict.fromkeys(int(u["source_order"]) for u in both))
+                pages, orders = sorted({u["page_number"] for u in both}), list(dict.fromkeys(u["source_order"] for u in both))
                 name = f"{document}-t{target}-s{section:04d}-c{k:02d}"
-                out.append((document, name, f"target_{target}", target, c["n"], "\n".join(u["text"] for u in c["own"]), [u["text"] for u in c["heads"]], pages, pages[0], pages[-1], section, k, orders, c["problem"]))
-        return pd.DataFrame(out, columns=names)
-
-    rows = sectioned.select("document_id", "section_index", "source_order", "text", "unit_type", "page_number").groupBy("document_id", "section_index").applyInPandas(run, _CHUNK.format(kind))
+                yield document, name, f"target_{target}", target, c["n"], "\n".join(u["text"] for u in c["own"]), [u["text"] for u in c["heads"]], pages, pages[0], pages[-1], section, k, orders, c["problem"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, units = None, []
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*rows) if rows else [()] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, [id_kind, *kinds])], names=names)
+
+        for part in batches:
+            id_kind, out = part.schema.field("document_id").type, []
+            for u in part.to_pylist():
+                own = u["document_id"], u["section_index"]
+                if own != key:
+                    if units:
+                        out += packed(*key, units)
+                    key, units = own, []
+                units.append(u)
+            yield batch(out)
+        if units:
+            yield batch(list(packed(*key, units)))
+
+    keys = ["document_id", "section_index"]
+    rows = sectioned.select(*keys, "source_order", "text", "unit_type", "page_number").repartition(*keys).sortWithinPartitions(*keys, "source_order").mapInArrow(run, _CHUNK.format(kind))
     return rows.withColumn("fits", F.max(F.col("problem").isNotNull().cast("int")).over(Window.partitionBy("document_id")) == 0)
 
 

@@ -282,3 +282,26 @@ def test_profiles_by_a_tokenizer(spark):
     assert profile.oversized_sections(made, 14, count).count() == 1 and profile.oversized_sections(made, 14).count() == 0
     assert [r.token_count for r in profile.oversized(made, 10, count).collect()] == [11]
     assert {r.target for r in profile.candidate_targets(made, 512, count).collect()} == {32}
+
+
+def test_sections_stream_through_tasks_in_order(spark):
+    """Many sections in few batches: a section that several batches hold is packed whole, as pack_section does it alone."""
+    from sparrowfold.operators.chunking import build_chunks_with, pack_section
+
+    count = lambda texts: [len(t) // 2 + 2 for t in texts]
+    rows = [(d, s, n, f"unit {d} {s} {n} " + "x" * (n * 7 % 19), "heading" if n == 0 else "paragraph", 1 + n // 5) for d in range(12) for s in range(3) for n in range(1 + (d * s) % 14)]
+    frame = spark.createDataFrame(rows[::-1], "document_id long, section_index int, source_order int, text string, unit_type string, page_number int")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        made = build_chunks_with(frame, [20, 40], count, 60)
+        got = sorted((r.document_id, r.section_index, r.target_tokens, r.chunk_index, r.token_count, r.text) for r in made.collect())
+        assert "FlatMapGroups" not in made._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = []
+    for d in range(12):
+        for s in range(3):
+            own = [dict(zip(("source_order", "text", "unit_type", "page_number"), r[2:])) for r in rows if r[:2] == (d, s)]
+            want += [(d, s, t, k, c["n"], "\n".join(u["text"] for u in c["own"])) for t in (20, 40) for k, c in enumerate(pack_section(own, t, 60, count))]
+    assert got == sorted(want)
