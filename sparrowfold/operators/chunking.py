@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import chunk_id, token_count
+from ..sources.store import Scratch
 
 
 #: Why a chunk exceeds the hard limit.
@@ -171,16 +172,24 @@ def strict(chunks: DataFrame, hard_limit: int = 512) -> DataFrame:
     return chunks.withColumn("token_count", F.when(F.col("problem").isNotNull(), error).otherwise(F.col("token_count")))
 
 
+def coverage_marks(units: DataFrame, chunks: DataFrame) -> DataFrame:
+    """strategy_id, document_id, source_order, due, held: for every strategy of chunks, the units of the documents that it
+    has chunks of (due), and the orders that its chunks hold. Chunks are made once; one aggregation sets both against each other."""
+    orders = chunks.select("strategy_id", "document_id", F.explode_outer("source_unit_orders").alias("source_order"))
+    marks = Scratch(chunks.sparkSession, "coverage").save(orders, "orders")
+    made = marks.select("strategy_id", "document_id").distinct()
+    mark = lambda rows, due: rows.select("strategy_id", "document_id", "source_order", F.lit(due).alias("due"), F.lit(not due).alias("held"))
+    both = mark(made.join(units.select("document_id", "source_order"), "document_id"), True).unionByName(mark(marks.where("source_order is not null"), False))
+    return both.groupBy("strategy_id", "document_id", "source_order").agg(F.max("due").alias("due"), F.max("held").alias("held"))
+
+
 def coverage_gaps(units: DataFrame, chunks: DataFrame) -> DataFrame:
     """strategy_id, document_id, source_order, side: units in no chunk (lost) and orders in chunks that are no unit (unknown).
 
     For every strategy of chunks; no row is what should come out.
     """
-    held = chunks.select("strategy_id", "document_id", F.explode("source_unit_orders").alias("source_order")).distinct()
-    made = chunks.select("strategy_id", "document_id").distinct()
-    due = made.join(units.select("document_id", "source_order"), "document_id").select("strategy_id", "document_id", "source_order")
-    keys = ["strategy_id", "document_id", "source_order"]
-    return due.join(held, keys, "left_anti").withColumn("side", F.lit("lost")).unionByName(held.join(due, keys, "left_anti").withColumn("side", F.lit("unknown")))
+    rows = coverage_marks(units, chunks).where("due <> held")
+    return rows.select("strategy_id", "document_id", "source_order", F.when(F.col("due"), "lost").otherwise("unknown").alias("side"))
 
 
 def strategy_profile(chunks: DataFrame) -> DataFrame:

@@ -208,11 +208,9 @@ def strategy_profile(spark, sf):
 
 @query(_CHUNKS + ", m AS (SELECT strategy_id, document_id, unnest(orders) AS source_order FROM chunks) SELECT strategy_id, count(DISTINCT (document_id, source_order)) AS covered, (SELECT count(*) FROM u) - count(DISTINCT (document_id, source_order)) AS lost, 0::BIGINT AS unknown FROM m GROUP BY 1")
 def coverage(spark, sf):
-    made, all_units = _chunks(spark, sf), _units(spark, sf)
-    gaps = chunking.coverage_gaps(all_units, made).groupBy("strategy_id").agg(F.count(F.when(F.col("side") == "lost", 1)).alias("lost"), F.count(F.when(F.col("side") == "unknown", 1)).alias("unknown"))
-    covered = made.select("strategy_id", "document_id", F.explode("source_unit_orders").alias("o")).groupBy("strategy_id").agg(F.count_distinct("document_id", "o").alias("covered"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return covered.join(gaps, "strategy_id", "left").select("strategy_id", "covered", zero("lost"), zero("unknown"))
+    number = lambda c, name: F.count(F.when(F.expr(c), 1)).alias(name)
+    marks = chunking.coverage_marks(_units(spark, sf), _chunks(spark, sf)).groupBy("strategy_id")
+    return marks.agg(number("held", "covered"), number("due and not held", "lost"), number("held and not due", "unknown")).where("covered > 0")
 
 
 @query(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import join_spans, squeeze, strip, word_count
+from ..functions.text import join_spans, squeeze, strip
 from .store import Store, Version
 
 LINES = (
@@ -34,7 +34,7 @@ def document_units(documents: DataFrame) -> DataFrame:
     lines = documents.select(F.col("doc_id").cast("long").alias("document_id"), F.posexplode(F.filter(numbered, lambda x: x["text"] != "")).alias("source_order", "line"))
     return lines.select(
         "document_id", "source_order", F.col("line.text").alias("text"),
-        F.when(word_count(F.col("line.text")) <= HEADING_WORDS, "heading").otherwise("paragraph").alias("unit_type"),
+        F.when(F.size(F.split("line.text", " ")) <= HEADING_WORDS, "heading").otherwise("paragraph").alias("unit_type"),
         (F.floor(F.col("line.n") / PAGE_LINES) + 1).cast("int").alias("page_number"),
     )
 

@@ -305,3 +305,22 @@ def test_sections_stream_through_tasks_in_order(spark):
             own = [dict(zip(("source_order", "text", "unit_type", "page_number"), r[2:])) for r in rows if r[:2] == (d, s)]
             want += [(d, s, t, k, c["n"], "\n".join(u["text"] for u in c["own"])) for t in (20, 40) for k, c in enumerate(pack_section(own, t, 60, count))]
     assert got == sorted(want)
+
+
+def test_coverage_makes_chunks_once(spark, tmp_path):
+    from sparrowfold.operators.chunking import coverage_gaps
+
+    log = str(tmp_path / "made")
+
+    def count(batches):
+        for pdf in batches:
+            with open(log, "a") as f:
+                f.write("x" * len(pdf))
+            yield pdf
+
+    schema = "strategy_id string, document_id long, source_unit_orders array<int>"
+    chunks = spark.createDataFrame([("a", 1, [0, 1]), ("a", 1, [1, 7]), ("a", 2, None), ("b", 1, [0, 1, 2])], schema).mapInPandas(count, schema)
+    units = spark.createDataFrame([(1, 0), (1, 1), (1, 2), (2, 0), (3, 0)], "document_id long, source_order int")
+    got = sorted(tuple(r) for r in coverage_gaps(units, chunks).collect())
+    assert got == [("a", 1, 2, "lost"), ("a", 1, 7, "unknown"), ("a", 2, 0, "lost")]
+    assert len(open(log).read()) == 4
